@@ -184,3 +184,146 @@ def oracle_sql() -> dict:
     out.update(feature_queries())
     out.update(text_queries())
     return out
+
+
+# ---- clustering and scoring chain -------------------------------------------------
+
+K = 4
+SEED = 42
+_DEN = 2**52 + 1
+
+
+def _u(seed: int, stream, id_expr: str) -> str:
+    return (f"((('0x' || substr(md5('{seed}:{stream}:' || {id_expr}), 1, 13))::BIGINT)::DOUBLE"
+            f" + CAST(1 AS DOUBLE)) / CAST({_DEN} AS DOUBLE)")
+
+
+def _sqdist(a: str, b: str, cols=NORM_FEATURES) -> str:
+    return " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in cols)
+
+
+def _seed_ctes(k: int = K, seed: int = SEED, src: str = "normed", cols=NORM_FEATURES) -> list:
+    sel = ", ".join(f"p.{c}" for c in cols)
+    ctes = [("pts", f"SELECT path, {', '.join(cols)} FROM {src}"),
+            ("s0", f"""
+  SELECT 0 AS seed_index, p.path, {sel} FROM pts p
+  WHERE p.path = (SELECT arg_min(path, {_u(seed, 0, 'path')}) FROM pts)""")]
+    for i in range(1, k):
+        d = (f"{_sqdist('p', f's{i - 1}', cols)}" if i == 1 else
+             f"least(d{i - 1}.d2, {_sqdist('p', f's{i - 1}', cols)})")
+        join = f"pts p, s{i - 1}" if i == 1 else f"pts p JOIN d{i - 1} ON p.path = d{i - 1}.path, s{i - 1}"
+        ctes.append((f"d{i}", f"SELECT p.path, {d} AS d2 FROM {join}"))
+        ctes.append((f"s{i}", f"""
+  SELECT {i} AS seed_index, p.path, {sel} FROM pts p
+  WHERE p.path = (SELECT arg_min(path, -ln({_u(seed, i, 'path')}) / d2)
+                  FROM d{i} WHERE d2 > 0)"""))
+    ctes.append(("seeds", " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(k))))
+    ds = [f"e{j}" for j in range(k)]
+    dist = ", ".join(f"{_sqdist('p', f's{j}', cols)} AS e{j}" for j in range(k))
+    joins = ", ".join(f"s{j}" for j in range(k))
+    case = "CASE " + " ".join(
+        f"WHEN {' AND '.join(f'{ds[j]} <= {ds[m]}' for m in range(j + 1, k))} THEN {j}"
+        for j in range(k - 1)) + f" ELSE {k - 1} END"
+    ctes.append(("dists", f"SELECT p.*, {dist} FROM pts p, {joins}"))
+    ctes.append(("assigned", f"SELECT path, {', '.join(cols)}, {case} AS cluster FROM dists"))
+    return ctes
+
+
+def _median_ctes(k: int = K, cols=NORM_FEATURES) -> list:
+    on = ", ".join(cols)
+    piv = ", ".join(f"max(CASE WHEN feature = '{c}' THEN med END) AS {c}" for c in cols)
+    return [
+        ("long", f"UNPIVOT (SELECT cluster, {on} FROM assigned) ON {on} INTO NAME feature VALUE v"),
+        ("ranked", """
+  SELECT cluster, feature, v,
+         row_number() OVER (PARTITION BY cluster, feature ORDER BY v) - 1 AS r,
+         count(*) OVER (PARTITION BY cluster, feature) AS n
+  FROM long"""),
+        ("mids", """
+  SELECT cluster, feature, (min(v) + max(v)) / 2 AS med FROM ranked
+  WHERE r = (n - 1) // 2 OR r = n // 2 GROUP BY cluster, feature"""),
+        ("ids", f"SELECT CAST(range AS INTEGER) AS cluster FROM range({k})"),
+        ("medians", f"""
+  SELECT ids.cluster, {', '.join(f'm.{c}' for c in cols)}
+  FROM ids LEFT JOIN (SELECT cluster, {piv} FROM mids GROUP BY cluster) m
+  ON ids.cluster = m.cluster"""),
+    ]
+
+
+def _lit(x: float) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def _score_sql(rules, category: str) -> str:
+    terms = []
+    for p in rules.features:
+        d = f"({p} - {_lit(rules.global_medians[p])})"
+        w = _lit(rules.weights[category][p])
+        direction = rules.directions[category][p]
+        if category == rules.moderate:
+            t = (f"CASE WHEN abs({d}) < {_lit(rules.moderate_band)} THEN "
+                 f"{w} * ((CAST(1 AS DOUBLE) - abs({d})) * (CAST(1 AS DOUBLE) - abs({d}))) END")
+        elif direction == 0:
+            t = f"{w} * (abs({d}) * abs({d}))"
+        else:
+            t = f"CASE WHEN sign({d}) = {int(direction)} THEN {w} * (abs({d}) * abs({d})) END"
+        terms.append(f"COALESCE({t}, CAST(0 AS DOUBLE))")
+    return " + ".join(terms)
+
+
+def _score_ctes(rules=DEFAULT_RULES) -> list:
+    parts = [f"SELECT cluster, '{c}' AS category, {_score_sql(rules, c)} AS score, "
+             f"{rules.replication_factors[c]} AS rf, {i} AS ord FROM medians"
+             for i, c in enumerate(rules.categories)]
+    return [
+        ("scores", " UNION ALL ".join(parts)),
+        ("best", """
+  SELECT cluster, category FROM (
+    SELECT cluster, category,
+           row_number() OVER (PARTITION BY cluster ORDER BY score DESC, rf DESC, ord) AS rk
+    FROM scores) WHERE rk = 1"""),
+    ]
+
+
+def _centroid_ctes(cols=NORM_FEATURES) -> list:
+    fid = " || '_' || ".join(f"printf('%.4f', u.{c})" for c in cols)
+    return [
+        ("upd", f"SELECT cluster, count(*) AS n, "
+                + ", ".join(f"round(avg({c}), {ROUND}) AS {c}" for c in cols)
+                + " FROM assigned GROUP BY cluster"),
+        ("centroids", f"""
+  SELECT 'CENTROID_' || {fid} AS centroid_id, b.category, {', '.join(f'u.{c}' for c in cols)}
+  FROM upd u LEFT JOIN best b ON u.cluster = b.cluster"""),
+    ]
+
+
+def cluster_sql(final: str, view_name: str = "customer_events") -> str:
+    view = VIEWS[view_name]
+    ctes = (_feature_ctes(view) + _seed_ctes() + _median_ctes() + _score_ctes()
+            + _centroid_ctes())
+    return _with(view, *ctes) + final
+
+
+def cluster_queries() -> dict:
+    shift = (f"SELECT round(sqrt(sum({_sqdist('m', 's')})), {ROUND}) AS shift FROM "
+             f"(SELECT cluster, " + ", ".join(f"avg({c}) AS {c}" for c in NORM_FEATURES)
+             + " FROM assigned GROUP BY cluster) m JOIN seeds s ON m.cluster = s.seed_index")
+    return {
+        "kmeanspp_init": cluster_sql("SELECT * FROM seeds"),
+        "kmeanspp_d2": cluster_sql(f"SELECT path, d2 FROM d{K - 1}"),
+        "kmeans_assign": cluster_sql("SELECT path, cluster FROM assigned"),
+        "kmeans_update": cluster_sql("SELECT * FROM upd"),
+        "kmeans_shift": cluster_sql(shift),
+        "cluster_rows": cluster_sql(
+            "SELECT path, " + ", ".join(NORM_FEATURES) + " FROM assigned WHERE cluster = 0"),
+        "cluster_medians": cluster_sql("SELECT * FROM medians"),
+        "category_scores": cluster_sql("SELECT cluster, category, score FROM scores"),
+        "classify_clusters": cluster_sql("SELECT * FROM best"),
+        "centroid_table": cluster_sql("SELECT * FROM centroids"),
+    }
+
+
+def all_sql() -> dict:
+    out = oracle_sql()
+    out.update(cluster_queries())
+    return out

@@ -141,3 +141,132 @@ def queries() -> dict:
         "minmax_norm": minmax_norm,
         "minmax_norm_lineitem": minmax_norm_lineitem,
     }
+
+
+# ---- clustering and scoring -------------------------------------------------------
+
+from tierspark.operators import kmeans as km  # noqa: E402
+from tierspark.operators.scoring import (category_scores as _scores, classify as _classify,  # noqa: E402
+                                         cluster_medians as _medians)
+from tierspark.plans import classification_job as cj  # noqa: E402
+from tierspark.schemas import DEFAULT_RULES, NORM_FEATURES  # noqa: E402
+from tierspark.session import materialize  # noqa: E402
+
+K, SEED, ROUND = 4, 42, 9
+
+
+def _points(spark, sf_dir, view=CE):
+    feats = _features(spark, sf_dir, view).features.select("path", *NORM_FEATURES)
+    return materialize(feats, "points", persist=True)
+
+
+def _seeded(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    seeds = km.kmeanspp_seeds(pts, NORM_FEATURES, "path", K, SEED)
+    return pts, seeds
+
+
+def _first_assignment(spark, sf_dir):
+    pts, seeds = _seeded(spark, sf_dir)
+    return pts, seeds, km.assign(pts, NORM_FEATURES, [s[1] for s in seeds])
+
+
+def _first_categories(spark, sf_dir):
+    pts, seeds, labeled = _first_assignment(spark, sf_dir)
+    ids = spark.range(K).select(F.col("id").cast("int").alias("cluster"))
+    meds = ids.join(_medians(labeled, NORM_FEATURES), "cluster", "left")
+    scores = _scores(meds, DEFAULT_RULES)
+    return labeled, meds, scores, _classify(scores, DEFAULT_RULES)
+
+
+def kmeanspp_init(spark, sf_dir):
+    pts, seeds = _seeded(spark, sf_dir)
+    order = spark.createDataFrame([(i, s[0]) for i, s in enumerate(seeds)],
+                                  "seed_index int, path string")
+    return (pts.join(F.broadcast(order), "path")
+            .select("seed_index", "path", *NORM_FEATURES))
+
+
+def kmeanspp_d2(spark, sf_dir):
+    pts, seeds = _seeded(spark, sf_dir)
+    return pts.select("path", km.d2_column(NORM_FEATURES, [s[1] for s in seeds[:-1]]).alias("d2"))
+
+
+def kmeans_assign(spark, sf_dir):
+    return _first_assignment(spark, sf_dir)[2].select("path", "cluster")
+
+
+def kmeans_update(spark, sf_dir):
+    return km.cluster_stats(_first_assignment(spark, sf_dir)[2], NORM_FEATURES, decimals=ROUND)
+
+
+def kmeans_shift(spark, sf_dir):
+    _, seeds, labeled = _first_assignment(spark, sf_dir)
+    means = km.cluster_stats(labeled, NORM_FEATURES)
+    sq = None
+    for j, s in enumerate(seeds):
+        e = F.when(F.col("cluster") == j, km.sq_dist(NORM_FEATURES, s[1]))
+        sq = e if sq is None else F.coalesce(sq, e)
+    return means.agg(F.round(F.sqrt(F.sum(sq)), ROUND).alias("shift"))
+
+
+def cluster_rows(spark, sf_dir):
+    labeled = _first_assignment(spark, sf_dir)[2]
+    return labeled.where(F.col("cluster") == 0).select("path", *NORM_FEATURES)
+
+
+def cluster_medians(spark, sf_dir):
+    return _first_categories(spark, sf_dir)[1]
+
+
+def category_scores(spark, sf_dir):
+    return _first_categories(spark, sf_dir)[2]
+
+
+def classify_clusters(spark, sf_dir):
+    return _first_categories(spark, sf_dir)[3]
+
+
+def centroid_table(spark, sf_dir):
+    labeled, _, _, cats = _first_categories(spark, sf_dir)
+    cents = km.cluster_stats(labeled, NORM_FEATURES, decimals=ROUND)
+    return cj.centroid_table(cents, cats, NORM_FEATURES)
+
+
+def kmeans_fit(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    res = km.kmeans(pts, NORM_FEATURES, "path", K, seed=SEED)
+    return res.labeled.select("path", "cluster")
+
+
+def tiering_pipeline(spark, sf_dir):
+    return cj.classify_files(_features(spark, sf_dir).features, K, seed=SEED).table
+
+
+def file_categories(spark, sf_dir):
+    return cj.classify_files(_features(spark, sf_dir).features, K, seed=SEED).files
+
+
+_CLUSTER_QUERIES = {
+    "kmeanspp_init": kmeanspp_init,
+    "kmeanspp_d2": kmeanspp_d2,
+    "kmeans_assign": kmeans_assign,
+    "kmeans_update": kmeans_update,
+    "kmeans_shift": kmeans_shift,
+    "cluster_rows": cluster_rows,
+    "cluster_medians": cluster_medians,
+    "category_scores": category_scores,
+    "classify_clusters": classify_clusters,
+    "centroid_table": centroid_table,
+    "kmeans_fit": kmeans_fit,
+    "tiering_pipeline": tiering_pipeline,
+    "file_categories": file_categories,
+}
+
+_feature_queries = queries
+
+
+def queries() -> dict:  # noqa: F811
+    out = _feature_queries()
+    out.update(_CLUSTER_QUERIES)
+    return out
