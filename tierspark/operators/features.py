@@ -127,9 +127,11 @@ def file_stats(manifest: DataFrame, log: DataFrame, width: float = 1.0) -> DataF
     loc = (client_counts(log).join(m, "path", "inner").groupBy("path")
            .agg(F.sum(F.when(F.col("client_node") == F.col("primary_node"), F.col("n"))
                       .otherwise(F.lit(0))).cast("long").alias("local_accesses")))
+    # manifest-side left join first: its output keeps the manifest's path
+    # partitioning, so the full outer join with the log statistics adds no shuffle
     return (m.withColumn("in_manifest", F.lit(True))
-            .join(stats, "path", "full")
             .join(loc, "path", "left")
+            .join(stats, "path", "full")
             .select("path", F.coalesce("in_manifest", F.lit(False)).alias("in_manifest"),
                     "creation_epoch", "access_freq", "writes", "reads",
                     "max_concurrency", "last_ts", "local_accesses"))

@@ -99,13 +99,23 @@ def cluster_stats(labeled: DataFrame, cols: Sequence[str], cluster_col: str = "c
 
 
 def update(labeled: DataFrame, cols: Sequence[str], k: int, cluster_col: str = "cluster"):
-    """Means and counts per cluster, collected: ``(means: list|None per j, counts)``."""
-    rows = cluster_stats(labeled, cols, cluster_col).collect()
+    """Means and counts per cluster, collected: ``(means: list|None per j, counts)``.
+
+    One global aggregate of ``k x (d + 1)`` conditional counts/means: every task
+    reduces its rows to that many numbers and a single small final merge follows
+    (no hash exchange keyed by cluster; a hot cluster costs nothing extra).
+    """
+    aggs = []
+    for j in range(k):
+        hit = F.col(cluster_col) == F.lit(j)
+        aggs.append(F.count(F.when(hit, F.lit(1))).alias(f"n_{j}"))
+        aggs += [F.avg(F.when(hit, F.col(c))).alias(f"m_{j}_{i}") for i, c in enumerate(cols)]
+    r = labeled.agg(*aggs).collect()[0]
     means, counts = [None] * k, [0] * k
-    for r in rows:
-        j = int(r[cluster_col])
-        means[j] = [float(r[c]) for c in cols]
-        counts[j] = int(r["n"])
+    for j in range(k):
+        counts[j] = int(r[f"n_{j}"])
+        if counts[j]:
+            means[j] = [float(r[f"m_{j}_{i}"]) for i in range(len(cols))]
     return means, counts
 
 
