@@ -122,9 +122,15 @@ def file_stats(manifest: DataFrame, log: DataFrame, width: float = 1.0) -> DataF
     max_concurrency, last_ts, local_accesses``. Log-only paths are kept so that
     the observation end covers them; features use ``in_manifest`` rows only.
     """
+    return file_stats_from(manifest, path_stats(log, width), client_counts(log))
+
+
+def file_stats_from(manifest: DataFrame, stats: DataFrame, clients: DataFrame) -> DataFrame:
+    """:func:`file_stats` from already aggregated log statistics
+    (``path_stats`` shape) and (path, client_node, n) counts, e.g. those kept
+    up to date by the streaming job."""
     m = manifest.select("path", "creation_epoch", "primary_node")
-    stats = path_stats(log, width)
-    loc = (client_counts(log).join(m, "path", "inner").groupBy("path")
+    loc = (clients.join(m, "path", "inner").groupBy("path")
            .agg(F.sum(F.when(F.col("client_node") == F.col("primary_node"), F.col("n"))
                       .otherwise(F.lit(0))).cast("long").alias("local_accesses")))
     # manifest-side left join first: its output keeps the manifest's path

@@ -45,12 +45,15 @@ def check_unique_paths(manifest: DataFrame) -> None:
         raise ValueError(f"manifest path is not unique: {row['n']} rows, {row['d']} paths")
 
 
-def compute_features(manifest: DataFrame, log: DataFrame, width: float = 1.0,
+def compute_features(manifest: DataFrame, log: DataFrame | None, width: float = 1.0,
                      observation_end: float | None = None, check_unique: bool = False,
-                     cut_lineage: bool = True) -> FeatureRun:
+                     cut_lineage: bool = True, stats: DataFrame | None = None) -> FeatureRun:
+    """Features from a manifest and a raw log, or from a precomputed per-path
+    statistics table ``stats`` (:func:`features.file_stats_from`)."""
     if check_unique:
         check_unique_paths(manifest)
-    stats = feat.file_stats(manifest, log, width)
+    if stats is None:
+        stats = feat.file_stats(manifest, log, width)
     if cut_lineage:
         stats = materialize(stats, "file-stats")
 
