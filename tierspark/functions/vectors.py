@@ -1,41 +1,64 @@
 """Distances to a small set of centres held as literals.
 
 Centres are at most k x d numbers known on the driver; they enter the plan as
-literals, so the per-row work is plain arithmetic inside whole-stage codegen and
-no points x centres join is formed.
+double literals, so the per-row work is plain arithmetic inside whole-stage
+codegen and no points x centres join is formed. Expressions are produced as one
+SQL string each (a single call into the JVM instead of hundreds of small Column
+calls per iteration); doubles are written as ``repr(x)D``, which parses back
+to exactly the same double.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, functions as F
 
 
-def sq_dist(cols: Sequence[str], center: Sequence[float]) -> Column:
+def dlit(x: float) -> str:
+    x = float(x)
+    if not math.isfinite(x):
+        raise ValueError(f"centre coordinate must be finite, got {x}")
+    return f"{x!r}D"
+
+
+def qcol(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sq_dist_sql(cols: Sequence[str], center: Sequence[float]) -> str:
     """Squared Euclidean distance, summed in the fixed feature order."""
-    expr = None
+    terms = []
     for c, v in zip(cols, center):
-        d = F.col(c) - F.lit(float(v))
-        term = d * d
-        expr = term if expr is None else expr + term
-    return expr
-
+        q, lv = qcol(c), dlit(v)
+        terms.append(f"({q} - {lv}) * ({q} - {lv})")
+    return "(" + " + ".join(terms) + ")"
 
-def nearest_index(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
-    """Index of the nearest centre; the lowest index wins a tie.
 
-    ``array_min`` over (distance, index) structs compares the distance first and
-    the index second, which is exactly argmin with first-index tie-breaking.
-    """
+def nearest_index_sql(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> str:
+    """Index of the nearest centre, the lowest index winning a tie:
+    ``array_min`` over (distance, index) structs orders by distance, then index."""
     if len(centers) == 1:
-        return F.lit(0)
-    pairs = [F.struct(sq_dist(cols, c).alias("d"), F.lit(i).alias("i"))
-             for i, c in enumerate(centers)]
-    return F.array_min(F.array(*pairs)).getField("i")
+        return "0"
+    pairs = ", ".join(f"named_struct('d', {sq_dist_sql(cols, c)}, 'i', {i})"
+                      for i, c in enumerate(centers))
+    return f"array_min(array({pairs})).i"
+
+
+def min_sq_dist_sql(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> str:
+    ds = [sq_dist_sql(cols, c) for c in centers]
+    return ds[0] if len(ds) == 1 else "least(" + ", ".join(ds) + ")"
+
+
+def sq_dist(cols: Sequence[str], center: Sequence[float]) -> Column:
+    return F.expr(sq_dist_sql(cols, center))
+
+
+def nearest_index(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
+    return F.expr(nearest_index_sql(cols, centers))
 
 
 def min_sq_dist(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
     """Squared distance to the nearest centre (D^2 of k-means++)."""
-    ds = [sq_dist(cols, c) for c in centers]
-    return ds[0] if len(ds) == 1 else F.least(*ds)
+    return F.expr(min_sq_dist_sql(cols, centers))

@@ -22,7 +22,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tierspark.functions.hashing import uniform01
-from tierspark.functions.vectors import min_sq_dist, nearest_index, sq_dist
+from tierspark.functions.vectors import min_sq_dist, nearest_index, qcol, sq_dist
 
 
 @dataclass
@@ -105,12 +105,13 @@ def update(labeled: DataFrame, cols: Sequence[str], k: int, cluster_col: str = "
     reduces its rows to that many numbers and a single small final merge follows
     (no hash exchange keyed by cluster; a hot cluster costs nothing extra).
     """
-    aggs = []
+    cl = qcol(cluster_col)
+    parts = []
     for j in range(k):
-        hit = F.col(cluster_col) == F.lit(j)
-        aggs.append(F.count(F.when(hit, F.lit(1))).alias(f"n_{j}"))
-        aggs += [F.avg(F.when(hit, F.col(c))).alias(f"m_{j}_{i}") for i, c in enumerate(cols)]
-    r = labeled.agg(*aggs).collect()[0]
+        parts.append(f"count(CASE WHEN {cl} = {j} THEN 1 END) AS n_{j}")
+        parts += [f"avg(CASE WHEN {cl} = {j} THEN {qcol(c)} END) AS m_{j}_{i}"
+                  for i, c in enumerate(cols)]
+    r = labeled.selectExpr(*parts).collect()[0]
     means, counts = [None] * k, [0] * k
     for j in range(k):
         counts[j] = int(r[f"n_{j}"])
