@@ -154,3 +154,19 @@ def test_mllib_alternative_runs(spark):
     df = pts(spark, blobs(30))
     centers, labeled = km.mllib_kmeans(df, COLS, 3, seed=1)
     assert len(centers) == 3 and labeled.count() == 30
+
+
+def test_array_path_equals_literal_path_for_many_terms(spark):
+    from tierspark.functions import vectors as V
+    rng = np.random.default_rng(1)
+    cols = [f"c{i}" for i in range(8)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(50, 8))],
+                               ", ".join(f"{c} double" for c in cols))
+    centers = [list(map(float, r)) for r in rng.normal(size=(40, 8))]   # 320 terms
+    centers[7] = centers[3]                                               # a tie
+    assert V.use_arrays(cols, centers)
+    a = km.assign(df, cols, centers).select("cluster", V.min_sq_dist(cols, centers).alias("d2"))
+    b = df.select(F.expr(V.nearest_index_sql(cols, centers)).alias("cluster"),
+                  F.expr(V.min_sq_dist_sql(cols, centers)).alias("d2"))
+    assert a.collect() == b.collect()
+    assert 7 not in {r["cluster"] for r in a.collect()}

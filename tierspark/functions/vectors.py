@@ -51,14 +51,47 @@ def min_sq_dist_sql(cols: Sequence[str], centers: Sequence[Sequence[float]]) ->
     return ds[0] if len(ds) == 1 else "least(" + ", ".join(ds) + ")"
 
 
+# Above this many distance terms (k x d) one literal expression per centre grows
+# past the JVM's 64 KB method limit; the centres then travel as one array literal
+# and the distances are computed with higher-order functions (same left-to-right
+# sums, so the same doubles).
+LITERAL_TERMS_MAX = 256
+
+
+def use_arrays(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> bool:
+    return len(cols) * len(centers) > LITERAL_TERMS_MAX
+
+
+def point_array_sql(cols: Sequence[str]) -> str:
+    return "array(" + ", ".join(f"CAST({qcol(c)} AS DOUBLE)" for c in cols) + ")"
+
+
+def centers_array_sql(centers: Sequence[Sequence[float]]) -> str:
+    return "array(" + ", ".join("array(" + ", ".join(dlit(v) for v in c) + ")"
+                                for c in centers) + ")"
+
+
+def distances_array_sql(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> str:
+    """Array of squared distances to every centre, in centre order."""
+    v = point_array_sql(cols)
+    return (f"transform({centers_array_sql(centers)}, c -> aggregate("
+            f"zip_with({v}, c, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x))")
+
+
 def sq_dist(cols: Sequence[str], center: Sequence[float]) -> Column:
     return F.expr(sq_dist_sql(cols, center))
 
 
 def nearest_index(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
+    """Nearest centre, lowest index on ties (first position of the minimum)."""
+    if use_arrays(cols, centers):
+        ds = distances_array_sql(cols, centers)
+        return F.expr(f"CAST(array_position({ds}, array_min({ds})) - 1 AS INT)")
     return F.expr(nearest_index_sql(cols, centers))
 
 
 def min_sq_dist(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
     """Squared distance to the nearest centre (D^2 of k-means++)."""
+    if use_arrays(cols, centers):
+        return F.expr(f"array_min({distances_array_sql(cols, centers)})")
     return F.expr(min_sq_dist_sql(cols, centers))

@@ -22,7 +22,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tierspark.functions.hashing import uniform01
-from tierspark.functions.vectors import min_sq_dist, nearest_index, qcol, sq_dist
+from tierspark.functions.vectors import (distances_array_sql, min_sq_dist, nearest_index,
+                                         qcol, sq_dist, use_arrays)
 
 
 @dataclass
@@ -85,6 +86,12 @@ def kmeanspp_seeds(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
 def assign(points: DataFrame, cols: Sequence[str], centers: Sequence[Sequence[float]],
            out: str = "cluster") -> DataFrame:
     """Nearest-centre label (lowest index wins a tie), as a projection."""
+    if use_arrays(cols, centers):
+        # distances once per row into a helper array, then the first minimum
+        ds = "_tierspark_ds"
+        return (points.withColumn(ds, F.expr(distances_array_sql(cols, centers)))
+                .withColumn(out, F.expr(f"CAST(array_position({ds}, array_min({ds})) - 1 AS INT)"))
+                .drop(ds))
     return points.withColumn(out, nearest_index(cols, centers))
 
 
@@ -105,6 +112,15 @@ def update(labeled: DataFrame, cols: Sequence[str], k: int, cluster_col: str = "
     reduces its rows to that many numbers and a single small final merge follows
     (no hash exchange keyed by cluster; a hot cluster costs nothing extra).
     """
+    if k * (len(cols) + 1) > 100:
+        # many outputs: group by cluster instead (d + 1 aggregates, k rows per task)
+        rows = cluster_stats(labeled, cols, cluster_col).collect()
+        means, counts = [None] * k, [0] * k
+        for r in rows:
+            j = int(r[cluster_col])
+            means[j] = [float(r[c]) for c in cols]
+            counts[j] = int(r["n"])
+        return means, counts
     cl = qcol(cluster_col)
     parts = []
     for j in range(k):

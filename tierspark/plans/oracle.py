@@ -202,9 +202,10 @@ def _sqdist(a: str, b: str, cols=NORM_FEATURES) -> str:
     return " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in cols)
 
 
-def _seed_ctes(k: int = K, seed: int = SEED, src: str = "normed", cols=NORM_FEATURES) -> list:
+def _seed_ctes(k: int = K, seed: int = SEED, src: str = "normed", cols=NORM_FEATURES,
+               id_col: str = "path") -> list:
     sel = ", ".join(f"p.{c}" for c in cols)
-    ctes = [("pts", f"SELECT path, {', '.join(cols)} FROM {src}"),
+    ctes = [("pts", f"SELECT {id_col} AS path, {', '.join(cols)} FROM {src}"),
             ("s0", f"""
   SELECT 0 AS seed_index, p.path, {sel} FROM pts p
   WHERE p.path = (SELECT arg_min(path, {_u(seed, 0, 'path')}) FROM pts)""")]
@@ -326,4 +327,35 @@ def cluster_queries() -> dict:
 def all_sql() -> dict:
     out = oracle_sql()
     out.update(cluster_queries())
+    out.update(embedding_queries())
     return out
+
+
+# ---- embeddings as points ----------------------------------------------------------
+
+EMBED_K = 10
+
+
+def _embed_cols():
+    return [f"e{i:02d}" for i in range(64)]
+
+
+def embedding_sql(final: str) -> str:
+    cols = _embed_cols()
+    src = ("SELECT CAST(vec_id AS VARCHAR) AS vec, "
+           + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(cols))
+           + " FROM embeddings")
+    ctes = [("emb", src)] + _seed_ctes(EMBED_K, SEED, "emb", cols, "vec")
+    ctes.append(("upd", "SELECT cluster, count(*) AS n, "
+                 + ", ".join(f"round(avg({c}), {ROUND}) AS {c}" for c in cols)
+                 + " FROM assigned GROUP BY cluster"))
+    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in ctes) + "\n" + final
+
+
+def embedding_queries() -> dict:
+    cols = ", ".join(_embed_cols())
+    return {
+        "embedding_kmeanspp_init": embedding_sql(f"SELECT seed_index, path AS vec, {cols} FROM seeds"),
+        "embedding_kmeans_assign": embedding_sql("SELECT path AS vec, cluster FROM assigned"),
+        "embedding_kmeans_update": embedding_sql("SELECT * FROM upd"),
+    }

@@ -263,6 +263,42 @@ _CLUSTER_QUERIES = {
     "file_categories": file_categories,
 }
 
+# ---- embeddings as a second point set --------------------------------------------
+
+from tierspark.sources.driver_tables import embedding_cols, embedding_points  # noqa: E402
+
+EMBED_K = 10
+
+
+def _embed_seeded(spark, sf_dir):
+    pts = materialize(embedding_points(spark, sf_dir), "embedding-points", persist=True)
+    cols = embedding_cols()
+    return pts, cols, km.kmeanspp_seeds(pts, cols, "vec", EMBED_K, SEED)
+
+
+def embedding_kmeanspp_init(spark, sf_dir):
+    pts, cols, seeds = _embed_seeded(spark, sf_dir)
+    order = spark.createDataFrame([(i, s[0]) for i, s in enumerate(seeds)],
+                                  "seed_index int, vec string")
+    return pts.join(F.broadcast(order), "vec").select("seed_index", "vec", *cols)
+
+
+def embedding_kmeans_assign(spark, sf_dir):
+    pts, cols, seeds = _embed_seeded(spark, sf_dir)
+    return km.assign(pts, cols, [s[1] for s in seeds]).select("vec", "cluster")
+
+
+def embedding_kmeans_update(spark, sf_dir):
+    pts, cols, seeds = _embed_seeded(spark, sf_dir)
+    return km.cluster_stats(km.assign(pts, cols, [s[1] for s in seeds]), cols, decimals=ROUND)
+
+
+_CLUSTER_QUERIES.update({
+    "embedding_kmeanspp_init": embedding_kmeanspp_init,
+    "embedding_kmeans_assign": embedding_kmeans_assign,
+    "embedding_kmeans_update": embedding_kmeans_update,
+})
+
 _feature_queries = queries
 
 

@@ -149,3 +149,20 @@ VIEWS = {
     "part_lineitem": View("part_lineitem", 86400.0, _pl_manifest, _pl_log,
                           _pl_manifest_text, _pl_log_text),
 }
+
+
+# ----- embeddings: a second point set for the clustering operators --------------------
+
+EMBED_DIM = 64
+
+
+def embedding_cols(dim: int = EMBED_DIM) -> list:
+    return [f"e{i:02d}" for i in range(dim)]
+
+
+def embedding_points(spark: SparkSession, sf_dir: str, dim: int = EMBED_DIM) -> DataFrame:
+    """``vec`` (id as text) and one double column per embedding coordinate."""
+    e = load_table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("vec"),
+                    *[F.col("embedding").getItem(i).cast("double").alias(c)
+                      for i, c in enumerate(embedding_cols(dim))])
