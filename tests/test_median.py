@@ -44,3 +44,15 @@ def test_null_values_are_ignored(spark):
     df = spark.createDataFrame([(0, None), (0, 3.0), (0, 1.0), (1, None)], "g int, v double")
     got = {r["g"]: r["v"] for r in exact_medians(df, ["g"], ["v"]).collect()}
     assert got[0] == 2.0 and got.get(1) is None
+
+
+def test_one_pass_form_for_bounded_groups_matches(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(v), float(-v)) for g in range(3) for v in rng.normal(size=[5, 8, 11][g])]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    full = sorted(map(tuple, exact_medians(df, ["g"], ["a", "b"], max_candidates=4, buckets=2).collect()))
+    one = sorted(map(tuple, exact_medians(df, ["g"], ["a", "b"], max_group_size=11).collect()))
+    assert one == full
+    glob_full = exact_medians(df, [], ["a"], max_candidates=3).collect()[0]["a"]
+    glob_one = exact_medians(df, [], ["a"], max_group_size=24).collect()[0]["a"]
+    assert glob_full == glob_one == float(np.median([r[1] for r in rows]))

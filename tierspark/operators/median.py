@@ -34,13 +34,20 @@ def _long(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str]) -
 
 def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str],
                   max_candidates: int = 1_000_000, buckets: int = 1024,
-                  max_passes: int = 256) -> DataFrame:
+                  max_passes: int = 256, max_group_size: int | None = None) -> DataFrame:
     """Wide result: ``group_cols`` + one median column per ``value_cols`` entry
-    (NULL when a group has no value in that column)."""
+    (NULL when a group has no value in that column).
+
+    ``max_group_size``: a known upper bound on the rows per group (e.g. cluster
+    sizes from k-means). When it is at most ``max_candidates`` the selection is
+    one windowed pass, bounded per task by that size.
+    """
     spark = df.sparkSession
     gcols = list(group_cols)
     long = _long(df, gcols, value_cols)
     keys = gcols + ["feature"]
+    if max_group_size is not None and max_group_size <= max_candidates:
+        return _small_group_medians(long, gcols, keys, value_cols, df)
 
     first = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
                                     F.max("v").alias("hi")).collect()
@@ -150,3 +157,20 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
     schema = T.StructType(
         [df.schema[c] for c in gcols] + [T.StructField(c, T.DoubleType(), True) for c in value_cols])
     return spark.createDataFrame(rows, schema)
+
+
+def _small_group_medians(long: DataFrame, gcols, keys, value_cols, df: DataFrame) -> DataFrame:
+    """One pass for groups of bounded size: rank within (group, column), keep the
+    middle one or two values, average them."""
+    w = Window.partitionBy(*keys)
+    ranked = (long.withColumn("_r", F.row_number().over(w.orderBy("v")) - 1)
+              .withColumn("_n", F.count(F.lit(1)).over(w)))
+    mid = ranked.where((F.col("_r") == F.floor((F.col("_n") - 1) / 2))
+                       | (F.col("_r") == F.floor(F.col("_n") / 2)))
+    med = mid.groupBy(*keys).agg(((F.min("v") + F.max("v")) / F.lit(2.0)).alias("m"))
+    if gcols:
+        wide = med.groupBy(*gcols).pivot("feature", list(value_cols)).agg(F.first("m"))
+    else:
+        wide = med.groupBy().pivot("feature", list(value_cols)).agg(F.first("m"))
+    return wide.select(*[F.col(c) for c in gcols],
+                       *[F.col(c).cast("double").alias(c) for c in value_cols])

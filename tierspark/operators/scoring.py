@@ -51,7 +51,8 @@ def score_expr(rules: Rules, category: str, median_col: Mapping[str, str] | None
 
 def cluster_medians(labeled: DataFrame, cols: Sequence[str], cluster_col: str = "cluster",
                     **kw) -> DataFrame:
-    """Exact median of every feature per cluster (distributed selection)."""
+    """Exact median of every feature per cluster (distributed selection);
+    ``max_group_size`` (largest cluster) allows the one-pass form."""
     return exact_medians(labeled, [cluster_col], cols, **kw)
 
 

@@ -67,22 +67,30 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
     points = features.select(id_col, *cols)
     if cut_lineage:
         points = materialize(points, "points", persist=True)
-    n = points.count()
-    if n < k:
-        raise ValueError(f"{n} samples found, but k={k} is requested; cannot cluster")
-    res = km.kmeans(points, cols, id_col, k, max_iter=max_iter, tol=tol, seed=seed, n_points=n)
-    if medians_from == "data":
-        rules = Rules(rules.features, global_medians(points, cols), rules.weights,
-                      rules.directions, rules.replication_factors, rules.categories,
-                      rules.moderate, rules.moderate_band)
-    spark = features.sparkSession
-    ids = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
-    meds = ids.join(cluster_medians(res.labeled, cols), "cluster", "left")
-    scores = category_scores(meds, rules)
-    cats = classify(scores, rules)
-    table = centroid_table(res.centroid_frame(spark), cats, cols)
-    files = res.labeled.select(id_col, "cluster").join(F.broadcast(cats), "cluster", "left")
-    return ClassificationRun(table, files, res, meds, scores, cats)
+    try:
+        n = points.count()
+        if n < k:
+            raise ValueError(f"{n} samples found, but k={k} is requested; cannot cluster")
+        res = km.kmeans(points, cols, id_col, k, max_iter=max_iter, tol=tol, seed=seed,
+                        n_points=n)
+        if medians_from == "data":
+            rules = Rules(rules.features, global_medians(points, cols), rules.weights,
+                          rules.directions, rules.replication_factors, rules.categories,
+                          rules.moderate, rules.moderate_band)
+        spark = features.sparkSession
+        ids = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
+        # the last assignment's cluster sizes bound the median groups
+        meds = ids.join(cluster_medians(res.labeled, cols, max_group_size=max(res.counts)),
+                        "cluster", "left")
+        scores = category_scores(meds, rules)
+        cats = classify(scores, rules)
+        table = centroid_table(res.centroid_frame(spark), cats, cols)
+        files = res.labeled.select(id_col, "cluster").join(F.broadcast(cats), "cluster", "left")
+        return ClassificationRun(table, files, res, meds, scores, cats)
+    finally:
+        if cut_lineage:
+            # results stay valid: they re-read the written points if used later
+            points.unpersist()
 
 
 def main(argv=None) -> None:
