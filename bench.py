@@ -22,7 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from tierspark.operators import kmeans as km  # noqa: E402
 from tierspark.operators.scoring import category_scores, classify, cluster_medians  # noqa: E402
-from tierspark.plans.classification_job import classify_files  # noqa: E402
+from tierspark.plans.pipeline import run_tiering  # noqa: E402
 from tierspark.plans.feature_job import compute_features  # noqa: E402
 from tierspark.schemas import NORM_FEATURES  # noqa: E402
 from tierspark.session import build_session, materialize  # noqa: E402
@@ -63,10 +63,12 @@ def main():
         state["n"] = state["points"].count()
 
     def q_init():
-        state["seeds"] = km.kmeanspp_seeds(state["points"], NORM_FEATURES, "path", K, SEED)
+        state["seeds"] = km.kmeanspp_seeds(state["points"], NORM_FEATURES, "path", K, SEED,
+                                           n_rows=state["n"])
 
     def q_lloyd_step():
-        lab = km.assign(state["points"], NORM_FEATURES, [s[1] for s in state["seeds"]])
+        lab = km.assign(state["points"], NORM_FEATURES, [s[1] for s in state["seeds"]],
+                        n_rows=state["n"])
         state["step"] = km.update(lab, NORM_FEATURES, K)
         state["labeled"] = lab
 
@@ -81,9 +83,7 @@ def main():
         state["cats"] = classify(category_scores(meds)).collect()
 
     def q_end_to_end():
-        run = compute_features(manifest, log, view.width)
-        res = classify_files(run.features, K, seed=SEED)
-        state["table"] = res.table.collect()
+        state["table"] = run_tiering(manifest, log, view.width, K, seed=SEED).table.collect()
 
     steps = [("features", q_features), ("points", q_points), ("kmeanspp_init", q_init),
              ("lloyd_step", q_lloyd_step), ("kmeans_fit", q_fit),

@@ -56,10 +56,18 @@ def min_sq_dist_sql(cols: Sequence[str], centers: Sequence[Sequence[float]]) ->
 # and the distances are computed with higher-order functions (same left-to-right
 # sums, so the same doubles).
 LITERAL_TERMS_MAX = 256
+# Literal centres change every iteration, so each pass compiles new code
+# (~0.1-0.2 s). Below this many distance terms per pass (rows x k x d) the
+# array form, whose generated code does not change, is cheaper overall.
+SMALL_PASS_TERMS = 4_000_000
 
 
-def use_arrays(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> bool:
-    return len(cols) * len(centers) > LITERAL_TERMS_MAX
+def use_arrays(cols: Sequence[str], centers: Sequence[Sequence[float]],
+               n_rows: int | None = None) -> bool:
+    terms = len(cols) * len(centers)
+    if terms > LITERAL_TERMS_MAX:
+        return True
+    return n_rows is not None and n_rows * terms <= SMALL_PASS_TERMS
 
 
 def point_array_sql(cols: Sequence[str]) -> str:
@@ -82,16 +90,18 @@ def sq_dist(cols: Sequence[str], center: Sequence[float]) -> Column:
     return F.expr(sq_dist_sql(cols, center))
 
 
-def nearest_index(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
+def nearest_index(cols: Sequence[str], centers: Sequence[Sequence[float]],
+                  n_rows: int | None = None) -> Column:
     """Nearest centre, lowest index on ties (first position of the minimum)."""
-    if use_arrays(cols, centers):
+    if use_arrays(cols, centers, n_rows):
         ds = distances_array_sql(cols, centers)
         return F.expr(f"CAST(array_position({ds}, array_min({ds})) - 1 AS INT)")
     return F.expr(nearest_index_sql(cols, centers))
 
 
-def min_sq_dist(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
+def min_sq_dist(cols: Sequence[str], centers: Sequence[Sequence[float]],
+                n_rows: int | None = None) -> Column:
     """Squared distance to the nearest centre (D^2 of k-means++)."""
-    if use_arrays(cols, centers):
+    if use_arrays(cols, centers, n_rows):
         return F.expr(f"array_min({distances_array_sql(cols, centers)})")
     return F.expr(min_sq_dist_sql(cols, centers))

@@ -49,9 +49,10 @@ def _pick(df: DataFrame, cols: Sequence[str], id_col: str, key) -> tuple | None:
     return best[0], [float(best[i + 1]) for i in range(len(cols))]
 
 
-def d2_column(cols: Sequence[str], centers: Sequence[Sequence[float]]):
+def d2_column(cols: Sequence[str], centers: Sequence[Sequence[float]],
+              n_rows: int | None = None):
     """D^2: squared distance to the nearest of ``centers``."""
-    return min_sq_dist(cols, centers)
+    return min_sq_dist(cols, centers, n_rows)
 
 
 def race_key(seed: int, round_no: int, id_col: str, d2):
@@ -61,7 +62,7 @@ def race_key(seed: int, round_no: int, id_col: str, d2):
 
 
 def kmeanspp_seeds(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
-                   seed: int = 42) -> list:
+                   seed: int = 42, n_rows: int | None = None) -> list:
     """k-means++ seeding: ``[(id, [values...]), ...]`` of length ``k``.
 
     Round 0 picks a uniform row (smallest hashed uniform); round i picks by the
@@ -75,7 +76,7 @@ def kmeanspp_seeds(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
         raise ValueError("no points to seed from")
     seeds = [first]
     for i in range(1, k):
-        d2 = d2_column(cols, [s[1] for s in seeds])
+        d2 = d2_column(cols, [s[1] for s in seeds], n_rows)
         nxt = _pick(points.where(d2 > F.lit(0.0)), cols, id_col, race_key(seed, i, id_col, d2))
         if nxt is None:
             raise ValueError(f"fewer than k={k} distinct points: cannot choose seed {i}")
@@ -84,9 +85,10 @@ def kmeanspp_seeds(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
 
 
 def assign(points: DataFrame, cols: Sequence[str], centers: Sequence[Sequence[float]],
-           out: str = "cluster") -> DataFrame:
-    """Nearest-centre label (lowest index wins a tie), as a projection."""
-    if use_arrays(cols, centers):
+           out: str = "cluster", n_rows: int | None = None) -> DataFrame:
+    """Nearest-centre label (lowest index wins a tie), as a projection.
+    ``n_rows`` (if known) lets small inputs use the form that avoids recompiling."""
+    if use_arrays(cols, centers, n_rows):
         # distances once per row into a helper array, then the first minimum
         ds = "_tierspark_ds"
         return (points.withColumn(ds, F.expr(distances_array_sql(cols, centers)))
@@ -160,12 +162,12 @@ def kmeans(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
     if max_iter is None:
         max_iter = max(100, n_points // 100)
     centers = [list(map(float, c)) for c in init] if init is not None else \
-        [s[1] for s in kmeanspp_seeds(points, cols, id_col, k, seed)]
+        [s[1] for s in kmeanspp_seeds(points, cols, id_col, k, seed, n_points)]
     start = [list(c) for c in centers]
     shifts, counts, prev = [], [0] * k, centers
     it = 0
     for it in range(1, max_iter + 1):
-        labeled = assign(points, cols, centers, cluster_col)
+        labeled = assign(points, cols, centers, cluster_col, n_points)
         means, counts = update(labeled, cols, k, cluster_col)
         new = []
         for j in range(k):
@@ -179,7 +181,7 @@ def kmeans(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
         prev, centers = centers, new
         if shift < tol:
             break
-    return KMeansResult(centers, assign(points, cols, prev, cluster_col), it, shifts, start,
+    return KMeansResult(centers, assign(points, cols, prev, cluster_col, n_points), it, shifts, start,
                         counts, tuple(cols))
 
 

@@ -12,6 +12,7 @@ import argparse
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tierspark.operators import kmeans as km
@@ -26,6 +27,11 @@ def _fmt4(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if pd.isna(x) else f"{x:.4f}")
 
 
+def centroid_id_text(values, decimals: int = 4) -> str:
+    """Driver-side form of :func:`centroid_id` for centroids already collected."""
+    return "_".join(["CENTROID"] + [f"{float(v):.{decimals}f}" for v in values])
+
+
 def centroid_id(cols) -> "F.Column":
     """``CENTROID_`` + the centroid's values to 4 decimals, joined by ``_``.
 
@@ -57,18 +63,24 @@ class ClassificationRun:
 def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES,
                    cols=NORM_FEATURES, id_col: str = "path", seed: int = 42,
                    tol: float = 1e-4, max_iter: int | None = None,
-                   medians_from: str = "rules", cut_lineage: bool = True) -> ClassificationRun:
+                   medians_from: str = "rules", cut_lineage: bool = True,
+                   n_points: int | None = None) -> ClassificationRun:
     """End-to-end classification of a feature table.
 
-    ``medians_from='data'`` replaces the rule set's global medians with the exact
-    medians of the points.
+    ``cut_lineage=True`` writes the points under the checkpoint folder before
+    the iterations; ``False`` only persists them (for inputs that are already a
+    short plan over written files, as :func:`compute_features` returns).
+    ``medians_from='data'`` replaces the rule set's global medians with the
+    exact medians of the points.
     """
     cols = list(cols)
     points = features.select(id_col, *cols)
     if cut_lineage:
         points = materialize(points, "points", persist=True)
+    else:
+        points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = points.count()
+        n = points.count() if n_points is None else n_points
         if n < k:
             raise ValueError(f"{n} samples found, but k={k} is requested; cannot cluster")
         res = km.kmeans(points, cols, id_col, k, max_iter=max_iter, tol=tol, seed=seed,
@@ -83,14 +95,20 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
         meds = ids.join(cluster_medians(res.labeled, cols, max_group_size=max(res.counts)),
                         "cluster", "left")
         scores = category_scores(meds, rules)
-        cats = classify(scores, rules)
-        table = centroid_table(res.centroid_frame(spark), cats, cols)
+        # k rows: resolved now, while the points are still persisted
+        cat_rows = {r["cluster"]: r["category"] for r in classify(scores, rules).collect()}
+        cats = spark.createDataFrame(sorted(cat_rows.items()), "cluster int, category string")
+        table = spark.createDataFrame(
+            [(centroid_id_text(c), cat_rows.get(j), *map(float, c))
+             for j, c in enumerate(res.centroids)],
+            T.StructType([T.StructField("centroid_id", T.StringType()),
+                          T.StructField("category", T.StringType())]
+                         + [T.StructField(c, T.DoubleType()) for c in cols]))
         files = res.labeled.select(id_col, "cluster").join(F.broadcast(cats), "cluster", "left")
         return ClassificationRun(table, files, res, meds, scores, cats)
     finally:
-        if cut_lineage:
-            # results stay valid: they re-read the written points if used later
-            points.unpersist()
+        # results stay valid: they recompute the points from files if used later
+        points.unpersist()
 
 
 def main(argv=None) -> None:

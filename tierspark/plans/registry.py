@@ -240,11 +240,15 @@ def kmeans_fit(spark, sf_dir):
 
 
 def tiering_pipeline(spark, sf_dir):
-    return cj.classify_files(_features(spark, sf_dir).features, K, seed=SEED).table
+    from tierspark.plans.pipeline import run_tiering
+    return run_tiering(CE.manifest(spark, sf_dir), CE.log(spark, sf_dir), CE.width, K,
+                       seed=SEED).table
 
 
 def file_categories(spark, sf_dir):
-    return cj.classify_files(_features(spark, sf_dir).features, K, seed=SEED).files
+    from tierspark.plans.pipeline import run_tiering
+    return run_tiering(CE.manifest(spark, sf_dir), CE.log(spark, sf_dir), CE.width, K,
+                       seed=SEED).files
 
 
 _CLUSTER_QUERIES = {
