@@ -170,3 +170,19 @@ def test_array_path_equals_literal_path_for_many_terms(spark):
                   F.expr(V.min_sq_dist_sql(cols, centers)).alias("d2"))
     assert a.collect() == b.collect()
     assert 7 not in {r["cluster"] for r in a.collect()}
+
+
+def test_mllib_method_in_classification(spark):
+    feats = spark.createDataFrame(
+        [(str(i), *[float((i * (j + 3)) % 17) / 16 for j in range(5)]) for i in range(40)],
+        "path string, " + ", ".join(f"{c} double" for c in NORM_FEATURES))
+    res = classify_files(feats, 3, method="mllib", seed=1)
+    assert res.table.count() == 3 and res.files.count() == 40
+
+
+def test_rules_long_table(spark):
+    from tierspark.schemas import DEFAULT_RULES
+    t = DEFAULT_RULES.to_frame(spark)
+    assert t.count() == 20
+    row = t.where("category = 'Archival' AND feature = 'age_norm'").collect()[0]
+    assert (row["weight"], row["direction"], row["rf"], row["ord"]) == (1.0, 1, 4, 3)

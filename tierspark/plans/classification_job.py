@@ -64,14 +64,16 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
                    cols=NORM_FEATURES, id_col: str = "path", seed: int = 42,
                    tol: float = 1e-4, max_iter: int | None = None,
                    medians_from: str = "rules", cut_lineage: bool = True,
-                   n_points: int | None = None) -> ClassificationRun:
+                   n_points: int | None = None, method: str = "lloyd") -> ClassificationRun:
     """End-to-end classification of a feature table.
 
     ``cut_lineage=True`` writes the points under the checkpoint folder before
     the iterations; ``False`` only persists them (for inputs that are already a
     short plan over written files, as :func:`compute_features` returns).
     ``medians_from='data'`` replaces the rule set's global medians with the
-    exact medians of the points.
+    exact medians of the points. ``method='mllib'`` clusters with Spark ML's
+    KMeans (k-means|| seeding, its own convergence rule) instead of the
+    k-means++ / Lloyd operators.
     """
     cols = list(cols)
     points = features.select(id_col, *cols)
@@ -83,8 +85,17 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
         n = points.count() if n_points is None else n_points
         if n < k:
             raise ValueError(f"{n} samples found, but k={k} is requested; cannot cluster")
-        res = km.kmeans(points, cols, id_col, k, max_iter=max_iter, tol=tol, seed=seed,
-                        n_points=n)
+        if method == "mllib":
+            centers, labeled = km.mllib_kmeans(points, cols, k, seed=seed,
+                                               max_iter=max_iter or max(100, n // 100), tol=tol)
+            means, counts = km.update(labeled, cols, k)
+            res = km.KMeansResult([m if m is not None else c for m, c in zip(means, centers)],
+                                  labeled, 0, [], centers, counts, tuple(cols))
+        elif method == "lloyd":
+            res = km.kmeans(points, cols, id_col, k, max_iter=max_iter, tol=tol, seed=seed,
+                            n_points=n)
+        else:
+            raise ValueError(f"unknown method {method!r}")
         if medians_from == "data":
             rules = Rules(rules.features, global_medians(points, cols), rules.weights,
                           rules.directions, rules.replication_factors, rules.categories,
@@ -122,10 +133,12 @@ def main(argv=None) -> None:
     ap.add_argument("--output_csv", default="final_categories.csv")
     ap.add_argument("--files_out", default=None, help="also write path, cluster, category")
     ap.add_argument("--seed", type=int, default=42)
+    ap.add_argument("--method", default="lloyd", choices=["lloyd", "mllib"])
+    ap.add_argument("--medians_from", default="rules", choices=["rules", "data"])
     a = ap.parse_args(argv)
     spark = build_session(app="tierspark-classify")
     feats = read_features(spark, a.input_path, a.format)
-    run = classify_files(feats, a.k, seed=a.seed)
+    run = classify_files(feats, a.k, seed=a.seed, method=a.method, medians_from=a.medians_from)
     write_table(run.table, a.output_csv, fmt="csv", single_file=True)
     if a.files_out:
         write_table(run.files, a.files_out, fmt="parquet")

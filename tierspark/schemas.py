@@ -71,6 +71,15 @@ class Rules:
     moderate: str = "Moderate"
     moderate_band: float = 0.1
 
+    def to_frame(self, spark):
+        """Long rule table: category, ord, feature, weight, direction, rf, global_median."""
+        rows = [(c, i, f, float(self.weights[c][f]), int(self.directions[c][f]),
+                 int(self.replication_factors[c]), float(self.global_medians[f]))
+                for i, c in enumerate(self.categories) for f in self.features]
+        return spark.createDataFrame(rows, "category string, ord int, feature string, "
+                                           "weight double, direction int, rf int, "
+                                           "global_median double")
+
     def validate(self) -> "Rules":
         for cat in self.categories:
             for f in self.features:
