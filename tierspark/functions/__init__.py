@@ -6,10 +6,11 @@ from tierspark.functions.timefmt import (
 )
 from tierspark.functions.hashing import uniform01
 from tierspark.functions.vectors import sq_dist, nearest_index
-from tierspark.functions.formatting import centroid_id, cluster_name, cluster_number
+from tierspark.functions.formatting import (centroid_id, centroid_id_text, cluster_name,
+                                            cluster_number)
 
 __all__ = [
     "epoch_seconds", "parse_iso_epoch", "parse_iso_whole_seconds", "iso_millis",
     "iso_micros", "epoch_to_ntz", "uniform01", "sq_dist", "nearest_index",
-    "centroid_id", "cluster_name", "cluster_number",
+    "centroid_id", "centroid_id_text", "cluster_name", "cluster_number",
 ]

@@ -11,36 +11,16 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tierspark.functions.formatting import centroid_id, centroid_id_text
 from tierspark.operators import kmeans as km
 from tierspark.operators.scoring import category_scores, classify, cluster_medians, global_medians
 from tierspark.schemas import DEFAULT_RULES, NORM_FEATURES, Rules
 from tierspark.session import materialize
 
 
-@F.pandas_udf(T.StringType())
-def _fmt4(v: pd.Series) -> pd.Series:
-    # Python's %-formatting: the exact binary value rounded half to even.
-    return v.map(lambda x: None if pd.isna(x) else f"{x:.4f}")
-
-
-def centroid_id_text(values, decimals: int = 4) -> str:
-    """Driver-side form of :func:`centroid_id` for centroids already collected."""
-    return "_".join(["CENTROID"] + [f"{float(v):.{decimals}f}" for v in values])
-
-
-def centroid_id(cols) -> "F.Column":
-    """``CENTROID_`` + the centroid's values to 4 decimals, joined by ``_``.
-
-    Applied to k rows only; formatted in Python so that rounding follows the
-    exact binary value (``format_string`` rounds half up on the shortest
-    decimal form, which differs on values such as 0.03125)."""
-    return F.concat_ws("_", F.lit("CENTROID"), *[_fmt4(F.col(c)) for c in cols])
-
-
 def centroid_table(centroids: DataFrame, categories: DataFrame, cols=NORM_FEATURES,
                    cluster_col: str = "cluster") -> DataFrame:
     """``centroid_id, category`` + the centroid's features, one row per cluster.

@@ -309,7 +309,16 @@ def cluster_queries() -> dict:
     shift = (f"SELECT round(sqrt(sum({_sqdist('m', 's')})), {ROUND}) AS shift FROM "
              f"(SELECT cluster, " + ", ".join(f"avg({c}) AS {c}" for c in NORM_FEATURES)
              + " FROM assigned GROUP BY cluster) m JOIN seeds s ON m.cluster = s.seed_index")
+    on = ", ".join(NORM_FEATURES)
+    glob = (f"""SELECT {', '.join(f"max(CASE WHEN feature = '{c}' THEN med END) AS {c}" for c in NORM_FEATURES)}
+FROM (SELECT feature, (min(v) + max(v)) / 2 AS med FROM (
+  SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) - 1 AS r,
+         count(*) OVER (PARTITION BY feature) AS n
+  FROM (UNPIVOT (SELECT {on} FROM normed) ON {on} INTO NAME feature VALUE v))
+WHERE r = (n - 1) // 2 OR r = n // 2 GROUP BY feature)""")
     return {
+        "global_medians": cluster_sql(glob),
+        "centroid_table_lineitem": cluster_sql("SELECT * FROM centroids", "part_lineitem"),
         "kmeanspp_init": cluster_sql("SELECT * FROM seeds"),
         "kmeanspp_d2": cluster_sql(f"SELECT path, d2 FROM d{K - 1}"),
         "kmeans_assign": cluster_sql("SELECT path, cluster FROM assigned"),

@@ -297,7 +297,25 @@ def embedding_kmeans_update(spark, sf_dir):
     return km.cluster_stats(km.assign(pts, cols, [s[1] for s in seeds]), cols, decimals=ROUND)
 
 
+def global_medians(spark, sf_dir):
+    from tierspark.operators.median import exact_medians
+    return exact_medians(_points(spark, sf_dir), [], NORM_FEATURES)
+
+
+def centroid_table_lineitem(spark, sf_dir):
+    pts = _points(spark, sf_dir, PL)
+    seeds = km.kmeanspp_seeds(pts, NORM_FEATURES, "path", K, SEED)
+    labeled = km.assign(pts, NORM_FEATURES, [s[1] for s in seeds])
+    ids = spark.range(K).select(F.col("id").cast("int").alias("cluster"))
+    meds = ids.join(_medians(labeled, NORM_FEATURES), "cluster", "left")
+    cats = _classify(_scores(meds, DEFAULT_RULES), DEFAULT_RULES)
+    cents = km.cluster_stats(labeled, NORM_FEATURES, decimals=ROUND)
+    return cj.centroid_table(cents, cats, NORM_FEATURES)
+
+
 _CLUSTER_QUERIES.update({
+    "global_medians": global_medians,
+    "centroid_table_lineitem": centroid_table_lineitem,
     "embedding_kmeanspp_init": embedding_kmeanspp_init,
     "embedding_kmeans_assign": embedding_kmeans_assign,
     "embedding_kmeans_update": embedding_kmeans_update,
