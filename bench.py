@@ -79,7 +79,8 @@ def main():
     def q_classify():
         lab = state["fit"].labeled
         ids = spark.range(K).select(F.col("id").cast("int").alias("cluster"))
-        meds = ids.join(cluster_medians(lab, NORM_FEATURES), "cluster", "left")
+        meds = ids.join(cluster_medians(lab, NORM_FEATURES, max_group_size=max(state["fit"].counts)),
+                        "cluster", "left")
         state["cats"] = classify(category_scores(meds)).collect()
 
     def q_end_to_end():
