@@ -95,3 +95,23 @@ def test_iso_millis_truncates(spark):
     from tierspark.functions.timefmt import epoch_to_ntz, iso_millis
     df = spark.range(1).select(iso_millis(epoch_to_ntz(F.lit(1765780639.7679))).alias("s"))
     assert df.collect()[0]["s"] == "2025-12-15T06:37:19.767Z"
+
+
+def test_export_splits_a_hot_second(spark, tmp_out):
+    hot = "2025-01-01T00:00:00.000Z"
+    rows = [(hot, f"/p{i % 50}", "READ", f"dn{i % 3}", str(i)) for i in range(3000)]
+    rows += [(f"2025-01-01T00:00:{s:02d}.000Z", "/q", "WRITE", "dn1", "1") for s in range(1, 60)]
+    log = spark.createDataFrame(rows, "ts_iso string, path string, op string, client_node string, pid string")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")      # tiny data: keep the range partitions apart
+    try:
+        files.export_log(log.repartition(6), f"{tmp_out}/hot")
+    finally:
+        spark.conf.set(key, old)
+    parts = sorted(f for f in os.listdir(f"{tmp_out}/hot") if f.endswith(".csv"))
+    sizes = [sum(1 for _ in open(f"{tmp_out}/hot/{f}")) for f in parts]
+    assert sum(sizes) == len(rows)
+    assert max(sizes) < 3000          # the hot second is spread over several files
+    text = [line.split(",")[0] for f in parts for line in open(f"{tmp_out}/hot/{f}")]
+    assert text == sorted(text)

@@ -115,11 +115,16 @@ def write_access_log_text(df: DataFrame, path: str, mode: str = "overwrite") ->
 def export_log(df: DataFrame, path: str | None = None, mode: str = "overwrite") -> DataFrame:
     """Access log in time order (text order of the fixed-width ISO form equals
     time order). ``orderBy`` range-partitions, so the sort is distributed and
-    the part files are globally ordered. Returns the ordered DataFrame and, with
-    ``path``, writes it as headerless CSV."""
+    the part files are globally ordered. Rows of the same timestamp are ordered
+    by the other columns and then by their position in the input, so the sort
+    key is unique and the range bounds can split even a second that holds a
+    large share of the log. Returns the ordered DataFrame and, with ``path``,
+    writes it as headerless CSV."""
     cols = [F.col(f.name).cast("string") if f.name in df.columns
             else F.lit(None).cast("string").alias(f.name) for f in ACCESS_LOG_TEXT.fields]
-    ordered = df.select(*cols).orderBy("ts_iso")
+    names = [f.name for f in ACCESS_LOG_TEXT.fields]
+    ordered = (df.select(*cols, F.monotonically_increasing_id().alias("_pos"))
+               .orderBy(*names, "_pos").drop("_pos"))
     if path is not None:
         ordered.write.mode(mode).option("header", False).csv(path)
     return ordered
