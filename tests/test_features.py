@@ -127,3 +127,43 @@ def test_norms_within_unit_interval(spark):
     for r in run.features.collect():
         for c in NORM_FEATURES:
             assert 0.0 <= r[c] <= 1.0
+
+
+def test_hot_path_with_a_third_of_the_log_matches_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    n = 6000
+    paths = np.where(rng.random(n) < 1 / 3, "hot", rng.integers(0, 300, n).astype(str))
+    log_pd = pd.DataFrame({
+        "path": paths,
+        "ts_epoch": np.round(rng.uniform(0, 5000, n), 3),
+        "op": rng.choice(["READ", "WRITE", "DELETE"], n),
+        "client_node": rng.choice(["dn1", "dn2", "dn3"], n),
+    })
+    man_pd = pd.DataFrame({"path": ["hot"] + [str(i) for i in range(0, 400)],
+                           "creation_epoch": np.arange(401, dtype=float),
+                           "primary_node": ["dn1"] + [f"dn{i % 3 + 1}" for i in range(400)]})
+    log = spark.createDataFrame(log_pd).repartition(7)
+    man = spark.createDataFrame(man_pd)
+    width = 60.0
+    got = {r["path"]: r for r in compute_features(man, log, width).features.collect()}
+
+    end = log_pd.ts_epoch.max()
+    g = log_pd.groupby("path")
+    freq = g.size()
+    writes = g.apply(lambda d: (d.op == "WRITE").sum(), include_groups=False)
+    peak = log_pd.assign(b=np.floor(log_pd.ts_epoch / width)).groupby(["path", "b"]).size() \
+        .groupby(level=0).max()
+    prim = dict(zip(man_pd.path, man_pd.primary_node))
+    local = log_pd[log_pd.client_node == log_pd.path.map(prim)].groupby("path").size()
+    mu = sum(int(writes.get(p, 0)) for p in man_pd.path) / len(man_pd)
+    for p, c in zip(man_pd.path, man_pd.creation_epoch):
+        r = got[p]
+        assert r["access_freq"] == int(freq.get(p, 0))
+        assert r["concurrency"] == int(peak.get(p, 0))
+        assert r["age_seconds"] == end - c
+        assert r["write_ratio"] == int(writes.get(p, 0)) / mu
+        want_loc = int(local.get(p, 0)) / int(freq[p]) if p in freq else 1.0
+        assert r["locality"] == want_loc
+    assert got["hot"]["access_freq"] > n / 4

@@ -56,3 +56,19 @@ def test_one_pass_form_for_bounded_groups_matches(spark):
     glob_full = exact_medians(df, [], ["a"], max_candidates=3).collect()[0]["a"]
     glob_one = exact_medians(df, [], ["a"], max_group_size=24).collect()[0]["a"]
     assert glob_full == glob_one == float(np.median([r[1] for r in rows]))
+
+
+def test_property_random_groups(spark):
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=8, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 2), st.floats(-1e6, 1e6, allow_nan=False)),
+                    min_size=1, max_size=40))
+    def check(rows):
+        df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g int, v double")
+        got = {r["g"]: r["v"] for r in exact_medians(df, ["g"], ["v"], max_candidates=3,
+                                                     buckets=3).collect()}
+        for g in {g for g, _ in rows}:
+            assert got[g] == _np_median([v for h, v in rows if h == g])
+
+    check()
