@@ -88,3 +88,11 @@ def test_default_rules_are_the_fixed_values():
     assert [r.weights["Hot"][f] for f in NORM_FEATURES] == [1.0, 0.8, 0.5, 0.5, 1.0]
     assert [r.directions["Archival"][f] for f in NORM_FEATURES] == [-1, 1, -1, -1, -1]
     assert r.replication_factors == {"Hot": 3, "Shared": 2, "Moderate": 1, "Archival": 4}
+
+
+def test_cluster_names_round_trip(spark):
+    from pyspark.sql import functions as F
+    from tierspark.functions.formatting import cluster_name, cluster_number
+    df = spark.range(3).select(cluster_name(F.col("id")).alias("name"))
+    assert [r["name"] for r in df.collect()] == ["C0", "C1", "C2"]
+    assert [r[0] for r in df.select(cluster_number(F.col("name"))).collect()] == [0, 1, 2]

@@ -321,6 +321,7 @@ WHERE r = (n - 1) // 2 OR r = n // 2 GROUP BY feature)""")
         "centroid_table_lineitem": cluster_sql("SELECT * FROM centroids", "part_lineitem"),
         "kmeanspp_init": cluster_sql("SELECT * FROM seeds"),
         "kmeanspp_d2": cluster_sql(f"SELECT path, d2 FROM d{K - 1}"),
+        "kmeanspp_d2_total": cluster_sql(f"SELECT round(sum(d2), {ROUND}) AS d2_total FROM d{K - 1}"),
         "kmeans_assign": cluster_sql("SELECT path, cluster FROM assigned"),
         "kmeans_update": cluster_sql("SELECT * FROM upd"),
         "kmeans_shift": cluster_sql(shift),

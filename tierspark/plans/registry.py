@@ -192,6 +192,12 @@ def kmeanspp_d2(spark, sf_dir):
     return pts.select("path", km.d2_column(NORM_FEATURES, [s[1] for s in seeds[:-1]]).alias("d2"))
 
 
+def kmeanspp_d2_total(spark, sf_dir):
+    pts, seeds = _seeded(spark, sf_dir)
+    d2 = km.d2_column(NORM_FEATURES, [s[1] for s in seeds[:-1]])
+    return pts.agg(F.round(F.sum(d2), ROUND).alias("d2_total"))
+
+
 def kmeans_assign(spark, sf_dir):
     return _first_assignment(spark, sf_dir)[2].select("path", "cluster")
 
@@ -254,6 +260,7 @@ def file_categories(spark, sf_dir):
 _CLUSTER_QUERIES = {
     "kmeanspp_init": kmeanspp_init,
     "kmeanspp_d2": kmeanspp_d2,
+    "kmeanspp_d2_total": kmeanspp_d2_total,
     "kmeans_assign": kmeans_assign,
     "kmeans_update": kmeans_update,
     "kmeans_shift": kmeans_shift,
