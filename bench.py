@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from tierspark.operators import kmeans as km  # noqa: E402
-from tierspark.operators.scoring import category_scores, classify, cluster_medians  # noqa: E402
+from tierspark.operators.scoring import classify_wide, cluster_medians  # noqa: E402
 from tierspark.plans.pipeline import run_tiering  # noqa: E402
 from tierspark.plans.feature_job import compute_features  # noqa: E402
 from tierspark.schemas import NORM_FEATURES  # noqa: E402
@@ -81,7 +81,7 @@ def main():
         ids = spark.range(K).select(F.col("id").cast("int").alias("cluster"))
         meds = ids.join(cluster_medians(lab, NORM_FEATURES, max_group_size=max(state["fit"].counts)),
                         "cluster", "left")
-        state["cats"] = classify(category_scores(meds)).collect()
+        state["cats"] = classify_wide(meds).collect()
 
     def q_end_to_end():
         state["table"] = run_tiering(manifest, log, view.width, K, seed=SEED).table.collect()

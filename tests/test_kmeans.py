@@ -186,3 +186,12 @@ def test_rules_long_table(spark):
     assert t.count() == 20
     row = t.where("category = 'Archival' AND feature = 'age_norm'").collect()[0]
     assert (row["weight"], row["direction"], row["rf"], row["ord"]) == (1.0, 1, 4, 3)
+
+
+def test_running_d2_and_recomputed_d2_pick_the_same_seeds(spark, monkeypatch):
+    df = pts(spark, blobs(80, seed=4))
+    monkeypatch.setattr(km, "RUNNING_D2_MIN_K", 100)
+    a = km.kmeanspp_seeds(df, COLS, "id", 5, seed=3)
+    monkeypatch.setattr(km, "RUNNING_D2_MIN_K", 2)
+    b = km.kmeanspp_seeds(df, COLS, "id", 5, seed=3, lineage_every=2)
+    assert [s[0] for s in a] == [s[0] for s in b]

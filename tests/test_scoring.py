@@ -96,3 +96,18 @@ def test_cluster_names_round_trip(spark):
     df = spark.range(3).select(cluster_name(F.col("id")).alias("name"))
     assert [r["name"] for r in df.collect()] == ["C0", "C1", "C2"]
     assert [r[0] for r in df.select(cluster_number(F.col("name"))).collect()] == [0, 1, 2]
+
+
+def test_wide_and_long_classification_agree(spark):
+    from tierspark.operators.scoring import classify_wide
+    rows = [(0, 0.9, 0.1, 0.9, 0.9, 0.9), (1, 0.5, 0.5, 0.5, 0.5, 0.5), (2, 0.1, 0.9, 0.1, 0.1, 0.1),
+            (3, None, None, None, None, None), (4, 0.6, 0.6, 0.6, 0.6, 0.6)]
+    meds = _meds(spark, rows)
+    a = sorted(map(tuple, classify_wide(meds).collect()))
+    b = sorted(map(tuple, classify_medians(meds).collect()))
+    assert a == b
+    demo = exact_medians(spark.createDataFrame(
+        [(c, float(i), float(l)) for c, f in DEMO.items() for i, l in zip(f["IOPS"], f["Latency"])],
+        "cluster int, IOPS double, Latency double"), ["cluster"], ["IOPS", "Latency"])
+    got = {r["cluster"]: r["category"] for r in classify_wide(demo, DEMO_RULES).collect()}
+    assert got == {c: g[1] for c, g in GOLDEN.items()}

@@ -61,28 +61,46 @@ def race_key(seed: int, round_no: int, id_col: str, d2):
     return -F.log(uniform01(seed, round_no, F.col(id_col))) / d2
 
 
+RUNNING_D2_MIN_K = 9
+
+
 def kmeanspp_seeds(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
                    seed: int = 42, n_rows: int | None = None, lineage_every: int = 16) -> list:
     """k-means++ seeding: ``[(id, [values...]), ...]`` of length ``k``.
 
     Round 0 picks a uniform row (smallest hashed uniform); round i picks by the
-    race over D^2 to the seeds chosen so far. D^2 is carried as a column and
-    updated with one new distance per round (``least(d2, dist(new seed))``);
-    each round's table is persisted and filled by that round's pick, so a round
-    costs one pass of O(d) work per row. Every ``lineage_every`` rounds the
-    table is written under the checkpoint folder to bound the lineage.
-    Raises ``ValueError`` when fewer than ``k`` distinct points exist (all
-    remaining D^2 are 0).
+    race over D^2 to the seeds chosen so far. Raises ``ValueError`` when fewer
+    than ``k`` distinct points exist (all remaining D^2 are 0).
+
+    For small k, D^2 is recomputed in each round against the i seeds so far
+    (O(i d) per row, no state). From ``RUNNING_D2_MIN_K`` seeds on, D^2 is
+    carried as a column and updated with one new distance per round
+    (``least(d2, dist(new seed))``): each round's table is persisted and filled
+    by that round's pick, so a round costs O(d) per row instead of O(k d); every
+    ``lineage_every`` rounds the table is written under the checkpoint folder
+    to bound the lineage.
     """
-    from pyspark import StorageLevel
-    from tierspark.session import materialize
-
     if k < 1:
         raise ValueError("k must be at least 1")
     first = _pick(points, cols, id_col, uniform01(seed, 0, F.col(id_col)))
     if first is None:
         raise ValueError("no points to seed from")
     seeds = [first]
+    if k < RUNNING_D2_MIN_K:
+        for i in range(1, k):
+            d2 = d2_column(cols, [s[1] for s in seeds], n_rows)
+            nxt = _pick(points.where(d2 > F.lit(0.0)), cols, id_col,
+                        race_key(seed, i, id_col, d2))
+            if nxt is None:
+                raise ValueError(f"fewer than k={k} distinct points: cannot choose seed {i}")
+            seeds.append(nxt)
+        return seeds
+    return _seeds_running_d2(points, cols, id_col, k, seed, n_rows, lineage_every, seeds)
+
+
+def _seeds_running_d2(points, cols, id_col, k, seed, n_rows, lineage_every, seeds):
+    from pyspark import StorageLevel
+    from tierspark.session import materialize
     d2 = F.col("_d2")
     cur, held = None, []
     try:

@@ -160,17 +160,20 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
 
 
 def _small_group_medians(long: DataFrame, gcols, keys, value_cols, df: DataFrame) -> DataFrame:
-    """One pass for groups of bounded size: rank within (group, column), keep the
-    middle one or two values, average them."""
+    """One pass for groups of bounded size: rank within (group, column) and keep
+    the middle one or two values; at most 2 x groups x columns rows come back
+    and are averaged into the result table."""
     w = Window.partitionBy(*keys)
     ranked = (long.withColumn("_r", F.row_number().over(w.orderBy("v")) - 1)
               .withColumn("_n", F.count(F.lit(1)).over(w)))
     mid = ranked.where((F.col("_r") == F.floor((F.col("_n") - 1) / 2))
-                       | (F.col("_r") == F.floor(F.col("_n") / 2)))
-    med = mid.groupBy(*keys).agg(((F.min("v") + F.max("v")) / F.lit(2.0)).alias("m"))
-    if gcols:
-        wide = med.groupBy(*gcols).pivot("feature", list(value_cols)).agg(F.first("m"))
-    else:
-        wide = med.groupBy().pivot("feature", list(value_cols)).agg(F.first("m"))
-    return wide.select(*[F.col(c) for c in gcols],
-                       *[F.col(c).cast("double").alias(c) for c in value_cols])
+                       | (F.col("_r") == F.floor(F.col("_n") / 2))).select(*keys, "v").collect()
+    vals = {}
+    for r in mid:
+        vals.setdefault(tuple(r[c] for c in keys), []).append(float(r["v"]))
+    med = {k: (min(v) + max(v)) / 2 for k, v in vals.items()}
+    groups = sorted({k[:-1] for k in med}, key=lambda g: tuple(str(x) for x in g)) if gcols else [()]
+    rows = [(*g, *[med.get((*g, c)) for c in value_cols]) for g in groups]
+    schema = T.StructType([df.schema[c] for c in gcols]
+                          + [T.StructField(c, T.DoubleType(), True) for c in value_cols])
+    return df.sparkSession.createDataFrame(rows, schema)

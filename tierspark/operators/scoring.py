@@ -93,6 +93,25 @@ def classify(scores: DataFrame, rules: Rules = DEFAULT_RULES,
     return scores.groupBy(cluster_col).agg(F.max_by("category", key).alias("category"))
 
 
+def best_category_expr(rules: Rules = DEFAULT_RULES, prefix: str = "score_"):
+    """Per row of the wide score table: the category with the highest
+    (score, replication factor, -order), as ``greatest`` over structs."""
+    keys = [F.struct(F.col(f"{prefix}{c}").alias("score"),
+                     F.lit(rules.replication_factors[c]).alias("rf"),
+                     F.lit(-i).alias("neg_order"), F.lit(c).alias("category"))
+            for i, c in enumerate(rules.categories)]
+    best = keys[0] if len(keys) == 1 else F.greatest(*keys)
+    return best.getField("category")
+
+
+def classify_wide(medians: DataFrame, rules: Rules = DEFAULT_RULES,
+                  cluster_col: str = "cluster", f=square) -> DataFrame:
+    """``cluster, category`` from a median table with one row per cluster, as a
+    projection (no shuffle)."""
+    scored = category_scores(medians, rules, cluster_col, f, wide=True)
+    return scored.select(cluster_col, best_category_expr(rules).alias("category"))
+
+
 def classify_medians(medians: DataFrame, rules: Rules = DEFAULT_RULES,
                      cluster_col: str = "cluster", f=square) -> DataFrame:
     return classify(category_scores(medians, rules, cluster_col, f), rules, cluster_col)

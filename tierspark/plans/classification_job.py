@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tierspark.functions.formatting import centroid_id, centroid_id_text
 from tierspark.operators import kmeans as km
-from tierspark.operators.scoring import category_scores, classify, cluster_medians, global_medians
+from tierspark.operators.scoring import (category_scores, classify, classify_wide,
+                                         cluster_medians, global_medians)
 from tierspark.schemas import DEFAULT_RULES, NORM_FEATURES, Rules
 from tierspark.session import materialize
 
@@ -87,7 +88,7 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
                         "cluster", "left")
         scores = category_scores(meds, rules)
         # k rows: resolved now, while the points are still persisted
-        cat_rows = {r["cluster"]: r["category"] for r in classify(scores, rules).collect()}
+        cat_rows = {r["cluster"]: r["category"] for r in classify_wide(meds, rules).collect()}
         cats = spark.createDataFrame(sorted(cat_rows.items()), "cluster int, category string")
         table = spark.createDataFrame(
             [(centroid_id_text(c), cat_rows.get(j), *map(float, c))
