@@ -115,3 +115,12 @@ def test_export_splits_a_hot_second(spark, tmp_out):
     assert max(sizes) < 3000          # the hot second is spread over several files
     text = [line.split(",")[0] for f in parts for line in open(f"{tmp_out}/hot/{f}")]
     assert text == sorted(text)
+
+
+def test_shuffle_partitions_sized_from_input(spark):
+    from tierspark.session import estimated_bytes, size_shuffle_partitions
+    from tests.conftest import SF_SMALL
+    df = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    assert estimated_bytes(df) > 0
+    n = size_shuffle_partitions(spark, df)
+    assert n == int(spark.conf.get("spark.sql.shuffle.partitions")) >= 4

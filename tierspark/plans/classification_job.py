@@ -104,7 +104,7 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
 
 
 def main(argv=None) -> None:
-    from tierspark.session import build_session
+    from tierspark.session import build_session, size_shuffle_partitions
     from tierspark.sources.files import read_features, write_table
 
     ap = argparse.ArgumentParser(description="Cluster files and assign storage categories.")
@@ -119,6 +119,7 @@ def main(argv=None) -> None:
     a = ap.parse_args(argv)
     spark = build_session(app="tierspark-classify")
     feats = read_features(spark, a.input_path, a.format)
+    size_shuffle_partitions(spark, feats)
     run = classify_files(feats, a.k, seed=a.seed, method=a.method, medians_from=a.medians_from)
     write_table(run.table, a.output_csv, fmt="csv", single_file=True)
     if a.files_out:

@@ -103,7 +103,7 @@ def compute_features(manifest: DataFrame, log: DataFrame | None, width: float =
 
 
 def main(argv=None) -> None:
-    from tierspark.session import build_session
+    from tierspark.session import build_session, size_shuffle_partitions
     from tierspark.sources.files import (parse_access_log, parse_manifest, read_access_log,
                                          read_manifest, write_features)
 
@@ -119,6 +119,7 @@ def main(argv=None) -> None:
     spark = build_session(app="tierspark-features")
     manifest = parse_manifest(read_manifest(spark, a.manifest))
     log = parse_access_log(read_access_log(spark, a.access_log))
+    size_shuffle_partitions(spark, manifest, log)
     run = compute_features(manifest, log, a.bucket_seconds, check_unique=a.check_unique)
     write_features(run.features, a.out, fmt=a.format, single_file=a.single_file)
     print("Wrote features to", a.out)

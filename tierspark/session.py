@@ -80,3 +80,26 @@ def materialize(df: DataFrame, label: str, persist: bool = False) -> DataFrame:
     if persist:
         out = out.persist(StorageLevel.MEMORY_AND_DISK)
     return out
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes for scans)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate only
+        return 0
+
+
+def size_shuffle_partitions(spark: SparkSession, *inputs: DataFrame,
+                            target_bytes: int = 128 * 1024 * 1024,
+                            lo: int = 8, hi: int = 50_000) -> int:
+    """Set ``spark.sql.shuffle.partitions`` to about input bytes / ``target_bytes``
+    (AQE coalesces downward from it), unless the launcher set it explicitly.
+    Returns the value in effect."""
+    key = "spark.sql.shuffle.partitions"
+    if spark.sparkContext.getConf().contains(key):
+        return int(spark.conf.get(key))
+    total = sum(estimated_bytes(d) for d in inputs)
+    n = max(lo, min(hi, -(-total // target_bytes)))
+    spark.conf.set(key, str(n))
+    return n
