@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tierspark.functions.formatting import centroid_id, centroid_id_text
 from tierspark.operators import kmeans as km
-from tierspark.operators.scoring import (category_scores, classify, classify_wide,
-                                         cluster_medians, global_medians)
+from tierspark.operators.scoring import (category_scores, classify_wide, cluster_medians,
+                                         global_medians)
 from tierspark.schemas import DEFAULT_RULES, NORM_FEATURES, Rules
 from tierspark.session import materialize
 

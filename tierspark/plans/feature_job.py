@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tierspark.operators import features as feat
 from tierspark.operators.normalize import minmax_normalize
-from tierspark.schemas import FEATURES, NORM_OF
+from tierspark.schemas import NORM_OF
 from tierspark.session import materialize
 
 

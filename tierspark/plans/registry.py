@@ -156,8 +156,10 @@ K, SEED, ROUND = 4, 42, 9
 
 
 def _points(spark, sf_dir, view=CE):
+    # written once (short lineage for the seeding passes); not left cached in the
+    # caller's session, since the returned plans outlive this call
     feats = _features(spark, sf_dir, view).features.select("path", *NORM_FEATURES)
-    return materialize(feats, "points", persist=True)
+    return materialize(feats, "points")
 
 
 def _seeded(spark, sf_dir):
@@ -282,7 +284,7 @@ EMBED_K = 10
 
 
 def _embed_seeded(spark, sf_dir):
-    pts = materialize(embedding_points(spark, sf_dir), "embedding-points", persist=True)
+    pts = materialize(embedding_points(spark, sf_dir), "embedding-points")
     cols = embedding_cols()
     return pts, cols, km.kmeanspp_seeds(pts, cols, "vec", EMBED_K, SEED)
 
