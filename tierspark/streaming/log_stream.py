@@ -85,3 +85,28 @@ def features_from_buckets(manifest: DataFrame, buckets: DataFrame, **kw) -> Feat
     stats = file_stats_from(manifest, path_stats_from_buckets(buckets),
                             client_counts_from_buckets(buckets))
     return compute_features(manifest, None, stats=stats, **kw)
+
+
+def main(argv=None) -> None:
+    import argparse
+
+    from tierspark.session import build_session
+
+    ap = argparse.ArgumentParser(description="Aggregate an arriving access log into time buckets.")
+    ap.add_argument("--log_dir", required=True, help="folder the log CSV files arrive in")
+    ap.add_argument("--out", required=True, help="Parquet folder of closed buckets")
+    ap.add_argument("--checkpoint", required=True, help="stream checkpoint folder (shared storage)")
+    ap.add_argument("--bucket_seconds", type=float, default=1.0)
+    ap.add_argument("--delay", default="10 minutes", help="watermark delay for late rows")
+    ap.add_argument("--once", action="store_true", help="process what is there, then stop")
+    ap.add_argument("--trigger", default="1 minute")
+    a = ap.parse_args(argv)
+    spark = build_session(app="tierspark-log-stream")
+    buckets = bucketed_counts(read_log_stream(spark, a.log_dir), a.bucket_seconds, a.delay)
+    q = start_bucket_sink(buckets, a.out, a.checkpoint, available_now=a.once,
+                          processing_time=None if a.once else a.trigger)
+    q.awaitTermination()
+
+
+if __name__ == "__main__":
+    main()
