@@ -195,3 +195,17 @@ def test_running_d2_and_recomputed_d2_pick_the_same_seeds(spark, monkeypatch):
     monkeypatch.setattr(km, "RUNNING_D2_MIN_K", 2)
     b = km.kmeanspp_seeds(df, COLS, "id", 5, seed=3, lineage_every=2)
     assert [s[0] for s in a] == [s[0] for s in b]
+
+
+def test_data_medians_option(spark):
+    from tests.conftest import SF_SMALL
+    from tierspark.operators.scoring import global_medians
+    from tierspark.plans.feature_job import compute_features
+    from tierspark.sources.driver_tables import VIEWS
+    v = VIEWS["part_lineitem"]
+    run = compute_features(v.manifest(spark, SF_SMALL), v.log(spark, SF_SMALL), v.width)
+    res = classify_files(run.features, 4, seed=42, medians_from="data")
+    gm = global_medians(run.features, NORM_FEATURES)
+    pdf = run.features.select(*NORM_FEATURES).toPandas()
+    assert gm == {c: float(np.median(pdf[c])) for c in NORM_FEATURES}
+    assert {r["category"] for r in res.table.collect()} <= {"Hot", "Shared", "Moderate", "Archival"}
