@@ -1,7 +1,8 @@
 """Benchmark the headline steps on the driver tables.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (timed runs after one warm-up, best is reported; default 2).
+BENCH_REPEAT (timed runs after one warm-up, best is reported; default 2),
+BENCH_EVENT_LOG_DIR (optional: write Spark's event log there for stage/task times).
 Prints one JSON line.
 
 View: manifest = ``part`` (whole table), log = ``lineitem`` (whole table),
@@ -40,6 +41,9 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     conf = {}
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):
+        conf = {"spark__eventLog__enabled": "true",
+                "spark__eventLog__dir": os.environ["BENCH_EVENT_LOG_DIR"]}
     spark_tmp = None
     if "spark.checkpoint.dir" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
         spark_tmp = tempfile.mkdtemp(prefix="tierspark-bench-")

@@ -111,3 +111,17 @@ def test_wide_and_long_classification_agree(spark):
         "cluster int, IOPS double, Latency double"), ["cluster"], ["IOPS", "Latency"])
     got = {r["cluster"]: r["category"] for r in classify_wide(demo, DEMO_RULES).collect()}
     assert got == {c: g[1] for c, g in GOLDEN.items()}
+
+
+def test_replaceable_deviation_weight(spark):
+    def cube(x):
+        return x * x * x
+    meds = _meds(spark, [(0, 0.9, 0.1, 0.9, 0.9, 0.9)])
+    got = {r["category"]: r["score"] for r in category_scores(meds, f=cube).collect()}
+    w = DEFAULT_RULES.weights["Hot"]
+    d = [0.4, -0.4, 0.4, 0.4, 0.4]
+    want = 0.0
+    for f_, dv in zip(NORM_FEATURES, d):
+        want += w[f_] * abs(dv) ** 3
+    assert got["Hot"] == pytest.approx(want, rel=1e-12)
+    assert got["Moderate"] == 0.0

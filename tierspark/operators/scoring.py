@@ -20,6 +20,7 @@ from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tierspark.functions.vectors import dlit, qcol
 from tierspark.operators.median import exact_medians
 from tierspark.schemas import DEFAULT_RULES, Rules
 
@@ -29,8 +30,31 @@ def square(x: Column) -> Column:
     return x * x
 
 
+def score_sql(rules: Rules, category: str, median_col: Mapping[str, str] | None = None) -> str:
+    """The score of ``category`` as one SQL expression (f(x) = x^2), terms
+    summed left to right in feature order."""
+    median_col = median_col or {p: p for p in rules.features}
+    terms = []
+    for p in rules.features:
+        d = f"({qcol(median_col[p])} - {dlit(rules.global_medians[p])})"
+        w = dlit(rules.weights[category][p])
+        direction = rules.directions[category][p]
+        if category == rules.moderate:
+            near = f"(1.0D - abs({d}))"
+            t = f"CASE WHEN abs({d}) < {dlit(rules.moderate_band)} THEN {w} * ({near} * {near}) END"
+        elif direction == 0:
+            t = f"{w} * (abs({d}) * abs({d}))"
+        else:
+            t = (f"CASE WHEN signum({d}) = {dlit(direction)} "
+                 f"THEN {w} * (abs({d}) * abs({d})) END")
+        terms.append(f"coalesce({t}, 0.0D)")
+    return " + ".join(terms)
+
+
 def score_expr(rules: Rules, category: str, median_col: Mapping[str, str] | None = None,
                f: Callable[[Column], Column] = square) -> Column:
+    if f is square:
+        return F.expr(score_sql(rules, category, median_col))
     median_col = median_col or {p: p for p in rules.features}
     total = None
     for p in rules.features:
@@ -105,10 +129,12 @@ def best_category_expr(rules: Rules = DEFAULT_RULES, prefix: str = "score_"):
 
 
 def classify_wide(medians: DataFrame, rules: Rules = DEFAULT_RULES,
-                  cluster_col: str = "cluster", f=square) -> DataFrame:
+                  cluster_col: str = "cluster", f=square, scored: DataFrame | None = None
+                  ) -> DataFrame:
     """``cluster, category`` from a median table with one row per cluster, as a
-    projection (no shuffle)."""
-    scored = category_scores(medians, rules, cluster_col, f, wide=True)
+    projection (no shuffle); ``scored`` reuses a wide score table."""
+    if scored is None:
+        scored = category_scores(medians, rules, cluster_col, f, wide=True)
     return scored.select(cluster_col, best_category_expr(rules).alias("category"))
 
 

@@ -86,9 +86,13 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
         # the last assignment's cluster sizes bound the median groups
         meds = ids.join(cluster_medians(res.labeled, cols, max_group_size=max(res.counts)),
                         "cluster", "left")
-        scores = category_scores(meds, rules)
+        wide = category_scores(meds, rules, wide=True)
+        scores = (wide.unpivot(["cluster"], [f"score_{c}" for c in rules.categories],
+                               "category", "score")
+                  .withColumn("category", F.regexp_replace("category", "^score_", "")))
         # k rows: resolved now, while the points are still persisted
-        cat_rows = {r["cluster"]: r["category"] for r in classify_wide(meds, rules).collect()}
+        cat_rows = {r["cluster"]: r["category"]
+                    for r in classify_wide(meds, rules, scored=wide).collect()}
         cats = spark.createDataFrame(sorted(cat_rows.items()), "cluster int, category string")
         table = spark.createDataFrame(
             [(centroid_id_text(c), cat_rows.get(j), *map(float, c))
