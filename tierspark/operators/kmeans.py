@@ -58,7 +58,7 @@ def d2_column(cols: Sequence[str], centers: Sequence[Sequence[float]],
 def race_key(seed: int, round_no: int, id_col: str, d2):
     """Exponential-race key; the smallest key over rows wins with probability
     proportional to ``d2``."""
-    return -F.log(uniform01(seed, round_no, F.col(id_col))) / d2
+    return -F.log(uniform01(seed, round_no, id_col)) / d2
 
 
 RUNNING_D2_MIN_K = 9
@@ -82,7 +82,7 @@ def kmeanspp_seeds(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    first = _pick(points, cols, id_col, uniform01(seed, 0, F.col(id_col)))
+    first = _pick(points, cols, id_col, uniform01(seed, 0, id_col))
     if first is None:
         raise ValueError("no points to seed from")
     seeds = [first]
@@ -215,7 +215,7 @@ def kmeans(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
             if means[j] is not None:
                 new.append(means[j])
             else:
-                got = _pick(points, cols, id_col, uniform01(seed, f"empty:{it}:{j}", F.col(id_col)))
+                got = _pick(points, cols, id_col, uniform01(seed, f"empty:{it}:{j}", id_col))
                 new.append(got[1])
         shift = frobenius_shift(new, centers)
         shifts.append(shift)

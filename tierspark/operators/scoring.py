@@ -120,12 +120,11 @@ def classify(scores: DataFrame, rules: Rules = DEFAULT_RULES,
 def best_category_expr(rules: Rules = DEFAULT_RULES, prefix: str = "score_"):
     """Per row of the wide score table: the category with the highest
     (score, replication factor, -order), as ``greatest`` over structs."""
-    keys = [F.struct(F.col(f"{prefix}{c}").alias("score"),
-                     F.lit(rules.replication_factors[c]).alias("rf"),
-                     F.lit(-i).alias("neg_order"), F.lit(c).alias("category"))
+    keys = [f"named_struct('score', {qcol(prefix + c)}, 'rf', {int(rules.replication_factors[c])}, "
+            f"'neg_order', {-i}, 'category', '{c.replace(chr(39), chr(39) * 2)}')"
             for i, c in enumerate(rules.categories)]
-    best = keys[0] if len(keys) == 1 else F.greatest(*keys)
-    return best.getField("category")
+    best = keys[0] if len(keys) == 1 else "greatest(" + ", ".join(keys) + ")"
+    return F.expr(f"{best}.category")
 
 
 def classify_wide(medians: DataFrame, rules: Rules = DEFAULT_RULES,
