@@ -42,8 +42,8 @@ class KMeansResult:
 
 
 def _pick(df: DataFrame, cols: Sequence[str], id_col: str, key) -> tuple | None:
-    best = df.agg(F.min_by(F.struct(F.col(id_col).alias("id"), *[F.col(c) for c in cols]),
-                           key).alias("b")).collect()[0]["b"]
+    row = F.expr("struct(" + ", ".join([f"{qcol(id_col)} AS id"] + [qcol(c) for c in cols]) + ")")
+    best = df.agg(F.min_by(row, key).alias("b")).collect()[0]["b"]
     if best is None:
         return None
     return best[0], [float(best[i + 1]) for i in range(len(cols))]

@@ -57,28 +57,26 @@ def compute_features(manifest: DataFrame, log: DataFrame | None, width: float =
     if cut_lineage:
         stats = materialize(stats, "file-stats")
 
-    in_m = F.col("in_manifest")
-
-    def m(c):
-        return F.when(in_m, c)
-
-    loc = F.when(F.coalesce(F.col("access_freq"), F.lit(0)) > 0,
-                 F.coalesce(F.col("local_accesses"), F.lit(0)).cast("double")
-                 / F.col("access_freq").cast("double")).otherwise(F.lit(1.0))
-    af = F.coalesce(F.col("access_freq"), F.lit(0))
-    wr = F.coalesce(F.col("writes"), F.lit(0))
-    conc = F.coalesce(F.col("max_concurrency"), F.lit(0))
-    g = stats.agg(
-        F.max("last_ts").alias("obs"),
-        F.avg(m(wr)).alias("mu"),
-        F.min(m(af)).alias("min_af"), F.max(m(af)).alias("max_af"),
-        F.min(m(wr)).alias("min_w"), F.max(m(wr)).alias("max_w"),
-        F.min(m(F.col("creation_epoch"))).alias("min_c"),
-        F.max(m(F.col("creation_epoch"))).alias("max_c"),
-        F.count(m(F.when(F.col("creation_epoch").isNull(), F.lit(1)))).alias("n_null_c"),
-        F.min(m(loc)).alias("min_loc"), F.max(m(loc)).alias("max_loc"),
-        F.min(m(conc)).alias("min_con"), F.max(m(conc)).alias("max_con"),
-        F.count(m(F.lit(1))).alias("n_files"),
+    # one global aggregate, written as SQL text (one call into the JVM)
+    af = "coalesce(access_freq, 0)"
+    wr = "coalesce(writes, 0)"
+    conc = "coalesce(max_concurrency, 0)"
+    loc = (f"CASE WHEN {af} > 0 THEN CAST(coalesce(local_accesses, 0) AS DOUBLE) "
+           f"/ CAST(access_freq AS DOUBLE) ELSE 1.0D END")
+
+    def m(expr):
+        return f"CASE WHEN in_manifest THEN {expr} END"
+
+    g = stats.selectExpr(
+        "max(last_ts) AS obs",
+        f"avg({m(wr)}) AS mu",
+        f"min({m(af)}) AS min_af", f"max({m(af)}) AS max_af",
+        f"min({m(wr)}) AS min_w", f"max({m(wr)}) AS max_w",
+        f"min({m('creation_epoch')}) AS min_c", f"max({m('creation_epoch')}) AS max_c",
+        f"count({m('CASE WHEN creation_epoch IS NULL THEN 1 END')}) AS n_null_c",
+        f"min({m(loc)}) AS min_loc", f"max({m(loc)}) AS max_loc",
+        f"min({m(conc)}) AS min_con", f"max({m(conc)}) AS max_con",
+        f"count({m('1')}) AS n_files",
     ).collect()[0]
 
     obs = feat.resolve_observation_end(g["obs"], observation_end)
