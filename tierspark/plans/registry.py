@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierspark.operators import features as feat
+from tierspark.operators import kmeans as km
+from tierspark.operators.median import exact_medians
 from tierspark.operators.normalize import feature_ranges
+from tierspark.operators.scoring import (category_scores as _scores, classify as _classify,
+                                         cluster_medians as _medians)
+from tierspark.plans import classification_job as cj
 from tierspark.plans.feature_job import compute_features
-from tierspark.schemas import FEATURES
-from tierspark.session import scratch_path
+from tierspark.plans.pipeline import run_tiering
+from tierspark.schemas import DEFAULT_RULES, FEATURES, NORM_FEATURES
+from tierspark.session import materialize, scratch_path
 from tierspark.sources import files
-from tierspark.sources.driver_tables import VIEWS
+from tierspark.sources.driver_tables import VIEWS, embedding_cols, embedding_points
 
 CE = VIEWS["customer_events"]
 PL = VIEWS["part_lineitem"]
@@ -119,38 +125,8 @@ def minmax_norm_lineitem(spark, sf_dir):
     return _features(spark, sf_dir, PL).features
 
 
-def queries() -> dict:
-    return {
-        "scan_manifest": scan_manifest,
-        "scan_access_log": scan_access_log,
-        "parse_ts": parse_ts,
-        "parse_creation": parse_creation,
-        "log_export": log_export,
-        "op_flags": op_flags,
-        "access_freq": access_freq,
-        "rw_counts": rw_counts,
-        "bucket_counts": bucket_counts,
-        "peak_concurrency": peak_concurrency,
-        "observation_end": observation_end,
-        "locality": locality,
-        "age_seconds": age_seconds,
-        "fill_missing": fill_missing,
-        "write_ratio": write_ratio,
-        "feature_table": feature_table,
-        "feature_ranges": feature_ranges_q,
-        "minmax_norm": minmax_norm,
-        "minmax_norm_lineitem": minmax_norm_lineitem,
-    }
-
-
 # ---- clustering and scoring -------------------------------------------------------
 
-from tierspark.operators import kmeans as km  # noqa: E402
-from tierspark.operators.scoring import (category_scores as _scores, classify as _classify,  # noqa: E402
-                                         cluster_medians as _medians)
-from tierspark.plans import classification_job as cj  # noqa: E402
-from tierspark.schemas import DEFAULT_RULES, NORM_FEATURES  # noqa: E402
-from tierspark.session import materialize  # noqa: E402
 
 K, SEED, ROUND = 4, 42, 9
 
@@ -248,13 +224,11 @@ def kmeans_fit(spark, sf_dir):
 
 
 def tiering_pipeline(spark, sf_dir):
-    from tierspark.plans.pipeline import run_tiering
     return run_tiering(CE.manifest(spark, sf_dir), CE.log(spark, sf_dir), CE.width, K,
                        seed=SEED).table
 
 
 def file_categories(spark, sf_dir):
-    from tierspark.plans.pipeline import run_tiering
     return run_tiering(CE.manifest(spark, sf_dir), CE.log(spark, sf_dir), CE.width, K,
                        seed=SEED).files
 
@@ -278,7 +252,6 @@ _CLUSTER_QUERIES = {
 
 # ---- embeddings as a second point set --------------------------------------------
 
-from tierspark.sources.driver_tables import embedding_cols, embedding_points  # noqa: E402
 
 EMBED_K = 10
 
@@ -307,7 +280,6 @@ def embedding_kmeans_update(spark, sf_dir):
 
 
 def global_medians(spark, sf_dir):
-    from tierspark.operators.median import exact_medians
     return exact_medians(_points(spark, sf_dir), [], NORM_FEATURES)
 
 
@@ -330,10 +302,31 @@ _CLUSTER_QUERIES.update({
     "embedding_kmeans_update": embedding_kmeans_update,
 })
 
-_feature_queries = queries
+_FEATURE_QUERIES = {
+    "scan_manifest": scan_manifest,
+    "scan_access_log": scan_access_log,
+    "parse_ts": parse_ts,
+    "parse_creation": parse_creation,
+    "log_export": log_export,
+    "op_flags": op_flags,
+    "access_freq": access_freq,
+    "rw_counts": rw_counts,
+    "bucket_counts": bucket_counts,
+    "peak_concurrency": peak_concurrency,
+    "observation_end": observation_end,
+    "locality": locality,
+    "age_seconds": age_seconds,
+    "fill_missing": fill_missing,
+    "write_ratio": write_ratio,
+    "feature_table": feature_table,
+    "feature_ranges": feature_ranges_q,
+    "minmax_norm": minmax_norm,
+    "minmax_norm_lineitem": minmax_norm_lineitem,
+}
 
 
-def queries() -> dict:  # noqa: F811
-    out = _feature_queries()
+def queries() -> dict:
+    """All registered queries, ``name -> f(spark, sf_dir)``."""
+    out = dict(_FEATURE_QUERIES)
     out.update(_CLUSTER_QUERIES)
     return out
