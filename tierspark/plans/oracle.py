@@ -179,7 +179,7 @@ FROM t""",
     }
 
 
-def oracle_sql() -> dict:
+def feature_sql_queries() -> dict:
     out = {}
     out.update(feature_queries())
     out.update(text_queries())
@@ -335,7 +335,7 @@ WHERE r = (n - 1) // 2 OR r = n // 2 GROUP BY feature)""")
 
 
 def all_sql() -> dict:
-    out = oracle_sql()
+    out = feature_sql_queries()
     out.update(cluster_queries())
     out.update(embedding_queries())
     return out
