@@ -190,6 +190,7 @@ def feature_sql_queries() -> dict:
 
 K = 4
 SEED = 42
+LLOYD_ITERS = 3
 _DEN = 2**52 + 1
 
 
@@ -298,10 +299,33 @@ def _centroid_ctes(cols=NORM_FEATURES) -> list:
     ]
 
 
+def _lloyd_ctes(iters: int, k: int = K, cols=NORM_FEATURES) -> list:
+    """Iterations 2..iters of Lloyd after the assignment to the seeds
+    (``assigned``): means of the previous labels, then nearest mean."""
+    ctes, prev = [], "assigned"
+    for t in range(2, iters + 1):
+        ctes.append((f"means{t}", f"SELECT cluster, "
+                     + ", ".join(f"avg({c}) AS {c}" for c in cols)
+                     + f" FROM {prev} GROUP BY cluster"))
+        for j in range(k):
+            ctes.append((f"m{t}_{j}", f"SELECT * FROM means{t} WHERE cluster = {j}"))
+        ds = [f"e{j}" for j in range(k)]
+        dist = ", ".join(f"{_sqdist('p', f'm{t}_{j}', cols)} AS e{j}" for j in range(k))
+        case = "CASE " + " ".join(
+            f"WHEN {' AND '.join(f'{ds[j]} <= {ds[m]}' for m in range(j + 1, k))} THEN {j}"
+            for j in range(k - 1)) + f" ELSE {k - 1} END"
+        joins = ", ".join(f"m{t}_{j}" for j in range(k))
+        ctes.append((f"dists{t}", f"SELECT p.*, {dist} FROM pts p, {joins}"))
+        ctes.append((f"assigned{t}", f"SELECT path, {', '.join(cols)}, {case} AS cluster "
+                     f"FROM dists{t}"))
+        prev = f"assigned{t}"
+    return ctes
+
+
 def cluster_sql(final: str, view_name: str = "customer_events") -> str:
     view = VIEWS[view_name]
     ctes = (_feature_ctes(view) + _seed_ctes() + _median_ctes() + _score_ctes()
-            + _centroid_ctes())
+            + _centroid_ctes() + _lloyd_ctes(LLOYD_ITERS))
     return _with(view, *ctes) + final
 
 
@@ -323,6 +347,7 @@ WHERE r = (n - 1) // 2 OR r = n // 2 GROUP BY feature)""")
         "kmeanspp_d2": cluster_sql(f"SELECT path, d2 FROM d{K - 1}"),
         "kmeanspp_d2_total": cluster_sql(f"SELECT round(sum(d2), {ROUND}) AS d2_total FROM d{K - 1}"),
         "kmeans_assign": cluster_sql("SELECT path, cluster FROM assigned"),
+        "kmeans_lloyd3": cluster_sql(f"SELECT path, cluster FROM assigned{LLOYD_ITERS}"),
         "kmeans_update": cluster_sql("SELECT * FROM upd"),
         "kmeans_shift": cluster_sql(shift),
         "cluster_rows": cluster_sql(

@@ -180,6 +180,14 @@ def kmeans_assign(spark, sf_dir):
     return _first_assignment(spark, sf_dir)[2].select("path", "cluster")
 
 
+def kmeans_lloyd3(spark, sf_dir):
+    """Labels after three Lloyd iterations from the k-means++ seeds (no early stop)."""
+    pts, seeds = _seeded(spark, sf_dir)
+    res = km.kmeans(pts, NORM_FEATURES, "path", K, max_iter=3, tol=0.0,
+                    init=[s[1] for s in seeds])
+    return res.labeled.select("path", "cluster")
+
+
 def kmeans_update(spark, sf_dir):
     return km.cluster_stats(_first_assignment(spark, sf_dir)[2], NORM_FEATURES, decimals=ROUND)
 
@@ -238,6 +246,7 @@ _CLUSTER_QUERIES = {
     "kmeanspp_d2": kmeanspp_d2,
     "kmeanspp_d2_total": kmeanspp_d2_total,
     "kmeans_assign": kmeans_assign,
+    "kmeans_lloyd3": kmeans_lloyd3,
     "kmeans_update": kmeans_update,
     "kmeans_shift": kmeans_shift,
     "cluster_rows": cluster_rows,
