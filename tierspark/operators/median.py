@@ -128,14 +128,19 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
         c = candidates(rest)
         w = Window.partitionBy(*keys).orderBy("v")
         ranked = c.withColumn("_r", F.row_number().over(w) - 1)
-        b = bounds_frame(rest)
-        want = set()
-        for k in rest:
-            below, tg = state[k][2], state[k][4]
-            for t, v in tg.items():
-                if v is None:
-                    want.add(t - below)
-        picked = ranked.where(F.col("_r").isin(sorted(want))).select(*keys, "_r", "v").collect()
+        # exactly the wanted (group, rank) pairs: at most two per group
+        want = [(*k, t - state[k][2]) for k in rest for t, v in state[k][4].items() if v is None]
+        tschema = T.StructType(
+            [df.schema[c2] if c2 in df.columns else T.StructField(c2, T.StringType())
+             for c2 in gcols]
+            + [T.StructField("feature", T.StringType()), T.StructField("_r", T.IntegerType())])
+        targets = F.broadcast(spark.createDataFrame(want, tschema))
+        on = [ranked[c2].eqNullSafe(targets[c2]) for c2 in keys + ["_r"]]
+        cond = on[0]
+        for c2 in on[1:]:
+            cond = cond & c2
+        picked = (ranked.join(targets, cond, "left_semi")
+                  .select(*keys, "_r", "v").collect())
         got = {}
         for r in picked:
             got[(tuple(r[c2] for c2 in keys), int(r["_r"]))] = float(r["v"])
@@ -144,7 +149,6 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
             for t in tg:
                 if tg[t] is None:
                     tg[t] = got[(k, t - below)]
-        del b
 
     med = {}
     for k, s in state.items():
