@@ -72,3 +72,13 @@ def test_property_random_groups(spark):
             assert got[g] == _np_median([v for h, v in rows if h == g])
 
     check()
+
+
+def test_many_groups_with_a_small_histogram_budget(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(g), float(v)) for g in range(30) for v in rng.normal(g, 1.0, 25)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: r["v"] for r in exact_medians(df, ["g"], ["v"], max_candidates=5,
+                                                 max_hist_rows=60).collect()}
+    for g in range(30):
+        assert got[g] == _np_median([v for h, v in rows if h == g])

@@ -14,7 +14,8 @@ would land in a single task. Instead this is a distributed selection:
 3. the remaining candidates (at most ``max_candidates`` per group) are ranked
    with a window partitioned by group.
 
-Every pass returns at most groups x buckets rows. Bucket ids are monotone in
+Every pass returns at most groups x buckets rows (buckets shrink when there are
+many groups, so a pass returns about ``max_hist_rows`` rows at most). Bucket ids are monotone in
 the value, so bucket order is value order. The median of an even count is
 ``(a + b) / 2`` of the two middle values.
 """
@@ -34,7 +35,8 @@ def _long(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str]) -
 
 def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str],
                   max_candidates: int = 1_000_000, buckets: int = 1024,
-                  max_passes: int = 256, max_group_size: int | None = None) -> DataFrame:
+                  max_passes: int = 256, max_group_size: int | None = None,
+                  max_hist_rows: int = 1_000_000) -> DataFrame:
     """Wide result: ``group_cols`` + one median column per ``value_cols`` entry
     (NULL when a group has no value in that column).
 
@@ -91,10 +93,12 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
         if not big:
             break
         passes += 1
+        # keep one pass's result at about max_hist_rows rows, whatever the group count
+        nb = min(buckets, max(4, max_hist_rows // len(big)))
         c = candidates(big)
         half_span = F.col("_hi") / 2 - F.col("_lo") / 2
         frac = (F.col("v") / 2 - F.col("_lo") / 2) / half_span
-        bucket = F.least(F.floor(frac * F.lit(float(buckets))), F.lit(buckets - 1)).cast("int")
+        bucket = F.least(F.floor(frac * F.lit(float(nb))), F.lit(nb - 1)).cast("int")
         hist = (c.groupBy(*keys, bucket.alias("b"))
                 .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("bmin"),
                      F.max("v").alias("bmax")).collect())
