@@ -39,7 +39,7 @@ def run_noop(df):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = max(0, int(os.environ.get("BENCH_REPEAT", "2")))
     conf = {}
     if os.environ.get("BENCH_EVENT_LOG_DIR"):
         conf = {"spark__eventLog__enabled": "true",
@@ -99,7 +99,7 @@ def main():
             t0 = time.perf_counter()
             fn()
             dt = time.perf_counter() - t0
-            if rnd > 0:
+            if rnd > 0 or repeat == 0:
                 best[name] = min(best.get(name, dt), dt)
     sf = os.path.basename(sf_dir).replace("sf", "")
     out = {"metric": "end_to_end", "value": round(best["end_to_end"], 3), "unit": "sec",
