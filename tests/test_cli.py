@@ -19,8 +19,15 @@ def test_feature_then_classification_job(spark, tmp_out):
     assert feats.count() == 150
     assert feats.columns[:6] == ["path", "access_freq", "age_seconds", "write_ratio",
                                  "locality", "concurrency"]
+    import json
+    from tierspark.schemas import DEFAULT_RULES
+    rules = DEFAULT_RULES.to_dict()
+    rules["global_medians"] = {f: 0.4 for f in rules["features"]}
+    with open(f"{tmp_out}/rules.json", "w") as fh:
+        json.dump(rules, fh)
     classification_job.main(["--input_path", f"{tmp_out}/features", "--k", "4",
-                             "--output_csv", f"{tmp_out}/final", "--files_out", f"{tmp_out}/tiers"])
+                             "--output_csv", f"{tmp_out}/final", "--files_out", f"{tmp_out}/tiers",
+                             "--rules", f"{tmp_out}/rules.json"])
     parts = glob.glob(f"{tmp_out}/final/part-*.csv")
     assert len(parts) == 1
     lines = open(parts[0]).read().splitlines()

@@ -125,3 +125,13 @@ def test_replaceable_deviation_weight(spark):
         want += w[f_] * abs(dv) ** 3
     assert got["Hot"] == pytest.approx(want, rel=1e-12)
     assert got["Moderate"] == 0.0
+
+
+def test_rules_json_round_trip():
+    import json
+    d = json.loads(json.dumps(DEFAULT_RULES.to_dict()))
+    assert Rules.from_dict(d) == DEFAULT_RULES
+    changed = Rules.from_dict({"global_medians": {f: 0.25 for f in NORM_FEATURES}})
+    assert changed.global_medians["age_norm"] == 0.25 and changed.weights == DEFAULT_RULES.weights
+    with pytest.raises(ValueError):
+        Rules.from_dict({"replication_factors": {"Hot": 3}})

@@ -120,11 +120,19 @@ def main(argv=None) -> None:
     ap.add_argument("--seed", type=int, default=42)
     ap.add_argument("--method", default="lloyd", choices=["lloyd", "mllib"])
     ap.add_argument("--medians_from", default="rules", choices=["rules", "data"])
+    ap.add_argument("--rules", default=None,
+                    help="JSON rule set (keys as Rules.to_dict); defaults to the built-in rules")
     a = ap.parse_args(argv)
+    rules = DEFAULT_RULES
+    if a.rules:
+        import json
+        with open(a.rules) as fh:
+            rules = Rules.from_dict(json.load(fh))
     spark = build_session(app="tierspark-classify")
     feats = read_features(spark, a.input_path, a.format)
     size_shuffle_partitions(spark, feats)
-    run = classify_files(feats, a.k, seed=a.seed, method=a.method, medians_from=a.medians_from)
+    run = classify_files(feats, a.k, rules, seed=a.seed, method=a.method,
+                         medians_from=a.medians_from)
     write_table(run.table, a.output_csv, fmt="csv", single_file=True)
     if a.files_out:
         write_table(run.files, a.files_out, fmt="parquet")

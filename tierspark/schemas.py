@@ -71,6 +71,27 @@ class Rules:
     moderate: str = "Moderate"
     moderate_band: float = 0.1
 
+    def to_dict(self) -> dict:
+        return {"features": list(self.features), "global_medians": dict(self.global_medians),
+                "weights": {c: dict(v) for c, v in self.weights.items()},
+                "directions": {c: dict(v) for c, v in self.directions.items()},
+                "replication_factors": dict(self.replication_factors),
+                "categories": list(self.categories), "moderate": self.moderate,
+                "moderate_band": self.moderate_band}
+
+    @classmethod
+    def from_dict(cls, d: dict) -> "Rules":
+        """Rule set from a mapping (e.g. parsed JSON); missing keys keep the
+        default rule set's values."""
+        base = DEFAULT_RULES.to_dict()
+        base.update(d)
+        return cls(tuple(base["features"]), dict(base["global_medians"]),
+                   {c: dict(v) for c, v in base["weights"].items()},
+                   {c: {f: int(x) for f, x in v.items()} for c, v in base["directions"].items()},
+                   {c: int(v) for c, v in base["replication_factors"].items()},
+                   tuple(base["categories"]), base["moderate"],
+                   float(base["moderate_band"])).validate()
+
     def to_frame(self, spark):
         """Long rule table: category, ord, feature, weight, direction, rf, global_median."""
         rows = [(c, i, f, float(self.weights[c][f]), int(self.directions[c][f]),
