@@ -124,3 +124,23 @@ def test_shuffle_partitions_sized_from_input(spark):
     assert estimated_bytes(df) > 0
     n = size_shuffle_partitions(spark, df)
     assert n == int(spark.conf.get("spark.sql.shuffle.partitions")) >= 4
+
+
+def test_materialize_writes_under_the_session_checkpoint_dir(spark):
+    from tierspark.session import checkpoint_root, materialize
+    root = checkpoint_root(spark)
+    conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if conf_dir:
+        assert root == conf_dir.rstrip("/")
+    df = materialize(spark.range(10).withColumnRenamed("id", "x"), "unit")
+    files_read = df.inputFiles()
+    assert files_read and all(root.replace("file:", "") in f.replace("file:", "") for f in files_read)
+    assert df.count() == 10
+
+
+def test_registry_queries_leave_no_cached_tables(spark):
+    import __spark_entry__ as entry
+    from tests.conftest import SF_SMALL
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    entry.queries()["kmeans_update"](spark, SF_SMALL).collect()
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
