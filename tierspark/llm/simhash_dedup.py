@@ -298,12 +298,11 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowd: int
 
 def keep_one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component."""
-    groups = near_groups(docs, shingle, max_bits)
     # a null id is the largest key: it stays only where its component has no id at all
-    kept = groups.where("d = component").select("d").distinct()
+    gone = near_groups(docs, shingle, max_bits).where("d != component").select("d").distinct()
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                         order_id().alias("d"))
-    return boxed.join(kept, "d", "left_semi").select("row.*")
+    return boxed.join(gone.hint("shuffle_hash"), "d", "left_anti").select("row.*")
 
 
 def op10_simhash(spark, sf_dir):
