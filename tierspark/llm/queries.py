@@ -4,7 +4,7 @@ can express. The others are tested against brute force in ``tests/llm``."""
 from __future__ import annotations
 
 from . import (chunk_dedup, decontaminate, histogram_shard, langid_kn, line_dedup,
-               pfair_mix, quality_qda, secret_scan, simhash_dedup)
+               pfair_mix, quality_qda, secret_scan, simhash_dedup, suffix_dedup)
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_quality": quality_qda.op2_quality,
         "op3_mix": pfair_mix.op3_mix,
+        "op4_suffix": suffix_dedup.op4_suffix,
         "op5_exact_dedup": chunk_dedup.op5_exact_dedup,
         "op6_secrets": secret_scan.op6_secrets,
         "op7_language": langid_kn.op7_language,
