@@ -13,7 +13,8 @@ string starts each.
    run goes to a bucket. Deep-shallow sorting (multikey quicksort, then blind tries)
    orders the suffixes that start at the anchor, and the reversed prefixes that end
    there; the common prefixes of the two orders say which strings any two runs share.
-3. A bucket with more than ``crowd`` different runs is not sorted in one task: its strings
+3. A bucket is sorted by one task, in memory for ``crowd`` runs of at most 736 bytes and
+   in time proportional to their number. Of a bucket with more different runs the strings
    are counted by digest over all tasks instead, which is exact as well.
 4. The settled string starts become byte ranges per document, which are cut out.
 
@@ -202,19 +203,33 @@ def _maybe(docs: DataFrame, held, inside: bool) -> DataFrame:
 
 def shared_strings(slices: list[tuple[int, bytes]], span: int) -> list[list[tuple[int, int]]]:
     """Of runs (anchor's offset, bytes) with one anchor: per run the ranges of offsets a
-    (anchor minus string start) of the strings that another run holds too."""
+    (anchor minus string start) of the strings that another run holds too.
+
+    The string at offset a is the last a bytes before the anchor and span - a bytes from
+    it on, so two runs share it if they agree that far in both orders. Few runs are
+    compared in pairs; many are numbered, for each a, by how far neighbours agree, which
+    takes time in proportion to their number.
+    """
+    right = deep_shallow([c[off:] for off, c in slices])
+    left = deep_shallow([c[:off][::-1] for off, c in slices])
+    if len(slices) <= PAIRWISE:
+        return _by_pairs(left, right, span)
+    return _by_classes(left, right, span, max(off for off, _ in slices))
+
+
+#: Up to so many runs, comparing all of a bucket in pairs is the faster form.
+PAIRWISE = 48
+
+
+def _by_pairs(left, right, span: int) -> list[list[tuple[int, int]]]:
     import numpy as np
-    right = [c[off:] for off, c in slices]
-    left = [c[:off][::-1] for off, c in slices]
-    r = common_matrix(*deep_shallow(right))
-    l = common_matrix(*deep_shallow(left))
+    r, l = common_matrix(*right), common_matrix(*left)
     lo = np.maximum(span - r, 0)
-    ok = (lo <= l) & ~np.eye(len(slices), dtype=bool)
+    ok = (lo <= l) & ~np.eye(len(r), dtype=bool)
     out = []
-    for m in range(len(slices)):
-        pairs = sorted(zip(lo[m][ok[m]].tolist(), l[m][ok[m]].tolist()))
+    for m in range(len(r)):
         own: list[tuple[int, int]] = []
-        for a, b in pairs:
+        for a, b in sorted(zip(lo[m][ok[m]].tolist(), l[m][ok[m]].tolist())):
             if own and a <= own[-1][1] + 1:
                 own[-1] = (own[-1][0], max(own[-1][1], b))
             else:
@@ -223,6 +238,30 @@ def shared_strings(slices: list[tuple[int, bytes]], span: int) -> list[list[tupl
     return out
 
 
+def _by_classes(left, right, span: int, widest: int) -> list[list[tuple[int, int]]]:
+    import numpy as np
+    n = len(left[0])
+
+    def classes(order, common, depth):
+        """Number of each run's class of equal first ``depth`` bytes."""
+        own = np.empty(n, np.int64)
+        own[order] = np.cumsum(np.array(common) < depth)
+        return own
+
+    (lo, lc), (ro, rc) = left, right
+    hit = np.zeros((widest + 3, n), np.int8)  # a row of zeros before and after
+    for a in range(min(widest, span) + 1):
+        key = classes(lo, lc, a) * (n + 1) + classes(ro, rc, span - a)
+        _, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        hit[a + 1] = count[at] > 1
+    edge = np.diff(hit, axis=0)
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    firsts, lasts = np.argwhere(edge.T == 1), np.argwhere(edge.T == -1)
+    for (m, a), (_, b) in zip(firsts.tolist(), lasts.tolist()):
+        out[m].append((a, b - 1))
+    return out
+
+
 def _sort_buckets(span: int):
     """Rows sorted by h -> ranges of string starts, relative to the run, that repeat."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +322,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return t.select("d", F.xxhash64("t").alias("th"), "t")
 
 
-def repeated_ranges(docs: DataFrame, span: int = 400, crowd: int = 256) -> DataFrame:
+def repeated_ranges(docs: DataFrame, span: int = 400, crowd: int = 20_000) -> DataFrame:
     """(d, th, cuts): per document the byte ranges to cut, not yet merged."""
     texts = _texts(docs)
     counted = texts.select("t").mapInArrow(_runs(span, False), _schema(COUNT))
@@ -348,7 +387,7 @@ RESULT = {"d": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_sp
           "kept": pa.binary()}
 
 
-def remove_repeats(docs: DataFrame, span: int = 400, crowd: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 400, crowd: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes), one row per row of ``docs``."""
     cuts = materialize(repeated_ranges(docs, span, crowd), "cuts")
     held, texts = _bit_table(cuts.select("d", "th")), _texts(docs)
