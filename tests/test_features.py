@@ -36,6 +36,29 @@ def test_duplicate_manifest_path_is_rejected(spark):
         compute_features(m, log, check_unique=True)
 
 
+def test_repeated_manifest_path_keeps_locality_a_share(spark):
+    m, log = frames(spark, [("a", 0.0, "dn1"), ("a", 0.0, "dn1"), ("a", 5.0, "dn2"), ("b", 0.0, "dn2")],
+                    [("a", 1.0, "READ", "dn1"), ("a", 2.0, "READ", "dn1"), ("a", 2.5, "READ", "dn2"),
+                     ("b", 1.0, "READ", "dn1")])
+    rows = compute_features(m, log).features.collect()
+    assert sorted(r["locality"] for r in rows) == [0.0, 1 / 3, 2 / 3, 2 / 3]
+    assert {r["access_freq"] for r in rows if r["path"] == "a"} == {3}
+
+
+def test_one_null_path_is_unique(spark):
+    from tierspark.plans.feature_job import check_unique_paths
+    m, _ = frames(spark, [(None, 0.0, "dn1"), ("a", 0.0, "dn1")], [])
+    check_unique_paths(m)
+
+
+def test_log_rows_without_a_path_are_not_local(spark):
+    m, log = frames(spark, [("a", 0.0, "dn1"), (None, 0.0, "dn1")],
+                    [(None, 1.0, "READ", "dn1"), ("a", 1.0, "WRITE", "dn1")])
+    got = sorted((str(r["path"]), r["is_local"], r["is_write"]) for r in
+                 feat.op_flags(log, m).collect())
+    assert got == [("None", 0, 0), ("a", 1, 1)]
+
+
 def test_empty_log_uses_wall_clock_or_override(spark):
     m, log = frames(spark, [("a", 100.0, "dn1"), ("b", 200.0, "dn2")], [])
     before = time.time()

@@ -29,6 +29,43 @@ def test_manifest_binds_by_header_name(spark, tmp_out):
     assert rows["/b"]["creation_epoch"] is None
 
 
+def test_files_with_other_header_orders_are_read_by_name(spark, tmp_out):
+    _write_text(f"{tmp_out}/m/part-0.csv", "path,creation_ts,primary_node\n/a,t,dn1\n/c,t,dn3\n")
+    _write_text(f"{tmp_out}/m/part-1.csv", "primary_node,path,creation_ts,category\ndn2,/b,t,hot\n")
+    rows = {r["path"]: r for r in files.read_manifest(spark, f"{tmp_out}/m").collect()}
+    assert {p: r["primary_node"] for p, r in rows.items()} == {"/a": "dn1", "/b": "dn2", "/c": "dn3"}
+    assert rows["/b"]["category"] == "hot" and rows["/a"]["category"] is None
+
+
+def test_feature_table_with_missing_columns_is_refused(spark, tmp_out):
+    _write_text(f"{tmp_out}/f/part-0.csv", "path,access_freq\n/a,1\n")
+    with pytest.raises(ValueError, match="lacks"):
+        files.read_features(spark, f"{tmp_out}/f", "csv")
+
+
+def test_export_keeps_the_input_order_of_equal_times(spark, tmp_out):
+    t = "2025-01-01T00:00:0{}.000Z"
+    rows = [(t.format(i % 2), f"/p{9 - i}", "READ", "dn1", str(i)) for i in range(10)]
+    log = spark.createDataFrame(rows, "ts_iso string, path string, op string, client_node string, pid string")
+    got = [r["pid"] for r in files.export_log(log).collect()]
+    assert got == ["0", "2", "4", "6", "8", "1", "3", "5", "7", "9"]
+
+
+def test_a_closed_run_leaves_nothing_behind(spark, tmp_out):
+    from tests.conftest import SF_SMALL
+    from tierspark.plans.pipeline import run_tiering
+    from tierspark.session import checkpoint_root
+    from tierspark.sources.driver_tables import VIEWS
+    root = checkpoint_root(spark).replace("file:", "") + "/tierspark"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    v = VIEWS["customer_events"]
+    run = run_tiering(v.manifest(spark, SF_SMALL), v.log(spark, SF_SMALL), v.width)
+    assert len(run.table.collect()) == 4 and run.files.count() == 150
+    assert set(os.listdir(root)) - before
+    run.close()
+    assert set(os.listdir(root)) <= before
+
+
 def test_access_log_binds_by_position(spark, tmp_out):
     _write_text(f"{tmp_out}/log/a.csv",
                 "2025-12-15T06:37:19.767Z,/a,READ,dn1,1234\n"
@@ -92,8 +129,9 @@ def test_result_table_sink(spark, tmp_out):
 
 
 def test_iso_millis_truncates(spark):
-    from tierspark.functions.timefmt import epoch_to_ntz, iso_millis
-    df = spark.range(1).select(iso_millis(epoch_to_ntz(F.lit(1765780639.7679))).alias("s"))
+    from tierspark.functions.timefmt import iso_millis
+    ts = F.lit("2025-12-15 06:37:19.767900").cast("timestamp_ntz")
+    df = spark.range(1).select(iso_millis(ts).alias("s"))
     assert df.collect()[0]["s"] == "2025-12-15T06:37:19.767Z"
 
 

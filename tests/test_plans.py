@@ -20,22 +20,34 @@ def test_feature_plan_has_no_pairwise_join_and_prunes_the_log(spark):
     p = plan(fs)
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
     scans = re.findall(r"FileScan parquet [^\n]*lineitem[^\n]*", p)
-    assert len(scans) == 2                       # two narrow scans, no row-level log join
+    assert len(scans) == 1                       # one narrow scan, no row-level log join
     for s in scans:
         assert "l_quantity" not in s and "l_extendedprice" not in s and "l_tax" not in s
-    # both log aggregates combine map-side before their first exchange
-    assert p.count("partial_count") >= 2
+    assert "partial_sum" in p                    # combined map-side before the exchange
+
+
+def test_csv_log_is_parsed_once(spark, tmp_out):
+    from tierspark.sources import files
+    v = VIEWS["customer_events"]
+    files.write_access_log_text(v.log_text(spark, SF_SMALL), f"{tmp_out}/log")
+    log = files.parse_access_log(files.read_access_log(spark, f"{tmp_out}/log"))
+    p = plan(feat.file_stats(v.manifest(spark, SF_SMALL), log, v.width))
+    assert len(re.findall("FileScan csv", p)) == 1
+
+
+def test_no_key_of_the_log_is_unsplit_in_op_flags(spark):
+    v = VIEWS["customer_events"]
+    p = plan(feat.op_flags(v.log(spark, SF_SMALL), v.manifest(spark, SF_SMALL)))
+    for keys in re.findall(r"hashpartitioning\(([^)]*)\)", p):
+        assert "salt" in keys
 
 
 def test_lloyd_update_is_one_aggregate_without_join(spark):
     df = spark.createDataFrame([(str(i), *[i / 10.0] * 5) for i in range(20)],
                                "path string, " + ", ".join(f"{c} double" for c in NORM_FEATURES))
     lab = km.assign(df, NORM_FEATURES, [[0.0] * 5, [1.0] * 5])
-    q = lab.selectExpr(*[f"avg(CASE WHEN cluster = {j} THEN {c} END) AS m{j}_{c}"
-                         for j in range(2) for c in NORM_FEATURES])
-    p = plan(q)
-    assert "Join" not in p
-    assert "hashpartitioning" not in p.lower()   # no exchange keyed by cluster
+    p = plan(km.cluster_stats(lab, NORM_FEATURES, 2))
+    assert "partial_sum" in p and "Cartesian" not in p and "NestedLoop" not in p
 
 
 def test_seed_pick_is_an_aggregate_not_a_sort(spark):

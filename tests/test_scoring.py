@@ -3,10 +3,11 @@
 import pytest
 
 from tierspark.operators.median import exact_medians
-from tierspark.operators.scoring import category_scores, classify, classify_medians
+from tierspark.operators.scoring import category_scores, classify
 from tierspark.schemas import DEFAULT_RULES, NORM_FEATURES, Rules
 
-# Scorer demo: four clusters, two features (values as listed in FIXTURES.md section 5).
+# Fixed values (the scorer demo as listed in FIXTURES.md section 5): four clusters, two
+# features, and their rules.
 DEMO = {
     0: {"IOPS": [100, 110, 105], "Latency": [2, 3, 2.5]},
     1: {"IOPS": [50, 55, 60], "Latency": [5, 6, 5.5]},
@@ -39,8 +40,7 @@ def test_scorer_demo(spark):
     scores = category_scores(meds, DEMO_RULES).collect()
     for r in scores:
         assert r["score"] == pytest.approx(GOLDEN[r["cluster"]][0][r["category"]], rel=1e-12)
-    cats = {r["cluster"]: r["category"] for r in classify(category_scores(meds, DEMO_RULES),
-                                                          DEMO_RULES).collect()}
+    cats = {r["cluster"]: r["category"] for r in classify(meds, DEMO_RULES).collect()}
     assert cats == {c: g[1] for c, g in GOLDEN.items()}
 
 
@@ -52,7 +52,7 @@ def test_empty_cluster_scores_zero_and_ties_to_highest_rf(spark):
     meds = _meds(spark, [(0, None, None, None, None, None)])
     scores = category_scores(meds).collect()
     assert all(r["score"] == 0.0 for r in scores)
-    assert classify_medians(meds).collect()[0]["category"] == "Archival"
+    assert classify(meds).collect()[0]["category"] == "Archival"
 
 
 def test_zero_delta_scores_only_moderate(spark):
@@ -60,7 +60,7 @@ def test_zero_delta_scores_only_moderate(spark):
     s = {r["category"]: r["score"] for r in category_scores(meds).collect()}
     assert s["Hot"] == s["Shared"] == s["Archival"] == 0.0
     assert s["Moderate"] == pytest.approx(2.5)
-    assert classify_medians(meds).collect()[0]["category"] == "Moderate"
+    assert classify(meds).collect()[0]["category"] == "Moderate"
 
 
 def test_moderate_band_is_strict(spark):
@@ -79,7 +79,7 @@ def test_tie_on_score_prefers_replication_factor_then_order(spark):
                   {"A": {"x": 1}, "B": {"x": 1}, "C": {"x": 1}}, {"A": 1, "B": 2, "C": 2},
                   ("A", "B", "C"))
     meds = spark.createDataFrame([(0, 2.0)], "cluster int, x double")
-    assert classify_medians(meds, rules).collect()[0]["category"] == "B"
+    assert classify(meds, rules).collect()[0]["category"] == "B"
 
 
 def test_default_rules_are_the_fixed_values():
@@ -90,27 +90,11 @@ def test_default_rules_are_the_fixed_values():
     assert r.replication_factors == {"Hot": 3, "Shared": 2, "Moderate": 1, "Archival": 4}
 
 
-def test_cluster_names_round_trip(spark):
+def test_cluster_names(spark):
     from pyspark.sql import functions as F
-    from tierspark.functions.formatting import cluster_name, cluster_number
+    from tierspark.functions.formatting import cluster_name
     df = spark.range(3).select(cluster_name(F.col("id")).alias("name"))
     assert [r["name"] for r in df.collect()] == ["C0", "C1", "C2"]
-    assert [r[0] for r in df.select(cluster_number(F.col("name"))).collect()] == [0, 1, 2]
-
-
-def test_wide_and_long_classification_agree(spark):
-    from tierspark.operators.scoring import classify_wide
-    rows = [(0, 0.9, 0.1, 0.9, 0.9, 0.9), (1, 0.5, 0.5, 0.5, 0.5, 0.5), (2, 0.1, 0.9, 0.1, 0.1, 0.1),
-            (3, None, None, None, None, None), (4, 0.6, 0.6, 0.6, 0.6, 0.6)]
-    meds = _meds(spark, rows)
-    a = sorted(map(tuple, classify_wide(meds).collect()))
-    b = sorted(map(tuple, classify_medians(meds).collect()))
-    assert a == b
-    demo = exact_medians(spark.createDataFrame(
-        [(c, float(i), float(l)) for c, f in DEMO.items() for i, l in zip(f["IOPS"], f["Latency"])],
-        "cluster int, IOPS double, Latency double"), ["cluster"], ["IOPS", "Latency"])
-    got = {r["cluster"]: r["category"] for r in classify_wide(demo, DEMO_RULES).collect()}
-    assert got == {c: g[1] for c, g in GOLDEN.items()}
 
 
 def test_replaceable_deviation_weight(spark):

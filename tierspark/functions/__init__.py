@@ -2,15 +2,13 @@
 
 from tierspark.functions.timefmt import (
     epoch_seconds, parse_iso_epoch, parse_iso_whole_seconds, iso_millis, iso_micros,
-    epoch_to_ntz,
 )
 from tierspark.functions.hashing import uniform01
-from tierspark.functions.vectors import sq_dist, nearest_index
-from tierspark.functions.formatting import (centroid_id, centroid_id_text, cluster_name,
-                                            cluster_number)
+from tierspark.functions.vectors import min_sq_dist, nearest_index
+from tierspark.functions.formatting import centroid_id_text, cluster_name
 
 __all__ = [
     "epoch_seconds", "parse_iso_epoch", "parse_iso_whole_seconds", "iso_millis",
-    "iso_micros", "epoch_to_ntz", "uniform01", "sq_dist", "nearest_index",
-    "centroid_id", "centroid_id_text", "cluster_name", "cluster_number",
+    "iso_micros", "uniform01", "min_sq_dist", "nearest_index", "centroid_id_text",
+    "cluster_name",
 ]

@@ -4,35 +4,16 @@ from __future__ import annotations
 
 from typing import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
-
-
-@F.pandas_udf(T.StringType())
-def _fixed4(v: pd.Series) -> pd.Series:
-    # Python's %-formatting: the exact binary value, rounded half to even
-    return v.map(lambda x: None if pd.isna(x) else f"{x:.4f}")
-
-
-def centroid_id(cols: Sequence[str]) -> Column:
-    """``CENTROID_`` + the centroid's values to 4 decimals, joined by ``_``.
-
-    Meant for the k-row centroid table. Formatting happens in Python so that
-    rounding follows the exact binary value: ``format_string`` rounds half up on
-    the shortest decimal form and differs on values such as 0.03125."""
-    return F.concat_ws("_", F.lit("CENTROID"), *[_fixed4(F.col(c)) for c in cols])
+from pyspark.sql import Column, functions as F
 
 
 def centroid_id_text(values: Sequence[float], decimals: int = 4) -> str:
-    """Driver-side form of :func:`centroid_id` for centroids already collected."""
+    """``CENTROID_`` + the centroid's values to 4 decimals, joined by ``_``. Formatted on
+    the driver, which holds the k centroids anyway; rounding follows the exact binary
+    value (``format_string`` rounds half up on the shortest decimal form)."""
     return "_".join(["CENTROID"] + [f"{float(v):.{decimals}f}" for v in values])
 
 
 def cluster_name(cluster: Column) -> Column:
     """Integer cluster id -> ``C{i}``."""
     return F.concat(F.lit("C"), cluster.cast("string"))
-
-
-def cluster_number(name: Column) -> Column:
-    """``C{i}`` -> integer id."""
-    return F.regexp_replace(name, "^C", "").cast("int")

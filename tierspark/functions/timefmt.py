@@ -36,12 +36,6 @@ def parse_iso_whole_seconds(text: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(text)).cast("double")
 
 
-def epoch_to_ntz(epoch: Column) -> Column:
-    """Epoch seconds (double) -> TIMESTAMP_NTZ wall clock in UTC (no zone lookup)."""
-    micros = F.floor(epoch * F.lit(1_000_000.0) + F.lit(0.5))
-    return F.timestamp_add("MICROSECOND", micros, _ntz_epoch())
-
-
 def iso_millis(ts_ntz: Column) -> Column:
     """UTC wall clock -> ``yyyy-MM-ddTHH:mm:ss.SSSZ``; milliseconds truncated."""
     return F.date_format(ts_ntz, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -1,11 +1,10 @@
 """Distances to a small set of centres held as literals.
 
-Centres are at most k x d numbers known on the driver; they enter the plan as
-double literals, so the per-row work is plain arithmetic inside whole-stage
-codegen and no points x centres join is formed. Expressions are produced as one
-SQL string each (a single call into the JVM instead of hundreds of small Column
-calls per iteration); doubles are written as ``repr(x)D``, which parses back
-to exactly the same double.
+Centres are at most k x d numbers known on the driver; they enter the plan as one
+array literal, and a higher-order function gives each row its k distances, so no
+points x centres join is formed, the generated code neither grows with k x d nor
+is compiled anew when the centres move. Expressions are one SQL string each;
+doubles are written as ``repr(x)D``, which parses back to exactly the same double.
 """
 
 from __future__ import annotations
@@ -27,81 +26,28 @@ def qcol(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def sq_dist_sql(cols: Sequence[str], center: Sequence[float]) -> str:
-    """Squared Euclidean distance, summed in the fixed feature order."""
-    terms = []
-    for c, v in zip(cols, center):
-        q, lv = qcol(c), dlit(v)
-        terms.append(f"({q} - {lv}) * ({q} - {lv})")
-    return "(" + " + ".join(terms) + ")"
+def complete_sql(cols: Sequence[str]) -> str:
+    """No coordinate is NULL or NaN (one sum tells: either would make it so)."""
+    return f"NOT isnan(coalesce({' + '.join(f'abs({qcol(c)})' for c in cols)}, double('nan')))"
 
 
-def nearest_index_sql(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> str:
-    """Index of the nearest centre, the lowest index winning a tie:
-    ``array_min`` over (distance, index) structs orders by distance, then index."""
-    if len(centers) == 1:
-        return "0"
-    pairs = ", ".join(f"named_struct('d', {sq_dist_sql(cols, c)}, 'i', {i})"
-                      for i, c in enumerate(centers))
-    return f"array_min(array({pairs})).i"
+def distances_sql(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> str:
+    """Array of squared distances to every centre, in centre order, each summed in
+    the fixed feature order."""
+    rows = ", ".join("array(" + ", ".join(dlit(v) for v in c) + ")" for c in centers)
+    terms = " + ".join(f"({qcol(c)} - c[{i}]) * ({qcol(c)} - c[{i}])" for i, c in enumerate(cols))
+    return f"transform(array({rows}), c -> {terms})"
 
 
-def min_sq_dist_sql(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> str:
-    ds = [sq_dist_sql(cols, c) for c in centers]
-    return ds[0] if len(ds) == 1 else "least(" + ", ".join(ds) + ")"
+def nearest_index(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
+    """Nearest centre, lowest index on ties; NULL for a point with a missing coordinate."""
+    first = (f"transform(array({distances_sql(cols, centers)}), "
+             "d -> CAST(array_position(d, array_min(d)) - 1 AS INT))[0]")
+    return F.expr(f"CASE WHEN {complete_sql(cols)} THEN {first} END")
 
 
-# Above this many distance terms (k x d) one literal expression per centre grows
-# past the JVM's 64 KB method limit; the centres then travel as one array literal
-# and the distances are computed with higher-order functions (same left-to-right
-# sums, so the same doubles).
-LITERAL_TERMS_MAX = 256
-# Literal centres change every iteration, so each pass compiles new code
-# (~0.1-0.2 s). Below this many distance terms per pass (rows x k x d) the
-# array form, whose generated code does not change, is cheaper overall.
-SMALL_PASS_TERMS = 4_000_000
-
-
-def use_arrays(cols: Sequence[str], centers: Sequence[Sequence[float]],
-               n_rows: int | None = None) -> bool:
-    terms = len(cols) * len(centers)
-    if terms > LITERAL_TERMS_MAX:
-        return True
-    return n_rows is not None and n_rows * terms <= SMALL_PASS_TERMS
-
-
-def point_array_sql(cols: Sequence[str]) -> str:
-    return "array(" + ", ".join(f"CAST({qcol(c)} AS DOUBLE)" for c in cols) + ")"
-
-
-def centers_array_sql(centers: Sequence[Sequence[float]]) -> str:
-    return "array(" + ", ".join("array(" + ", ".join(dlit(v) for v in c) + ")"
-                                for c in centers) + ")"
-
-
-def distances_array_sql(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> str:
-    """Array of squared distances to every centre, in centre order."""
-    v = point_array_sql(cols)
-    return (f"transform({centers_array_sql(centers)}, c -> aggregate("
-            f"zip_with({v}, c, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x))")
-
-
-def sq_dist(cols: Sequence[str], center: Sequence[float]) -> Column:
-    return F.expr(sq_dist_sql(cols, center))
-
-
-def nearest_index(cols: Sequence[str], centers: Sequence[Sequence[float]],
-                  n_rows: int | None = None) -> Column:
-    """Nearest centre, lowest index on ties (first position of the minimum)."""
-    if use_arrays(cols, centers, n_rows):
-        ds = distances_array_sql(cols, centers)
-        return F.expr(f"CAST(array_position({ds}, array_min({ds})) - 1 AS INT)")
-    return F.expr(nearest_index_sql(cols, centers))
-
-
-def min_sq_dist(cols: Sequence[str], centers: Sequence[Sequence[float]],
-                n_rows: int | None = None) -> Column:
-    """Squared distance to the nearest centre (D^2 of k-means++)."""
-    if use_arrays(cols, centers, n_rows):
-        return F.expr(f"array_min({distances_array_sql(cols, centers)})")
-    return F.expr(min_sq_dist_sql(cols, centers))
+def min_sq_dist(cols: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
+    """Squared distance to the nearest centre (D^2 of k-means++); NULL for a point with a
+    missing coordinate."""
+    return F.expr(f"CASE WHEN {complete_sql(cols)} "
+                  f"THEN array_min({distances_sql(cols, centers)}) END")

@@ -5,14 +5,11 @@ Inputs (parsed forms, see :mod:`tierspark.sources`):
 * manifest: ``path, creation_epoch, primary_node`` (``path`` is the key);
 * log: ``path, ts_epoch, op, client_node``.
 
-Plan shape. The log is the big input; it is scanned for two partial
-aggregates and never joined row by row:
-
-1. ``(path, bucket)`` counts with writes, reads and the last timestamp
-   (map-side partial aggregation; a hot path spreads over its buckets), then
-   ``path`` totals and the peak bucket count (second partial aggregate);
-2. ``(path, client_node)`` counts, joined to the manifest's primary node to
-   count local accesses (the join input is at most paths x clients rows).
+Plan shape. The log is the big input. It is read once: one grouping-sets aggregate
+counts it by (path, bucket) and by (path, client node), combining in each task
+before the exchange, so a hot path spreads over its buckets and clients; a second
+aggregate makes one row per path, with the clients' counts in an array (at most
+one entry per client node). The raw log is never joined.
 
 Everything after that is per file (manifest-sized) and joins on ``path``.
 """
@@ -21,7 +18,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WRITE, READ = "WRITE", "READ"
 
@@ -30,19 +27,27 @@ def _is(op: str):
     return F.when(F.col("op") == F.lit(op), F.lit(1)).otherwise(F.lit(0))
 
 
-def op_flags(log: DataFrame, manifest: DataFrame) -> DataFrame:
+def op_flags(log: DataFrame, manifest: DataFrame, salts: int = 64) -> DataFrame:
     """Row-level flags: is_write, is_read, is_local (client == primary node).
 
     A log row whose path is not in the manifest keeps a NULL primary node and is
     not local; an op that is neither READ nor WRITE is neither; a NULL client is
     not local.
+
+    A path's log rows are dealt over ``salts`` parts by time and client, to meet a
+    copy of the manifest row in each, so a hot path is no single task; rows without
+    a path, which match nothing, stay out of the join.
     """
-    m = manifest.select("path", "primary_node")
-    return (log.join(m, "path", "left")
-            .select("path", "ts_epoch", "op", "client_node", "primary_node",
-                    _is(WRITE).alias("is_write"), _is(READ).alias("is_read"),
-                    F.when(F.col("client_node") == F.col("primary_node"), F.lit(1))
-                    .otherwise(F.lit(0)).alias("is_local")))
+    flags = ("path", "ts_epoch", "op", "client_node", "primary_node",
+             _is(WRITE).alias("is_write"), _is(READ).alias("is_read"),
+             F.when(F.col("client_node") == F.col("primary_node"), F.lit(1))
+             .otherwise(F.lit(0)).alias("is_local"))
+    m = manifest.where("path IS NOT NULL").select("path", "primary_node", F.explode(
+        F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("ts_epoch", "client_node", "op"), F.lit(salts)).cast("int")
+    met = log.where("path IS NOT NULL").withColumn("salt", salt).join(m, ["path", "salt"], "left")
+    none = log.where("path IS NULL").withColumn("primary_node", F.lit(None).cast("string"))
+    return met.select(*flags).unionByName(none.select(*flags))
 
 
 def access_freq(log: DataFrame) -> DataFrame:
@@ -76,21 +81,29 @@ def peak_concurrency(log: DataFrame, width: float = 1.0) -> DataFrame:
             .agg(F.max("n").alias("max_concurrency")))
 
 
-def path_stats(log: DataFrame, width: float = 1.0) -> DataFrame:
-    """One two-level aggregate for all per-path log statistics:
-    ``path, access_freq, writes, reads, max_concurrency, last_ts``."""
-    per_bucket = (log.groupBy(F.col("path"), bucket_of(width).alias("bucket"))
-                  .agg(F.count(F.lit(1)).alias("n"),
-                       F.sum(_is(WRITE)).cast("long").alias("w"),
-                       F.sum(_is(READ)).cast("long").alias("r"),
-                       F.max("ts_epoch").alias("t")))
-    return per_bucket.groupBy("path").agg(
-        F.sum("n").cast("long").alias("access_freq"),
-        F.sum("w").cast("long").alias("writes"),
-        F.sum("r").cast("long").alias("reads"),
-        F.max("n").alias("max_concurrency"),
+def log_counts(log: DataFrame, width: float = 1.0) -> DataFrame:
+    """Log rows as counts: path, bucket, client_node, n, w, r, t."""
+    return log.select("path", bucket_of(width).alias("bucket"), "client_node",
+                      F.lit(1).cast("long").alias("n"), _is(WRITE).cast("long").alias("w"),
+                      _is(READ).cast("long").alias("r"), F.col("ts_epoch").alias("t"))
+
+
+def path_table(counts: DataFrame) -> DataFrame:
+    """Per path, from one pass over (possibly already summed) counts:
+    ``path, access_freq, writes, reads, max_concurrency, last_ts, clients``, where
+    ``clients`` holds (client node, accesses)."""
+    sets = [["path", "bucket"], ["path", "client_node"]]
+    both = counts.groupingSets(sets, "path", "bucket", "client_node").agg(
+        F.grouping("client_node").alias("by_bucket"), F.sum("n").alias("n"),
+        F.sum("w").alias("w"), F.sum("r").alias("r"), F.max("t").alias("t"))
+    by_bucket, client = F.col("by_bucket") == 1, F.struct("client_node", "n")
+    return both.groupBy("path").agg(
+        F.sum(F.when(by_bucket, F.col("n"))).alias("access_freq"),
+        F.sum(F.when(by_bucket, F.col("w"))).alias("writes"),
+        F.sum(F.when(by_bucket, F.col("r"))).alias("reads"),
+        F.max(F.when(by_bucket, F.col("n"))).alias("max_concurrency"),
         F.max("t").alias("last_ts"),
-    )
+        F.collect_list(F.when(~by_bucket, client)).alias("clients"))
 
 
 def observation_end(log: DataFrame) -> DataFrame:
@@ -98,49 +111,25 @@ def observation_end(log: DataFrame) -> DataFrame:
     return log.agg(F.max("ts_epoch").alias("observation_end"))
 
 
-def client_counts(log: DataFrame) -> DataFrame:
-    """Accesses per (path, client node): the log pre-aggregated before any join."""
-    return log.groupBy("path", "client_node").agg(F.count(F.lit(1)).alias("n"))
-
-
-def local_accesses(log: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``path, local_accesses, total_accesses`` for manifest paths.
-
-    Joins the (path, client) pre-aggregate, not the raw log, to the manifest.
-    """
-    m = manifest.select("path", "primary_node")
-    cc = client_counts(log)
-    local = F.when(F.col("client_node") == F.col("primary_node"), F.col("n")).otherwise(F.lit(0))
-    return (cc.join(m, "path", "inner").groupBy("path")
-            .agg(F.sum(local).cast("long").alias("local_accesses"),
-                 F.sum("n").cast("long").alias("total_accesses")))
-
-
 def file_stats(manifest: DataFrame, log: DataFrame, width: float = 1.0) -> DataFrame:
     """Per-path table over manifest and log paths (full outer join on path):
     ``path, in_manifest, creation_epoch, access_freq, writes, reads,
     max_concurrency, last_ts, local_accesses``. Log-only paths are kept so that
     the observation end covers them; features use ``in_manifest`` rows only.
     """
-    return file_stats_from(manifest, path_stats(log, width), client_counts(log))
-
-
-def file_stats_from(manifest: DataFrame, stats: DataFrame, clients: DataFrame) -> DataFrame:
-    """:func:`file_stats` from already aggregated log statistics
-    (``path_stats`` shape) and (path, client_node, n) counts, e.g. those kept
-    up to date by the streaming job."""
-    m = manifest.select("path", "creation_epoch", "primary_node")
-    loc = (clients.join(m, "path", "inner").groupBy("path")
-           .agg(F.sum(F.when(F.col("client_node") == F.col("primary_node"), F.col("n"))
-                      .otherwise(F.lit(0))).cast("long").alias("local_accesses")))
-    # manifest-side left join first: its output keeps the manifest's path
-    # partitioning, so the full outer join with the log statistics adds no shuffle
-    return (m.withColumn("in_manifest", F.lit(True))
-            .join(loc, "path", "left")
-            .join(stats, "path", "full")
-            .select("path", F.coalesce("in_manifest", F.lit(False)).alias("in_manifest"),
-                    "creation_epoch", "access_freq", "writes", "reads",
-                    "max_concurrency", "last_ts", "local_accesses"))
+    return file_stats_from(manifest, path_table(log_counts(log, width)))
+
+
+def file_stats_from(manifest: DataFrame, paths: DataFrame) -> DataFrame:
+    """:func:`file_stats` from :func:`path_table` rows. Manifest rows that repeat a path
+    share its counts; each has the local accesses of its own primary node."""
+    m = manifest.select("path", "creation_epoch", "primary_node", F.lit(True).alias("in_manifest"))
+    local = F.expr("aggregate(filter(clients, c -> c.client_node = primary_node), 0L, "
+                   "(a, c) -> a + c.n)")
+    return m.join(paths, "path", "full").select(
+        "path", F.coalesce("in_manifest", F.lit(False)).alias("in_manifest"),
+        "creation_epoch", "access_freq", "writes", "reads", "max_concurrency", "last_ts",
+        local.alias("local_accesses"))
 
 
 def age_seconds(manifest: DataFrame, observation_end: float) -> DataFrame:
@@ -177,13 +166,17 @@ def mean_writes_or_one(mu) -> float:
     return float(mu)
 
 
+def locality_of(local: str = "local_accesses", total: str = "total_accesses") -> Column:
+    """Share of local accesses; 1.0 for a file without any access."""
+    return (F.when(F.col(total) > 0, F.col(local).cast("double") / F.col(total).cast("double"))
+            .otherwise(F.lit(1.0)))
+
+
 def feature_columns(filled: DataFrame, mean_writes: float) -> DataFrame:
     """The five raw features from the filled table."""
     return filled.select(
         "path", "access_freq", "age_seconds",
         (F.col("writes").cast("double") / F.lit(float(mean_writes))).alias("write_ratio"),
-        F.when(F.col("total_accesses") > 0,
-               F.col("local_accesses").cast("double") / F.col("total_accesses").cast("double"))
-        .otherwise(F.lit(1.0)).alias("locality"),
+        locality_of().alias("locality"),
         F.col("max_concurrency").alias("concurrency"),
     )

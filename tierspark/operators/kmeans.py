@@ -6,6 +6,11 @@
   the update is one partial aggregate grouped by cluster (``k`` rows per task
   before the final merge), and only ``k x d`` numbers come back per iteration.
   Plans therefore stay the same size across iterations.
+* Means are sums of whole multiples of 2^-40, kept in two longs, so they do not
+  depend on the order of addition: any partitioning gives the same labels,
+  centres and number of iterations, bit by bit.
+* A point with a NULL or NaN coordinate has no label and is never a seed;
+  :func:`kmeans` refuses such input (:func:`check_points`).
 * k-means++ draws the next seed with probability D^2 / sum(D^2) as an
   exponential race: ``argmin(-ln(u) / D^2)`` over rows with ``D^2 > 0``, where
   ``u`` is a per-row uniform hashed from (seed, round, id). That is exact D^2
@@ -22,8 +27,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tierspark.functions.hashing import uniform01
-from tierspark.functions.vectors import (distances_array_sql, min_sq_dist, nearest_index,
-                                         qcol, sq_dist, use_arrays)
+from tierspark.functions.vectors import complete_sql, min_sq_dist, nearest_index, qcol
 
 
 @dataclass
@@ -35,10 +39,7 @@ class KMeansResult:
     init: list = field(default_factory=list)
     counts: list = field(default_factory=list)
     cols: tuple = ()
-
-    def centroid_frame(self, spark, cluster_col: str = "cluster") -> DataFrame:
-        rows = [(j, *map(float, c)) for j, c in enumerate(self.centroids)]
-        return spark.createDataFrame(rows, [cluster_col, *self.cols])
+    converged: bool = False        # the shift fell below tol (not ended by max_iter)
 
 
 def _pick(df: DataFrame, cols: Sequence[str], id_col: str, key) -> tuple | None:
@@ -49,10 +50,9 @@ def _pick(df: DataFrame, cols: Sequence[str], id_col: str, key) -> tuple | None:
     return best[0], [float(best[i + 1]) for i in range(len(cols))]
 
 
-def d2_column(cols: Sequence[str], centers: Sequence[Sequence[float]],
-              n_rows: int | None = None):
+def d2_column(cols: Sequence[str], centers: Sequence[Sequence[float]]):
     """D^2: squared distance to the nearest of ``centers``."""
-    return min_sq_dist(cols, centers, n_rows)
+    return min_sq_dist(cols, centers)
 
 
 def race_key(seed: int, round_no: int, id_col: str, d2):
@@ -61,121 +61,81 @@ def race_key(seed: int, round_no: int, id_col: str, d2):
     return -F.log(uniform01(seed, round_no, id_col)) / d2
 
 
-RUNNING_D2_MIN_K = 9
-
-
 def kmeanspp_seeds(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
-                   seed: int = 42, n_rows: int | None = None, lineage_every: int = 16) -> list:
+                   seed: int = 42) -> list:
     """k-means++ seeding: ``[(id, [values...]), ...]`` of length ``k``.
 
     Round 0 picks a uniform row (smallest hashed uniform); round i picks by the
-    race over D^2 to the seeds chosen so far. Raises ``ValueError`` when fewer
-    than ``k`` distinct points exist (all remaining D^2 are 0).
-
-    For small k, D^2 is recomputed in each round against the i seeds so far
-    (O(i d) per row, no state). From ``RUNNING_D2_MIN_K`` seeds on, D^2 is
-    carried as a column and updated with one new distance per round
-    (``least(d2, dist(new seed))``): each round's table is persisted and filled
-    by that round's pick, so a round costs O(d) per row instead of O(k d); every
-    ``lineage_every`` rounds the table is written under the checkpoint folder
-    to bound the lineage.
+    race over D^2 to the seeds chosen so far, one aggregate pass per round.
+    Raises ``ValueError`` when fewer than ``k`` distinct points exist (all
+    remaining D^2 are 0).
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    points = points.where(complete_sql(cols))
     first = _pick(points, cols, id_col, uniform01(seed, 0, id_col))
     if first is None:
         raise ValueError("no points to seed from")
     seeds = [first]
-    if k < RUNNING_D2_MIN_K:
-        for i in range(1, k):
-            d2 = d2_column(cols, [s[1] for s in seeds], n_rows)
-            nxt = _pick(points.where(d2 > F.lit(0.0)), cols, id_col,
-                        race_key(seed, i, id_col, d2))
-            if nxt is None:
-                raise ValueError(f"fewer than k={k} distinct points: cannot choose seed {i}")
-            seeds.append(nxt)
-        return seeds
-    return _seeds_running_d2(points, cols, id_col, k, seed, n_rows, lineage_every, seeds)
-
-
-def _seeds_running_d2(points, cols, id_col, k, seed, n_rows, lineage_every, seeds):
-    from pyspark import StorageLevel
-    from tierspark.session import materialize
-    d2 = F.col("_d2")
-    cur, held = None, []
-    try:
-        for i in range(1, k):
-            new = d2_column(cols, [seeds[-1][1]], n_rows)
-            base = points.select(id_col, *cols) if cur is None else cur
-            step = base.select(id_col, *cols,
-                               (new if cur is None else F.least(d2, new)).alias("_d2"))
-            if i % lineage_every == 0:
-                step = materialize(step, "kmeanspp-d2")
-            cur = step.persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(cur)
-            nxt = _pick(cur.where(d2 > F.lit(0.0)), cols, id_col, race_key(seed, i, id_col, d2))
-            if nxt is None:
-                raise ValueError(f"fewer than k={k} distinct points: cannot choose seed {i}")
-            seeds.append(nxt)
-            if len(held) > 1:
-                held.pop(0).unpersist()
-    finally:
-        for h in held:
-            h.unpersist()
+    for i in range(1, k):
+        d2 = d2_column(cols, [s[1] for s in seeds])
+        nxt = _pick(points.where(d2 > F.lit(0.0)), cols, id_col, race_key(seed, i, id_col, d2))
+        if nxt is None:
+            raise ValueError(f"fewer than k={k} distinct points: cannot choose seed {i}")
+        seeds.append(nxt)
     return seeds
 
 
 def assign(points: DataFrame, cols: Sequence[str], centers: Sequence[Sequence[float]],
-           out: str = "cluster", n_rows: int | None = None) -> DataFrame:
-    """Nearest-centre label (lowest index wins a tie), as a projection.
-    ``n_rows`` (if known) lets small inputs use the form that avoids recompiling."""
-    if use_arrays(cols, centers, n_rows):
-        # distances once per row into a helper array, then the first minimum
-        ds = "_tierspark_ds"
-        return (points.withColumn(ds, F.expr(distances_array_sql(cols, centers)))
-                .withColumn(out, F.expr(f"CAST(array_position({ds}, array_min({ds})) - 1 AS INT)"))
-                .drop(ds))
+           out: str = "cluster") -> DataFrame:
+    """Nearest-centre label (lowest index wins a tie), as a projection; NULL for a
+    point with a missing coordinate."""
     return points.withColumn(out, nearest_index(cols, centers))
 
 
-def cluster_stats(labeled: DataFrame, cols: Sequence[str], cluster_col: str = "cluster",
-                  decimals: int | None = None) -> DataFrame:
-    """Per cluster: ``n`` and the mean of each column (partial + final aggregate)."""
-    def mean(c):
-        m = F.avg(c)
-        return (F.round(m, decimals) if decimals is not None else m).alias(c)
-    return labeled.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("n"),
-                                            *[mean(c) for c in cols])
+#: Means are exact to 2**-MEAN_BITS per point.
+MEAN_BITS, HALF_BITS = 40, 20
 
 
-def update(labeled: DataFrame, cols: Sequence[str], k: int, cluster_col: str = "cluster"):
-    """Means and counts per cluster, collected: ``(means: list|None per j, counts)``.
+def _units(c: str) -> str:
+    return f"floor({qcol(c)} * {float(2 ** MEAN_BITS)!r}D + 0.5D)"
 
-    One global aggregate of ``k x (d + 1)`` conditional counts/means: every task
-    reduces its rows to that many numbers and a single small final merge follows
-    (no hash exchange keyed by cluster; a hot cluster costs nothing extra).
-    """
-    if k * (len(cols) + 1) > 100:
-        # many outputs: group by cluster instead (d + 1 aggregates, k rows per task)
-        rows = cluster_stats(labeled, cols, cluster_col).collect()
-        means, counts = [None] * k, [0] * k
-        for r in rows:
-            j = int(r[cluster_col])
-            means[j] = [float(r[c]) for c in cols]
-            counts[j] = int(r["n"])
-        return means, counts
-    cl = qcol(cluster_col)
-    parts = []
-    for j in range(k):
-        parts.append(f"count(CASE WHEN {cl} = {j} THEN 1 END) AS n_{j}")
-        parts += [f"avg(CASE WHEN {cl} = {j} THEN {qcol(c)} END) AS m_{j}_{i}"
-                  for i, c in enumerate(cols)]
-    r = labeled.selectExpr(*parts).collect()[0]
+
+def check_points(points: DataFrame, cols: Sequence[str]) -> int:
+    """Number of points; ``ValueError`` for a missing coordinate, or for coordinates so
+    large that sums of their units could leave a long."""
+    n, bad, top = points.selectExpr(
+        "count(1)", f"count(CASE WHEN NOT ({complete_sql(cols)}) THEN 1 END)",
+        "greatest(0D, " + ", ".join(f"max(abs({qcol(c)}))" for c in cols) + ")").collect()[0]
+    if bad:
+        raise ValueError(f"{bad} of {n} points have a NULL or NaN coordinate")
+    if top >= 2 ** (62 - MEAN_BITS) or n * top >= 2 ** (62 - HALF_BITS):
+        raise ValueError(f"{n} points with coordinates up to {top}: normalise them first")
+    return n
+
+
+def cluster_stats(labeled: DataFrame, cols: Sequence[str], k: int,
+                  cluster_col: str = "cluster") -> DataFrame:
+    """One row per cluster 0..k-1: ``n`` and the mean of each column (NULL for an empty
+    cluster). A partial aggregate sends at most ``k`` rows per task."""
+    cl, low = qcol(cluster_col), 2 ** HALF_BITS
+    sums = [F.expr(f"sum({_units(c)} div {low})").alias(f"hi_{i}") for i, c in enumerate(cols)]
+    sums += [F.expr(f"sum({_units(c)} % {low})").alias(f"lo_{i}") for i, c in enumerate(cols)]
+    sums = labeled.where(f"{cl} IS NOT NULL").groupBy(F.expr(f"CAST({cl} AS INT)").alias(
+        cluster_col)).agg(F.count(F.lit(1)).alias("n"), *sums)
+    means = [f"(CAST(hi_{i} AS DOUBLE) * {float(low)!r}D + CAST(lo_{i} AS DOUBLE)) "
+             f"/ {float(2 ** MEAN_BITS)!r}D / n AS {qcol(c)}" for i, c in enumerate(cols)]
+    ids = labeled.sparkSession.range(k).select(F.col("id").cast("int").alias(cluster_col))
+    return ids.join(sums, cluster_col, "left").selectExpr(cl, "coalesce(n, 0L) AS n", *means)
+
+
+def update(labeled: DataFrame, cols: Sequence[str], k: int, cluster_col: str = "cluster"):
+    """Means and counts per cluster, collected: ``(means: list|None per j, counts)``."""
     means, counts = [None] * k, [0] * k
-    for j in range(k):
-        counts[j] = int(r[f"n_{j}"])
-        if counts[j]:
-            means[j] = [float(r[f"m_{j}_{i}"]) for i in range(len(cols))]
+    for r in cluster_stats(labeled, cols, k, cluster_col).collect():
+        counts[r[cluster_col]] = r["n"]
+        if r["n"]:
+            means[r[cluster_col]] = [r[c] for c in cols]
     return means, counts
 
 
@@ -185,30 +145,29 @@ def frobenius_shift(a: Sequence[Sequence[float]], b: Sequence[Sequence[float]])
 
 def kmeans(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
            max_iter: int | None = None, tol: float = 1e-4, seed: int = 42,
-           init: Sequence[Sequence[float]] | None = None, cluster_col: str = "cluster",
-           n_points: int | None = None) -> KMeansResult:
+           init: Sequence[Sequence[float]] | None = None,
+           cluster_col: str = "cluster") -> KMeansResult:
     """Lloyd's algorithm from k-means++ seeds.
 
-    Stops when the Frobenius norm of the whole centre shift is below ``tol`` or
-    after ``max_iter`` iterations (default ``max(100, n // 100)``). An empty
-    cluster is re-seeded with a row drawn uniformly by hashed key (seeded).
+    Stops when the Frobenius norm of the whole centre shift is below ``tol``
+    (``converged``) or after ``max_iter`` iterations (default ``max(100, n // 100)``).
+    An empty cluster is re-seeded with a row drawn uniformly by hashed key (seeded).
     Returns the last assignment's labels and the centres computed from them.
     ``points`` should be materialised/persisted by the caller.
     """
     cols = list(cols)
-    if n_points is None:
-        n_points = points.count()
+    n_points = check_points(points, cols)
     if n_points < k:
-        raise ValueError(f"{n_points} samples found, but k={k} is requested")
+        raise ValueError(f"k={k} clusters need at least as many points, got {n_points}")
     if max_iter is None:
         max_iter = max(100, n_points // 100)
     centers = [list(map(float, c)) for c in init] if init is not None else \
-        [s[1] for s in kmeanspp_seeds(points, cols, id_col, k, seed, n_points)]
+        [s[1] for s in kmeanspp_seeds(points, cols, id_col, k, seed)]
     start = [list(c) for c in centers]
     shifts, counts, prev = [], [0] * k, centers
     it = 0
     for it in range(1, max_iter + 1):
-        labeled = assign(points, cols, centers, cluster_col, n_points)
+        labeled = assign(points, cols, centers, cluster_col)
         means, counts = update(labeled, cols, k, cluster_col)
         new = []
         for j in range(k):
@@ -222,17 +181,8 @@ def kmeans(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
         prev, centers = centers, new
         if shift < tol:
             break
-    return KMeansResult(centers, assign(points, cols, prev, cluster_col, n_points), it, shifts, start,
-                        counts, tuple(cols))
-
-
-def inertia(labeled: DataFrame, cols: Sequence[str], centers, cluster_col: str = "cluster"):
-    """Sum of squared distances to the assigned centre."""
-    expr = None
-    for j, c in enumerate(centers):
-        e = F.when(F.col(cluster_col) == j, sq_dist(cols, c))
-        expr = e if expr is None else F.coalesce(expr, e)
-    return labeled.agg(F.sum(expr).alias("inertia")).collect()[0]["inertia"]
+    return KMeansResult(centers, assign(points, cols, prev, cluster_col), it, shifts, start,
+                        counts, tuple(cols), bool(shifts) and shifts[-1] < tol)
 
 
 def mllib_kmeans(points: DataFrame, cols: Sequence[str], k: int, seed: int = 42,

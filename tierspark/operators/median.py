@@ -2,186 +2,145 @@
 
 ``F.median`` / ``percentile`` buffer every distinct value of a group in one
 aggregation buffer, so one large group (a cluster can hold a third of all rows)
-would land in a single task. Instead this is a distributed selection:
-
-1. one aggregate gives ``n``, ``min`` and ``max`` per (group, column), hence the
-   target ranks ``(n-1)//2`` and ``n//2``;
-2. while a group's candidate range holds more than ``max_candidates`` values,
-   one partial aggregate counts candidates in ``buckets`` equal-width buckets
-   of the range (with each bucket's exact min and max) and the range shrinks to
-   the bucket holding the target ranks; a rank that is the first or last of its
-   bucket resolves to that bucket's min or max right away;
-3. the remaining candidates (at most ``max_candidates`` per group) are ranked
-   with a window partitioned by group.
-
-Every pass returns at most groups x buckets rows (buckets shrink when there are
-many groups, so a pass returns about ``max_hist_rows`` rows at most). Bucket ids are monotone in
-the value, so bucket order is value order. The median of an even count is
-``(a + b) / 2`` of the two middle values.
+would land in a single task. Instead this is a distributed selection. A round
+takes two partial aggregates over the values still in question:
+
+1. per (group, column) the number of values and approximate quantiles, of which
+   two that enclose the wanted ranks become a bracket;
+2. exact counts below, inside and above the bracket, with each part's smallest
+   and largest value. The part that holds the wanted ranks stays; two ranks in
+   neighbouring parts are the largest of one and the smallest of the other.
+
+A bracket keeps about a thirtieth of the values whatever their distribution, so
+a group of a billion values takes about four rounds; the approximation decides
+only how much is kept, never the result. Where a few values are so frequent that
+a bracket keeps everything, the next one is a single value, which settles it. At most ``window_rows`` values per
+(group, column) are ranked in a window at the end. What comes back to the driver
+or is broadcast is a few numbers per (group, column); more than ``max_groups`` of
+those are refused. The median of an even count is ``(a + b) / 2`` of the two
+middle values. NULL and NaN values are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-
-def _long(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
-    casted = df.select(*group_cols, *[F.col(c).cast("double").alias(c) for c in value_cols])
-    return (casted.unpivot(list(group_cols), list(value_cols), "feature", "v")
-            .where(F.col("v").isNotNull() & ~F.isnan("v")))
+STEPS = 32
+
+
+@dataclass
+class _Part:
+    """Values lo..hi (inclusive) of one (group, column); ``below`` lie under lo."""
+    lo: float | None = None
+    hi: float | None = None
+    below: int = 0
+    n: int = 0
+    ranks: tuple = ()
+    found: tuple | None = None
+    one_value: bool = False  # the last bracket kept everything: next, one value against the rest
+
+    def settle(self, below, inside, above) -> None:
+        """Parts are (n, smallest, largest) in ascending order."""
+        at, hit = self.below, []
+        for n, lo, hi in (below, inside, above):
+            own = [r for r in self.ranks if at <= r < at + n]
+            if own:
+                hit.append((own, at, n, lo, hi))
+            at += n
+        if len(hit) == 2:  # neighbouring ranks in neighbouring parts
+            self.found = (hit[0][4], hit[1][3])
+            return
+        own, at, n, lo, hi = hit[0]
+        self.one_value = n == self.n
+        self.lo, self.hi, self.below, self.n = lo, hi, at, n
+        if lo == hi:
+            self.found = (lo, lo)
 
 
 def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str],
-                  max_candidates: int = 1_000_000, buckets: int = 1024,
-                  max_passes: int = 256, max_group_size: int | None = None,
-                  max_hist_rows: int = 1_000_000) -> DataFrame:
+                  window_rows: int = 2000, max_groups: int = 100_000) -> DataFrame:
     """Wide result: ``group_cols`` + one median column per ``value_cols`` entry
-    (NULL when a group has no value in that column).
-
-    ``max_group_size``: a known upper bound on the rows per group (e.g. cluster
-    sizes from k-means). When it is at most ``max_candidates`` the selection is
-    one windowed pass, bounded per task by that size.
-    """
-    spark = df.sparkSession
-    gcols = list(group_cols)
-    long = _long(df, gcols, value_cols)
+    (NULL when a group has no value in that column)."""
+    spark, gcols = df.sparkSession, list(group_cols)
+    casted = df.select(*gcols, *[F.col(c).cast("double").alias(c) for c in value_cols])
+    long = (casted.unpivot(gcols, list(value_cols), "feature", "v")
+            .where(F.col("v").isNotNull() & ~F.isnan("v")))
     keys = gcols + ["feature"]
-    if max_group_size is not None and max_group_size <= max_candidates:
-        return _small_group_medians(long, gcols, keys, value_cols, df)
-
+    key_fields = [df.schema[c] for c in gcols] + [T.StructField("feature", T.StringType())]
+
+    def bounded(names, rows):
+        """Values of the listed (group, column)s beside their bounds."""
+        fields = [T.StructField(n, T.DoubleType()) for n in names]
+        b = F.broadcast(spark.createDataFrame(rows, T.StructType(key_fields + fields)))
+        on = long[keys[0]].eqNullSafe(b[keys[0]])
+        for c in keys[1:]:
+            on = on & long[c].eqNullSafe(b[c])
+        return long.join(b, on).select(*[long[c] for c in keys], long["v"],
+                                       *[b[n] for n in names])
+
+    def in_question(parts):
+        return bounded(["lo", "hi"], [(*k, p.lo, p.hi) for k, p in parts.items()]).where(
+            "v between lo and hi")
+
+    grid = [i / STEPS for i in range(STEPS + 1)]
+    quantiles = F.percentile_approx("v", grid, 1000).alias("q")
     first = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                    F.max("v").alias("hi")).collect()
-    # state per group key: [lo, hi, below, n_candidates, targets{rank: value|None}]
-    state = {}
+                                    F.max("v").alias("hi"), quantiles).limit(max_groups + 1).collect()
+    if len(first) > max_groups:
+        raise ValueError(f"more than {max_groups} groups and columns")
+    parts = {}
     for r in first:
-        key = tuple(r[c] for c in keys)
-        n = int(r["n"])
-        tg = {(n - 1) // 2: None, n // 2: None}
-        lo, hi = float(r["lo"]), float(r["hi"])
-        if lo == hi:
-            tg = {t: lo for t in tg}
-        state[key] = [lo, hi, 0, n, tg]
-
-    def open_keys(limit_ok):
-        return [k for k, s in state.items()
-                if any(v is None for v in s[4].values()) and limit_ok(s)]
-
-    def bounds_frame(ks):
-        schema = T.StructType(
-            [df.schema[c] if c in df.columns else T.StructField(c, T.StringType())
-             for c in gcols]
-            + [T.StructField("feature", T.StringType()),
-               T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
-        rows = [(*k, state[k][0], state[k][1]) for k in ks]
-        return F.broadcast(spark.createDataFrame(rows, schema))
-
-    def candidates(ks):
-        b = bounds_frame(ks)
-        on = [long[c].eqNullSafe(b[c]) for c in keys]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        j = long.join(b, cond, "inner").select(
-            *[long[c] for c in keys], long["v"], b["_lo"], b["_hi"])
-        return j.where((F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi")))
-
-    passes = 0
-    while passes < max_passes:
-        big = open_keys(lambda s: s[3] > max_candidates)
-        if not big:
+        n = r["n"]
+        p = _Part(ranks=((n - 1) // 2, n // 2))
+        p.settle((n, r["lo"], r["hi"]), (0, None, None), (0, None, None))
+        parts[tuple(r[c] for c in keys)] = p
+    rows = first
+    while True:
+        wide = {k: p for k, p in parts.items() if p.found is None and p.n > window_rows}
+        if not wide:
             break
-        passes += 1
-        # keep one pass's result at about max_hist_rows rows, whatever the group count
-        nb = min(buckets, max(4, max_hist_rows // len(big)))
-        c = candidates(big)
-        half_span = F.col("_hi") / 2 - F.col("_lo") / 2
-        frac = (F.col("v") / 2 - F.col("_lo") / 2) / half_span
-        bucket = F.least(F.floor(frac * F.lit(float(nb))), F.lit(nb - 1)).cast("int")
-        hist = (c.groupBy(*keys, bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("bmin"),
-                     F.max("v").alias("bmax")).collect())
-        per = {}
-        for r in hist:
-            per.setdefault(tuple(r[c2] for c2 in keys), []).append(
-                (int(r["b"]), int(r["cnt"]), float(r["bmin"]), float(r["bmax"])))
-        for key in big:
-            lo, hi, below, _, tg = state[key]
-            cum = below
-            chosen = None
-            for b_id, cnt, bmin, bmax in sorted(per.get(key, [])):
-                for t in list(tg):
-                    if tg[t] is None and cum <= t < cum + cnt:
-                        if bmin == bmax or t == cum and cnt == 1:
-                            tg[t] = bmin
-                        elif t == cum:
-                            tg[t] = bmin
-                        elif t == cum + cnt - 1:
-                            tg[t] = bmax
-                        elif chosen is None:
-                            chosen = (cum, cnt, bmin, bmax)
-                cum += cnt
-            if chosen is not None:
-                state[key] = [chosen[2], chosen[3], chosen[0], chosen[1], tg]
-            else:
-                state[key][3] = 0
-
-    rest = open_keys(lambda s: True)
+        if rows is None:
+            rows = in_question(wide).groupBy(*keys).agg(quantiles).collect()
+        brackets = []
+        for r in rows:
+            k = tuple(r[c] for c in keys)
+            if k in wide:
+                p = wide[k]
+                i = (p.ranks[0] - p.below) * STEPS // p.n
+                j = -(-(p.ranks[1] - p.below + 1) * STEPS // p.n)
+                a, b = r["q"][max(0, i)], r["q"][i if p.one_value else min(STEPS, j)]
+                brackets.append((*k, p.lo, p.hi, a, b))
+        v = F.col("v")
+        side = F.when(v < F.col("a"), 0).when(v <= F.col("b"), 1).otherwise(2)
+        counted = (bounded(["lo", "hi", "a", "b"], brackets).where("v between lo and hi")
+                   .groupBy(*keys, side.alias("side"))
+                   .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                        F.max("v").alias("hi")).collect())
+        sides: dict = {}
+        for r in counted:
+            sides.setdefault(tuple(r[c] for c in keys), {})[r["side"]] = (r["n"], r["lo"], r["hi"])
+        for k, s in sides.items():
+            parts[k].settle(*[s.get(i, (0, None, None)) for i in range(3)])
+        rows = None
+
+    rest = {k: p for k, p in parts.items() if p.found is None}
     if rest:
-        c = candidates(rest)
-        w = Window.partitionBy(*keys).orderBy("v")
-        ranked = c.withColumn("_r", F.row_number().over(w) - 1)
-        # exactly the wanted (group, rank) pairs: at most two per group
-        want = [(*k, t - state[k][2]) for k in rest for t, v in state[k][4].items() if v is None]
-        tschema = T.StructType(
-            [df.schema[c2] if c2 in df.columns else T.StructField(c2, T.StringType())
-             for c2 in gcols]
-            + [T.StructField("feature", T.StringType()), T.StructField("_r", T.IntegerType())])
-        targets = F.broadcast(spark.createDataFrame(want, tschema))
-        on = [ranked[c2].eqNullSafe(targets[c2]) for c2 in keys + ["_r"]]
-        cond = on[0]
-        for c2 in on[1:]:
-            cond = cond & c2
-        picked = (ranked.join(targets, cond, "left_semi")
-                  .select(*keys, "_r", "v").collect())
-        got = {}
-        for r in picked:
-            got[(tuple(r[c2] for c2 in keys), int(r["_r"]))] = float(r["v"])
-        for k in rest:
-            below, tg = state[k][2], state[k][4]
-            for t in tg:
-                if tg[t] is None:
-                    tg[t] = got[(k, t - below)]
-
-    med = {}
-    for k, s in state.items():
-        vals = [s[4][t] for t in sorted(s[4])]
-        med[k] = vals[0] if len(vals) == 1 else (vals[0] + vals[1]) / 2
-    groups = sorted({k[:-1] for k in state}, key=lambda g: tuple(str(x) for x in g))
-    if not gcols:
-        groups = [()]
-    rows = [(*g, *[med.get((*g, c)) for c in value_cols]) for g in groups]
-    schema = T.StructType(
-        [df.schema[c] for c in gcols] + [T.StructField(c, T.DoubleType(), True) for c in value_cols])
-    return spark.createDataFrame(rows, schema)
-
-
-def _small_group_medians(long: DataFrame, gcols, keys, value_cols, df: DataFrame) -> DataFrame:
-    """One pass for groups of bounded size: rank within (group, column) and keep
-    the middle one or two values; at most 2 x groups x columns rows come back
-    and are averaged into the result table."""
-    w = Window.partitionBy(*keys)
-    ranked = (long.withColumn("_r", F.row_number().over(w.orderBy("v")) - 1)
-              .withColumn("_n", F.count(F.lit(1)).over(w)))
-    mid = ranked.where((F.col("_r") == F.floor((F.col("_n") - 1) / 2))
-                       | (F.col("_r") == F.floor(F.col("_n") / 2))).select(*keys, "v").collect()
-    vals = {}
-    for r in mid:
-        vals.setdefault(tuple(r[c] for c in keys), []).append(float(r["v"]))
-    med = {k: (min(v) + max(v)) / 2 for k, v in vals.items()}
-    groups = sorted({k[:-1] for k in med}, key=lambda g: tuple(str(x) for x in g)) if gcols else [()]
-    rows = [(*g, *[med.get((*g, c)) for c in value_cols]) for g in groups]
-    schema = T.StructType([df.schema[c] for c in gcols]
-                          + [T.StructField(c, T.DoubleType(), True) for c in value_cols])
-    return df.sparkSession.createDataFrame(rows, schema)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1
+        wanted = bounded(["lo", "hi", "r0", "r1"],
+                         [(*k, p.lo, p.hi, float(p.ranks[0] - p.below),
+                           float(p.ranks[1] - p.below)) for k, p in rest.items()])
+        got = (wanted.where("v between lo and hi").withColumn("rank", rank)
+               .where("rank = r0 or rank = r1")
+               .groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b")).collect())
+        for r in got:
+            rest[tuple(r[c] for c in keys)].found = (r["a"], r["b"])
+
+    med = {k: (p.found[0] + p.found[1]) / 2 for k, p in parts.items()}
+    groups = sorted({k[:-1] for k in parts}, key=lambda g: tuple(str(x) for x in g)) if gcols \
+        else [()]
+    schema = T.StructType(key_fields[:-1] + [T.StructField(c, T.DoubleType()) for c in value_cols])
+    return spark.createDataFrame([(*g, *[med.get((*g, c)) for c in value_cols]) for g in groups],
+                                 schema)

@@ -73,11 +73,12 @@ def score_expr(rules: Rules, category: str, median_col: Mapping[str, str] | None
     return total
 
 
-def cluster_medians(labeled: DataFrame, cols: Sequence[str], cluster_col: str = "cluster",
-                    **kw) -> DataFrame:
-    """Exact median of every feature per cluster (distributed selection);
-    ``max_group_size`` (largest cluster) allows the one-pass form."""
-    return exact_medians(labeled, [cluster_col], cols, **kw)
+def cluster_medians(labeled: DataFrame, cols: Sequence[str], k: int,
+                    cluster_col: str = "cluster", **kw) -> DataFrame:
+    """Exact median of every feature for each cluster 0..k-1 (NULL for an empty one)."""
+    ids = labeled.sparkSession.range(k).select(F.col("id").cast("int").alias(cluster_col))
+    return ids.join(F.broadcast(exact_medians(labeled, [cluster_col], cols, **kw)),
+                    cluster_col, "left")
 
 
 def global_medians(points: DataFrame, cols: Sequence[str], **kw) -> dict:
@@ -87,34 +88,19 @@ def global_medians(points: DataFrame, cols: Sequence[str], **kw) -> dict:
 
 
 def category_scores(medians: DataFrame, rules: Rules = DEFAULT_RULES,
-                    cluster_col: str = "cluster", f=square, wide: bool = False) -> DataFrame:
-    """``cluster, category, score`` (or one ``score_<category>`` column each)."""
-    scored = medians.select(cluster_col, *[score_expr(rules, c, f=f).alias(f"score_{c}")
-                                           for c in rules.categories])
-    if wide:
-        return scored
+                    cluster_col: str = "cluster", f=square) -> DataFrame:
+    """``cluster, category, score``."""
+    scored = wide_scores(medians, rules, cluster_col, f)
     return (scored.unpivot([cluster_col], [f"score_{c}" for c in rules.categories],
                            "category", "score")
             .withColumn("category", F.regexp_replace("category", "^score_", "")))
 
 
-def _rank_cols(rules: Rules, category: Column):
-    rf = None
-    order = None
-    for i, c in enumerate(rules.categories):
-        rf = (F.when(category == c, F.lit(rules.replication_factors[c])) if rf is None
-              else rf.when(category == c, F.lit(rules.replication_factors[c])))
-        order = (F.when(category == c, F.lit(i)) if order is None
-                 else order.when(category == c, F.lit(i)))
-    return rf, order
-
-
-def classify(scores: DataFrame, rules: Rules = DEFAULT_RULES,
-             cluster_col: str = "cluster") -> DataFrame:
-    """Best category per cluster: ``max_by(category, (score, rf, -order))``."""
-    rf, order = _rank_cols(rules, F.col("category"))
-    key = F.struct(F.col("score"), rf.alias("rf"), (-order).alias("neg_order"))
-    return scores.groupBy(cluster_col).agg(F.max_by("category", key).alias("category"))
+def wide_scores(medians: DataFrame, rules: Rules = DEFAULT_RULES,
+                cluster_col: str = "cluster", f=square) -> DataFrame:
+    """``cluster`` and one ``score_<category>`` column each."""
+    return medians.select(cluster_col, *[score_expr(rules, c, f=f).alias(f"score_{c}")
+                                         for c in rules.categories])
 
 
 def best_category_expr(rules: Rules = DEFAULT_RULES, prefix: str = "score_"):
@@ -127,16 +113,9 @@ def best_category_expr(rules: Rules = DEFAULT_RULES, prefix: str = "score_"):
     return F.expr(f"{best}.category")
 
 
-def classify_wide(medians: DataFrame, rules: Rules = DEFAULT_RULES,
-                  cluster_col: str = "cluster", f=square, scored: DataFrame | None = None
-                  ) -> DataFrame:
+def classify(medians: DataFrame, rules: Rules = DEFAULT_RULES, cluster_col: str = "cluster",
+             f=square) -> DataFrame:
     """``cluster, category`` from a median table with one row per cluster, as a
-    projection (no shuffle); ``scored`` reuses a wide score table."""
-    if scored is None:
-        scored = category_scores(medians, rules, cluster_col, f, wide=True)
-    return scored.select(cluster_col, best_category_expr(rules).alias("category"))
-
-
-def classify_medians(medians: DataFrame, rules: Rules = DEFAULT_RULES,
-                     cluster_col: str = "cluster", f=square) -> DataFrame:
-    return classify(category_scores(medians, rules, cluster_col, f), rules, cluster_col)
+    projection (no shuffle)."""
+    return wide_scores(medians, rules, cluster_col, f).select(
+        cluster_col, best_category_expr(rules).alias("category"))

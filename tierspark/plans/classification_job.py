@@ -12,23 +12,24 @@ import argparse
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tierspark.functions.formatting import centroid_id, centroid_id_text
+from tierspark.functions.formatting import centroid_id_text
 from tierspark.operators import kmeans as km
-from tierspark.operators.scoring import (category_scores, classify_wide, cluster_medians,
+from tierspark.operators.scoring import (category_scores, classify, cluster_medians,
                                          global_medians)
 from tierspark.schemas import DEFAULT_RULES, NORM_FEATURES, Rules
-from tierspark.session import materialize
+from tierspark.session import materialize, release
 
 
-def centroid_table(centroids: DataFrame, categories: DataFrame, cols=NORM_FEATURES,
-                   cluster_col: str = "cluster") -> DataFrame:
-    """``centroid_id, category`` + the centroid's features, one row per cluster.
-
-    Categories are looked up by cluster id (left join, both sides k rows)."""
-    j = centroids.join(F.broadcast(categories), cluster_col, "left")
-    return j.select(centroid_id(cols).alias("centroid_id"), "category", *cols)
+def centroid_table(spark: SparkSession, centroids, categories: dict, cols=NORM_FEATURES
+                   ) -> DataFrame:
+    """``centroid_id, category`` + the centroid's features, one row per cluster: k rows
+    the driver already holds (``categories``: category by cluster number)."""
+    fields = [T.StructField("centroid_id", T.StringType()), T.StructField("category", T.StringType())]
+    return spark.createDataFrame(
+        [(centroid_id_text(c), categories.get(j), *map(float, c)) for j, c in enumerate(centroids)],
+        T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in cols]))
 
 
 @dataclass
@@ -39,13 +40,19 @@ class ClassificationRun:
     medians: DataFrame
     scores: DataFrame
     categories: DataFrame
+    points: DataFrame | None = None   # written points, if the lineage was cut
+
+    def close(self) -> None:
+        """Delete the written points; ``files`` cannot be read afterwards (the other
+        frames hold k rows each)."""
+        release(self.points)
 
 
 def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES,
                    cols=NORM_FEATURES, id_col: str = "path", seed: int = 42,
                    tol: float = 1e-4, max_iter: int | None = None,
                    medians_from: str = "rules", cut_lineage: bool = True,
-                   n_points: int | None = None, method: str = "lloyd") -> ClassificationRun:
+                   method: str = "lloyd") -> ClassificationRun:
     """End-to-end classification of a feature table.
 
     ``cut_lineage=True`` writes the points under the checkpoint folder before
@@ -63,9 +70,9 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
     else:
         points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = points.count() if n_points is None else n_points
+        n = km.check_points(points, cols)
         if n < k:
-            raise ValueError(f"{n} samples found, but k={k} is requested; cannot cluster")
+            raise ValueError(f"k={k} clusters need at least as many files, got {n}")
         if method == "mllib":
             centers, labeled = km.mllib_kmeans(points, cols, k, seed=seed,
                                                max_iter=max_iter or max(100, n // 100), tol=tol)
@@ -73,8 +80,7 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
             res = km.KMeansResult([m if m is not None else c for m, c in zip(means, centers)],
                                   labeled, 0, [], centers, counts, tuple(cols))
         elif method == "lloyd":
-            res = km.kmeans(points, cols, id_col, k, max_iter=max_iter, tol=tol, seed=seed,
-                            n_points=n)
+            res = km.kmeans(points, cols, id_col, k, max_iter=max_iter, tol=tol, seed=seed)
         else:
             raise ValueError(f"unknown method {method!r}")
         if medians_from == "data":
@@ -82,26 +88,15 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
                           rules.directions, rules.replication_factors, rules.categories,
                           rules.moderate, rules.moderate_band)
         spark = features.sparkSession
-        ids = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
-        # the last assignment's cluster sizes bound the median groups
-        meds = ids.join(cluster_medians(res.labeled, cols, max_group_size=max(res.counts)),
-                        "cluster", "left")
-        wide = category_scores(meds, rules, wide=True)
-        scores = (wide.unpivot(["cluster"], [f"score_{c}" for c in rules.categories],
-                               "category", "score")
-                  .withColumn("category", F.regexp_replace("category", "^score_", "")))
+        meds = cluster_medians(res.labeled, cols, k)
+        scores = category_scores(meds, rules)
         # k rows: resolved now, while the points are still persisted
-        cat_rows = {r["cluster"]: r["category"]
-                    for r in classify_wide(meds, rules, scored=wide).collect()}
+        cat_rows = {r["cluster"]: r["category"] for r in classify(meds, rules).collect()}
         cats = spark.createDataFrame(sorted(cat_rows.items()), "cluster int, category string")
-        table = spark.createDataFrame(
-            [(centroid_id_text(c), cat_rows.get(j), *map(float, c))
-             for j, c in enumerate(res.centroids)],
-            T.StructType([T.StructField("centroid_id", T.StringType()),
-                          T.StructField("category", T.StringType())]
-                         + [T.StructField(c, T.DoubleType()) for c in cols]))
+        table = centroid_table(spark, res.centroids, cat_rows, cols)
         files = res.labeled.select(id_col, "cluster").join(F.broadcast(cats), "cluster", "left")
-        return ClassificationRun(table, files, res, meds, scores, cats)
+        return ClassificationRun(table, files, res, meds, scores, cats,
+                                 points if cut_lineage else None)
     finally:
         # results stay valid: they recompute the points from files if used later
         points.unpersist()
@@ -123,12 +118,12 @@ def main(argv=None) -> None:
     ap.add_argument("--rules", default=None,
                     help="JSON rule set (keys as Rules.to_dict); defaults to the built-in rules")
     a = ap.parse_args(argv)
+    spark = build_session(app="tierspark-classify")
     rules = DEFAULT_RULES
     if a.rules:
         import json
-        with open(a.rules) as fh:
-            rules = Rules.from_dict(json.load(fh))
-    spark = build_session(app="tierspark-classify")
+        text = spark.read.text(a.rules, wholetext=True).first()[0]  # any path Spark reads
+        rules = Rules.from_dict(json.loads(text))
     feats = read_features(spark, a.input_path, a.format)
     size_shuffle_partitions(spark, feats)
     run = classify_files(feats, a.k, rules, seed=a.seed, method=a.method,
@@ -136,7 +131,8 @@ def main(argv=None) -> None:
     write_table(run.table, a.output_csv, fmt="csv", single_file=True)
     if a.files_out:
         write_table(run.files, a.files_out, fmt="parquet")
-    print(f"Cluster centroid assignments ({a.k} clusters) saved to: {a.output_csv}")
+    run.close()
+    print(f"{a.k} clusters with their categories: {a.output_csv}")
 
 
 if __name__ == "__main__":

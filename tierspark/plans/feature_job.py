@@ -2,8 +2,8 @@
 
 Two Spark actions in total:
 
-1. materialise the per-path statistics table (:func:`file_stats`): the only
-   pass over the log;
+1. materialise the per-path statistics table (:func:`file_stats`), which reads
+   the log once;
 2. one global aggregate over that (manifest-sized) table, giving the
    observation end, the mean writes and all ten normalisation bounds.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tierspark.operators import features as feat
 from tierspark.operators.normalize import minmax_normalize
 from tierspark.schemas import NORM_OF
-from tierspark.session import materialize
+from tierspark.session import materialize, release
 
 
 @dataclass
@@ -37,12 +37,16 @@ class FeatureRun:
     ranges: dict                 # {feature: (min, max)}
     n_files: int
 
+    def close(self) -> None:
+        """Delete the statistics table; the frames above cannot be read afterwards."""
+        release(self.stats)
+
 
 def check_unique_paths(manifest: DataFrame) -> None:
-    row = manifest.agg(F.count(F.lit(1)).alias("n"),
-                       F.count_distinct("path").alias("d")).collect()[0]
-    if row["n"] != row["d"]:
-        raise ValueError(f"manifest path is not unique: {row['n']} rows, {row['d']} paths")
+    twice = manifest.groupBy("path").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"manifest path is not unique: {twice[0]['path']!r} has "
+                         f"{twice[0]['count']} rows")
 
 
 def compute_features(manifest: DataFrame, log: DataFrame | None, width: float = 1.0,
@@ -120,7 +124,8 @@ def main(argv=None) -> None:
     size_shuffle_partitions(spark, manifest, log)
     run = compute_features(manifest, log, a.bucket_seconds, check_unique=a.check_unique)
     write_features(run.features, a.out, fmt=a.format, single_file=a.single_file)
-    print("Wrote features to", a.out)
+    run.close()
+    print("feature table:", a.out)
 
 
 if __name__ == "__main__":

@@ -147,6 +147,16 @@ SELECT path, local_accesses, total_accesses,
             THEN CAST(local_accesses AS DOUBLE) / CAST(total_accesses AS DOUBLE)
             ELSE 1.0 END::DOUBLE AS locality
 FROM filled"""),
+        "locality_repeated": feature_sql(ce, """
+SELECT o.path, coalesce(local_accesses, 0) AS local_accesses,
+       coalesce(total_accesses, 0) AS total_accesses,
+       CASE WHEN total_accesses > 0 THEN CAST(coalesce(local_accesses, 0) AS DOUBLE) / total_accesses
+            ELSE 1.0 END::DOUBLE AS locality
+FROM (SELECT CAST(o_custkey AS VARCHAR) AS path, 'dn' || (o_orderkey % 3 + 1) AS node FROM orders) o
+LEFT JOIN (SELECT path, count(*) AS total_accesses FROM log GROUP BY path) t ON o.path = t.path
+LEFT JOIN (SELECT path, client_node, count(*) AS local_accesses FROM log
+           GROUP BY path, client_node) c ON o.path = c.path AND o.node = c.client_node"""),
+        "feature_round_trip": feature_sql(ce, "SELECT * FROM normed"),
         "age_seconds": feature_sql(ce, """
 SELECT path, (SELECT observation_end FROM obs) - creation_epoch AS age_seconds FROM manifest"""),
         "fill_missing": feature_sql(ce, "SELECT * FROM filled"),
@@ -169,7 +179,8 @@ def text_queries() -> dict:
     return {
         "scan_manifest": f"WITH t AS ({ce['manifest_text']}) SELECT * FROM t",
         "scan_access_log": f"WITH t AS ({ce['log_text']}) SELECT * FROM t",
-        "log_export": f"WITH t AS ({ce['log_text']}) SELECT * FROM t",
+        "log_export": f"WITH t AS ({ce['log_text']}) SELECT *, rank() OVER (ORDER BY ts_iso) "
+                      "AS time_rank FROM t",
         "parse_ts": f"""WITH t AS ({ce['log_text']})
 SELECT ts_iso, path, epoch(strptime(ts_iso, '%Y-%m-%dT%H:%M:%S.%gZ')) AS ts_epoch FROM t""",
         "parse_creation": f"""WITH t AS ({ce['manifest_text']})
@@ -199,6 +210,12 @@ def _u(seed: int, stream, id_expr: str) -> str:
             f" + CAST(1 AS DOUBLE)) / CAST({_DEN} AS DOUBLE)")
 
 
+def _mean(c: str, only: str = "") -> str:
+    """Mean from whole multiples of 2^-40: no order of addition can change it."""
+    return (f"CAST(sum(CAST(floor({c} * CAST(1099511627776 AS DOUBLE) + CAST(0.5 AS DOUBLE)) "
+            f"AS HUGEINT)) {only} AS DOUBLE) / CAST(1099511627776 AS DOUBLE) / count(*) {only}")
+
+
 def _sqdist(a: str, b: str, cols=NORM_FEATURES) -> str:
     return " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in cols)
 
@@ -291,7 +308,7 @@ def _centroid_ctes(cols=NORM_FEATURES) -> list:
     fid = " || '_' || ".join(f"printf('%.4f', u.{c})" for c in cols)
     return [
         ("upd", f"SELECT cluster, count(*) AS n, "
-                + ", ".join(f"round(avg({c}), {ROUND}) AS {c}" for c in cols)
+                + ", ".join(f"{_mean(c)} AS {c}" for c in cols)
                 + " FROM assigned GROUP BY cluster"),
         ("centroids", f"""
   SELECT 'CENTROID_' || {fid} AS centroid_id, b.category, {', '.join(f'u.{c}' for c in cols)}
@@ -305,7 +322,7 @@ def _lloyd_ctes(iters: int, k: int = K, cols=NORM_FEATURES) -> list:
     ctes, prev = [], "assigned"
     for t in range(2, iters + 1):
         ctes.append((f"means{t}", f"SELECT cluster, "
-                     + ", ".join(f"avg({c}) AS {c}" for c in cols)
+                     + ", ".join(f"{_mean(c)} AS {c}" for c in cols)
                      + f" FROM {prev} GROUP BY cluster"))
         for j in range(k):
             ctes.append((f"m{t}_{j}", f"SELECT * FROM means{t} WHERE cluster = {j}"))
@@ -322,6 +339,57 @@ def _lloyd_ctes(iters: int, k: int = K, cols=NORM_FEATURES) -> list:
     return ctes
 
 
+def fit_sql(final: str, view_name: str = "customer_events", tol: float = 1e-4) -> str:
+    """Lloyd with its stopping rule as a recursive CTE. A step holds the k centres as one
+    row; ``fitted`` are the labels of the last step, ``last`` the means of those labels."""
+    cols = NORM_FEATURES
+    state = ", ".join(f"s{j}.{c} AS {c}_{j}" for j in range(K) for c in cols)
+    names = [f"{c}_{j}" for j in range(K) for c in cols]
+
+    def dist(j):
+        return " + ".join(f"(p.{c} - g.{c}_{j}) * (p.{c} - g.{c}_{j})" for c in cols)
+
+    case = "CASE " + " ".join(
+        f"WHEN {' AND '.join(f'e{j} <= e{m}' for m in range(j + 1, K))} THEN {j}"
+        for j in range(K - 1)) + f" ELSE {K - 1} END"
+    labels = (f"SELECT q.*, {case} AS cluster FROM (SELECT p.path, {{keep}}, "
+              + ", ".join(f"p.{c}" for c in cols) + ", "
+              + ", ".join(f"{dist(j)} AS e{j}" for j in range(K)) + " FROM pts p, {g} g) q")
+    step = labels.format(keep="g.it, g.shift, " + ", ".join(f"g.{n}" for n in names), g="steps")
+
+    means = ", ".join(f"{_mean(c, f'FILTER (cluster = {j})')} AS n_{c}_{j}"
+                      for j in range(K) for c in cols)
+    shift = "sqrt(" + " + ".join(f"(n_{n} - {n}) * (n_{n} - {n})" for n in names) + ")"
+    n_max = "(SELECT greatest(100, count(*) // 100) FROM pts)"
+    rec = f"""
+  SELECT 0 AS it, CAST('inf' AS DOUBLE) AS shift, {state}
+  FROM {', '.join(f's{j}' for j in range(K))}
+  UNION ALL
+  SELECT it + 1, {shift}, {', '.join(f'n_{n}' for n in names)}
+  FROM (SELECT any_value(it) AS it, {', '.join(f'any_value({n}) AS {n}' for n in names)}, {means}
+        FROM ({step}) WHERE shift >= {_lit(tol)} AND it < {n_max} HAVING count(*) > 0)"""
+    last = (f"SELECT cluster, count(*) AS n, " + ", ".join(f"{_mean(c)} AS {c}" for c in cols)
+            + " FROM assigned GROUP BY cluster")
+    view = VIEWS[view_name]
+    seeds = [c for c in _seed_ctes() if c[0] not in ("dists", "assigned")]
+    ctes = _feature_ctes(view) + seeds + [
+        ("steps", rec),
+        ("before", "SELECT * FROM steps WHERE it = (SELECT max(it) FROM steps) - 1"),
+        ("assigned", labels.format(keep="0 AS it", g="before"))]
+    ctes += _median_ctes() + _score_ctes() + [c for c in _centroid_ctes() if c[0] != "upd"]
+    ctes.insert(len(ctes) - 1, ("upd", last))
+    return _with(view, *ctes).replace("WITH ", "WITH RECURSIVE ", 1) + final
+
+
+def fit_queries() -> dict:
+    return {
+        "kmeans_fit": fit_sql("SELECT path, cluster FROM assigned"),
+        "file_categories": fit_sql("SELECT path, a.cluster, category FROM assigned a "
+                                   "LEFT JOIN best b ON a.cluster = b.cluster"),
+        "tiering_pipeline": fit_sql("SELECT * FROM centroids"),
+    }
+
+
 def cluster_sql(final: str, view_name: str = "customer_events") -> str:
     view = VIEWS[view_name]
     ctes = (_feature_ctes(view) + _seed_ctes() + _median_ctes() + _score_ctes()
@@ -331,7 +399,7 @@ def cluster_sql(final: str, view_name: str = "customer_events") -> str:
 
 def cluster_queries() -> dict:
     shift = (f"SELECT round(sqrt(sum({_sqdist('m', 's')})), {ROUND}) AS shift FROM "
-             f"(SELECT cluster, " + ", ".join(f"avg({c}) AS {c}" for c in NORM_FEATURES)
+             f"(SELECT cluster, " + ", ".join(f"{_mean(c)} AS {c}" for c in NORM_FEATURES)
              + " FROM assigned GROUP BY cluster) m JOIN seeds s ON m.cluster = s.seed_index")
     on = ", ".join(NORM_FEATURES)
     glob = (f"""SELECT {', '.join(f"max(CASE WHEN feature = '{c}' THEN med END) AS {c}" for c in NORM_FEATURES)}
@@ -356,6 +424,7 @@ WHERE r = (n - 1) // 2 OR r = n // 2 GROUP BY feature)""")
         "category_scores": cluster_sql("SELECT cluster, category, score FROM scores"),
         "classify_clusters": cluster_sql("SELECT * FROM best"),
         "centroid_table": cluster_sql("SELECT * FROM centroids"),
+        "result_round_trip": cluster_sql("SELECT * FROM centroids"),
     }
 
 
@@ -363,6 +432,7 @@ def all_sql() -> dict:
     out = feature_sql_queries()
     out.update(cluster_queries())
     out.update(embedding_queries())
+    out.update(fit_queries())
     return out
 
 
@@ -382,7 +452,7 @@ def embedding_sql(final: str) -> str:
            + " FROM embeddings")
     ctes = [("emb", src)] + _seed_ctes(EMBED_K, SEED, "emb", cols, "vec")
     ctes.append(("upd", "SELECT cluster, count(*) AS n, "
-                 + ", ".join(f"round(avg({c}), {ROUND}) AS {c}" for c in cols)
+                 + ", ".join(f"{_mean(c)} AS {c}" for c in cols)
                  + " FROM assigned GROUP BY cluster"))
     return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in ctes) + "\n" + final
 

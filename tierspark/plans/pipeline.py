@@ -24,6 +24,11 @@ class TieringRun:
     def files(self) -> DataFrame:
         return self.classes.files
 
+    def close(self) -> None:
+        """Delete what the run wrote to the shared folder; read the results first."""
+        self.classes.close()
+        self.features.close()
+
 
 def run_tiering(manifest: DataFrame, log: DataFrame, width: float = 1.0, k: int = 4,
                 rules: Rules = DEFAULT_RULES, seed: int = 42, tol: float = 1e-4,
@@ -33,6 +38,5 @@ def run_tiering(manifest: DataFrame, log: DataFrame, width: float = 1.0, k: int
     (not written again) for the clustering passes."""
     feats = compute_features(manifest, log, width, observation_end=observation_end)
     classes = classify_files(feats.features, k, rules, seed=seed, tol=tol,
-                             medians_from=medians_from, cut_lineage=False,
-                             n_points=feats.n_files)
+                             medians_from=medians_from, cut_lineage=False)
     return TieringRun(feats, classes)

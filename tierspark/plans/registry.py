@@ -7,7 +7,7 @@ Every query reads whole driver tables through a view of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tierspark.operators import features as feat
 from tierspark.operators import kmeans as km
@@ -21,7 +21,7 @@ from tierspark.plans.pipeline import run_tiering
 from tierspark.schemas import DEFAULT_RULES, FEATURES, NORM_FEATURES
 from tierspark.session import materialize, scratch_path
 from tierspark.sources import files
-from tierspark.sources.driver_tables import VIEWS, embedding_cols, embedding_points
+from tierspark.sources.driver_tables import VIEWS, embedding_points, load_table
 
 CE = VIEWS["customer_events"]
 PL = VIEWS["part_lineitem"]
@@ -46,9 +46,38 @@ def scan_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported files with each row's rank by time, taken from where it stands in
+    them (files in name order, then lines): rows of one time share their first rank."""
     path = scratch_path(spark, "log-export")
     files.export_log(CE.log_text(spark, sf_dir), path)
-    return files.read_access_log(spark, path)
+    rows = files.read_access_log(spark, path).select(
+        "*", F.col("_metadata.file_name").alias("file"),
+        F.monotonically_increasing_id().alias("line"))
+    sizes = rows.groupBy("file").count()
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    rows = rows.withColumn("place", place).join(F.broadcast(sizes), "file")
+    at = rows.withColumn("place", F.col("first") + F.col("place"))
+    same = Window.partitionBy("ts_iso")
+    return at.select("ts_iso", "path", "op", "client_node", "pid",
+                     F.min("place").over(same).alias("time_rank"))
+
+
+def feature_round_trip(spark, sf_dir):
+    """The feature table through its CSV sink and back."""
+    path = scratch_path(spark, "features-csv")
+    files.write_features(_features(spark, sf_dir).features, path, fmt="csv")
+    return files.read_features(spark, path, "csv")
+
+
+def result_round_trip(spark, sf_dir):
+    """The centroid table through its CSV sink and back."""
+    path = scratch_path(spark, "result-csv")
+    table = centroid_table(spark, sf_dir)
+    files.write_table(table, path, fmt="csv", single_file=True)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(*[F.col(c).cast(t) for c, t in table.dtypes])
 
 
 def parse_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +116,20 @@ def observation_end(spark, sf_dir):
 
 
 def locality(spark, sf_dir):
-    run = _features(spark, sf_dir)
-    return run.filled.select(
-        "path", "local_accesses", "total_accesses",
-        F.when(F.col("total_accesses") > 0,
-               F.col("local_accesses").cast("double") / F.col("total_accesses").cast("double"))
-        .otherwise(F.lit(1.0)).alias("locality"))
+    return _features(spark, sf_dir).filled.select(
+        "path", "local_accesses", "total_accesses", feat.locality_of().alias("locality"))
+
+
+def locality_repeated(spark, sf_dir):
+    """Manifest rows that repeat a path (the customers of ``orders``): each row has the
+    share of its own primary node."""
+    o = load_table(spark, sf_dir, "orders")
+    node = F.concat(F.lit("dn"), (F.col("o_orderkey") % 3 + 1).cast("string"))
+    manifest = o.select(F.col("o_custkey").cast("string").alias("path"),
+                        F.lit(0.0).alias("creation_epoch"), node.alias("primary_node"))
+    run = compute_features(manifest, CE.log(spark, sf_dir), CE.width)
+    return run.filled.select("path", "local_accesses", "total_accesses",
+                             feat.locality_of().alias("locality"))
 
 
 def age_seconds(spark, sf_dir):
@@ -138,8 +175,8 @@ def _points(spark, sf_dir, view=CE):
     return materialize(feats, "points")
 
 
-def _seeded(spark, sf_dir):
-    pts = _points(spark, sf_dir)
+def _seeded(spark, sf_dir, view=CE):
+    pts = _points(spark, sf_dir, view)
     seeds = km.kmeanspp_seeds(pts, NORM_FEATURES, "path", K, SEED)
     return pts, seeds
 
@@ -149,12 +186,9 @@ def _first_assignment(spark, sf_dir):
     return pts, seeds, km.assign(pts, NORM_FEATURES, [s[1] for s in seeds])
 
 
-def _first_categories(spark, sf_dir):
-    pts, seeds, labeled = _first_assignment(spark, sf_dir)
-    ids = spark.range(K).select(F.col("id").cast("int").alias("cluster"))
-    meds = ids.join(_medians(labeled, NORM_FEATURES), "cluster", "left")
-    scores = _scores(meds, DEFAULT_RULES)
-    return labeled, meds, scores, _classify(scores, DEFAULT_RULES)
+def _first_medians(spark, sf_dir):
+    # a small final window, so that the selection takes several rounds here too
+    return _medians(_first_assignment(spark, sf_dir)[2], NORM_FEATURES, K, window_rows=16)
 
 
 def kmeanspp_init(spark, sf_dir):
@@ -189,17 +223,15 @@ def kmeans_lloyd3(spark, sf_dir):
 
 
 def kmeans_update(spark, sf_dir):
-    return km.cluster_stats(_first_assignment(spark, sf_dir)[2], NORM_FEATURES, decimals=ROUND)
+    return km.cluster_stats(_first_assignment(spark, sf_dir)[2], NORM_FEATURES, K)
 
 
 def kmeans_shift(spark, sf_dir):
     _, seeds, labeled = _first_assignment(spark, sf_dir)
-    means = km.cluster_stats(labeled, NORM_FEATURES)
-    sq = None
-    for j, s in enumerate(seeds):
-        e = F.when(F.col("cluster") == j, km.sq_dist(NORM_FEATURES, s[1]))
-        sq = e if sq is None else F.coalesce(sq, e)
-    return means.agg(F.round(F.sqrt(F.sum(sq)), ROUND).alias("shift"))
+    means, _ = km.update(labeled, NORM_FEATURES, K)
+    shift = km.frobenius_shift(means, [s[1] for s in seeds])
+    return spark.createDataFrame([(shift,)], "shift double").select(
+        F.round("shift", ROUND).alias("shift"))
 
 
 def cluster_rows(spark, sf_dir):
@@ -208,21 +240,33 @@ def cluster_rows(spark, sf_dir):
 
 
 def cluster_medians(spark, sf_dir):
-    return _first_categories(spark, sf_dir)[1]
+    return _first_medians(spark, sf_dir)
 
 
 def category_scores(spark, sf_dir):
-    return _first_categories(spark, sf_dir)[2]
+    return _scores(_first_medians(spark, sf_dir), DEFAULT_RULES)
 
 
 def classify_clusters(spark, sf_dir):
-    return _first_categories(spark, sf_dir)[3]
+    return _classify(_first_medians(spark, sf_dir), DEFAULT_RULES)
+
+
+def _centroid_table(spark, sf_dir, view):
+    """The job's output table after the first assignment."""
+    pts, seeds = _seeded(spark, sf_dir, view)
+    labeled = km.assign(pts, NORM_FEATURES, [s[1] for s in seeds])
+    means, _ = km.update(labeled, NORM_FEATURES, K)
+    cats = _classify(_medians(labeled, NORM_FEATURES, K), DEFAULT_RULES).collect()
+    return cj.centroid_table(spark, [m or s[1] for m, s in zip(means, seeds)],
+                             {r["cluster"]: r["category"] for r in cats})
 
 
 def centroid_table(spark, sf_dir):
-    labeled, _, _, cats = _first_categories(spark, sf_dir)
-    cents = km.cluster_stats(labeled, NORM_FEATURES, decimals=ROUND)
-    return cj.centroid_table(cents, cats, NORM_FEATURES)
+    return _centroid_table(spark, sf_dir, CE)
+
+
+def centroid_table_lineitem(spark, sf_dir):
+    return _centroid_table(spark, sf_dir, PL)
 
 
 def kmeans_fit(spark, sf_dir):
@@ -266,8 +310,8 @@ EMBED_K = 10
 
 
 def _embed_seeded(spark, sf_dir):
-    pts = materialize(embedding_points(spark, sf_dir), "embedding-points")
-    cols = embedding_cols()
+    pts, cols = embedding_points(spark, sf_dir)
+    pts = materialize(pts, "embedding-points")
     return pts, cols, km.kmeanspp_seeds(pts, cols, "vec", EMBED_K, SEED)
 
 
@@ -285,22 +329,11 @@ def embedding_kmeans_assign(spark, sf_dir):
 
 def embedding_kmeans_update(spark, sf_dir):
     pts, cols, seeds = _embed_seeded(spark, sf_dir)
-    return km.cluster_stats(km.assign(pts, cols, [s[1] for s in seeds]), cols, decimals=ROUND)
+    return km.cluster_stats(km.assign(pts, cols, [s[1] for s in seeds]), cols, EMBED_K)
 
 
 def global_medians(spark, sf_dir):
-    return exact_medians(_points(spark, sf_dir), [], NORM_FEATURES)
-
-
-def centroid_table_lineitem(spark, sf_dir):
-    pts = _points(spark, sf_dir, PL)
-    seeds = km.kmeanspp_seeds(pts, NORM_FEATURES, "path", K, SEED)
-    labeled = km.assign(pts, NORM_FEATURES, [s[1] for s in seeds])
-    ids = spark.range(K).select(F.col("id").cast("int").alias("cluster"))
-    meds = ids.join(_medians(labeled, NORM_FEATURES), "cluster", "left")
-    cats = _classify(_scores(meds, DEFAULT_RULES), DEFAULT_RULES)
-    cents = km.cluster_stats(labeled, NORM_FEATURES, decimals=ROUND)
-    return cj.centroid_table(cents, cats, NORM_FEATURES)
+    return exact_medians(_points(spark, sf_dir), [], NORM_FEATURES, window_rows=16)
 
 
 _CLUSTER_QUERIES.update({
@@ -324,6 +357,9 @@ _FEATURE_QUERIES = {
     "peak_concurrency": peak_concurrency,
     "observation_end": observation_end,
     "locality": locality,
+    "locality_repeated": locality_repeated,
+    "feature_round_trip": feature_round_trip,
+    "result_round_trip": result_round_trip,
     "age_seconds": age_seconds,
     "fill_missing": fill_missing,
     "write_ratio": write_ratio,

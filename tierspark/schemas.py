@@ -24,10 +24,6 @@ ACCESS_LOG_TEXT = T.StructType([
     T.StructField("pid", T.StringType(), True),
 ])
 
-# Columns the feature operators need (parsed forms).
-MANIFEST_COLS = ["path", "creation_epoch", "primary_node"]
-LOG_COLS = ["path", "ts_epoch", "op", "client_node"]
-
 # Raw features, in output order.
 FEATURES = ["access_freq", "age_seconds", "write_ratio", "locality", "concurrency"]
 
@@ -92,15 +88,6 @@ class Rules:
                    tuple(base["categories"]), base["moderate"],
                    float(base["moderate_band"])).validate()
 
-    def to_frame(self, spark):
-        """Long rule table: category, ord, feature, weight, direction, rf, global_median."""
-        rows = [(c, i, f, float(self.weights[c][f]), int(self.directions[c][f]),
-                 int(self.replication_factors[c]), float(self.global_medians[f]))
-                for i, c in enumerate(self.categories) for f in self.features]
-        return spark.createDataFrame(rows, "category string, ord int, feature string, "
-                                           "weight double, direction int, rf int, "
-                                           "global_median double")
-
     def validate(self) -> "Rules":
         for cat in self.categories:
             for f in self.features:
@@ -112,21 +99,9 @@ class Rules:
 
 
 # --- fixed values (must equal the reference's rule configuration) ---------------
-# Category order: Hot, Shared, Moderate, Archival.
-# Global median of every normalised feature: 0.5.
-# Weights, features in order access_freq_norm, age_norm, write_ratio_norm,
-# locality_norm, concurrency_norm:
-#   Hot      1.0, 0.8, 0.5, 0.5, 1.0
-#   Shared   0.7, 0.2, 1.0, 0.2, 0.5
-#   Moderate 0.5, 0.5, 0.5, 0.5, 0.5
-#   Archival 0.1, 1.0, 0.1, 0.5, 0.1
-# Directions, same feature order:
-#   Hot      +1, -1, +1, +1, +1
-#   Shared   +1, +1, +1, +1, +1
-#   Moderate  0,  0,  0,  0,  0
-#   Archival -1, +1, -1, -1, -1
-# Replication factors: Hot 3, Shared 2, Moderate 1, Archival 4.
-# Moderate band: |delta| < 0.1.
+# Category order; weights and directions per category, features in the order of
+# NORM_FEATURES; replication factors. Global medians are 0.5 and the Moderate band is
+# |delta| < 0.1.
 CATEGORIES = ("Hot", "Shared", "Moderate", "Archival")
 _W = {
     "Hot": (1.0, 0.8, 0.5, 0.5, 1.0),

@@ -82,17 +82,27 @@ def materialize(df: DataFrame, label: str, persist: bool = False) -> DataFrame:
     return out
 
 
+def release(df: DataFrame | None) -> None:
+    """Delete the table behind a frame from :func:`materialize`. Only folders that
+    :func:`scratch_path` named are touched."""
+    if df is None:
+        return
+    df.unpersist()
+    spark = df.sparkSession
+    root = f"{checkpoint_root(spark)}/tierspark/".split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(root):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file sizes for scans)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate only
-        return 0
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def size_shuffle_partitions(spark: SparkSession, *inputs: DataFrame,
-                            target_bytes: int = 128 * 1024 * 1024,
-                            lo: int = 8, hi: int = 50_000) -> int:
+                            target_bytes: int = 128 * 1024 * 1024, lo: int = 8) -> int:
     """Set ``spark.sql.shuffle.partitions`` to about input bytes / ``target_bytes``
     (AQE coalesces downward from it), unless the launcher set it explicitly.
     Returns the value in effect."""
@@ -100,6 +110,6 @@ def size_shuffle_partitions(spark: SparkSession, *inputs: DataFrame,
     if spark.sparkContext.getConf().contains(key):
         return int(spark.conf.get(key))
     total = sum(estimated_bytes(d) for d in inputs)
-    n = max(lo, min(hi, -(-total // target_bytes)))
+    n = max(lo, -(-total // target_bytes))
     spark.conf.set(key, str(n))
     return n

@@ -37,8 +37,8 @@ class View:
     width: float
     manifest: Callable[[SparkSession, str], DataFrame]
     log: Callable[[SparkSession, str], DataFrame]
-    manifest_text: Callable[[SparkSession, str], DataFrame]
-    log_text: Callable[[SparkSession, str], DataFrame]
+    manifest_text: Callable[[SparkSession, str], DataFrame] | None = None
+    log_text: Callable[[SparkSession, str], DataFrame] | None = None
 
 
 # ----- customer / events ----------------------------------------------------------
@@ -120,49 +120,23 @@ def _pl_log(spark, sf_dir):
     )
 
 
-def _pl_manifest_text(spark, sf_dir):
-    p = load_table(spark, sf_dir, "part")
-    micros = (F.lit(757382400) + F.col("p_partkey") * F.lit(1000)) * F.lit(1_000_000)
-    return p.select(
-        F.col("p_partkey").cast("string").alias("path"),
-        iso_micros(F.timestamp_add("MICROSECOND", micros, _ntz_epoch())).alias("creation_ts"),
-        _node(F.col("p_partkey")).alias("primary_node"),
-        (F.col("p_size") * F.lit(1024)).cast("string").alias("size_bytes"),
-        F.lower(F.col("p_brand")).alias("category"),
-    )
-
-
-def _pl_log_text(spark, sf_dir):
-    li = load_table(spark, sf_dir, "lineitem")
-    return li.select(
-        iso_millis(F.col("l_shipdate").cast("timestamp_ntz")).alias("ts_iso"),
-        F.col("l_partkey").cast("string").alias("path"),
-        _pl_op().alias("op"),
-        _node(F.col("l_suppkey")).alias("client_node"),
-        (F.lit(1000) + F.col("l_linenumber")).cast("string").alias("pid"),
-    )
-
-
 VIEWS = {
     "customer_events": View("customer_events", 3600.0, _ce_manifest, _ce_log,
                             _ce_manifest_text, _ce_log_text),
-    "part_lineitem": View("part_lineitem", 86400.0, _pl_manifest, _pl_log,
-                          _pl_manifest_text, _pl_log_text),
+    "part_lineitem": View("part_lineitem", 86400.0, _pl_manifest, _pl_log),
 }
 
 
 # ----- embeddings: a second point set for the clustering operators --------------------
 
-EMBED_DIM = 64
-
-
-def embedding_cols(dim: int = EMBED_DIM) -> list:
-    return [f"e{i:02d}" for i in range(dim)]
-
-
-def embedding_points(spark: SparkSession, sf_dir: str, dim: int = EMBED_DIM) -> DataFrame:
-    """``vec`` (id as text) and one double column per embedding coordinate."""
+def embedding_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    """(``vec`` (id as text) and one double column per coordinate, the columns). The
+    width is that of the data; vectors of different widths raise."""
     e = load_table(spark, sf_dir, "embeddings")
+    lo, hi = e.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if lo != hi:
+        raise ValueError(f"embeddings have {lo} to {hi} coordinates")
+    cols = [f"e{i:02d}" for i in range(hi or 0)]
     return e.select(F.col("vec_id").cast("string").alias("vec"),
                     *[F.col("embedding").getItem(i).cast("double").alias(c)
-                      for i, c in enumerate(embedding_cols(dim))])
+                      for i, c in enumerate(cols)]), cols

@@ -36,10 +36,29 @@ def resolve_input(spark: SparkSession, path: str) -> str:
     return path
 
 
+def _csv_by_name(spark: SparkSession, path: str) -> DataFrame:
+    """All CSV files of ``path``, each bound by its own header line; columns that a file
+    lacks are NULL. Files with the same header are read together."""
+    lines = (spark.read.text(resolve_input(spark, path))
+             .select("value", F.input_file_name().alias("file"),
+                     F.col("_metadata.file_block_start").alias("at"),
+                     F.monotonically_increasing_id().alias("row")))
+    heads = (lines.where("at = 0").groupBy("file")
+             .agg(F.min_by("value", "row").alias("head")).groupBy("head")
+             .agg(F.collect_list("file").alias("files")).collect())
+    parts = [spark.read.option("header", True).option("inferSchema", False)
+             .csv(sorted(r["files"])) for r in heads]
+    if not parts:
+        return spark.read.option("header", True).csv(resolve_input(spark, path))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest CSV with header; columns bound by header name, all strings."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .csv(resolve_input(spark, path)))
+    raw = _csv_by_name(spark, path)
     missing = [c for c in ("path", "creation_ts", "primary_node") if c not in raw.columns]
     if missing:
         raise ValueError(f"manifest lacks columns {missing}")
@@ -81,13 +100,13 @@ def read_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     """Feature table back with its declared types (CSV columns by header name)."""
     path = resolve_input(spark, path)
     if fmt == "csv":
-        raw = spark.read.option("header", True).csv(path)
+        raw = _csv_by_name(spark, path)
     else:
         raw = spark.read.format(fmt).load(path)
-    cols = []
-    for f in FEATURE_TABLE.fields:
-        if f.name in raw.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+    missing = [c for c in FEATURE_TABLE.fieldNames() if c not in raw.columns]
+    if missing:
+        raise ValueError(f"feature table lacks columns {missing}")
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in FEATURE_TABLE.fields]
     extra = [c for c in raw.columns if c not in FEATURE_TABLE.fieldNames()]
     return raw.select(*cols, *extra)
 
@@ -114,17 +133,15 @@ def write_access_log_text(df: DataFrame, path: str, mode: str = "overwrite") ->
 
 def export_log(df: DataFrame, path: str | None = None, mode: str = "overwrite") -> DataFrame:
     """Access log in time order (text order of the fixed-width ISO form equals
-    time order). ``orderBy`` range-partitions, so the sort is distributed and
-    the part files are globally ordered. Rows of the same timestamp are ordered
-    by the other columns and then by their position in the input, so the sort
-    key is unique and the range bounds can split even a second that holds a
-    large share of the log. Returns the ordered DataFrame and, with ``path``,
-    writes it as headerless CSV."""
+    time order); rows of the same timestamp keep their input order. ``orderBy``
+    range-partitions, so the sort is distributed and the part files are globally
+    ordered; the position makes the key unique, so the range bounds can split even a
+    second that holds a large share of the log. Returns the ordered DataFrame and,
+    with ``path``, writes it as headerless CSV."""
     cols = [F.col(f.name).cast("string") if f.name in df.columns
             else F.lit(None).cast("string").alias(f.name) for f in ACCESS_LOG_TEXT.fields]
-    names = [f.name for f in ACCESS_LOG_TEXT.fields]
     ordered = (df.select(*cols, F.monotonically_increasing_id().alias("_pos"))
-               .orderBy(*names, "_pos").drop("_pos"))
+               .orderBy("ts_iso", "_pos").drop("_pos"))
     if path is not None:
         ordered.write.mode(mode).option("header", False).csv(path)
     return ordered

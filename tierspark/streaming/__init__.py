@@ -1,9 +1,6 @@
 """Structured Streaming twin of the log aggregation (optional extension)."""
 
-from tierspark.streaming.log_stream import (
-    read_log_stream, bucketed_counts, start_bucket_sink, path_stats_from_buckets,
-    client_counts_from_buckets, features_from_buckets,
-)
+from tierspark.streaming.log_stream import (features_from_buckets, read_log_stream,
+                                            start_bucket_sink)
 
-__all__ = ["read_log_stream", "bucketed_counts", "start_bucket_sink",
-           "path_stats_from_buckets", "client_counts_from_buckets", "features_from_buckets"]
+__all__ = ["read_log_stream", "start_bucket_sink", "features_from_buckets"]

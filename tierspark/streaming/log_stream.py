@@ -1,61 +1,43 @@
 """Incremental log aggregation with Structured Streaming.
 
-An access log that keeps arriving as CSV files in a folder is reduced
-continuously to one row per (path, client node, time bucket): accesses, writes,
-reads and the last access time. Buckets are tumbling event-time windows of
-``width`` seconds (epoch-aligned, the same buckets as the batch job); a
-watermark of ``delay`` closes them, and closed buckets are appended to a
-Parquet table. The batch feature job then reads this table instead of the raw
-log: every per-path statistic it needs is a sum or max over bucket rows.
-
-Difference from the batch job: rows without a parsable time cannot be placed in
-an event-time window and are dropped here (the batch job counts them in one
-NULL bucket).
+An access log that keeps arriving as CSV files in a folder is reduced, batch by
+batch, to one row per (path, client node, time bucket): accesses, writes, reads
+and the last access time. Each micro-batch writes its counts to a folder of its
+own (overwritten if the batch is repeated after a failure, so every log row
+counts once). Counts of different batches for the same bucket are added when the
+feature job reads them, so late rows and rows without a time (which share one NULL
+bucket) count as in the batch job, and no bucket is ever open.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tierspark.operators.features import file_stats_from, log_counts, path_table
 from tierspark.plans.feature_job import FeatureRun, compute_features
-from tierspark.operators.features import file_stats_from
 from tierspark.schemas import ACCESS_LOG_TEXT
+from tierspark.sources.files import parse_access_log
 
 
 def read_log_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None
                     ) -> DataFrame:
-    """Streaming read of headerless log CSV files with the fixed schema; adds
-    the event time ``ts`` and ``ts_epoch``."""
+    """Streaming read of headerless log CSV files with the fixed schema, parsed."""
     r = spark.readStream.schema(ACCESS_LOG_TEXT).option("header", False)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    raw = r.csv(path)
-    ts = F.try_to_timestamp(F.col("ts_iso"))
-    return raw.withColumn("ts", ts).withColumn(
-        "ts_epoch", F.unix_micros(F.col("ts")).cast("double") / F.lit(1_000_000.0))
-
-
-def bucketed_counts(log: DataFrame, width: float = 1.0, delay: str = "10 minutes") -> DataFrame:
-    """(path, client_node, bucket) -> n, writes, reads, last_ts, append mode."""
-    secs = int(width) if float(width).is_integer() else width
-    win = F.window(F.col("ts"), f"{secs} seconds")
-    agg = (log.where(F.col("ts").isNotNull())
-           .withWatermark("ts", delay)
-           .groupBy(win.alias("w"), F.col("path"), F.col("client_node"))
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.sum(F.when(F.col("op") == "WRITE", 1).otherwise(0)).cast("long").alias("writes"),
-                F.sum(F.when(F.col("op") == "READ", 1).otherwise(0)).cast("long").alias("reads"),
-                F.max("ts_epoch").alias("last_ts")))
-    bucket = F.floor(F.unix_micros(F.col("w.start")).cast("double") / F.lit(1e6 * float(width)))
-    return agg.select("path", "client_node", bucket.alias("bucket"), "n", "writes", "reads",
-                      "last_ts")
-
-
-def start_bucket_sink(buckets: DataFrame, out_path: str, checkpoint_path: str,
+    return parse_access_log(r.csv(path))
+
+
+def start_bucket_sink(log: DataFrame, out_path: str, checkpoint_path: str, width: float = 1.0,
                       available_now: bool = False, processing_time: str | None = None):
-    """Append closed buckets to Parquet (exactly-once through the checkpoint)."""
-    w = (buckets.writeStream.format("parquet").outputMode("append")
-         .option("path", out_path).option("checkpointLocation", checkpoint_path))
+    """Start writing ``batch=<id>`` folders of bucket counts under ``out_path``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = (log_counts(batch, width).groupBy("path", "client_node", "bucket")
+                  .agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("r").alias("r"),
+                       F.max("t").alias("t")))
+        counts.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    w = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path)
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:
@@ -63,27 +45,9 @@ def start_bucket_sink(buckets: DataFrame, out_path: str, checkpoint_path: str,
     return w.start()
 
 
-def path_stats_from_buckets(buckets: DataFrame) -> DataFrame:
-    """Same shape as :func:`features.path_stats`: bucket rows are first summed
-    over clients, then reduced per path (sum, max of the bucket count)."""
-    per_bucket = (buckets.groupBy("path", "bucket")
-                  .agg(F.sum("n").alias("n"), F.sum("writes").alias("w"),
-                       F.sum("reads").alias("r"), F.max("last_ts").alias("t")))
-    return per_bucket.groupBy("path").agg(
-        F.sum("n").cast("long").alias("access_freq"),
-        F.sum("w").cast("long").alias("writes"),
-        F.sum("r").cast("long").alias("reads"),
-        F.max("n").cast("long").alias("max_concurrency"),
-        F.max("t").alias("last_ts"))
-
-
-def client_counts_from_buckets(buckets: DataFrame) -> DataFrame:
-    return buckets.groupBy("path", "client_node").agg(F.sum("n").cast("long").alias("n"))
-
-
 def features_from_buckets(manifest: DataFrame, buckets: DataFrame, **kw) -> FeatureRun:
-    stats = file_stats_from(manifest, path_stats_from_buckets(buckets),
-                            client_counts_from_buckets(buckets))
+    """The feature job on the written counts instead of the raw log."""
+    stats = file_stats_from(manifest, path_table(buckets))
     return compute_features(manifest, None, stats=stats, **kw)
 
 
@@ -94,17 +58,15 @@ def main(argv=None) -> None:
 
     ap = argparse.ArgumentParser(description="Aggregate an arriving access log into time buckets.")
     ap.add_argument("--log_dir", required=True, help="folder the log CSV files arrive in")
-    ap.add_argument("--out", required=True, help="Parquet folder of closed buckets")
+    ap.add_argument("--out", required=True, help="Parquet folder of bucket counts")
     ap.add_argument("--checkpoint", required=True, help="stream checkpoint folder (shared storage)")
     ap.add_argument("--bucket_seconds", type=float, default=1.0)
-    ap.add_argument("--delay", default="10 minutes", help="watermark delay for late rows")
     ap.add_argument("--once", action="store_true", help="process what is there, then stop")
     ap.add_argument("--trigger", default="1 minute")
     a = ap.parse_args(argv)
     spark = build_session(app="tierspark-log-stream")
-    buckets = bucketed_counts(read_log_stream(spark, a.log_dir), a.bucket_seconds, a.delay)
-    q = start_bucket_sink(buckets, a.out, a.checkpoint, available_now=a.once,
-                          processing_time=None if a.once else a.trigger)
+    q = start_bucket_sink(read_log_stream(spark, a.log_dir), a.out, a.checkpoint, a.bucket_seconds,
+                          available_now=a.once, processing_time=None if a.once else a.trigger)
     q.awaitTermination()
 
 

@@ -30,7 +30,7 @@ def main():
     spark = build_session("local[8]", shuffle_partitions=8)
     v = VIEWS["part_lineitem"]
     m, log = v.manifest(spark, sf_dir), v.log(spark, sf_dir)
-    show("per-path statistics (the only pass over the log)", feat.file_stats(m, log, v.width))
+    show("per-path statistics (one pass over the log)", feat.file_stats(m, log, v.width))
     run = compute_features(m, log, v.width)
     pts = materialize(run.features.select("path", *NORM_FEATURES), "explain-points", persist=True)
     seeds = [s[1] for s in km.kmeanspp_seeds(pts, NORM_FEATURES, "path", 4, 42)]
