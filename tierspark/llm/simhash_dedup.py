@@ -22,8 +22,10 @@ groups are the connected components of the links.
 Defined cases
 * null or blank text has fingerprint zero, which links like any other.
 * fewer words than the shingle length: the whole sequence is the only shingle.
-* a null ``doc_id`` counts as the largest id; a component without any id has a null id.
-* rows repeating a ``doc_id`` are one document: all stay or none.
+* a null ``doc_id`` counts as the largest id; a component without any id has a null id,
+  and its rows all stay, as nothing tells them apart.
+* rows repeating a ``doc_id`` are grouped by their own texts; rows repeating the text as
+  well are one document: all stay or none.
 * an empty table gives an empty result; extra columns are ignored or kept.
 """
 
@@ -76,15 +78,17 @@ def _fingerprints(n: int):
             texts = b.column("t").cast(pa.large_binary())
             fps = [_fingerprint(x.as_buffer().to_pybytes().translate(table), n) for x in texts]
             signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(signed, pa.int64())],
-                                             ["d", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("d"), b.column("th"), pa.array(signed, pa.int64())], ["d", "th", "fp"])
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """d (order key of the id) and fp (the fingerprint's 64 bits as a signed long)."""
-    t = docs.select(order_id().alias("d"), whole_text().alias("t"))
-    return t.mapInArrow(_fingerprints(shingle), "d long, fp long")
+    """d (order key of the id), th (hash of the text) and fp (the fingerprint's 64 bits as
+    a signed long)."""
+    t = docs.select(order_id().alias("d"), F.xxhash64(whole_text()).alias("th"),
+                    whole_text().alias("t"))
+    return t.mapInArrow(_fingerprints(shingle), "d long, th long, fp long")
 
 
 # ---- groups of bits and their thresholds --------------------------------------------
@@ -281,7 +285,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowd: int = 32) -> DataFrame:
-    """d, fp, component (order key of the smallest id reachable), one row per document."""
+    """d, th, fp, component (order key of the smallest id reachable), a row per document."""
     rows = materialize(fingerprints(docs, shingle), "fingerprints")
     each = materialize(rows.groupBy("fp").agg(F.min("d").alias("d")), "distinct-fp")
     n = each.count()
@@ -293,16 +297,16 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowd: int
     named = each.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("d").alias("component"))
     of_fp = materialize(named.join(least, "root").select("fp", "component"), "fp-components")
-    return rows.join(of_fp, "fp").select("d", "fp", "component")
+    return rows.join(of_fp, "fp").select("d", "th", "fp", "component")
 
 
 def keep_one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component."""
     # a null id is the largest key: it stays only where its component has no id at all
-    gone = near_groups(docs, shingle, max_bits).where("d != component").select("d").distinct()
+    gone = near_groups(docs, shingle, max_bits).where("d != component").select("d", "th")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                        order_id().alias("d"))
-    return boxed.join(gone.hint("shuffle_hash"), "d", "left_anti").select("row.*")
+                        order_id().alias("d"), F.xxhash64(whole_text()).alias("th"))
+    return boxed.join(gone.distinct().hint("shuffle_hash"), ["d", "th"], "left_anti").select("row.*")
 
 
 def op10_simhash(spark, sf_dir):

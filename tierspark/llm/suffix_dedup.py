@@ -43,6 +43,8 @@ from .deep_shallow import common_matrix, deep_shallow
 GRAM = 64
 #: String starts handled at once; below 2**24, the room for positions beside a hash.
 BLOCK = 4_000_000
+#: Rows a task holds before it hands them on.
+AT_ONCE = 30_000
 FACTOR = 0x9E3779B97F4A7C15
 #: log2 of the bits in a bit table (8 MB).
 TABLE_BITS = 26
@@ -136,6 +138,10 @@ def _runs(span: int, placed: bool):
                         rows.append((*own, lo, hi, p - lo, h, u))
                     else:
                         count[h, u] += 1
+                if len(rows) + len(count) > AT_ONCE:
+                    yield _to_batch(rows, RUN) if placed else _to_batch(
+                        [(h, u, n) for (h, u), n in count.items()], COUNT)
+                    rows, count = [], Counter()
             if placed:
                 yield _to_batch(rows, RUN)
             else:
@@ -295,7 +301,7 @@ def _strings(span: int):
             for h, u, off, once, c in zip(*(c.to_pylist() for c in b.columns)):
                 rows += [(h, u, off - i, xxhash.xxh3_128_digest(c[i:i + span]), once)
                          for i in range(len(c) - span + 1)]
-                if len(rows) > 50_000:
+                if len(rows) > AT_ONCE:
                     yield _to_batch(rows, WINDOW)
                     rows = []
             yield _to_batch(rows, WINDOW)
