@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tierspark.llm import decontaminate, histogram_shard, pfair_mix, quality_qda, simhash_dedup
-from tierspark.llm.common import documents, materialize
+from tierspark.llm.common import documents
+from tierspark.session import release, scratch_path, scratch_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages one after another, each written to the shared folder and read again.
+    A stage's own tables, and what it read, are deleted once it is written."""
+    docs, written = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        release(written)
+        docs = written = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
