@@ -176,6 +176,18 @@ def test_materialize_writes_under_the_session_checkpoint_dir(spark):
     assert df.count() == 10
 
 
+def test_scratch_scope_deletes_what_was_written_in_it(spark, tmp_out):
+    from tierspark.session import checkpoint_root, materialize, scratch_scope
+    root = checkpoint_root(spark).replace("file:", "") + "/tierspark"
+    kept = materialize(spark.range(3).toDF("x"), "kept")
+    before = set(os.listdir(root))
+    with scratch_scope(spark):
+        materialize(spark.range(5).toDF("x"), "scoped").write.parquet(f"{tmp_out}/out")
+        assert set(os.listdir(root)) - before
+    assert set(os.listdir(root)) == before
+    assert spark.read.parquet(f"{tmp_out}/out").count() == 5 and kept.count() == 3
+
+
 def test_registry_queries_leave_no_cached_tables(spark):
     import __spark_entry__ as entry
     from tests.conftest import SF_SMALL

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +77,8 @@ def materialize(df: DataFrame, label: str, persist: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    for own in _SCOPES:
+        own.append(path)
     df.write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
     if persist:
@@ -82,6 +86,28 @@ def materialize(df: DataFrame, label: str, persist: bool = False) -> DataFrame:
     return out
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, every table that :func:`materialize` wrote in it.
+    What the block computes must be written elsewhere before it ends."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the table behind a frame from :func:`materialize`. Only folders that
     :func:`scratch_path` named are touched."""
@@ -92,8 +118,7 @@ def release(df: DataFrame | None) -> None:
     root = f"{checkpoint_root(spark)}/tierspark/".split(":", 1)[-1].lstrip("/")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.split(":", 1)[-1].lstrip("/").startswith(root):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
 
 
 def estimated_bytes(df: DataFrame) -> int:
