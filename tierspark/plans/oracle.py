@@ -64,7 +64,40 @@ _PL = {
     "width": 86400.0,
 }
 
-VIEWS = {"customer_events": _CE, "part_lineitem": _PL}
+_SE = {
+    "manifest": """
+  SELECT CAST(s_suppkey AS VARCHAR) AS path, CAST(1672531200 AS DOUBLE) AS creation_epoch,
+         'dn' || CAST(s_nationkey % 3 + 1 AS VARCHAR) AS primary_node
+  FROM supplier""",
+    "log": _CE["log"],
+    "width": 3600.0,
+}
+
+_EDGES = {
+    "manifest": """
+  SELECT CAST(c_custkey AS VARCHAR) AS path,
+         CASE WHEN c_mktsegment <> 'BUILDING'
+              THEN CAST(1672531200 + c_custkey * 1800 AS DOUBLE) END AS creation_epoch,
+         CASE WHEN c_mktsegment <> 'MACHINERY'
+              THEN 'dn' || CAST(c_nationkey % 3 + 1 AS VARCHAR) END AS primary_node
+  FROM customer""",
+    "log": """
+  SELECT CAST(user_id AS VARCHAR) AS path,
+         CASE WHEN event_type <> 'error' THEN epoch(ts) END AS ts_epoch,
+         CASE WHEN event_type IN ('purchase', 'signup') THEN 'WRITE'
+              WHEN event_type IN ('view', 'click') THEN 'READ'
+              WHEN event_type = 'error' THEN 'DELETE' END AS op,
+         CASE WHEN event_type <> 'signup'
+              THEN 'dn' || CAST(event_id % 3 + 1 AS VARCHAR) END AS client_node
+  FROM events""",
+    "width": 3600.0,
+}
+
+_NO_LOG = {"manifest": _CE["manifest"], "log": _CE["log"] + " WHERE false", "width": 3600.0,
+           "end": "SELECT CAST(1800000000 AS DOUBLE) AS observation_end"}
+
+VIEWS = {"customer_events": _CE, "part_lineitem": _PL, "supplier_events": _SE, "edges": _EDGES,
+         "no_log": _NO_LOG}
 
 
 def _with(view: dict, *ctes: tuple) -> str:
@@ -93,7 +126,7 @@ def _feature_ctes(view: dict) -> list:
            AS local_accesses,
          count(*) AS total_accesses
   FROM log LEFT JOIN manifest m ON log.path = m.path GROUP BY log.path"""),
-        ("obs", "SELECT max(ts_epoch) AS observation_end FROM log"),
+        ("obs", view.get("end", "SELECT max(ts_epoch) AS observation_end FROM log")),
         ("filled", """
   SELECT m.path,
          COALESCE(s.access_freq, 0) AS access_freq,
@@ -157,6 +190,9 @@ LEFT JOIN (SELECT path, count(*) AS total_accesses FROM log GROUP BY path) t ON
 LEFT JOIN (SELECT path, client_node, count(*) AS local_accesses FROM log
            GROUP BY path, client_node) c ON o.path = c.path AND o.node = c.client_node"""),
         "feature_round_trip": feature_sql(ce, "SELECT * FROM normed"),
+        "orphan_features": feature_sql("supplier_events", "SELECT * FROM normed"),
+        "edge_features": feature_sql("edges", "SELECT * FROM normed"),
+        "no_log_features": feature_sql("no_log", "SELECT * FROM normed"),
         "age_seconds": feature_sql(ce, """
 SELECT path, (SELECT observation_end FROM obs) - creation_epoch AS age_seconds FROM manifest"""),
         "fill_missing": feature_sql(ce, "SELECT * FROM filled"),
@@ -273,25 +309,26 @@ def _lit(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
-def _score_sql(rules, category: str) -> str:
+def _score_sql(rules, category: str, power: int = 2) -> str:
     terms = []
+    raised = lambda x: "(" + " * ".join([x] * power) + ")"
     for p in rules.features:
         d = f"({p} - {_lit(rules.global_medians[p])})"
         w = _lit(rules.weights[category][p])
         direction = rules.directions[category][p]
         if category == rules.moderate:
             t = (f"CASE WHEN abs({d}) < {_lit(rules.moderate_band)} THEN "
-                 f"{w} * ((CAST(1 AS DOUBLE) - abs({d})) * (CAST(1 AS DOUBLE) - abs({d}))) END")
+                 f"{w} * {raised(f'(CAST(1 AS DOUBLE) - abs({d}))')} END")
         elif direction == 0:
-            t = f"{w} * (abs({d}) * abs({d}))"
+            t = f"{w} * {raised(f'abs({d})')}"
         else:
-            t = f"CASE WHEN sign({d}) = {int(direction)} THEN {w} * (abs({d}) * abs({d})) END"
+            t = f"CASE WHEN sign({d}) = {int(direction)} THEN {w} * {raised(f'abs({d})')} END"
         terms.append(f"COALESCE({t}, CAST(0 AS DOUBLE))")
     return " + ".join(terms)
 
 
-def _score_ctes(rules=DEFAULT_RULES) -> list:
-    parts = [f"SELECT cluster, '{c}' AS category, {_score_sql(rules, c)} AS score, "
+def _score_ctes(rules=DEFAULT_RULES, power: int = 2) -> list:
+    parts = [f"SELECT cluster, '{c}' AS category, {_score_sql(rules, c, power)} AS score, "
              f"{rules.replication_factors[c]} AS rf, {i} AS ord FROM medians"
              for i, c in enumerate(rules.categories)]
     return [
@@ -381,8 +418,25 @@ def fit_sql(final: str, view_name: str = "customer_events", tol: float = 1e-4) -
     return _with(view, *ctes).replace("WITH ", "WITH RECURSIVE ", 1) + final
 
 
+def _far_sql(final: str) -> str:
+    """Three seeds and a centre that no point is near: cluster 3 is empty."""
+    ctes = _feature_ctes(_CE) + _seed_ctes(K - 1) + _median_ctes() + _score_ctes()
+    ctes += [c for c in _centroid_ctes() if c[0] == "upd"]
+    return _with(_CE, *ctes) + final
+
+
 def fit_queries() -> dict:
+    cols = ", ".join(NORM_FEATURES)
     return {
+        "kmeans_fit_lineitem": fit_sql("SELECT path, cluster FROM assigned", "part_lineitem"),
+        "kmeans_empty_cluster": _far_sql(
+            f"SELECT cluster, n, {cols} FROM upd UNION ALL SELECT {K - 1}, 0, {cols} FROM pts WHERE "
+            f"path = (SELECT arg_min(path, {_u(SEED, f'empty:1:{K - 1}', 'path')}) FROM pts)"),
+        "empty_cluster_categories": _far_sql("SELECT * FROM best"),
+        "point_count": feature_sql("customer_events", "SELECT count(*) AS n FROM normed"),
+        "cluster_names": cluster_sql("SELECT path, 'C' || cluster AS name FROM assigned"),
+        "scores_cubed": _with(_CE, *_feature_ctes(_CE), *_seed_ctes(), *_median_ctes(),
+                              *_score_ctes(power=3)) + "SELECT cluster, category, score FROM scores",
         "kmeans_fit": fit_sql("SELECT path, cluster FROM assigned"),
         "file_categories": fit_sql("SELECT path, a.cluster, category FROM assigned a "
                                    "LEFT JOIN best b ON a.cluster = b.cluster"),

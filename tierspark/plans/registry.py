@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tierspark.functions.formatting import cluster_name
 from tierspark.operators import features as feat
 from tierspark.operators import kmeans as km
 from tierspark.operators.median import exact_medians
@@ -25,6 +26,7 @@ from tierspark.sources.driver_tables import VIEWS, embedding_points, load_table
 
 CE = VIEWS["customer_events"]
 PL = VIEWS["part_lineitem"]
+NO_LOG_END = 1800000000.0
 
 
 def _features(spark, sf_dir, view=CE):
@@ -162,6 +164,23 @@ def minmax_norm_lineitem(spark, sf_dir):
     return _features(spark, sf_dir, PL).features
 
 
+def orphan_features(spark, sf_dir):
+    """Most log rows are of no manifest file, and one feature is constant."""
+    return _features(spark, sf_dir, VIEWS["supplier_events"]).features
+
+
+def edge_features(spark, sf_dir):
+    """Missing creation times, primary nodes, access times and clients."""
+    return _features(spark, sf_dir, VIEWS["edges"]).features
+
+
+def no_log_features(spark, sf_dir):
+    """A manifest whose log has no rows; the observation end is given."""
+    log = CE.log(spark, sf_dir).where(F.lit(False))
+    return compute_features(CE.manifest(spark, sf_dir), log, CE.width,
+                            observation_end=NO_LOG_END).features
+
+
 # ---- clustering and scoring -------------------------------------------------------
 
 
@@ -285,7 +304,53 @@ def file_categories(spark, sf_dir):
                        seed=SEED).files
 
 
+def kmeans_fit_lineitem(spark, sf_dir):
+    pts = _points(spark, sf_dir, PL)
+    return km.kmeans(pts, NORM_FEATURES, "path", K, seed=SEED).labeled.select("path", "cluster")
+
+
+def _far_init(spark, sf_dir):
+    """Three seeds, and a centre that no point is near."""
+    pts, seeds = _seeded(spark, sf_dir)
+    return pts, [s[1] for s in seeds[:K - 1]] + [[9.0] * len(NORM_FEATURES)]
+
+
+def kmeans_empty_cluster(spark, sf_dir):
+    """Centres after one iteration: the empty cluster's is a point drawn anew."""
+    pts, init = _far_init(spark, sf_dir)
+    res = km.kmeans(pts, NORM_FEATURES, "path", K, max_iter=1, seed=SEED, init=init)
+    return spark.createDataFrame(
+        [(j, n, *c) for j, (n, c) in enumerate(zip(res.counts, res.centroids))],
+        "cluster int, n long, " + ", ".join(f"{c} double" for c in NORM_FEATURES))
+
+
+def empty_cluster_categories(spark, sf_dir):
+    pts, init = _far_init(spark, sf_dir)
+    return _classify(_medians(km.assign(pts, NORM_FEATURES, init), NORM_FEATURES, K), DEFAULT_RULES)
+
+
+def point_count(spark, sf_dir):
+    n = km.check_points(_points(spark, sf_dir), NORM_FEATURES)
+    return spark.createDataFrame([(n,)], "n long")
+
+
+def cluster_names(spark, sf_dir):
+    labeled = _first_assignment(spark, sf_dir)[2]
+    return labeled.select("path", cluster_name(F.col("cluster")).alias("name"))
+
+
+def scores_cubed(spark, sf_dir):
+    """Category scores with another deviation weight, f(x) = x^3."""
+    return _scores(_first_medians(spark, sf_dir), DEFAULT_RULES, f=lambda x: x * x * x)
+
+
 _CLUSTER_QUERIES = {
+    "kmeans_fit_lineitem": kmeans_fit_lineitem,
+    "kmeans_empty_cluster": kmeans_empty_cluster,
+    "empty_cluster_categories": empty_cluster_categories,
+    "point_count": point_count,
+    "cluster_names": cluster_names,
+    "scores_cubed": scores_cubed,
     "kmeanspp_init": kmeanspp_init,
     "kmeanspp_d2": kmeanspp_d2,
     "kmeanspp_d2_total": kmeanspp_d2_total,
@@ -358,6 +423,9 @@ _FEATURE_QUERIES = {
     "observation_end": observation_end,
     "locality": locality,
     "locality_repeated": locality_repeated,
+    "orphan_features": orphan_features,
+    "edge_features": edge_features,
+    "no_log_features": no_log_features,
     "feature_round_trip": feature_round_trip,
     "result_round_trip": result_round_trip,
     "age_seconds": age_seconds,

@@ -7,7 +7,14 @@ Two mappings are used throughout tests, oracle and bench:
 * view ``part_lineitem`` (bench): manifest = ``part``, log = ``lineitem``;
   bucket width 86,400 s.
 
-Both read their whole tables; the mapped columns are plain projections.
+Two more views hold edge cases of the same tables:
+
+* ``supplier_events``: manifest = ``supplier``, all created at one time, log = ``events``
+  (most log rows belong to no supplier; the age is a constant feature);
+* ``edges``: ``customer`` and ``events`` with missing creation times, primary nodes,
+  access times and clients.
+
+All read their whole tables; the mapped columns are plain projections.
 """
 
 from __future__ import annotations
@@ -120,10 +127,39 @@ def _pl_log(spark, sf_dir):
     )
 
 
+# ----- edge cases -------------------------------------------------------------------
+
+def _se_manifest(spark, sf_dir):
+    s = load_table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").cast("string").alias("path"),
+                    F.lit(1672531200.0).alias("creation_epoch"),
+                    _node(F.col("s_nationkey")).alias("primary_node"))
+
+
+def _edge_manifest(spark, sf_dir):
+    c = load_table(spark, sf_dir, "customer")
+    segment = F.col("c_mktsegment")
+    epoch = (F.lit(1672531200) + F.col("c_custkey") * F.lit(1800)).cast("double")
+    return c.select(F.col("c_custkey").cast("string").alias("path"),
+                    F.when(segment != "BUILDING", epoch).alias("creation_epoch"),
+                    F.when(segment != "MACHINERY", _node(F.col("c_nationkey"))).alias("primary_node"))
+
+
+def _edge_log(spark, sf_dir):
+    e = load_table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    epoch = epoch_seconds(F.col("ts"), e.schema["ts"].dataType)
+    return e.select(F.col("user_id").cast("string").alias("path"),
+                    F.when(kind != "error", epoch).alias("ts_epoch"), _ce_op().alias("op"),
+                    F.when(kind != "signup", _node(F.col("event_id"))).alias("client_node"))
+
+
 VIEWS = {
     "customer_events": View("customer_events", 3600.0, _ce_manifest, _ce_log,
                             _ce_manifest_text, _ce_log_text),
     "part_lineitem": View("part_lineitem", 86400.0, _pl_manifest, _pl_log),
+    "supplier_events": View("supplier_events", 3600.0, _se_manifest, _ce_log),
+    "edges": View("edges", 3600.0, _edge_manifest, _edge_log),
 }
 
 
