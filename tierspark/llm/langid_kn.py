@@ -212,47 +212,47 @@ class KneserNey:
             out[lost] = bow + self.log_probs(k & np.uint64(2 ** (16 * (order - 1)) - 1), order - 1)
         return out
 
-    def entropies(self, text: str):
-        """(cross-entropy per letter and language, letters), or None without a letter."""
+    def entropies(self, parts: list):
+        """Cross-entropy per letter of each text (given as letters) and language."""
         import numpy as np
-        c = letters(text)
-        if c is None:
-            return None
-        s, total = sequences(c), np.zeros(len(self.langs))
-        for at in range(0, len(s), BLOCK):
-            total += self.log_probs(s[at:at + BLOCK]).sum(axis=0, dtype=float)
-        return -total / len(s), len(s)
+        seqs = [sequences(c) for c in parts]
+        if len(seqs) == 1:  # a long text, block by block
+            total = sum(self.log_probs(seqs[0][at:at + BLOCK]).sum(axis=0, dtype=float)
+                        for at in range(0, len(seqs[0]), BLOCK))
+            return -total[None] / len(seqs[0])
+        starts = np.cumsum([0] + [len(s) for s in seqs[:-1]])
+        lp = self.log_probs(np.concatenate(seqs))
+        size = np.array([len(s) for s in seqs])
+        return -np.add.reduceat(lp, starts, axis=0, dtype=float) / size[:, None]
 
     def best(self, texts):
-        """(language, cross-entropy, score) of each text; None without a letter. The
-        texts of a batch are looked up together."""
-        import numpy as np
-        codes = [None if t is None else letters(t) for t in texts]
+        """(language, cross-entropy, score, rejected) of each text, None without a letter.
+        Texts are looked up together, about a block of letters at a time."""
         out: list = [None] * len(texts)
-        todo = [i for i, c in enumerate(codes) if c is not None]
-        while todo:
-            part, held = [], 0
-            while todo and (not part or held + len(codes[todo[0]]) <= BLOCK):
-                held += len(codes[todo[0]])
-                part.append(todo.pop(0))
-            if len(codes[part[0]]) > 2 * BLOCK:
-                h, _ = self.entropies(texts[part[0]])
-                hs = h[None]
-            else:
-                seqs = [sequences(codes[i]) for i in part]
-                starts = np.cumsum([0] + [len(s) for s in seqs[:-1]])
-                lp = self.log_probs(np.concatenate(seqs))
-                hs = -np.add.reduceat(lp, starts, axis=0, dtype=float)
-                hs = hs / np.array([len(s) for s in seqs])[:, None]
-            for i, h in zip(part, hs):
-                n = len(codes[i])
-                k = int(np.argmin(h))
-                score = 1 / np.exp(-min(n, 50) * (h - h[k])).sum()
-                mean, dev = self.usual.get(self.langs[k], (None, None))
-                odd = mean is not None and h[k] > mean + 4 * dev + 3 / n
-                out[i] = (self.langs[k], float(h[k]), float(score) * (0.5 if odd else 1.0), odd)
+        part: list[tuple] = []
+        held = 0
+        for i, t in enumerate(texts):
+            c = None if t is None else letters(t)
+            if c is None:
+                continue
+            if part and held + len(c) > BLOCK:
+                self._judge(part, out)
+                part, held = [], 0
+            part.append((i, c))
+            held += len(c)
+        if part:
+            self._judge(part, out)
         return out
 
+    def _judge(self, part, out) -> None:
+        import numpy as np
+        for (i, c), h in zip(part, self.entropies([c for _, c in part])):
+            k = int(np.argmin(h))
+            score = 1 / np.exp(-min(len(c), 50) * (h - h[k])).sum()
+            mean, dev = self.usual.get(self.langs[k], (None, None))
+            odd = mean is not None and h[k] > mean + 4 * dev + 3 / len(c)
+            out[i] = (self.langs[k], float(h[k]), float(score) * (0.5 if odd else 1.0), bool(odd))
+
 
 def train(docs: DataFrame, max_sequences: int = 400_000) -> KneserNey | None:
     """The model from documents (doc_id, text, lang); nine tenths give counts, one tenth
