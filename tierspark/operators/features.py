@@ -35,19 +35,17 @@ def op_flags(log: DataFrame, manifest: DataFrame, salts: int = 64) -> DataFrame:
     not local.
 
     A path's log rows are dealt over ``salts`` parts by time and client, to meet a
-    copy of the manifest row in each, so a hot path is no single task; rows without
-    a path, which match nothing, stay out of the join.
+    copy of the manifest row in each, so a hot path, or rows without a path, are no
+    single task.
     """
-    flags = ("path", "ts_epoch", "op", "client_node", "primary_node",
-             _is(WRITE).alias("is_write"), _is(READ).alias("is_read"),
-             F.when(F.col("client_node") == F.col("primary_node"), F.lit(1))
-             .otherwise(F.lit(0)).alias("is_local"))
     m = manifest.where("path IS NOT NULL").select("path", "primary_node", F.explode(
         F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salt = F.pmod(F.xxhash64("ts_epoch", "client_node", "op"), F.lit(salts)).cast("int")
-    met = log.where("path IS NOT NULL").withColumn("salt", salt).join(m, ["path", "salt"], "left")
-    none = log.where("path IS NULL").withColumn("primary_node", F.lit(None).cast("string"))
-    return met.select(*flags).unionByName(none.select(*flags))
+    return log.withColumn("salt", salt).join(m, ["path", "salt"], "left").select(
+        "path", "ts_epoch", "op", "client_node", "primary_node",
+        _is(WRITE).alias("is_write"), _is(READ).alias("is_read"),
+        F.when(F.col("client_node") == F.col("primary_node"), F.lit(1))
+        .otherwise(F.lit(0)).alias("is_local"))
 
 
 def access_freq(log: DataFrame) -> DataFrame:

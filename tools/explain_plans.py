@@ -12,7 +12,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tierspark.operators import features as feat  # noqa: E402
 from tierspark.operators import kmeans as km  # noqa: E402
-from tierspark.operators.median import _long  # noqa: E402
 from tierspark.plans.feature_job import compute_features  # noqa: E402
 from tierspark.schemas import NORM_FEATURES  # noqa: E402
 from tierspark.session import build_session, materialize  # noqa: E402
@@ -35,11 +34,8 @@ def main():
     pts = materialize(run.features.select("path", *NORM_FEATURES), "explain-points", persist=True)
     seeds = [s[1] for s in km.kmeanspp_seeds(pts, NORM_FEATURES, "path", 4, 42)]
     lab = km.assign(pts, NORM_FEATURES, seeds)
-    show("Lloyd update (literal centres)", lab.selectExpr(
-        *[f"avg(CASE WHEN cluster = {j} THEN {c} END) AS m_{j}_{c}"
-          for j in range(4) for c in NORM_FEATURES]))
-    show("median histogram pass input (unpivot)", _long(lab, ["cluster"], NORM_FEATURES)
-         .groupBy("cluster", "feature").count())
+    show("Lloyd update", km.cluster_stats(lab, NORM_FEATURES, 4))
+    show("row flags", feat.op_flags(log, m))
 
 
 if __name__ == "__main__":
