@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierspark.session import materialize
+from tierspark.session import materialize, release
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -43,10 +45,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bytes_setting(spark: SparkSession, key: str) -> int:
+    """A size setting of the session ("8m", "64MB", "67108864b") in bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", spark.conf.get(key).lower()).groups()
+    return int(number) * 1024 ** " kmgt".index(unit or " ")
+
+
 def crc_fold(doc_id: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod`` (null ids: of the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-__all__ = ["MAX_ID", "ascii_lower", "crc_fold", "documents", "id_of", "materialize",
-           "order_id", "partitions", "whole_text"]
+__all__ = ["MAX_ID", "ascii_lower", "bytes_setting", "crc_fold", "documents", "id_of", "materialize",
+           "order_id", "partitions", "release", "whole_text"]

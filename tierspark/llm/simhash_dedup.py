@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_of, materialize, order_id, whole_text
+from .common import documents, id_of, materialize, order_id, release, whole_text
 
 BITS = 64
 
@@ -256,15 +256,15 @@ def links(fps: DataFrame, layout: list[tuple[list[int], int]], max_bits: int = 2
 # ---- components ---------------------------------------------------------------------
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(fp, root): the smallest member of each linked fingerprint's component.
 
-    Large-star then small-star until the edges no longer change; each step is an
+    Large-star then small-star until the edges no longer change, which takes a number of
+    rounds that grows with the logarithm of the largest component; each step is an
     aggregation and a join of tables written to the shared folder.
     """
-    e = materialize(edges.select("a", "b"), "links")
-    seen = None
-    for _ in range(max_rounds):
+    e, seen = materialize(edges.select("a", "b"), "links"), None
+    while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -272,16 +272,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                                                           F.col("v").alias("b"))
                  .where("a < b").distinct())
         large = materialize(large, "large-star")
+        release(e)
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("m", "a", "b")
         e = materialize(small.select(F.col("m").alias("a"), "b")
                         .unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b")))
                         .where("a < b").distinct(), "small-star")
+        release(large)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == now:
             return e.select(F.col("b").alias("fp"), F.col("a").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowd: int = 32) -> DataFrame:
