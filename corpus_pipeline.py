@@ -34,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their size and shard, each shard in files of its own."""
+    """All documents with their size and shard, sorted by shard."""
     return histogram_shard.assign_shards(docs, shards=16)
 
 

@@ -340,6 +340,20 @@ def test_shards_of_messy_documents(spark):
     assert histogram_shard.assign_shards(messy.no_docs(spark)).collect() == []
 
 
+def test_partitions_of_shards_follow_the_bytes(spark):
+    from tierspark.llm.common import bytes_setting
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    try:
+        assert bytes_setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes") == 65536
+        out = histogram_shard.assign_shards(documents(spark, SF_SMALL), shards=2)
+        n = out.select(F.spark_partition_id().alias("p"), "shard").distinct().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len({r["p"] for r in n}) >= 6
+    order = [r["shard"] for r in sorted(n, key=lambda r: (r["p"], r["shard"]))]
+    assert order == sorted(order)
+
+
 def test_shards_are_exchanged_once(spark):
     plan = histogram_shard.assign_shards(documents(spark, SF_SMALL))._jdf.queryExecution() \
         .executedPlan().toString()

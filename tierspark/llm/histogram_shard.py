@@ -24,7 +24,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, order_id, whole_text
+from .common import bytes_setting, documents, materialize, order_id, whole_text
 
 BITS = 8
 FLIP = -(2**63)  # turns signed order into the order of the bits
@@ -141,15 +141,21 @@ def shard_index(docs: DataFrame, shards: int = 16, tolerance: float = 0.002,
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, tolerance: float = 0.002,
-                  files: int = 1) -> DataFrame:
-    """All rows and columns of ``docs`` with ``size`` and ``shard``, exchanged once: a
-    shard's rows end in about ``files`` neighbouring partitions, sorted by key."""
-    cuts = splitters(materialize(docs.select(*keys()), "shard-keys"), shards, tolerance)
+                  part_bytes: int | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with ``size`` and ``shard``, exchanged once: rows
+    are range-partitioned and sorted by shard and key, in partitions of about
+    ``part_bytes`` (default: the size the session asks of a partition), so that a shard
+    takes as many tasks as its bytes need."""
+    spark = docs.sparkSession
+    key_rows = materialize(docs.select(*keys()), "shard-keys")
+    cuts = splitters(key_rows, shards, tolerance)
+    total = key_rows.agg(F.sum("size")).first()[0] or 0
+    part_bytes = part_bytes or bytes_setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes")
     kept = [c for c in docs.columns if c.lower() not in ("size", "shard")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *keys())
     rows = rows.select("*", shard_of(cuts))
     sign = [F.col(c).bitwiseXOR(F.lit(FLIP)) for c in ("k", "d")]
-    rows = rows.repartitionByRange(max(1, shards * files), "shard", *sign)
+    rows = rows.repartitionByRange(max(shards, -(-total // part_bytes)), "shard", *sign)
     return rows.sortWithinPartitions("shard", *sign).select("row.*", "size", "shard")
 
 
