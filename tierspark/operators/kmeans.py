@@ -114,10 +114,9 @@ def check_points(points: DataFrame, cols: Sequence[str]) -> int:
     return n
 
 
-def cluster_stats(labeled: DataFrame, cols: Sequence[str], k: int,
-                  cluster_col: str = "cluster") -> DataFrame:
-    """One row per cluster 0..k-1: ``n`` and the mean of each column (NULL for an empty
-    cluster). A partial aggregate sends at most ``k`` rows per task."""
+def _filled_clusters(labeled: DataFrame, cols: Sequence[str], cluster_col: str) -> DataFrame:
+    """One row per cluster that has points: ``n`` and the mean of each column. A partial
+    aggregate sends at most ``k`` rows per task."""
     cl, low = qcol(cluster_col), 2 ** HALF_BITS
     sums = [F.expr(f"sum({_units(c)} div {low})").alias(f"hi_{i}") for i, c in enumerate(cols)]
     sums += [F.expr(f"sum({_units(c)} % {low})").alias(f"lo_{i}") for i, c in enumerate(cols)]
@@ -125,17 +124,24 @@ def cluster_stats(labeled: DataFrame, cols: Sequence[str], k: int,
         cluster_col)).agg(F.count(F.lit(1)).alias("n"), *sums)
     means = [f"(CAST(hi_{i} AS DOUBLE) * {float(low)!r}D + CAST(lo_{i} AS DOUBLE)) "
              f"/ {float(2 ** MEAN_BITS)!r}D / n AS {qcol(c)}" for i, c in enumerate(cols)]
+    return sums.selectExpr(cl, "n", *means)
+
+
+def cluster_stats(labeled: DataFrame, cols: Sequence[str], k: int,
+                  cluster_col: str = "cluster") -> DataFrame:
+    """One row per cluster 0..k-1: ``n`` and the mean of each column (NULL for an empty
+    cluster)."""
     ids = labeled.sparkSession.range(k).select(F.col("id").cast("int").alias(cluster_col))
-    return ids.join(sums, cluster_col, "left").selectExpr(cl, "coalesce(n, 0L) AS n", *means)
+    filled = _filled_clusters(labeled, cols, cluster_col)
+    return ids.join(filled, cluster_col, "left").na.fill({"n": 0})
 
 
 def update(labeled: DataFrame, cols: Sequence[str], k: int, cluster_col: str = "cluster"):
     """Means and counts per cluster, collected: ``(means: list|None per j, counts)``."""
     means, counts = [None] * k, [0] * k
-    for r in cluster_stats(labeled, cols, k, cluster_col).collect():
+    for r in _filled_clusters(labeled, cols, cluster_col).collect():
         counts[r[cluster_col]] = r["n"]
-        if r["n"]:
-            means[r[cluster_col]] = [r[c] for c in cols]
+        means[r[cluster_col]] = [r[c] for c in cols]
     return means, counts
 
 

@@ -14,7 +14,8 @@ takes two partial aggregates over the values still in question:
 A bracket keeps about a thirtieth of the values whatever their distribution, so
 a group of a billion values takes about four rounds; the approximation decides
 only how much is kept, never the result. Where a few values are so frequent that
-a bracket keeps everything, the next one is a single value, which settles it. At most ``window_rows`` values per
+a bracket keeps everything, the next one is a single value, which settles it. At
+most ``window_rows`` values per
 (group, column) are ranked in a window at the end. What comes back to the driver
 or is broadcast is a few numbers per (group, column); more than ``max_groups`` of
 those are refused. The median of an even count is ``(a + b) / 2`` of the two
@@ -61,7 +62,7 @@ class _Part:
 
 
 def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str],
-                  window_rows: int = 2000, max_groups: int = 100_000) -> DataFrame:
+                  window_rows: int = 20_000, max_groups: int = 100_000) -> DataFrame:
     """Wide result: ``group_cols`` + one median column per ``value_cols`` entry
     (NULL when a group has no value in that column)."""
     spark, gcols = df.sparkSession, list(group_cols)
@@ -88,7 +89,7 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
     grid = [i / STEPS for i in range(STEPS + 1)]
     quantiles = F.percentile_approx("v", grid, 1000).alias("q")
     first = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                    F.max("v").alias("hi"), quantiles).limit(max_groups + 1).collect()
+                                    F.max("v").alias("hi")).limit(max_groups + 1).collect()
     if len(first) > max_groups:
         raise ValueError(f"more than {max_groups} groups and columns")
     parts = {}
@@ -97,22 +98,18 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
         p = _Part(ranks=((n - 1) // 2, n // 2))
         p.settle((n, r["lo"], r["hi"]), (0, None, None), (0, None, None))
         parts[tuple(r[c] for c in keys)] = p
-    rows = first
     while True:
         wide = {k: p for k, p in parts.items() if p.found is None and p.n > window_rows}
         if not wide:
             break
-        if rows is None:
-            rows = in_question(wide).groupBy(*keys).agg(quantiles).collect()
         brackets = []
-        for r in rows:
+        for r in in_question(wide).groupBy(*keys).agg(quantiles).collect():
             k = tuple(r[c] for c in keys)
-            if k in wide:
-                p = wide[k]
-                i = (p.ranks[0] - p.below) * STEPS // p.n
-                j = -(-(p.ranks[1] - p.below + 1) * STEPS // p.n)
-                a, b = r["q"][max(0, i)], r["q"][i if p.one_value else min(STEPS, j)]
-                brackets.append((*k, p.lo, p.hi, a, b))
+            p = wide[k]
+            i = (p.ranks[0] - p.below) * STEPS // p.n
+            j = -(-(p.ranks[1] - p.below + 1) * STEPS // p.n)
+            a, b = r["q"][i], r["q"][i if p.one_value else min(STEPS, j)]
+            brackets.append((*k, p.lo, p.hi, a, b))
         v = F.col("v")
         side = F.when(v < F.col("a"), 0).when(v <= F.col("b"), 1).otherwise(2)
         counted = (bounded(["lo", "hi", "a", "b"], brackets).where("v between lo and hi")
@@ -124,7 +121,6 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
             sides.setdefault(tuple(r[c] for c in keys), {})[r["side"]] = (r["n"], r["lo"], r["hi"])
         for k, s in sides.items():
             parts[k].settle(*[s.get(i, (0, None, None)) for i in range(3)])
-        rows = None
 
     rest = {k: p for k, p in parts.items() if p.found is None}
     if rest:
