@@ -3,15 +3,16 @@
 Texts become lower-case letters with single blanks between words. Spark counts the
 4-letter sequences of every language over all training documents. Lower orders use the
 number of distinct letters seen before a sequence, as Kneser-Ney smoothing asks, and all
-orders are interpolated. The probabilities of all known sequences sit in one sorted array
-of 64-bit hashes per order with a row of log probabilities per language; an unknown
-sequence backs off to the next shorter one. A text gets the language with the lowest
-cross-entropy per letter. A separate tenth of the training documents calibrates, per
+orders are interpolated. Statistics and probabilities are group-bys and joins over all
+counted sequences. The resulting weights sit in sorted arrays of 64-bit hashes with a list
+of (language, weight) per sequence; an unknown sequence backs off to the next shorter one.
+A text gets the language with the lowest cross-entropy per letter. A separate tenth of the training documents calibrates, per
 language, which cross-entropies are usual; beyond that ``rejected`` is set and the score
 halved (the language is still named, as only texts without any letter are ``und``).
 
-The model keeps at most ``max_sequences`` sequences, the most frequent ones, so that its
-broadcast is bounded; all counts cover all documents.
+Every counted sequence takes part. The model is broadcast in blocks of about ``block_rows``
+rows by sequence; a task holds one at a time and adds up what each gives. The counts leave
+out the calibrating tenth.
 
 Defined cases
 * null text, or text without a letter: ``und``, score 0.
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, documents
+from .common import crc_fold, documents, materialize
 
 ORDER = 4
 MASK16 = 0xFFFF
 #: Letters encoded at once.
 BLOCK = 1_000_000
+#: Rows of the model that a task holds at most, about.
+BLOCK_ROWS = 2_000_000
 
 
 def _letter_table():
@@ -155,7 +158,8 @@ class HashArray:
 
 
 class KneserNey:
-    """Interpolated Kneser-Ney model of all languages.
+    """Interpolated Kneser-Ney model of all languages, from counts in memory: what
+    :func:`weights` is compared with.
 
     ``prob[n]``: log probabilities of the known sequences of n letters, one column per
     language; ``back[n]``: log weights that a context of n letters leaves to the model of
@@ -165,7 +169,6 @@ class KneserNey:
     def __init__(self, langs: list[str], lang_index, seqs, n):
         import numpy as np
         self.langs, L = langs, len(langs)
-        self.usual: dict[str, tuple[float, float]] = {}
         keys, row = np.unique(seqs, return_inverse=True)
         c = np.zeros((len(keys), L))
         np.add.at(c, (row, lang_index), n)
@@ -212,66 +215,195 @@ class KneserNey:
             out[lost] = bow + self.log_probs(k & np.uint64(2 ** (16 * (order - 1)) - 1), order - 1)
         return out
 
-    def entropies(self, parts: list):
-        """Cross-entropy per letter of each text (given as letters) and language."""
+
+# ---- the same model for tables of any size ------------------------------------------
+
+PROB, BACK = 0, 1
+
+
+def _suffix(order: int):
+    return F.col("seq").bitwiseAND(F.lit(2 ** (16 * order) - 1))
+
+
+def weights(table: DataFrame) -> DataFrame:
+    """(kind, seq, lang, w) of the model of ``table`` (lang, seq, n), lang a number.
+
+    A letter's log probability is a sum: for every known sequence that ends at it, its log
+    probability less what backing off would give (``PROB``), and for every known context
+    before it, the log weight of backing off (``BACK``). A sequence that a language has not
+    seen adds nothing for it, so there is one row for each that it has. Sequences of
+    different lengths are different numbers, as no letter is 0.
+    """
+    alphabet = table.agg(F.count_distinct(_suffix(1))).first()[0]
+    grams = {ORDER: table}
+    for order in range(ORDER - 1, 0, -1):  # distinct letters before each shorter sequence
+        grams[order] = materialize(grams[order + 1].groupBy("lang", _suffix(order).alias("seq"))
+                                   .agg(F.count(F.lit(1)).alias("n")), "kn-grams")
+    parts, low = [], None
+    for order in range(1, ORDER + 1):
+        g = grams[order].withColumn("ctx", F.shiftrightunsigned("seq", 16))
+        ones, twos = F.count_if(F.expr("n = 1")), F.count_if(F.expr("n = 2"))
+        cuts = g.groupBy("lang").agg(F.least(F.greatest(
+            ones / F.greatest(ones + 2 * twos, F.lit(1)), F.lit(0.1)), F.lit(0.95)).alias("cut"))
+        ctx = g.groupBy("lang", "ctx").agg(F.sum("n").alias("total"),
+                                           F.count(F.lit(1)).alias("kinds"))
+        ctx = ctx.join(F.broadcast(cuts), "lang").withColumn(
+            "bow", F.expr("cut * kinds / total"))  # cuts: a row per language
+        if order == 1:  # one context, the empty one
+            g = g.join(F.broadcast(ctx), ["lang", "ctx"]).withColumn(
+                "below", F.lit(1.0 / (alphabet + 1)))
+        else:
+            g = g.join(ctx, ["lang", "ctx"]).withColumn("low", _suffix(order - 1))
+            g = g.join(low.select("lang", F.col("seq").alias("low"), F.col("p").alias("below")),
+                       ["lang", "low"])
+        low = materialize(g.select("lang", "seq", F.expr(
+            "greatest(n - cut, 0D) / total + bow * below").alias("p"),
+            F.expr("bow * below").alias("without")), "kn-probs")
+        parts.append(low.select(F.lit(PROB).alias("kind"), "seq", "lang",
+                                F.expr("ln(p / without)").alias("w")))
+        parts.append(ctx.select(F.lit(BACK).alias("kind"), F.col("ctx").alias("seq"), "lang",
+                                F.log("bow").alias("w")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+class Block:
+    """A part of the rows of :func:`weights`, looked up by kind and sequence."""
+
+    def __init__(self, kind, seq, lang, w):
         import numpy as np
-        seqs = [sequences(c) for c in parts]
-        if len(seqs) == 1:  # a long text, block by block
-            total = sum(self.log_probs(seqs[0][at:at + BLOCK]).sum(axis=0, dtype=float)
-                        for at in range(0, len(seqs[0]), BLOCK))
-            return -total[None] / len(seqs[0])
-        starts = np.cumsum([0] + [len(s) for s in seqs[:-1]])
-        lp = self.log_probs(np.concatenate(seqs))
-        size = np.array([len(s) for s in seqs])
-        return -np.add.reduceat(lp, starts, axis=0, dtype=float) / size[:, None]
+        at = np.lexsort((seq, kind))
+        kind, seq, self.lang, self.w = kind[at], seq[at], lang[at], w[at].astype(np.float32)
+        first = np.flatnonzero(np.concatenate(
+            [[True], (seq[1:] != seq[:-1]) | (kind[1:] != kind[:-1])])[:len(seq)])
+        ends = np.stack([first, np.append(first[1:], len(seq))], axis=1)
+        self.rows = {k: HashArray(seq[first][own], k, ends[own])
+                     for k in (PROB, BACK) for own in [kind[first] == k]}
+
+    def add(self, out, keys, kind: int) -> None:
+        """Adds each key's weights to its row of ``out``."""
+        import numpy as np
+        found = self.rows[kind]
+        at = found.find(keys) if len(found.hash) else np.full(len(keys), -1)
+        hit = np.flatnonzero(at >= 0)
+        if not len(hit):
+            return
+        start, end = found.values[at[hit]].T
+        n = end - start
+        row = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+        out[np.repeat(hit, n), self.lang[row]] += self.w[row]
+
+
+class Model:
+    """Languages and broadcast blocks of their weights. A sequence's rows are in the block
+    that the sequence modulo the number of blocks names; a task holds one block at a time."""
+
+    def __init__(self, langs: list[str], floor: float, blocks: list):
+        self.langs, self.floor, self.blocks = langs, floor, blocks
+        self.usual: dict[str, tuple[float, float]] = {}
+
+    def log_probs(self, keys):
+        """Log probability of each sequence's last letter after the others, per language."""
+        import numpy as np
+        low = [keys & np.uint64(2 ** (16 * n) - 1) for n in range(1, ORDER)]
+        before = keys >> np.uint64(16)
+        looked = [(PROB, k) for k in (keys, *low)] + [(BACK, before)] + [
+            (BACK, before & np.uint64(2 ** (16 * n) - 1)) for n in range(ORDER - 1)]
+        out = np.full((len(keys), len(self.langs)), self.floor)
+        for i, block in enumerate(self.blocks):
+            for kind, k in looked:
+                if len(self.blocks) == 1:
+                    block.value.add(out, k, kind)
+                    continue
+                own = np.flatnonzero(k.view(np.int64) % len(self.blocks) == i)
+                part = np.zeros((len(own), out.shape[1]))
+                block.value.add(part, k[own], kind)
+                out[own] += part
+            if len(self.blocks) > 1:
+                block.__dict__.pop("_value", None)  # read again from the executor's file
+        return out
 
     def best(self, texts):
         """(language, cross-entropy, score, rejected) of each text, None without a letter.
-        Texts are looked up together, about a block of letters at a time."""
-        out: list = [None] * len(texts)
+        Texts are looked up together, and long ones in pieces, a block of letters at a time."""
+        import numpy as np
+        block = max(1000, min(BLOCK, 4 * BLOCK // len(self.langs)))
+        total = np.zeros((len(texts), len(self.langs)))
+        size = np.zeros(len(texts), np.int64)
         part: list[tuple] = []
         held = 0
+
+        def look_up():
+            keys, row = np.unique(np.concatenate([s for _, s in part]), return_inverse=True)
+            starts = np.cumsum([0] + [len(s) for _, s in part[:-1]])
+            sums = np.add.reduceat(self.log_probs(keys)[row], starts, axis=0)
+            np.add.at(total, [i for i, _ in part], sums)
+
         for i, t in enumerate(texts):
             c = None if t is None else letters(t)
             if c is None:
                 continue
-            if part and held + len(c) > BLOCK:
-                self._judge(part, out)
-                part, held = [], 0
-            part.append((i, c))
-            held += len(c)
+            seqs = sequences(c)
+            size[i] = len(seqs)
+            for at in range(0, len(seqs), block):
+                piece = seqs[at:at + block]
+                if part and held + len(piece) > block:
+                    look_up()
+                    part, held = [], 0
+                part.append((i, piece))
+                held += len(piece)
         if part:
-            self._judge(part, out)
-        return out
+            look_up()
+        return [self._judge(-total[i] / n, n) if n else None for i, n in enumerate(size)]
 
-    def _judge(self, part, out) -> None:
+    def _judge(self, h, n):
         import numpy as np
-        for (i, c), h in zip(part, self.entropies([c for _, c in part])):
-            k = int(np.argmin(h))
-            score = 1 / np.exp(-min(len(c), 50) * (h - h[k])).sum()
-            mean, dev = self.usual.get(self.langs[k], (None, None))
-            odd = mean is not None and h[k] > mean + 4 * dev + 3 / len(c)
-            out[i] = (self.langs[k], float(h[k]), float(score) * (0.5 if odd else 1.0), bool(odd))
+        n += ORDER - 1  # letters with the blanks in front
+        k = int(np.argmin(h))
+        score = 1 / np.exp(-min(n, 50) * (h - h[k])).sum()
+        mean, dev = self.usual.get(self.langs[k], (None, None))
+        odd = mean is not None and h[k] > mean + 4 * dev + 3 / n
+        return self.langs[k], float(h[k]), float(score) * (0.5 if odd else 1.0), bool(odd)
 
 
-def train(docs: DataFrame, max_sequences: int = 400_000) -> KneserNey | None:
+def fit(table: DataFrame, block_rows: int = BLOCK_ROWS) -> Model | None:
+    """The model of all rows of ``table`` (lang, seq, n)."""
+    import numpy as np
+    spark = table.sparkSession
+    langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+    if not langs:
+        return None
+    number = spark.createDataFrame(list(enumerate(langs)), "no int, lang string")
+    table = materialize(table.join(F.broadcast(number), "lang").select(
+        F.col("no").alias("lang"), "seq", "n"), "kn-grams")
+    alphabet = table.agg(F.count_distinct(_suffix(1))).first()[0]
+    rows = materialize(weights(table), "kn-weights")
+    many = rows.count()
+    n = 1 if many <= block_rows else 2 * (many // block_rows) + 1
+    if n > 1:  # a block's rows lie together, so that reading one skips the others
+        rows = materialize(rows.withColumn("block", F.pmod("seq", F.lit(n)))
+                           .repartitionByRange("block", "seq").sortWithinPartitions("block"),
+                           "kn-blocks")
+    blocks = []
+    for i in range(n):
+        got = (rows.where(F.col("block") == i) if n > 1 else rows).toArrow()
+        blocks.append(spark.sparkContext.broadcast(Block(
+            got.column("kind").to_numpy(), got.column("seq").to_numpy().view(np.uint64),
+            got.column("lang").to_numpy(), got.column("w").to_numpy())))
+    return Model(langs, -np.log(alphabet + 1.0), blocks)
+
+
+def train(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Model | None:
     """The model from documents (doc_id, text, lang); nine tenths give counts, one tenth
     the usual cross-entropies."""
-    import numpy as np
     rows = docs.where("text is not null and lang is not null").select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
         (F.floor(crc_fold("doc_id", 30) / 3) == 0).alias("check"))
-    table = counts(rows.where("not check"))
-    top = table.groupBy("seq").agg(F.sum("n").alias("all"), F.collect_list(
-        F.struct("lang", "n")).alias("by")).orderBy(F.desc("all"), "seq").limit(max_sequences)
-    got = top.select("seq", F.explode("by").alias("x")).select("seq", "x.lang", "x.n").toArrow()
-    if not got.num_rows:
+    model = fit(materialize(counts(rows.where("not check")), "kn-counts"), block_rows)
+    if model is None:
         return None
-    lang = np.array(got.column("lang").to_pylist(), object)
-    langs = sorted(set(lang))
-    index = np.array([langs.index(x) for x in lang])
-    model = KneserNey(langs, index, got.column("seq").to_numpy().view(np.uint64),
-                      got.column("n").to_numpy().astype(float))
 
     def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,15 +419,12 @@ def train(docs: DataFrame, max_sequences: int = 400_000) -> KneserNey | None:
     return model
 
 
-def predict(docs: DataFrame, model: KneserNey | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected, one row per document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
         for b in batches:
             texts = b.column("text").to_pylist()
-            got = m.best(texts) if m else [None] * len(texts)
+            got = model.best(texts) if model else [None] * len(texts)
             got = [x or ("und", None, 0.0, True) for x in got]
             cols = list(zip(*got)) if got else [[]] * 4
             yield pa.RecordBatch.from_arrays(
