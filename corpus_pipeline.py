@@ -34,8 +34,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their size and shard, sorted by shard."""
-    return histogram_shard.assign_shards(docs, shards=16)
+    """All documents with their size and shard; the shards are consecutive stretches of
+    the mixed order, and keep it."""
+    return histogram_shard.assign_shards(docs, shards=16, keep_order=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates),

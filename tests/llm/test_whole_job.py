@@ -1,5 +1,6 @@
 """Nothing is left out of the language model, the mix and the shards."""
 
+import collections
 import random
 
 import numpy as np
@@ -51,3 +52,32 @@ def test_rare_sequences_of_a_small_language_are_kept(spark):
     assert m.langs == ["big", "small"]
     rows = spark.createDataFrame([(1, "taivaalla kulkee pilvi")], "doc_id long, text string")
     assert langid_kn.predict(rows, m).first()["lang_pred"] == "small"
+
+
+# ---- the pipeline's last stages -----------------------------------------------------
+
+
+def test_shards_keep_the_mix(spark, tmp_out):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from tests.llm.test_brute_force import deviation
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.range(6400).select(  # a hot source, and two small ones
+        F.col("id").alias("doc_id"), F.expr("concat('text ', hash(id), repeat(' x', id % 50))").alias("text"),
+        F.expr("CASE WHEN id % 16 = 0 THEN 'b' WHEN id % 16 = 1 THEN 'c' ELSE 'a' END").alias("source"))
+    stages["mixing"](spark, docs, None).write.option("maxRecordsPerFile", 300).parquet(f"{tmp_out}/mix")
+    mixed = spark.read.parquet(f"{tmp_out}/mix")
+    want = [r["doc_id"] for r in stages["mixing"](spark, docs, None).collect()]
+    out = stages["sharding"](spark, mixed, None)
+    assert out.columns == [*docs.columns, "size", "shard"]
+    rows = out.collect()
+    assert [r["doc_id"] for r in rows] == want
+    shards = [r["shard"] for r in rows]
+    assert shards == sorted(shards) and set(shards) == set(range(16))
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) < 300  # a few rows
+    weights = {"a": 5600 ** 0.5, "b": 20, "c": 20}
+    first = [r["source"] for r in rows if r["shard"] == 0]
+    assert deviation(first, weights) < 16 * 1.1  # rows of a block

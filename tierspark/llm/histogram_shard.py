@@ -6,6 +6,9 @@ splitter into 256 equal parts (the next eight bits of the key), counts the bytes
 part, and keeps the part that holds the target, until a boundary is within the tolerance
 or the key has no more bits. Only then is every row sent, once, to its shard.
 
+:func:`assign_shards` can take the order of the files it reads as the key instead, which
+keeps a mix that an earlier step wrote.
+
 Equal texts have equal hashes, so a group of copies stays in one shard; a splitter falls
 inside a group (by doc_id) only if the group is larger than the tolerance.
 
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import bytes_setting, documents, materialize, order_id, whole_text
 
 BITS = 8
+PLACE = "__place__"
 FLIP = -(2**63)  # turns signed order into the order of the bits
 
 
@@ -140,19 +144,48 @@ def shard_index(docs: DataFrame, shards: int = 16, tolerance: float = 0.002,
                       (F.col("start") + F.col("in_lane")).cast("long").alias("slot"))
 
 
+def _in_file_order(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` (read from Parquet files) as (row, at), and the number of rows; ``at``
+    numbers the rows without gaps in the order of the part files."""
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       meta["file_path"].alias("file"), meta["row_index"].alias("in_file"))
+    part = F.coalesce(F.expr(r"try_cast(regexp_extract(file, r'part-(\d+)[^/]*$', 1) AS long)"),
+                      F.lit(-1))
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.first(part).alias("part"))
+    starts, total = [], 0
+    for r in files.orderBy("part", "file").collect():  # a row per file
+        starts.append((r["file"], total))
+        total += r["n"]
+    starts = docs.sparkSession.createDataFrame(starts, "file string, start long")
+    return rows.join(F.broadcast(starts), "file").select(
+        "row", (F.col("start") + F.col("in_file")).alias("at")), total
+
+
 def assign_shards(docs: DataFrame, shards: int = 16, tolerance: float = 0.002,
-                  part_bytes: int | None = None) -> DataFrame:
+                  part_bytes: int | None = None, keep_order: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with ``size`` and ``shard``, exchanged once: rows
     are range-partitioned and sorted by shard and key, in partitions of about
     ``part_bytes`` (default: the size the session asks of a partition), so that a shard
-    takes as many tasks as its bytes need."""
+    takes as many tasks as its bytes need.
+
+    With ``keep_order`` the key is a row's place in the files that ``docs`` is read from,
+    so that shards are consecutive stretches of them, in their order."""
     spark = docs.sparkSession
-    key_rows = materialize(docs.select(*keys()), "shard-keys")
+    key = keys()
+    if keep_order:
+        names = docs.columns
+        docs, total = _in_file_order(docs)
+        # the place fills the key's bits from the top, as a hash does
+        at = F.shiftleft("at", 64 - max(1, total.bit_length()))
+        docs = docs.select(*[F.col("row").getField(c).alias(c) for c in names], at.alias(PLACE))
+        key = [key[0], F.col(PLACE).alias("k"), key[2]]
+    key_rows = materialize(docs.select(*key), "shard-keys")
     cuts = splitters(key_rows, shards, tolerance)
     total = key_rows.agg(F.sum("size")).first()[0] or 0
     part_bytes = part_bytes or bytes_setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    kept = [c for c in docs.columns if c.lower() not in ("size", "shard")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *keys())
+    kept = [c for c in docs.columns if c.lower() not in ("size", "shard", PLACE)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *key)
     rows = rows.select("*", shard_of(cuts))
     sign = [F.col(c).bitwiseXOR(F.lit(FLIP)) for c in ("k", "d")]
     rows = rows.repartitionByRange(max(shards, -(-total // part_bytes)), "shard", *sign)
