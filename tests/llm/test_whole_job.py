@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from tierspark.llm import langid_kn
+from tierspark.llm import langid_kn, pfair_mix
 
 
 # ---- language -----------------------------------------------------------------------
@@ -81,3 +81,33 @@ def test_shards_keep_the_mix(spark, tmp_out):
     weights = {"a": 5600 ** 0.5, "b": 20, "c": 20}
     first = [r["source"] for r in rows if r["shard"] == 0]
     assert deviation(first, weights) < 16 * 1.1  # rows of a block
+
+
+# ---- mixing -------------------------------------------------------------------------
+
+
+def worst(rows, weights):
+    """Largest difference between a source's blocks and its target, until one runs out."""
+    rows = sorted(rows, key=lambda r: r["position"])
+    assert [r["position"] for r in rows] == list(range(len(rows)))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    order = {r["slot"]: r["source"] for r in rows if r["phase"] == 0}
+    total, count, most = sum(weights.values()), collections.Counter(), 0.0
+    for t in range(len(order)):
+        count[order[t]] += 1
+        most = max(most, max(abs(count[s] - w * (t + 1) / total) for s, w in weights.items()))
+    return most
+
+
+def test_every_source_has_its_own_weight(spark):
+    from pyspark.sql import functions as F
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"),
+                                    F.expr("concat('s', id % 100)").alias("source"))
+    rows = pfair_mix.mix_positions(docs, block_rows=1, lanes=2).collect()
+    assert len({r["source_no"] for r in rows}) == 100
+    assert worst(rows, {f"s{i}": 1 for i in range(100)}) < 2
+    given = {f"s{i}": 0.016 if i >= 70 else 0.005 for i in range(90)}  # s90 to s99: the rest
+    rows = pfair_mix.mix_positions(docs, given, block_rows=1, lanes=2, max_named=7).collect()
+    assert len({r["source_no"] for r in rows}) == 91
+    pooled = [r.asDict() | {"source": r["source"] if r["source"] in given else "rest"} for r in rows]
+    assert worst(pooled, given | {"rest": 1 - sum(given.values())}) < 3
