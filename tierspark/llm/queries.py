@@ -3,7 +3,7 @@ can express. The others are tested against brute force in ``tests/llm``."""
 
 from __future__ import annotations
 
-from . import (chunk_dedup, decontaminate, histogram_shard, langid_kn, line_dedup,
+from . import (best_fit_pack, chunk_dedup, decontaminate, histogram_shard, langid_kn, line_dedup,
                pfair_mix, quality_qda, secret_scan, simhash_dedup, suffix_dedup)
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_histogram_shard": histogram_shard.op8_histogram_shard,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash": simhash_dedup.op10_simhash,
+        "op11_pack": best_fit_pack.op11_pack,
     }
 
 
