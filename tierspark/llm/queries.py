@@ -4,7 +4,8 @@ can express. The others are tested against brute force in ``tests/llm``."""
 from __future__ import annotations
 
 from . import (best_fit_pack, chunk_dedup, decontaminate, histogram_shard, langid_kn, line_dedup,
-               pfair_mix, quality_qda, secret_scan, simhash_dedup, suffix_dedup)
+               pfair_mix, prefix_trie, quality_qda, secret_scan, simhash_dedup, suffix_dedup,
+               token_align)
 
 
 def queries() -> dict:
@@ -20,6 +21,8 @@ def queries() -> dict:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash": simhash_dedup.op10_simhash,
         "op11_pack": best_fit_pack.op11_pack,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_align": token_align.op13_align,
     }
 
 
@@ -28,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.SQL,
         "op5_exact_dedup": chunk_dedup.SQL,
         "op6_secrets": secret_scan.SQL,
+        "op12_prefix_trie": prefix_trie.SQL,
     }
