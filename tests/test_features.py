@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tierspark.operators import features as feat
 from tierspark.plans.feature_job import compute_features
@@ -190,3 +191,31 @@ def test_hot_path_with_a_third_of_the_log_matches_pandas(spark):
         want_loc = int(local.get(p, 0)) / int(freq[p]) if p in freq else 1.0
         assert r["locality"] == want_loc
     assert got["hot"]["access_freq"] > n / 4
+
+
+def test_a_path_with_a_million_clients_keeps_only_its_primary_nodes(spark):
+    log = spark.range(1_000_000).select(
+        F.lit("hot").alias("path"), (F.col("id") % 977).cast("double").alias("ts_epoch"),
+        F.lit("READ").alias("op"), F.concat(F.lit("c"), F.col("id")).alias("client_node"))
+    m = spark.createDataFrame([("hot", 0.0, "c5"), ("hot", 0.0, "c7"), ("hot", 0.0, "absent")],
+                              "path string, creation_epoch double, primary_node string")
+    t = feat.path_table(feat.log_counts(log), m)
+    row = t.select("access_freq", "max_concurrency", F.size("primaries").alias("kept")).collect()
+    assert [tuple(r) for r in row] == [(1_000_000, 1024, 3)]
+    local = [r["local_accesses"] for r in feat.file_stats(m, log).collect()]
+    assert sorted(x or 0 for x in local) == [0, 1, 1]
+
+
+def test_only_hot_paths_are_salted(spark):
+    rows = [("hot", float(i), "READ", f"c{i % 7}") for i in range(4000)]
+    rows += [(f"p{i}", 1.0, "WRITE", "c1") for i in range(3000)] + [(None, 1.0, "READ", "c1")] * 50
+    log = spark.createDataFrame(rows, "path string, ts_epoch double, op string, client_node string")
+    m = spark.createDataFrame([("hot", "c3")] + [(f"p{i}", "c1") for i in range(3000)],
+                              "path string, primary_node string")
+    hot = {r["path"]: r["parts"] for r in feat.hot_paths(log, 1 / 100).collect()}
+    assert set(hot) == {"hot"} and 50 <= hot["hot"] <= 100
+    got = feat.op_flags(log, m, 1 / 100)
+    assert got.count() == len(rows)
+    want = sum(1 for p, _, _, c in rows if (p == "hot" and c == "c3") or (p or "").startswith("p"))
+    assert got.agg(F.sum("is_local")).first()[0] == want
+    assert got.where("path IS NULL AND (is_local = 1 OR primary_node IS NOT NULL)").count() == 0

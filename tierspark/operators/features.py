@@ -7,9 +7,11 @@ Inputs (parsed forms, see :mod:`tierspark.sources`):
 
 Plan shape. The log is the big input. It is read once: one grouping-sets aggregate
 counts it by (path, bucket) and by (path, client node), combining in each task
-before the exchange, so a hot path spreads over its buckets and clients; a second
-aggregate makes one row per path, with the clients' counts in an array (at most
-one entry per client node). The raw log is never joined.
+before the exchange, so a hot path spreads over its buckets and clients. The manifest's
+(path, primary node) pairs enter that aggregate as rows that count nothing, so each
+(path, client) group knows whether its client is a primary node of the path; only such
+clients reach the aggregate by path, however many clients a path has. The raw log is
+never joined.
 
 Everything after that is per file (manifest-sized) and joins on ``path``.
 """
@@ -20,6 +22,8 @@ import time
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tierspark.session import materialize
+
 WRITE, READ = "WRITE", "READ"
 
 
@@ -27,21 +31,41 @@ def _is(op: str):
     return F.when(F.col("op") == F.lit(op), F.lit(1)).otherwise(F.lit(0))
 
 
-def op_flags(log: DataFrame, manifest: DataFrame, salts: int = 64) -> DataFrame:
+#: A path is hot from this share of the log on, and gets a part for each such share.
+HOT_SHARE = 1 / 1000
+
+
+def hot_paths(log: DataFrame, share: float = HOT_SHARE) -> DataFrame:
+    """``path, parts`` of the paths with more than ``share`` of the log's rows (fewer than
+    ``1 / share`` of them): the number of parts that brings each below that share. One
+    aggregate by path, combined in each task, written once."""
+    counts = materialize(log.where("path IS NOT NULL").groupBy("path").agg(
+        F.count(F.lit(1)).alias("n")), "path-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") > total * share).select(
+        "path", F.ceil(F.col("n") / F.lit(max(1.0, total * share))).cast("int").alias("parts"))
+
+
+def op_flags(log: DataFrame, manifest: DataFrame, share: float = HOT_SHARE) -> DataFrame:
     """Row-level flags: is_write, is_read, is_local (client == primary node).
 
     A log row whose path is not in the manifest keeps a NULL primary node and is
     not local; an op that is neither READ nor WRITE is neither; a NULL client is
     not local.
 
-    A path's log rows are dealt over ``salts`` parts by time and client, to meet a
-    copy of the manifest row in each, so a hot path, or rows without a path, are no
-    single task.
+    Only hot paths (:func:`hot_paths`, a bounded table sent to all tasks) are salted:
+    their log rows are dealt over their parts by time and client, each part meeting a
+    copy of the manifest row. Rows without a path match nothing and are dealt alike.
     """
-    m = manifest.where("path IS NOT NULL").select("path", "primary_node", F.explode(
-        F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("ts_epoch", "client_node", "op"), F.lit(salts)).cast("int")
-    return log.withColumn("salt", salt).join(m, ["path", "salt"], "left").select(
+    hot = F.broadcast(hot_paths(log, share))
+    m = manifest.where("path IS NOT NULL").select("path", "primary_node").join(
+        hot, "path", "left").select("path", "primary_node", F.explode(F.sequence(
+            F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    parts = F.when(F.col("path").isNull(), F.lit(int(1 / share))).otherwise(
+        F.coalesce("parts", F.lit(1)))
+    salt = F.pmod(F.xxhash64("ts_epoch", "client_node", "op"), parts).cast("int")
+    return log.join(hot, "path", "left").withColumn("salt", salt).join(
+        m, ["path", "salt"], "left").select(
         "path", "ts_epoch", "op", "client_node", "primary_node",
         _is(WRITE).alias("is_write"), _is(READ).alias("is_read"),
         F.when(F.col("client_node") == F.col("primary_node"), F.lit(1))
@@ -86,22 +110,28 @@ def log_counts(log: DataFrame, width: float = 1.0) -> DataFrame:
                       _is(READ).cast("long").alias("r"), F.col("ts_epoch").alias("t"))
 
 
-def path_table(counts: DataFrame) -> DataFrame:
+def path_table(counts: DataFrame, manifest: DataFrame) -> DataFrame:
     """Per path, from one pass over (possibly already summed) counts:
-    ``path, access_freq, writes, reads, max_concurrency, last_ts, clients``, where
-    ``clients`` holds (client node, accesses)."""
+    ``path, access_freq, writes, reads, max_concurrency, last_ts, primaries``, where
+    ``primaries`` holds (client node, accesses) of the path's primary nodes only: one
+    entry, or as many as the manifest repeats the path with other nodes. Paths of the
+    manifest without an access have a row of NULLs."""
+    asked = manifest.where("path IS NOT NULL AND primary_node IS NOT NULL").select(
+        "path", F.col("primary_node").alias("client_node"), F.lit(True).alias("primary"))
+    rows = counts.unionByName(asked, allowMissingColumns=True)
     sets = [["path", "bucket"], ["path", "client_node"]]
-    both = counts.groupingSets(sets, "path", "bucket", "client_node").agg(
+    both = rows.groupingSets(sets, "path", "bucket", "client_node").agg(
         F.grouping("client_node").alias("by_bucket"), F.sum("n").alias("n"),
-        F.sum("w").alias("w"), F.sum("r").alias("r"), F.max("t").alias("t"))
-    by_bucket, client = F.col("by_bucket") == 1, F.struct("client_node", "n")
+        F.sum("w").alias("w"), F.sum("r").alias("r"), F.max("t").alias("t"),
+        F.max("primary").alias("primary"))
+    by_bucket = F.col("by_bucket") == 1
+    local = F.when(~by_bucket & F.col("primary"), F.struct("client_node", "n"))
     return both.groupBy("path").agg(
         F.sum(F.when(by_bucket, F.col("n"))).alias("access_freq"),
         F.sum(F.when(by_bucket, F.col("w"))).alias("writes"),
         F.sum(F.when(by_bucket, F.col("r"))).alias("reads"),
         F.max(F.when(by_bucket, F.col("n"))).alias("max_concurrency"),
-        F.max("t").alias("last_ts"),
-        F.collect_list(F.when(~by_bucket, client)).alias("clients"))
+        F.max("t").alias("last_ts"), F.collect_list(local).alias("primaries"))
 
 
 def observation_end(log: DataFrame) -> DataFrame:
@@ -115,15 +145,15 @@ def file_stats(manifest: DataFrame, log: DataFrame, width: float = 1.0) -> DataF
     max_concurrency, last_ts, local_accesses``. Log-only paths are kept so that
     the observation end covers them; features use ``in_manifest`` rows only.
     """
-    return file_stats_from(manifest, path_table(log_counts(log, width)))
+    return file_stats_from(manifest, path_table(log_counts(log, width), manifest))
 
 
 def file_stats_from(manifest: DataFrame, paths: DataFrame) -> DataFrame:
     """:func:`file_stats` from :func:`path_table` rows. Manifest rows that repeat a path
     share its counts; each has the local accesses of its own primary node."""
     m = manifest.select("path", "creation_epoch", "primary_node", F.lit(True).alias("in_manifest"))
-    local = F.expr("aggregate(filter(clients, c -> c.client_node = primary_node), 0L, "
-                   "(a, c) -> a + c.n)")
+    local = F.expr("coalesce(try_element_at(filter(primaries, c -> c.client_node = primary_node), 1).n, "
+                   "if(primaries IS NULL, NULL, 0L))")
     return m.join(paths, "path", "full").select(
         "path", F.coalesce("in_manifest", F.lit(False)).alias("in_manifest"),
         "creation_epoch", "access_freq", "writes", "reads", "max_concurrency", "last_ts",

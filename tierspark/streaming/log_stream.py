@@ -47,7 +47,7 @@ def start_bucket_sink(log: DataFrame, out_path: str, checkpoint_path: str, width
 
 def features_from_buckets(manifest: DataFrame, buckets: DataFrame, **kw) -> FeatureRun:
     """The feature job on the written counts instead of the raw log."""
-    stats = file_stats_from(manifest, path_table(buckets))
+    stats = file_stats_from(manifest, path_table(buckets, manifest))
     return compute_features(manifest, None, stats=stats, **kw)
 
 
