@@ -53,10 +53,22 @@ def test_heavy_tails_and_many_rounds(spark):
     assert exact_medians(df, [], ["v"], window_rows=1).collect()[0]["v"] == float(np.median(v))
 
 
-def test_too_many_groups_are_refused(spark):
-    df = spark.range(20).selectExpr("id AS g", "CAST(id AS DOUBLE) AS v")
-    with pytest.raises(ValueError, match="more than 10"):
-        exact_medians(df, ["g"], ["v"], max_groups=10)
+def test_more_than_a_hundred_thousand_groups_and_columns(spark):
+    n = 60_000
+    df = spark.range(3 * n).selectExpr(
+        f"CASE WHEN id % {n} = 5 THEN NULL ELSE id % {n} END AS g",
+        f"CAST(id div {n} AS DOUBLE) AS v", f"CAST((id div {n}) * (id % {n} % 7) AS DOUBLE) AS w")
+    got = exact_medians(df, ["g"], ["v", "w"], window_rows=2).selectExpr(
+        "count(1) AS n", "sum(v) AS v", f"sum(abs(w - coalesce(g, 5) % 7)) AS off").first()
+    assert tuple(got) == (n, float(n), 0.0)
+
+
+def test_nothing_is_collected_but_the_number_of_open_groups(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v")
+    kind = type(df)
+    monkeypatch.setattr(kind, "collect", lambda self: pytest.fail("collect"))
+    monkeypatch.setattr(kind, "toPandas", lambda self: pytest.fail("toPandas"))
+    assert exact_medians(df, ["g"], ["v"], window_rows=10).count() == 3
 
 
 def test_no_rows(spark):

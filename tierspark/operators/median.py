@@ -2,11 +2,11 @@
 
 ``F.median`` / ``percentile`` buffer every distinct value of a group in one
 aggregation buffer, so one large group (a cluster can hold a third of all rows)
-would land in a single task. Instead this is a distributed selection. A round
-takes two partial aggregates over the values still in question:
+would land in a single task. Instead this is a distributed selection. A (group,
+column) of at most ``window_rows`` values is ranked in a window. For a larger one a
+round takes two aggregates, combined in each task, over the values still in question:
 
-1. per (group, column) the number of values and approximate quantiles, of which
-   two that enclose the wanted ranks become a bracket;
+1. approximate quantiles, of which two that enclose the wanted ranks become a bracket;
 2. exact counts below, inside and above the bracket, with each part's smallest
    and largest value. The part that holds the wanted ranks stays; two ranks in
    neighbouring parts are the largest of one and the smallest of the other.
@@ -14,129 +14,113 @@ takes two partial aggregates over the values still in question:
 A bracket keeps about a thirtieth of the values whatever their distribution, so
 a group of a billion values takes about four rounds; the approximation decides
 only how much is kept, never the result. Where a few values are so frequent that
-a bracket keeps everything, the next one is a single value, which settles it. At
-most ``window_rows`` values per
-(group, column) are ranked in a window at the end. What comes back to the driver
-or is broadcast is a few numbers per (group, column); more than ``max_groups`` of
-those are refused. The median of an even count is ``(a + b) / 2`` of the two
-middle values. NULL and NaN values are ignored.
+a bracket keeps everything, the next one is a single value, which settles it.
+
+The state, a row per (group, column), is a written table that the values join on
+their key; only the number of unsettled rows comes back to the driver, so there may
+be any number of groups. Spark sends the state to all tasks while its size allows
+it; beyond, both sides are dealt by key and adaptive execution splits a large
+group's values. The median of an even count is ``(a + b) / 2`` of the two middle
+values. NULL and NaN values are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tierspark.session import materialize, release
 
 STEPS = 32
 
 
-@dataclass
-class _Part:
-    """Values lo..hi (inclusive) of one (group, column); ``below`` lie under lo."""
-    lo: float | None = None
-    hi: float | None = None
-    below: int = 0
-    n: int = 0
-    ranks: tuple = ()
-    found: tuple | None = None
-    one_value: bool = False  # the last bracket kept everything: next, one value against the rest
-
-    def settle(self, below, inside, above) -> None:
-        """Parts are (n, smallest, largest) in ascending order."""
-        at, hit = self.below, []
-        for n, lo, hi in (below, inside, above):
-            own = [r for r in self.ranks if at <= r < at + n]
-            if own:
-                hit.append((own, at, n, lo, hi))
-            at += n
-        if len(hit) == 2:  # neighbouring ranks in neighbouring parts
-            self.found = (hit[0][4], hit[1][3])
-            return
-        own, at, n, lo, hi = hit[0]
-        self.one_value = n == self.n
-        self.lo, self.hi, self.below, self.n = lo, hi, at, n
-        if lo == hi:
-            self.found = (lo, lo)
+def _settled(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """State rows (``n, below, r0, r1``) beside the counts ``n0..n2`` and bounds ``lo0..lo2,
+    hi0..hi2`` of three neighbouring parts, reduced to the part that holds the ranks."""
+    def part(rank):
+        return f"CASE WHEN {rank} < below + n0 THEN 0 WHEN {rank} < below + n0 + n1 THEN 1 ELSE 2 END"
+
+    def of(name, k):
+        return f"CASE {k} WHEN 0 THEN {name}0 WHEN 1 THEN {name}1 ELSE {name}2 END"
+
+    t = state.selectExpr("*", f"{part('r0')} AS k0", f"{part('r1')} AS k1")
+    t = t.selectExpr("*", f"{of('lo', 'k0')} AS lo_", f"{of('hi', 'k0')} AS hi_",
+                     f"{of('lo', 'k1')} AS lo_next", f"{of('n', 'k0')} AS n_")
+    return t.selectExpr(
+        *[f"`{k}`" for k in keys], "r0", "r1", "lo_ AS lo", "hi_ AS hi", "n_ AS n",
+        "below + CASE k0 WHEN 0 THEN 0L WHEN 1 THEN n0 ELSE n0 + n1 END AS below",
+        "n_ = n AS one_value",
+        "CASE WHEN k0 <> k1 THEN hi_ WHEN lo_ = hi_ THEN lo_ END AS a",
+        "CASE WHEN k0 <> k1 THEN lo_next WHEN lo_ = hi_ THEN lo_ END AS b")
 
 
 def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str],
-                  window_rows: int = 20_000, max_groups: int = 100_000) -> DataFrame:
+                  window_rows: int = 20_000) -> DataFrame:
     """Wide result: ``group_cols`` + one median column per ``value_cols`` entry
-    (NULL when a group has no value in that column)."""
-    spark, gcols = df.sparkSession, list(group_cols)
+    (NULL when a group has no value in that column), a row per group that has a value in
+    any column; without ``group_cols`` exactly one row. The result is a written table."""
+    gcols = list(group_cols)
     casted = df.select(*gcols, *[F.col(c).cast("double").alias(c) for c in value_cols])
     long = (casted.unpivot(gcols, list(value_cols), "feature", "v")
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
     keys = gcols + ["feature"]
-    key_fields = [df.schema[c] for c in gcols] + [T.StructField("feature", T.StringType())]
-
-    def bounded(names, rows):
-        """Values of the listed (group, column)s beside their bounds."""
-        fields = [T.StructField(n, T.DoubleType()) for n in names]
-        b = F.broadcast(spark.createDataFrame(rows, T.StructType(key_fields + fields)))
-        on = long[keys[0]].eqNullSafe(b[keys[0]])
-        for c in keys[1:]:
-            on = on & long[c].eqNullSafe(b[c])
-        return long.join(b, on).select(*[long[c] for c in keys], long["v"],
-                                       *[b[n] for n in names])
-
-    def in_question(parts):
-        return bounded(["lo", "hi"], [(*k, p.lo, p.hi) for k, p in parts.items()]).where(
-            "v between lo and hi")
 
+    def beside(state: DataFrame, *names: str) -> DataFrame:
+        """The values still in question beside ``names`` of their state."""
+        cols = list(dict.fromkeys(["lo", "hi", *names]))
+        s = state.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)],
+                         *[F.col(c).alias(f"s_{c}") for c in cols])
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & long[k].eqNullSafe(s[f"key_{i}"])
+        return long.join(s, on).where("v BETWEEN s_lo AND s_hi").select(
+            *keys, "v", *[F.col(f"s_{c}").alias(c) for c in names])
+
+    def null_safe(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Inner join on ``keys``, NULL equal to NULL; ``left``'s keys stay."""
+        r = right.withColumnsRenamed({k: f"key_{i}" for i, k in enumerate(keys)})
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & left[k].eqNullSafe(r[f"key_{i}"])
+        return left.join(r, on).drop(*[f"key_{i}" for i in range(len(keys))])
+
+    state = materialize(long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).selectExpr(
+        *[f"`{k}`" for k in keys], "(n - 1) div 2 AS r0", "n div 2 AS r1", "lo", "hi", "n",
+        "0L AS below", "false AS one_value", "CASE WHEN lo = hi THEN lo END AS a",
+        "CASE WHEN lo = hi THEN lo END AS b"), "median-state")
     grid = [i / STEPS for i in range(STEPS + 1)]
-    quantiles = F.percentile_approx("v", grid, 1000).alias("q")
-    first = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                    F.max("v").alias("hi")).limit(max_groups + 1).collect()
-    if len(first) > max_groups:
-        raise ValueError(f"more than {max_groups} groups and columns")
-    parts = {}
-    for r in first:
-        n = r["n"]
-        p = _Part(ranks=((n - 1) // 2, n // 2))
-        p.settle((n, r["lo"], r["hi"]), (0, None, None), (0, None, None))
-        parts[tuple(r[c] for c in keys)] = p
     while True:
-        wide = {k: p for k, p in parts.items() if p.found is None and p.n > window_rows}
-        if not wide:
+        open_ = F.col("a").isNull() & (F.col("n") > window_rows)
+        wide = state.where(open_)
+        if wide.isEmpty():
             break
-        brackets = []
-        for r in in_question(wide).groupBy(*keys).agg(quantiles).collect():
-            k = tuple(r[c] for c in keys)
-            p = wide[k]
-            i = (p.ranks[0] - p.below) * STEPS // p.n
-            j = -(-(p.ranks[1] - p.below + 1) * STEPS // p.n)
-            a, b = r["q"][i], r["q"][i if p.one_value else min(STEPS, j)]
-            brackets.append((*k, p.lo, p.hi, a, b))
+        quantiles = beside(wide).groupBy(*keys).agg(F.percentile_approx("v", grid, 1000).alias("q"))
+        at = f"CAST((r0 - below) * {STEPS} div n AS INT)"
+        to = f"CAST(((r1 - below + 1) * {STEPS} + n - 1) div n AS INT)"
+        brackets = materialize(null_safe(wide.drop("a", "b"), quantiles).selectExpr(
+            *[f"`{k}`" for k in keys], "r0", "r1", "lo", "hi", "n", "below", f"q[{at}] AS a",
+            f"q[CASE WHEN one_value THEN {at} ELSE least({STEPS}, {to}) END] AS b"), "median-brackets")
         v = F.col("v")
         side = F.when(v < F.col("a"), 0).when(v <= F.col("b"), 1).otherwise(2)
-        counted = (bounded(["lo", "hi", "a", "b"], brackets).where("v between lo and hi")
-                   .groupBy(*keys, side.alias("side"))
-                   .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                        F.max("v").alias("hi")).collect())
-        sides: dict = {}
-        for r in counted:
-            sides.setdefault(tuple(r[c] for c in keys), {})[r["side"]] = (r["n"], r["lo"], r["hi"])
-        for k, s in sides.items():
-            parts[k].settle(*[s.get(i, (0, None, None)) for i in range(3)])
-
-    rest = {k: p for k, p in parts.items() if p.found is None}
-    if rest:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1
-        wanted = bounded(["lo", "hi", "r0", "r1"],
-                         [(*k, p.lo, p.hi, float(p.ranks[0] - p.below),
-                           float(p.ranks[1] - p.below)) for k, p in rest.items()])
-        got = (wanted.where("v between lo and hi").withColumn("rank", rank)
-               .where("rank = r0 or rank = r1")
-               .groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b")).collect())
-        for r in got:
-            rest[tuple(r[c] for c in keys)].found = (r["a"], r["b"])
-
-    med = {k: (p.found[0] + p.found[1]) / 2 for k, p in parts.items()}
-    groups = sorted({k[:-1] for k in parts}, key=lambda g: tuple(str(x) for x in g)) if gcols \
-        else [()]
-    schema = T.StructType(key_fields[:-1] + [T.StructField(c, T.DoubleType()) for c in value_cols])
-    return spark.createDataFrame([(*g, *[med.get((*g, c)) for c in value_cols]) for g in groups],
-                                 schema)
+        parts = beside(brackets, "a", "b").withColumn("side", side).groupBy(*keys).agg(
+            *[f(F.when(F.col("side") == i, v)).alias(f"{name}{i}") for i in range(3)
+              for f, name in ((F.count, "n"), (F.min, "lo"), (F.max, "hi"))])
+        found = _settled(null_safe(brackets.drop("a", "b", "lo", "hi"), parts), keys)
+        after = materialize(state.where(~open_).unionByName(found), "median-state")
+        for t in (state, brackets):
+            release(t)
+        state = after
+
+    rest = state.where("a IS NULL")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1
+    ranked = (beside(rest, "r0", "r1", "below").withColumn("rank", rank + F.col("below"))
+              .where("rank = r0 OR rank = r1").groupBy(*keys)
+              .agg(F.min("v").alias("a"), F.max("v").alias("b")))
+    both = state.where("a IS NOT NULL").select(*keys, "a", "b").unionByName(ranked)
+    medians = both.select(*keys, ((F.col("a") + F.col("b")) / 2).alias("m"))
+    out = materialize(medians.groupBy(*gcols).agg(
+        *[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(c) for c in value_cols]), "medians")
+    release(state)
+    return out
