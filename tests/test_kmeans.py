@@ -145,9 +145,81 @@ def test_missing_coordinates_mean_the_same_at_every_size(spark, n, missing):
     assert "2" not in [s[0] for s in km.kmeanspp_seeds(df, COLS, "id", 3)]
 
 
-def test_large_coordinates_are_refused(spark):
-    with pytest.raises(ValueError, match="normalise"):
-        km.kmeans(pts(spark, [(0, 0), (1e9, 1)]), COLS, "id", 1)
+def test_infinite_coordinates_are_refused(spark):
+    with pytest.raises(ValueError, match="infinite"):
+        km.kmeans(pts(spark, [(1.0, 2.0), (float("inf"), 1.0), (3.0, 4.0)]), COLS, "id", 2)
+
+
+@pytest.mark.parametrize("scale", [1e9, 1e300, 1e-30, 1e-305])
+def test_means_at_any_scale_are_exact_to_a_double(spark, scale):
+    from fractions import Fraction
+    rng = np.random.default_rng(5)
+    rows = [(float(x) * scale, float(x) * scale * 1e-7) for x in rng.normal(0.3, 1.0, 500)]
+    df = pts(spark, rows).withColumn("cluster", F.lit(0))
+    first = None
+    for n in (1, 3, 7, 16, 200):
+        means, counts = km.update(df.repartition(n), COLS, 1)
+        first = first or means
+        assert means == first and counts == [500]
+    for c in range(2):
+        exact = float(sum(Fraction(r[c]) for r in rows) / len(rows))
+        top = max(abs(r[c]) for r in rows)
+        assert abs(means[0][c] - exact) <= 2.0 ** -52 * abs(exact) + max(2.0 ** -60 * top, 5e-324)
+
+
+def test_raw_fit_is_the_same_for_every_partitioning(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(a) * 1e9, float(b)) for a, b in zip(rng.uniform(-1, 1, 700), rng.exponential(40, 700))]
+    df, seen = pts(spark, rows), []
+    for n in (1, 3, 7, 16, 200):
+        r = km.kmeans(df.repartition(n), COLS, "id", 4, seed=3, max_iter=6)
+        seen.append((r.centroids, r.counts, r.iterations, r.shifts))
+    assert all(x == seen[0] for x in seen)
+
+
+def test_written_d2_gives_the_same_seeds(spark):
+    df = pts(spark, blobs(80))
+    whole = km.kmeanspp_seeds(df, COLS, "id", 12, seed=4, block=100)
+    assert km.kmeanspp_seeds(df, COLS, "id", 12, seed=4, block=1) == whole
+    assert km.kmeanspp_seeds(df, COLS, "id", 12, seed=4, block=5) == whole
+
+
+def test_a_round_of_the_seeding_computes_a_bounded_number_of_distances(spark, monkeypatch):
+    asked = []
+    real = km.d2_column
+    monkeypatch.setattr(km, "d2_column", lambda cols, centers: asked.append(len(centers)) or real(cols, centers))
+    km.kmeanspp_seeds(pts(spark, blobs(90)), COLS, "id", 14, seed=4, block=4)
+    assert len(asked) == 13 and max(asked) == 4
+
+
+def test_three_empty_clusters_are_reseeded_in_one_aggregate(spark, monkeypatch):
+    df, calls = pts(spark, blobs()), []
+    real = km._pick_each
+    monkeypatch.setattr(km, "_pick_each", lambda *a: calls.append(len(a[3])) or real(*a))
+    far = [[100.0 + j, 100.0] for j in range(3)]
+    r = km.kmeans(df, COLS, "id", 5, max_iter=1, init=[[0.0, 0.0], [5.0, 5.0]] + far)
+    assert calls == [3] and r.counts[2:] == [0, 0, 0]
+    own = {tuple(x) for x in df.select(*COLS).collect()}
+    assert len({tuple(c) for c in r.centroids[2:]} & own) == 3
+
+
+def test_a_fit_goes_on_from_its_written_state(spark, tmp_path, monkeypatch):
+    df, where = pts(spark, blobs(200, 8)).persist(), f"{tmp_path}/fit"
+    start = [[0.0, 0.0], [0.1, 0.0], [0.0, 0.1], [0.1, 0.1]]
+    whole = km.kmeans(df, COLS, "id", 4, seed=6, tol=1e-9, init=start)
+    assert whole.iterations > 3
+    km.kmeans(df, COLS, "id", 4, seed=6, tol=1e-9, init=start, max_iter=3, state_path=where)
+    (tmp_path / "fit" / "iteration-000009").mkdir()      # begun, never marked complete
+    monkeypatch.setattr(km, "kmeanspp_seeds", lambda *a: pytest.fail("seeded anew"))
+    rest = km.kmeans(df, COLS, "id", 4, seed=6, tol=1e-9, state_path=where)
+    assert (rest.iterations, rest.centroids, rest.shifts, rest.init) == (
+        whole.iterations, whole.centroids, whole.shifts, whole.init)
+    assert sorted(rest.labeled.collect()) == sorted(whole.labeled.collect())
+    again = km.kmeans(df, COLS, "id", 4, seed=6, tol=1e-9, state_path=where)   # nothing left to do
+    assert again.iterations == whole.iterations
+    assert sorted(again.labeled.collect()) == sorted(whole.labeled.collect())
+    with pytest.raises(ValueError, match="another fit"):
+        km.kmeans(df, COLS, "id", 4, seed=7, tol=1e-9, state_path=where)
 
 
 def test_fit_is_the_same_for_every_partitioning(spark):

@@ -246,10 +246,25 @@ def _u(seed: int, stream, id_expr: str) -> str:
             f" + CAST(1 AS DOUBLE)) / CAST({_DEN} AS DOUBLE)")
 
 
-def _mean(c: str, only: str = "") -> str:
-    """Mean from whole multiples of 2^-40: no order of addition can change it."""
-    return (f"CAST(sum(CAST(floor({c} * CAST(1099511627776 AS DOUBLE) + CAST(0.5 AS DOUBLE)) "
-            f"AS HUGEINT)) {only} AS DOUBLE) / CAST(1099511627776 AS DOUBLE) / count(*) {only}")
+NORM_UNIT = f"CAST({2 ** 61} AS DOUBLE)"  # 62 bits below 2, for columns whose largest value is 1
+
+
+def _mean(c: str, only: str = "", unit: str = NORM_UNIT) -> str:
+    """Mean from whole units, summed in three parts of 21 bits: no order of addition can
+    change it."""
+    low, high = (f"CAST({2 ** b} AS DOUBLE)" for b in (21, 42))
+    parts = (f"floor({c} * {unit} / {high})",
+             f"floor({c} * {unit} / {low}) - floor({c} * {unit} / {high}) * {low}",
+             f"floor({c} * {unit}) - floor({c} * {unit} / {low}) * {low}")
+    a, b, rest = (f"CAST(sum(CAST({p} AS HUGEINT)) {only} AS DOUBLE)" for p in parts)
+    return f"({a} * {high} + {b} * {low} + {rest}) / {unit} / count(*) {only}"
+
+
+def _units_cte(src: str, cols) -> tuple:
+    """One row with each column's units per 1: 2^62 over the power of two above its largest
+    magnitude."""
+    return ("units", "SELECT " + ", ".join(
+        f"pow(CAST(2 AS DOUBLE), 61 - floor(log2(max(abs({c}))))) AS {c}" for c in cols) + f" FROM {src}")
 
 
 def _sqdist(a: str, b: str, cols=NORM_FEATURES) -> str:
@@ -376,10 +391,13 @@ def _lloyd_ctes(iters: int, k: int = K, cols=NORM_FEATURES) -> list:
     return ctes
 
 
-def fit_sql(final: str, view_name: str = "customer_events", tol: float = 1e-4) -> str:
+def fit_sql(final: str, view_name: str = "customer_events", tol: float = 1e-4,
+            raw: list | None = None) -> str:
     """Lloyd with its stopping rule as a recursive CTE. A step holds the k centres as one
-    row; ``fitted`` are the labels of the last step, ``last`` the means of those labels."""
-    cols = NORM_FEATURES
+    row; ``fitted`` are the labels of the last step, ``last`` the means of those labels.
+    ``raw``: features as they are, in place of the normalised ones."""
+    cols = raw or NORM_FEATURES
+    units = {c: f"(SELECT {c} FROM units)" if raw else NORM_UNIT for c in cols}
     state = ", ".join(f"s{j}.{c} AS {c}_{j}" for j in range(K) for c in cols)
     names = [f"{c}_{j}" for j in range(K) for c in cols]
 
@@ -394,7 +412,7 @@ def fit_sql(final: str, view_name: str = "customer_events", tol: float = 1e-4) -
               + ", ".join(f"{dist(j)} AS e{j}" for j in range(K)) + " FROM pts p, {g} g) q")
     step = labels.format(keep="g.it, g.shift, " + ", ".join(f"g.{n}" for n in names), g="steps")
 
-    means = ", ".join(f"{_mean(c, f'FILTER (cluster = {j})')} AS n_{c}_{j}"
+    means = ", ".join(f"{_mean(c, f'FILTER (cluster = {j})', units[c])} AS n_{c}_{j}"
                       for j in range(K) for c in cols)
     shift = "sqrt(" + " + ".join(f"(n_{n} - {n}) * (n_{n} - {n})" for n in names) + ")"
     n_max = "(SELECT greatest(100, count(*) // 100) FROM pts)"
@@ -405,14 +423,23 @@ def fit_sql(final: str, view_name: str = "customer_events", tol: float = 1e-4) -
   SELECT it + 1, {shift}, {', '.join(f'n_{n}' for n in names)}
   FROM (SELECT any_value(it) AS it, {', '.join(f'any_value({n}) AS {n}' for n in names)}, {means}
         FROM ({step}) WHERE shift >= {_lit(tol)} AND it < {n_max} HAVING count(*) > 0)"""
-    last = (f"SELECT cluster, count(*) AS n, " + ", ".join(f"{_mean(c)} AS {c}" for c in cols)
+    last = (f"SELECT cluster, count(*) AS n, "
+            + ", ".join(f"{_mean(c, unit=units[c])} AS {c}" for c in cols)
             + " FROM assigned GROUP BY cluster")
     view = VIEWS[view_name]
-    seeds = [c for c in _seed_ctes() if c[0] not in ("dists", "assigned")]
-    ctes = _feature_ctes(view) + seeds + [
+    src = "normed"
+    ctes = _feature_ctes(view)
+    if raw:
+        src = "raw_points"
+        ctes += [(src, "SELECT path, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in raw)
+                  + " FROM normed"), _units_cte(src, raw)]
+    seeds = [c for c in _seed_ctes(src=src, cols=cols) if c[0] not in ("dists", "assigned")]
+    ctes += seeds + [
         ("steps", rec),
         ("before", "SELECT * FROM steps WHERE it = (SELECT max(it) FROM steps) - 1"),
         ("assigned", labels.format(keep="0 AS it", g="before"))]
+    if raw:
+        return _with(view, *ctes, ("upd", last)).replace("WITH ", "WITH RECURSIVE ", 1) + final
     ctes += _median_ctes() + _score_ctes() + [c for c in _centroid_ctes() if c[0] != "upd"]
     ctes.insert(len(ctes) - 1, ("upd", last))
     return _with(view, *ctes).replace("WITH ", "WITH RECURSIVE ", 1) + final
@@ -425,6 +452,10 @@ def _far_sql(final: str) -> str:
     return _with(_CE, *ctes) + final
 
 
+#: Features clustered as they are: seconds, and counts.
+RAW = ["age_seconds", "access_freq"]
+
+
 def fit_queries() -> dict:
     cols = ", ".join(NORM_FEATURES)
     return {
@@ -432,6 +463,26 @@ def fit_queries() -> dict:
         "kmeans_empty_cluster": _far_sql(
             f"SELECT cluster, n, {cols} FROM upd UNION ALL SELECT {K - 1}, 0, {cols} FROM pts WHERE "
             f"path = (SELECT arg_min(path, {_u(SEED, f'empty:1:{K - 1}', 'path')}) FROM pts)"),
+        "kmeans_empty_clusters": _far_sql(
+            f"SELECT cluster, n, {cols} FROM upd UNION ALL "
+            + " UNION ALL ".join(
+                f"SELECT {j}, 0, {cols} FROM pts WHERE path = "
+                f"(SELECT arg_min(path, {_u(SEED, f'empty:1:{j}', 'path')}) FROM pts)"
+                for j in range(K - 1, K + 2))),
+        "kmeans_raw": fit_sql("SELECT path, cluster FROM assigned", raw=RAW),
+        "kmeans_raw_centres": fit_sql("SELECT cluster, n, " + ", ".join(RAW) + " FROM upd", raw=RAW),
+        "path_medians": _with(_PL) + """, long AS (
+  UNPIVOT (SELECT path, ts_epoch, ts_epoch / 86400.0::DOUBLE AS day, 1.0::DOUBLE * hash_day AS hash_day
+           FROM (SELECT *, CAST(ts_epoch / 86400 AS BIGINT) % 7 AS hash_day FROM log))
+  ON ts_epoch, day, hash_day INTO NAME feature VALUE v),
+ranked AS (
+  SELECT path, feature, v, row_number() OVER (PARTITION BY path, feature ORDER BY v) - 1 AS r,
+         count(*) OVER (PARTITION BY path, feature) AS n FROM long),
+mids AS (SELECT path, feature, (min(v) + max(v)) / 2 AS med FROM ranked
+         WHERE r = (n - 1) // 2 OR r = n // 2 GROUP BY path, feature)
+SELECT path, max(CASE WHEN feature = 'ts_epoch' THEN med END) AS ts_epoch,
+       max(CASE WHEN feature = 'day' THEN med END) AS day,
+       max(CASE WHEN feature = 'hash_day' THEN med END) AS hash_day FROM mids GROUP BY path""",
         "empty_cluster_categories": _far_sql("SELECT * FROM best"),
         "point_count": feature_sql("customer_events", "SELECT count(*) AS n FROM normed"),
         "cluster_names": cluster_sql("SELECT path, 'C' || cluster AS name FROM assigned"),
@@ -505,8 +556,9 @@ def embedding_sql(final: str) -> str:
            + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(cols))
            + " FROM embeddings")
     ctes = [("emb", src)] + _seed_ctes(EMBED_K, SEED, "emb", cols, "vec")
+    ctes.append(_units_cte("emb", cols))
     ctes.append(("upd", "SELECT cluster, count(*) AS n, "
-                 + ", ".join(f"{_mean(c)} AS {c}" for c in cols)
+                 + ", ".join(f"{_mean(c, unit=f'(SELECT {c} FROM units)')} AS {c}" for c in cols)
                  + " FROM assigned GROUP BY cluster"))
     return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in ctes) + "\n" + final
 

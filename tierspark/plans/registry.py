@@ -324,6 +324,45 @@ def kmeans_empty_cluster(spark, sf_dir):
         "cluster int, n long, " + ", ".join(f"{c} double" for c in NORM_FEATURES))
 
 
+def kmeans_empty_clusters(spark, sf_dir):
+    """Three empty clusters of one iteration, each re-seeded with a point of its own draw."""
+    pts, seeds = _seeded(spark, sf_dir)
+    far = [[9.0 + j] * len(NORM_FEATURES) for j in range(3)]
+    res = km.kmeans(pts, NORM_FEATURES, "path", K + 2, max_iter=1, seed=SEED,
+                    init=[s[1] for s in seeds[:K - 1]] + far)
+    return spark.createDataFrame(
+        [(j, n, *c) for j, (n, c) in enumerate(zip(res.counts, res.centroids))],
+        "cluster int, n long, " + ", ".join(f"{c} double" for c in NORM_FEATURES))
+
+
+RAW = ["age_seconds", "access_freq"]
+
+
+def _raw_fit(spark, sf_dir):
+    pts = _features(spark, sf_dir).features.select("path", *[F.col(c).cast("double").alias(c) for c in RAW])
+    return km.kmeans(materialize(pts, "raw-points"), RAW, "path", K, seed=SEED)
+
+
+def kmeans_raw(spark, sf_dir):
+    """Labels of a fit on ages in seconds and access counts as they are."""
+    return _raw_fit(spark, sf_dir).labeled.select("path", "cluster")
+
+
+def kmeans_raw_centres(spark, sf_dir):
+    res = _raw_fit(spark, sf_dir)
+    return spark.createDataFrame(
+        [(j, n, *c) for j, (n, c) in enumerate(zip(res.counts, res.centroids))],
+        "cluster int, n long, " + ", ".join(f"{c} double" for c in RAW))
+
+
+def path_medians(spark, sf_dir):
+    """Exact medians per path: as many groups as files."""
+    log = PL.log(spark, sf_dir).select(
+        "path", "ts_epoch", (F.col("ts_epoch") / 86400.0).alias("day"),
+        (F.round(F.col("ts_epoch") / 86400).cast("long") % 7).cast("double").alias("hash_day"))
+    return exact_medians(log, ["path"], ["ts_epoch", "day", "hash_day"], window_rows=24)
+
+
 def empty_cluster_categories(spark, sf_dir):
     pts, init = _far_init(spark, sf_dir)
     return _classify(_medians(km.assign(pts, NORM_FEATURES, init), NORM_FEATURES, K), DEFAULT_RULES)
@@ -347,6 +386,10 @@ def scores_cubed(spark, sf_dir):
 _CLUSTER_QUERIES = {
     "kmeans_fit_lineitem": kmeans_fit_lineitem,
     "kmeans_empty_cluster": kmeans_empty_cluster,
+    "kmeans_empty_clusters": kmeans_empty_clusters,
+    "kmeans_raw": kmeans_raw,
+    "kmeans_raw_centres": kmeans_raw_centres,
+    "path_medians": path_medians,
     "empty_cluster_categories": empty_cluster_categories,
     "point_count": point_count,
     "cluster_names": cluster_names,

@@ -108,6 +108,19 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def complete_folders(spark: SparkSession, parent: str) -> list:
+    """Folders directly under ``parent`` whose writer has marked them complete, by name;
+    none if there is no such parent."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(parent)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
+    return sorted(f.toString() for f in found
+                  if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the table behind a frame from :func:`materialize`. Only folders that
     :func:`scratch_path` named are touched."""
