@@ -31,6 +31,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 
 from .best_fit_pack import in_parts
 from .common import documents, materialize
-from .vocab import byte_letters, open_tokenizer, vocabulary
+from .vocab import BYTE_LEVEL, byte_letters, vocabulary
 
-CHUNK_LETTERS, KEPT_SEGMENTS, KEPT_LENGTH = 4_000_000, 300_000, 64
+CHUNK_LETTERS, KEPT_SEGMENTS, KEPT_LENGTH = 2_000_000, 300_000, 64
 BLANK = "▁"
 
 #: A row is a document (its digests, and its pairs as positions in the chunk's list), a
@@ -59,15 +60,17 @@ class Vocabularies:
 
         import numpy as np
         import sentencepiece
-        self.a = open_tokenizer(a_path, plain_specials=True)
+        import tiktoken
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         to_byte = byte_letters()
         with open(a_path, encoding="utf-8") as f:
             model = json.load(f)["model"]["vocab"]
-        self.a_bytes: list = [b""] * (max(model.values()) + 1)
-        for token, i in model.items():
-            if all(c in to_byte for c in token):
-                self.a_bytes[i] = bytes(to_byte[c] for c in token)
+        a_bytes = {i: bytes(to_byte[c] for c in token) for token, i in model.items()
+                   if all(c in to_byte for c in token)}
+        self.a_bytes: list = [a_bytes.get(i, b"") for i in range(max(model.values()) + 1)]
+        # ids follow the order of merges, so they are the ranks; special names are plain text
+        self.a = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, special_tokens={},
+                                   mergeable_ranks={x: i for i, x in a_bytes.items()})
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i)
                         else self.b.id_to_piece(i).replace(BLANK, " ").encode()
                         for i in range(self.b.get_piece_size())]
@@ -78,72 +81,132 @@ class Vocabularies:
             by_bytes[self.b_bytes[i]] = i
         self.identity = np.array([by_bytes.get(x, -1) if x else -1 for x in self.a_bytes], np.int64)
         self.blank = self.b.piece_to_id(BLANK)
-
-    def encode_a(self, segments: list) -> list:
-        return [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-
-    def encode_b(self, segments: list) -> list:
-        """Ids of segments that begin with a blank: the model puts one before what it is
-        given, but gives nothing for nothing."""
-        return [ids or [self.blank] for ids in
-                self.b.encode([s[1:] for s in segments], num_threads=1)]
-
-    def align(self, segment: str, a: list, b: list):
-        """Groups of a segment: (groups as text, their number, linked pairs as codes
-        a * size of B + b), or None if the tokens do not give back its bytes."""
-        a_bytes, b_bytes, size = self.a_bytes, self.b_bytes, len(self.b_bytes)
-        if len(a) == 1 and len(b) == 1 and self.identity[a[0]] == b[0] and len(segment) < 256 \
-                and b_bytes[b[0]] == segment.encode():
-            return f"{a[0]}|{b[0]}", 1, [a[0] * size + b[0]]
-        if b"".join([b_bytes[i] for i in b]) != (raw := segment.encode()) or \
-                b"".join([a_bytes[i] for i in a]) != raw:
-            return None
-        groups, codes, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-        end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-        while True:
-            codes.append(a[i] * size + b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a:i + 1]))}|"
-                              f"{','.join(map(str, b[first_b:j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return ";".join(groups), len(groups), codes
-                first_a, first_b = i, j
-                end_a += len(a_bytes[a[i]])
-                end_b += len(b_bytes[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(a_bytes[a[i]])
-            else:
-                j += 1
-                end_b += len(b_bytes[b[j]])
+        self.a_size, self.b_size = (np.array([len(x) for x in of], np.int64)
+                                    for of in (self.a_bytes, self.b_bytes))
+
+        a, b = (list(map(str, range(len(of)))) for of in (self.a_bytes, self.b_bytes))
+        #: Ids as text with what may follow one: A a comma or bar, B a comma, ';' or line end.
+        self.text = ([x + "," for x in a] + [x + "|" for x in a] + [x + "," for x in b]
+                     + [x + ";" for x in b] + [x + "\n" for x in b])
+
+    def encode_a(self, closed: list, open_: list, ends) -> tuple:
+        """Ids of ' ' + word for all words, one after another, and how many of each. Closed
+        words, whose bytes end at ``ends`` with their blanks, are encoded as one text; those
+        that end in white space would run into the next blank."""
+        import numpy as np
+        joined = np.array(self.a.encode_ordinary(" " + " ".join(closed)) if closed else [], np.int64)
+        at = np.searchsorted(np.cumsum(self.a_size[joined]), ends) + 1 if closed else []
+        rest = [self.a.encode_ordinary(" " + w) for w in open_]
+        return (np.concatenate([joined, np.array([x for own in rest for x in own], np.int64)]),
+                np.concatenate([np.diff(at, prepend=0), np.array([len(own) for own in rest], np.int64)])
+                .astype(np.int64))
+
+    def encode_b(self, words: list) -> tuple:
+        """Ids of ' ' + word: the model puts the blank before what it is given, but gives
+        nothing for nothing."""
+        import numpy as np
+        ids = [own or [self.blank] for own in self.b.encode(words, num_threads=1)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
 
 
 class Segments:
-    """Aligned segments that a worker keeps: (groups, n_a, n_b, n_groups, codes) or None."""
+    """Aligned segments that a worker keeps, by the segment without its first blank. Arrays
+    over all of them: whether the tokens give back the bytes, tokens of A and of B, groups,
+    links, and where the links (codes a * size of B + b) begin; and the groups as text."""
 
     def __init__(self, vocabularies: Vocabularies):
-        self.v, self.known = vocabularies, {}
+        self.v = vocabularies
+        self.clear()
 
-    def learn(self, segments: list) -> None:
+    def clear(self) -> None:
         import numpy as np
-        new = [s for s in segments if s not in self.known]
+        self.known: dict = {}
+        self.text: list = []
+        self.whole, self.sums, self.starts = (np.empty(0, bool), np.empty((0, 4), np.int64),
+                                              np.empty(0, np.int64))
+        self.codes = np.empty(0, np.int64)
+
+    def learn(self, words: set) -> None:
+        """Make all these segments known; the numbers of earlier ones may change."""
+        import numpy as np
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KEPT_SEGMENTS:
-            self.known, new = {}, segments
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for s, a, b in zip(part, self.v.encode_a(part), self.v.encode_b(part)):
-                got = self.v.align(s, a, b)
-                self.known[s] = got and (got[0], len(a), len(b), got[1], np.array(got[2], np.int64))
+            self.clear()
+            new = list(words)
+        if not new:
+            return
+        open_ = [w for w in new if not w or w[-1].isspace()]
+        if open_:
+            apart = set(open_)
+            closed = [w for w in new if w not in apart]
+            new = closed + open_
+        else:
+            closed = new
+        v, n = self.v, len(new)
+        raw = [(" " + w).encode() for w in new]
+        size = np.fromiter(map(len, raw), np.int64, n)
+        (a, n_a), (b, n_b) = v.encode_a(closed, open_, np.cumsum(size[:len(closed)])), v.encode_b(new)
+        seg_a, seg_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
+        fits = (np.bincount(seg_a, v.a_size[a], n) == size) & (np.bincount(seg_b, v.b_size[b], n) == size)
+        # where the lengths agree, the bytes are compared, of all such segments at once
+        keep_a, keep_b = fits[seg_a], fits[seg_b]
+        a_raw = b"".join(map(v.a_bytes.__getitem__, a[keep_a].tolist()))
+        b_raw = b"".join(map(v.b_bytes.__getitem__, b[keep_b].tolist()))
+        own = b"".join(r for r, ok in zip(raw, fits.tolist()) if ok)
+        if a_raw != own or b_raw != own:
+            at, text = np.repeat(np.flatnonzero(fits), size[fits]), np.frombuffer(own, np.uint8)
+            for other in (a_raw, b_raw):
+                fits[at[np.frombuffer(other, np.uint8) != text]] = False
+            keep_a, keep_b = fits[seg_a], fits[seg_b]
+        a, b, seg_a, seg_b = a[keep_a], b[keep_b], seg_a[keep_a], seg_b[keep_b]
+        end_a, end_b = np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b])
+        start_a, start_b = end_a - v.a_size[a], end_b - v.b_size[b]
+        first = np.searchsorted(end_b, start_a, "right")
+        links = np.searchsorted(start_b, end_a, "left") - first     # tokens of B that each of A meets
+        at = np.arange(int(links.sum())) + np.repeat(first - (np.cumsum(links) - links), links)
+        codes = np.repeat(a, links) * len(v.b_bytes) + b[at]
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)     # also the ends of segments
+        to_a, to_b = np.searchsorted(end_a, cuts) + 1, np.searchsorted(end_b, cuts) + 1
+        group_seg = seg_a[to_a - 1] if len(cuts) else np.empty(0, np.int64)
+        n_links = np.bincount(seg_a, links, n).astype(np.int64)
+        n_groups = np.bincount(group_seg, minlength=n)
+        sums = np.stack([np.where(fits, n_a, 0), np.where(fits, n_b, 0), n_groups, n_links], 1)
+        base = len(self.text)
+        texts = iter(self.group_texts(a, b, to_a, to_b, group_seg))
+        self.text += [next(texts) if ok else "" for ok in fits.tolist()]
+        self.known.update(zip(new, range(base, base + n)))
+        self.starts = np.concatenate([self.starts, len(self.codes) + np.cumsum(n_links) - n_links])
+        self.codes = np.concatenate([self.codes, codes])
+        self.whole, self.sums = np.concatenate([self.whole, fits]), np.concatenate([self.sums, sums])
+
+    def group_texts(self, a, b, to_a, to_b, group_seg) -> list:
+        """The groups of each segment that has any, ``a1,a2|b1;a3|b2`` and so on."""
+        import numpy as np
+        if not len(to_a):
+            return []
+        from_a, from_b = (np.concatenate([[0], x[:-1]]) for x in (to_a, to_b))
+        place_a = np.arange(len(a)) + np.repeat(from_b, to_a - from_a)
+        place_b = np.arange(len(b)) + np.repeat(to_a, to_b - from_b)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[to_a - 1] = 1
+        last_b[to_b - 1] = 1 + (np.diff(group_seg, append=-1) != 0)
+        which = np.empty(len(a) + len(b), np.int64)
+        n_a, n_b = len(self.v.a_bytes), len(self.v.b_bytes)
+        which[place_a] = a + n_a * last_a
+        which[place_b] = 2 * n_a + b + n_b * last_b
+        return "".join(map(self.v.text.__getitem__, which.tolist())).split("\n")[:-1]
+
 
-    def forget_long(self, segments: list) -> None:
-        for s in segments:
-            if len(s) > KEPT_LENGTH:
-                self.known.pop(s, None)
+#: Before a blank that follows something else than white space; and any other blank.
+CUT, OTHER = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
-#: Before a blank that follows something else than white space.
-CUT = re.compile(r"(?<=\S)(?= )")
+def segments_of(text: str) -> list:
+    """The segments of ' ' + text without their first blanks."""
+    if text[0] == " " or text[-1] == " " or OTHER.search(text):
+        return [s[1:] for s in CUT.split(" " + text)]
+    return text.split(" ")
 
 
 class _Chunk:
@@ -151,50 +214,44 @@ class _Chunk:
 
     def __init__(self, segments: Segments, texts: list):
         import numpy as np
-        split = [CUT.split(" " + t) if t else [] for t in texts]
-        distinct = list(dict.fromkeys(s for own in split for s in own))
-        segments.learn(distinct)
-        got = [segments.known[s] for s in distinct]
-        segments.forget_long(distinct)
-        index = {s: i for i, s in enumerate(distinct)}
-        whole = [g is not None for g in got]
-        texts_of = [g[0] if g else "" for g in got]
-        split = [[index[s] for s in own] for own in split]
-        split = [own if all(map(whole.__getitem__, own)) else [] for own in split]
-        self.digests = [hashlib.sha256(";".join(map(texts_of.__getitem__, own)).encode()).hexdigest()
-                        if own else "" for own in split]
+        split = [segments_of(t) if t else [] for t in texts]
+        every = set().union(*split)
+        segments.learn(every)
         counts = np.array([len(own) for own in split], np.int64)
-        flat = np.fromiter((i for own in split for i in own), np.int64, int(counts.sum()))
-        doc = np.repeat(np.arange(len(split)), counts)
-        none = np.empty(0, np.int64)
-        codes = [g[4] if g else none for g in got]
-        per = np.array([[g[1], g[2], g[3], len(g[4])] if g else [0] * 4 for g in got],
-                       np.int64).reshape(-1, 4)
-        self.sums = np.zeros((len(split), 4), np.int64)
-        for c in range(4):
-            self.sums[:, c] = np.bincount(doc, per[flat, c], len(split)) if len(flat) else 0
-        # each (document, distinct segment) once, with its number of occurrences
-        key, times = np.unique(doc * max(1, len(distinct)) + flat, return_counts=True)
-        doc, flat = key // max(1, len(distinct)), key % max(1, len(distinct))
-        size = per[:, 3] if len(per) else none
-        starts, pool = np.cumsum(size) - size, np.concatenate([none, *codes])
-        n = size[flat] if len(flat) else none
-        at = np.arange(int(n.sum())) + np.repeat(starts[flat] - (np.cumsum(n) - n), n) if len(n) else none
+        flat = np.fromiter(map(segments.known.__getitem__, itertools.chain.from_iterable(split)),
+                           np.int64, int(counts.sum()))
+        ends, n = np.cumsum(counts), len(split)
+        doc = np.repeat(np.arange(n), counts)
+        broken = np.bincount(doc, ~segments.whole[flat], n) > 0 if len(flat) else np.zeros(n, bool)
+        get = segments.text.__getitem__
+        self.digests = [
+            "" if bad or a == b else hashlib.sha256(";".join(map(get, flat[a:b].tolist())).encode()).hexdigest()
+            for bad, a, b in zip(broken.tolist(), (ends - counts).tolist(), ends.tolist())]
+        good = ~broken[doc]
+        doc, flat = doc[good], flat[good]
+        self.sums = np.stack([np.bincount(doc, segments.sums[flat, c], n) for c in range(4)], 1).astype(np.int64)
+        # each (document, segment) once, with its number of occurrences
+        width = max(1, len(segments.text))
+        key, times = np.unique(doc * width + flat, return_counts=True)
+        doc, flat = key // width, key % width
+        size = segments.sums[flat, 3]
+        at = np.arange(int(size.sum())) + np.repeat(segments.starts[flat] - (np.cumsum(size) - size), size)
         #: all links: document, pair and number of occurrences
-        self.doc, self.code, self.times = np.repeat(doc, n), pool[at], np.repeat(times, n)
+        self.doc, self.code, self.times = np.repeat(doc, size), segments.codes[at], np.repeat(times, size)
+        for w in [w for w in every if len(w) > KEPT_LENGTH]:
+            del segments.known[w]
 
 
 def _distinct_links(chunk: _Chunk, keep) -> tuple:
     """Of the links that ``keep`` marks, each (document, pair) once, by document: documents,
     pairs and occurrences."""
     import numpy as np
-    doc, code, times = chunk.doc[keep], chunk.code[keep], chunk.times[keep]
-    order = np.lexsort((code, doc))
-    doc, code, times = doc[order], code[order], times[order]
-    first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
-    at = np.flatnonzero(first)
-    return doc[at], code[at], np.add.reduceat(times, at) if len(at) else times
+    key, times = chunk.doc[keep] << 32 | chunk.code[keep], chunk.times[keep]   # a code has 31 bits
+    order = np.argsort(key)
+    key, times = key[order], times[order]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    key = key[at]
+    return key >> 32, key & 0xFFFFFFFF, np.add.reduceat(times, at) if len(at) else times
 
 
 _SEGMENTS: dict = {}

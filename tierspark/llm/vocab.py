@@ -20,6 +20,9 @@ STOP = "\x01"
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
+#: Fixed value: the pattern by which the byte-level vocabulary splits text before merging.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
 def vocabulary(name: str, folder: str | None = None) -> str:
     """Path of a vocabulary file in ``folder``, by default that of the installed package."""
