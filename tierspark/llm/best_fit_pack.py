@@ -115,13 +115,40 @@ def best_fit_decreasing(lengths, capacity: int) -> list:
 
 class _Underfull:
     """The underfull bins of a group during the local search: for each the lengths it
-    can give back, none, one or two at a time, in flat arrays over all bins."""
+    can give back, none, one or two at a time, in flat arrays over all bins. A bin keeps
+    its place in them as long as its lengths fit there."""
 
     def __init__(self, bins: dict, lengths, capacity: int):
         self.bins, self.lengths, self.capacity = bins, lengths, capacity
         self.fill = {b: sum(lengths[i] for i in own) for b, own in bins.items()}
         self.back = {b: self.sums(b) for b in bins}
-        self.flat = None
+        self.looks, self.at = 0, None
+
+    def place(self, b: int) -> None:
+        """Write what bin b can give back into the arrays; all anew if it has no room."""
+        import numpy as np
+        if self.at is None or len(self.back[b][0]) + len(self.back[b][1]) + 1 > self.slot[b][1]:
+            at, start = [], 0
+            self.slot = {}
+            for c, (one, two) in self.back.items():
+                n = 1 + len(one) + len(two)
+                self.slot[c] = (start, n + 4)
+                at.append(np.full(n + 4, c))
+                start += n + 4
+            self.at = np.concatenate(at)
+            self.size, self.parts = np.empty(start, np.int64), np.empty(start, np.int64)
+            self.of_fill = np.zeros(int(self.at.max()) + 1, np.int64)
+            todo = list(self.back)
+        else:
+            todo = [b]
+        for c in todo:
+            (start, room), (one, two) = self.slot[c], self.back[c]
+            self.size[start:start + room], self.parts[start:start + room] = -1, 3
+            n = start + 1 + len(one)
+            self.size[start], self.parts[start] = 0, 0
+            self.size[start + 1:n], self.parts[start + 1:n] = one, 1
+            self.size[n:n + len(two)], self.parts[n:n + len(two)] = two, 2
+            self.of_fill[c] = self.fill[c]
 
     def sums(self, b: int) -> tuple:
         """Distinct lengths of bin b, and distinct sums of two of them."""
@@ -144,36 +171,25 @@ class _Underfull:
             seen.setdefault(n, i)
         raise AssertionError("no documents of that length")
 
-    def arrays(self):
-        """Bin, lengths given back and their number, fill and room, over all bins."""
-        import numpy as np
-        if self.flat is None:
-            at, size, parts = [], [], []
-            for b, (one, two) in self.back.items():
-                at.append(np.full(1 + len(one) + len(two), b))
-                size += [[0], one, two]
-                parts += [[0], np.ones(len(one), int), np.full(len(two), 2)]
-            at, size, parts = (np.concatenate(x).astype(np.int64) for x in (at, size, parts))
-            fill = np.zeros(max(self.bins) + 1, np.int64)
-            fill[list(self.fill)] = list(self.fill.values())
-            self.flat = at, size, parts, fill[at], self.capacity - fill[at]
-        return self.flat
-
     def best_step(self, s: int):
         """The step out of bin s into a bin at least as full that raises the sum of
         squared fills most: (gain, given, its parts, bin, given back, its parts)."""
         import numpy as np
-        at, size, parts, fill, room = self.arrays()
-        best = None
+        if self.at is None:
+            self.place(s)
+        self.looks += 1
+        fill, own = self.of_fill[self.at], self.fill[s]
+        use = np.flatnonzero((fill >= own) & (fill < self.capacity) & (self.at != s) & (self.parts < 3))
+        size, parts, fill, best = self.size[use], self.parts[use], fill[use], None
         for given, n in [(g, 1) for g in self.back[s][0]] + [(g, 2) for g in self.back[s][1]]:
             d = given - size
-            fits = (d > 0) & (d <= room) & (fill >= self.fill[s]) & (at != s)
+            fits = (d > 0) & (d <= self.capacity - fill)
             if n == 2:
                 fits &= parts == 1
-            gain = np.where(fits, d * (fill - self.fill[s] + d), 0)
-            k = int(gain.argmax())
-            if gain[k] and (best is None or gain[k] > best[0]):
-                best = (int(gain[k]), int(given), n, int(at[k]), int(size[k]), int(parts[k]))
+            gain = np.where(fits, d * (fill - own + d), 0)
+            k = int(gain.argmax()) if len(gain) else 0
+            if len(gain) and gain[k] and (best is None or gain[k] > best[0]):
+                best = (int(gain[k]), int(given), n, int(self.at[use[k]]), int(size[k]), int(parts[k]))
         return best
 
     def empty(self, s: int) -> bool:
@@ -192,35 +208,55 @@ class _Underfull:
             self.bins[t] += out
             self.fill[s] -= given - back
             self.fill[t] += given - back
-            self.flat = None
-            self.back[t] = self.sums(t)
+            for b in (s, t):
+                self.back[b] = self.sums(b)
+                self.place(b)
             if not self.bins[s]:
-                for x in (self.bins, self.fill, self.back):
-                    del x[s]
+                self.of_fill[s] = self.capacity     # takes no part any more
+                del self.bins[s], self.fill[s], self.back[s]
                 return True
-            self.back[s] = self.sums(s)
-            if self.fill[t] == self.capacity:
-                del self.back[t]
 
 
-def pack_lengths(lengths, capacity: int) -> list:
+def fewest_bins(lengths, capacity: int) -> int:
+    """A number of bins that no packing can do without. For each length k up to half a bin:
+    documents longer than half a bin need bins of their own, and those of k to half a bin
+    need what room the former leave, except beside documents longer than capacity - k."""
+    import numpy as np
+    count = np.bincount(np.asarray(lengths, np.int64), minlength=capacity + 1)
+    number, total = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
+    half = capacity // 2
+    k = np.arange(half + 1)
+    small = total[half] - np.where(k > 0, total[k - 1], 0)
+    alone = number[capacity] - number[capacity - k]
+    beside = number[capacity - k] - number[half]
+    room = beside * capacity - (total[capacity - k] - total[half])
+    more = -(-np.maximum(0, small - room) // capacity)
+    return int(max(-(-int(total[-1]) // capacity), (alone + beside + more).max()))
+
+
+def pack_lengths(lengths, capacity: int, effort: float = 2.0) -> list:
     """Bins (lists of positions) for lengths of at most ``capacity``: best fit decreasing,
-    then the local search over the underfull bins, the emptiest first. It ends when the
-    number of bins is the least that the total allows, or when a pass empties none."""
+    then the local search out of the underfull bins, the emptiest first. It ends when no
+    packing can have fewer bins, when no step is left, or when it has looked for a step
+    ``effort`` times for each document; all documents are packed in any case."""
     lengths = [int(n) for n in lengths]
     bins = dict(enumerate(best_fit_decreasing(lengths, capacity)))
-    least = -(-sum(lengths) // capacity)
+    least = fewest_bins(lengths, capacity)
     if len(bins) > least:
         under = _Underfull({b: own for b, own in bins.items()
                             if sum(lengths[i] for i in own) < capacity}, lengths, capacity)
-        emptied = True
-        while emptied and len(bins) > least:
-            emptied = False
+        looks, moved = effort * len(lengths), True
+        while moved and len(bins) > least and under.looks < looks:
+            moved = False
             for s in sorted(under.bins, key=lambda b: (under.fill[b], b)):
-                if len(bins) > least and s in under.back and under.empty(s):
-                    del bins[s]
-                    emptied = True
-    return [own for own in bins.values()]
+                if len(bins) > least and under.looks < looks and under.fill[s] < capacity:
+                    before = under.fill[s]
+                    if under.empty(s):
+                        del bins[s]
+                        moved = True
+                    else:
+                        moved |= under.fill[s] < before
+    return list(bins.values())
 
 
 def _pack_groups(pieces: DataFrame, groups: int, capacity: int, open_below: float) -> DataFrame:
