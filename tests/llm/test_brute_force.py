@@ -51,11 +51,61 @@ def test_repeats_of_a_whole_table(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("span,crowd", [(400, 20_000), (100, 20_000), (100, 1), (70, 3)])
-def test_repeats_of_messy_documents(spark, span, crowd):
+@pytest.mark.parametrize("span,split", [(400, 256), (100, 256), (100, 1), (70, 3)])
+def test_repeats_of_messy_documents(spark, span, split):
     rows = messy.rows()
     want = [(r[0], *w) for r, w in zip(rows, cut_by_hand([r[1] for r in rows], span))]
-    assert removed(messy.docs(spark), span=span, crowd=crowd) == sorted(want, key=key)
+    assert removed(messy.docs(spark), span=span, split=split) == sorted(want, key=key)
+
+
+def test_a_frequent_passage_below_the_span_is_dealt_out(spark):
+    rng = random.Random(6)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghij") for _ in range(n))
+
+    passage = noise(300)
+    rows = [(i, noise(500) + passage + noise(500)) for i in range(400)]
+    rows += [(1000 + i, noise(300) + rows[i][1][450:950] + noise(300)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = [(r[0], *w) for r, w in zip(rows, cut_by_hand([r[1] for r in rows], 400))]
+    assert removed(df, span=400, split=64) == sorted(want, key=key)
+    slices = []
+    for _, text in rows[:400]:
+        for lo, hi, p, h in suffix_dedup.runs(text.encode(), 400):
+            slices.append((h, 0, -1, 0, 0, p - lo, True, text.encode()[lo:hi + 400]))
+    per_anchor = collections.Counter(s[0] for s in slices)
+    hot = [s for s in slices if per_anchor[s[0]] > 64]
+    assert hot and max(per_anchor.values()) >= 390
+    parts = list(suffix_dedup._parts(400)(iter([suffix_dedup._to_batch(hot, suffix_dedup.SLICE)])))
+    met = collections.Counter(zip(*(sum((b.column(c).to_pylist() for b in parts), [])
+                                    for c in ("h", "part", "from_a"))))
+    assert max(met.values()) <= 2
+
+
+def test_stretches_with_one_digest_are_compared_on_bytes(spark):
+    text = "".join(random.Random(9).choice("abcdef") for _ in range(3000))
+    rows = [(1, text), (2, "front " + text), (3, text[:1500] + "#" + text[1501:])]
+    texts = suffix_dedup._texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    th = {r["d"]: r["th"] for r in texts.collect()}
+    fields = "d long, th long, lo long, hi long, off long, h long, u long, v long, n long, kinds long"
+
+    def found(second, by):
+        return spark.createDataFrame(
+            [(d, th[d], lo + by * (d != 1), lo + 99 + by * (d != 1), 5, 7, lo, lo, 2, 1)
+             for lo in range(0, 2000, 100) for d in (1, second)], fields)
+
+    assert suffix_dedup.compare_stretches(texts, found(2, 6), 400).collect() == []
+    odd = suffix_dedup.compare_stretches(texts, found(3, 0), 400).collect()
+    assert [r["common"] for r in odd] == [1500]
+
+
+def test_spans_and_text_of_op4(spark):
+    for r in suffix_dedup.op4_suffix(spark, SF_SMALL).where("n_removed > 0").collect():
+        spans = [tuple(map(int, x.split(":"))) for x in r["spans"].split(",")]
+        assert len(spans) == r["n_spans"] and sum(b - a for a, b in spans) == r["n_removed"]
+        if "\ufffd" not in r["text"]:
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
 
 
 def test_no_documents(spark):

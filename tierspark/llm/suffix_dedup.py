@@ -6,16 +6,19 @@ equal offsets, so only suffixes filed under the same anchor need to be compared,
 neighbouring strings share an anchor, so a text is a list of runs of about a hundred
 string starts each.
 
-1. Runs are counted by (anchor, digest of the run's bytes). An anchor that occurs once
-   settles its run (nothing repeats); a digest that occurs twice settles its run (every
-   string in it repeats).
+1. Runs are counted by (anchor, 128-bit digest of the run's bytes). An anchor that occurs
+   once settles its run (nothing repeats). A digest that occurs twice says that every
+   string in the run repeats; two of its places are then compared on bytes, in stretches
+   of neighbouring runs, by the same sort (:func:`compare_stretches`).
 2. What is left are the ends of repeated passages. Per anchor, one copy of each different
    run goes to a bucket. Deep-shallow sorting (multikey quicksort, then blind tries)
    orders the suffixes that start at the anchor, and the reversed prefixes that end
    there; the common prefixes of the two orders say which strings any two runs share.
-3. A bucket is sorted by one task, in memory for ``crowd`` runs of at most 736 bytes and
-   in time proportional to their number. Of a bucket with more different runs the strings
-   are counted by digest over all tasks instead, which is exact as well.
+3. A bucket is sorted by one task, in time proportional to its number of runs. A bucket
+   of more than ``split`` different runs is dealt out: a string that starts a bytes before
+   the anchor, for a in a range of ``WIDTH`` offsets, holds at least the bytes that all
+   strings of the range hold, so only runs that agree on those meet in a part, one part
+   for each range. Runs that share less than ``span - WIDTH`` bytes never meet.
 4. The settled string starts become byte ranges per document, which are cut out.
 
 Texts that take no part in a step are kept away from its shuffle by a bit table of fixed
@@ -34,7 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, id_of, materialize, order_id, partitions, whole_text
@@ -124,7 +127,7 @@ def _runs(span: int, placed: bool):
         from collections import Counter
 
         import xxhash
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_intdigest
         for b in batches:
             count: Counter = Counter()
             rows: list[tuple] = []
@@ -133,29 +136,32 @@ def _runs(span: int, placed: bool):
                 text = t.as_buffer().to_pybytes()
                 own = next(ids) if placed else None
                 for lo, hi, p, h in runs(text, span):
-                    u = _signed(digest(text[lo:hi + span], p - lo))
+                    both = digest(text[lo:hi + span], p - lo)
+                    u, v = _signed(both >> 64), _signed(both & 2**64 - 1)
                     if placed:
-                        rows.append((*own, lo, hi, p - lo, h, u))
+                        rows.append((*own, lo, hi, p - lo, h, u, v))
                     else:
-                        count[h, u] += 1
+                        count[h, u, v] += 1
                 if len(rows) + len(count) > AT_ONCE:
                     yield _to_batch(rows, RUN) if placed else _to_batch(
-                        [(h, u, n) for (h, u), n in count.items()], COUNT)
+                        [(*k, n) for k, n in count.items()], COUNT)
                     rows, count = [], Counter()
             if placed:
                 yield _to_batch(rows, RUN)
             else:
-                yield _to_batch([(h, u, n) for (h, u), n in count.items()], COUNT)
+                yield _to_batch([(*k, n) for k, n in count.items()], COUNT)
     return run
 
 
-COUNT = {"h": pa.int64(), "u": pa.int64(), "n": pa.int64()}
+COUNT = {"h": pa.int64(), "u": pa.int64(), "v": pa.int64(), "n": pa.int64()}
 RUN = {"d": pa.int64(), "th": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "off": pa.int64(),
-       "h": pa.int64(), "u": pa.int64()}
-SLICE = {"h": pa.int64(), "u": pa.int64(), "off": pa.int64(), "once": pa.bool_(),
-         "content": pa.binary()}
-RANGE = {"h": pa.int64(), "u": pa.int64(), "first": pa.int64(), "last": pa.int64()}
-WINDOW = {"h": pa.int64(), "u": pa.int64(), "a": pa.int64(), "g": pa.binary(), "once": pa.bool_()}
+       "h": pa.int64(), "u": pa.int64(), "v": pa.int64()}
+SLICE = {"h": pa.int64(), "part": pa.int64(), "from_a": pa.int64(), "u": pa.int64(), "v": pa.int64(),
+         "off": pa.int64(), "once": pa.bool_(), "content": pa.binary()}
+RANGE = {"h": pa.int64(), "u": pa.int64(), "v": pa.int64(), "first": pa.int64(), "last": pa.int64()}
+ODD = {"id": pa.int64(), "common": pa.int64()}
+#: Offsets of a range of a bucket that is dealt out.
+WIDTH = 48
 
 
 def _to_batch(rows, kinds) -> pa.RecordBatch:
@@ -165,7 +171,7 @@ def _to_batch(rows, kinds) -> pa.RecordBatch:
 
 
 def _schema(kinds) -> str:
-    names = {pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean"}
+    names = {pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean", pa.string(): "string"}
     return ", ".join(f"{n} {names[k]}" for n, k in kinds.items())
 
 
@@ -269,15 +275,16 @@ def _by_classes(left, right, span: int, widest: int) -> list[list[tuple[int, int
 
 
 def _sort_buckets(span: int):
-    """Rows sorted by h -> ranges of string starts, relative to the run, that repeat."""
+    """Rows sorted by (h, part, from_a) -> ranges of string starts, relative to the run,
+    that repeat. A part (``from_a`` not negative) answers for its own offsets only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for b in batches:
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[0] != key:
+                if row[:3] != key:
                     out += _of_bucket(group, span)
-                    key, group = row[0], []
+                    key, group = row[:3], []
                 group.append(row)
             yield _to_batch(out, RANGE)
         yield _to_batch(_of_bucket(group, span), RANGE)
@@ -287,37 +294,78 @@ def _sort_buckets(span: int):
 def _of_bucket(group, span: int) -> list[tuple]:
     if len(group) < 2:
         return []
-    found = shared_strings([(g[2], g[4]) for g in group], span)
-    return [(h, u, off - b, off - a) for (h, u, off, once, _), ranges in zip(group, found) if once
-            for a, b in ranges]
+    low = group[0][2]
+    high = low + WIDTH - 1 if low >= 0 else span
+    found = shared_strings([(g[5], g[7]) for g in group], span)
+    return [(h, u, v, off - min(b, high), off - max(a, low)) for (h, _, _, u, v, off, once, _), ranges
+            in zip(group, found) if once for a, b in ranges if max(a, low) <= min(b, high)]
 
 
-def _strings(span: int):
-    """Every string of crowded buckets: digest, and offset from the anchor."""
+def _parts(span: int):
+    """Slices of a bucket that is dealt out -> a row for each range of offsets that the
+    slice has strings of, with the hash of the bytes that all those strings hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         for b in batches:
             rows: list[tuple] = []
-            for h, u, off, once, c in zip(*(c.to_pylist() for c in b.columns)):
-                rows += [(h, u, off - i, xxhash.xxh3_128_digest(c[i:i + span]), once)
-                         for i in range(len(c) - span + 1)]
-                if len(rows) > AT_ONCE:
-                    yield _to_batch(rows, WINDOW)
+            for h, _, _, u, v, off, once, c in zip(*(c.to_pylist() for c in b.columns)):
+                for low in range(0, off + 1, WIDTH):
+                    # strings start at off - a; the last one of the content at len(c) - span
+                    least, most = max(low, off - (len(c) - span)), min(low + WIDTH - 1, off)
+                    if least <= most:
+                        common = c[off - low:off + span - (low + WIDTH - 1)]
+                        rows.append((h, _signed(xxhash.xxh3_64_intdigest(common)), low, u, v, off, once, c))
+                if len(rows) > AT_ONCE // 8:
+                    yield _to_batch(rows, SLICE)
                     rows = []
-            yield _to_batch(rows, WINDOW)
+            yield _to_batch(rows, SLICE)
     return run
 
 
-def _crowded(slices: DataFrame, span: int) -> DataFrame:
-    """(h, u, first, last) of the strings of crowded buckets that two runs hold."""
-    rows = materialize(slices.mapInArrow(_strings(span), _schema(WINDOW)), "crowded-strings")
-    twice = rows.groupBy("h", "a", "g").count().where("count > 1").select("h", "a", "g")
-    hit = rows.where("once").join(twice, ["h", "a", "g"], "left_semi")
-    off = slices.select("h", "u", "off")
-    at = hit.groupBy("h", "u").agg(F.collect_set("a").alias("a")).join(off, ["h", "u"])
-    at = at.select("h", "u", F.explode("a").alias("a"), "off")
-    return at.select("h", "u", (F.col("off") - F.col("a")).alias("first"),
-                     (F.col("off") - F.col("a")).alias("last"))
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, side, content) sorted by id -> the stretches whose two sides differ."""
+    held = None
+    for b in batches:
+        odd = []
+        for id_, _, content in zip(*(c.to_pylist() for c in b.columns)):
+            if held is None or held[0] != id_:
+                held = (id_, content)
+                continue
+            _, common = deep_shallow([held[1], content])
+            if not len(content) == len(held[1]) == common[1]:
+                odd.append((id_, common[1]))
+            held = None
+        yield _to_batch(odd, ODD)
+
+
+def compare_stretches(texts: DataFrame, found: DataFrame, span: int) -> DataFrame:
+    """(id, common) of repeated stretches whose bytes differ after all; none is expected.
+
+    Of each digest that occurs twice the first and the last place are compared.
+    Neighbouring runs of one document whose other places are neighbours too form one
+    stretch, so a text is moved about once, however many runs it has."""
+    place = F.struct("d", "th", "lo", "hi")
+    ends = found.where("n > 1").groupBy("h", "u", "v").agg(F.min(place).alias("p"), F.max(place).alias("q"))
+    ends = ends.where("p <> q").select("p.*", F.col("q.d").alias("d2"), F.col("q.th").alias("th2"),
+                                       (F.col("q.lo") - F.col("p.lo")).alias("by"))
+    pair = ["d", "th", "d2", "th2", "by"]
+    w = Window.partitionBy(*pair).orderBy("lo")
+    begins = F.coalesce(F.lag("hi").over(w) + 1 != F.col("lo"), F.lit(True)).cast("int")
+    islands = ends.withColumn("begins", begins).withColumn("island", F.sum("begins").over(w))
+    stretches = materialize(islands.groupBy(*pair, "island").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn(
+        "id", F.monotonically_increasing_id()), "stretches")
+    sides = stretches.select("id", F.lit(0).alias("side"), "d", "th", "lo", "hi").unionByName(
+        stretches.select("id", F.lit(1).alias("side"), F.col("d2").alias("d"), F.col("th2").alias("th"),
+                         (F.col("lo") + F.col("by")).alias("lo"), (F.col("hi") + F.col("by")).alias("hi")))
+    wanted = sides.groupBy("d", "th").agg(F.collect_list(F.struct("id", "side", "lo", "hi")).alias("want"))
+    near = _maybe(texts, _bit_table(sides), True).dropDuplicates(["d", "th"])
+    rows = near.join(wanted, ["d", "th"]).select(F.col("t").cast("binary").alias("t"),
+                                                 F.explode("want").alias("w"))
+    rows = rows.select("w.id", "w.side", F.expr(
+        f"substring(t, cast(w.lo as int) + 1, cast(w.hi - w.lo as int) + {span})").alias("content"))
+    rows = rows.repartition(partitions(texts.sparkSession), "id").sortWithinPartitions("id", "side")
+    return rows.mapInArrow(_compare, _schema(ODD))
 
 
 # ---- the operator --------------------------------------------------------------------
@@ -328,41 +376,46 @@ def _texts(docs: DataFrame) -> DataFrame:
     return t.select("d", F.xxhash64("t").alias("th"), "t")
 
 
-def repeated_ranges(docs: DataFrame, span: int = 400, crowd: int = 20_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, span: int = 400, split: int = 256) -> DataFrame:
     """(d, th, cuts): per document the byte ranges to cut, not yet merged."""
-    texts = _texts(docs)
+    texts, run = _texts(docs), ["h", "u", "v"]
     counted = texts.select("t").mapInArrow(_runs(span, False), _schema(COUNT))
-    counted = counted.groupBy("h", "u").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy(*run).agg(F.sum("n").alias("n"))
     counted = materialize(counted, "run-counts")
     anchors = counted.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
     marks = counted.join(anchors.where("all > 1").drop("all"), "h")
     marks = materialize(marks, "run-marks")
     placed = texts.mapInArrow(_runs(span, True), _schema(RUN))
-    found = materialize(placed.join(marks, ["h", "u"]), "repeated-runs")
+    found = materialize(placed.join(marks, run), "repeated-runs")
+    odd = compare_stretches(texts, found, span).take(1)
+    if odd:
+        raise RuntimeError(f"two different runs have one 128-bit digest: {odd[0]}")
 
     place = F.struct("d", "th", "lo", "hi", "off")
-    one_each = found.where("kinds > 1").groupBy("h", "u").agg(
+    one_each = found.where("kinds > 1").groupBy(*run).agg(
         F.min(place).alias("p"), F.first("n").alias("n"), F.first("kinds").alias("kinds"))
-    one_each = materialize(one_each.select("h", "u", "n", "kinds", "p.*"), "edge-runs")
+    one_each = materialize(one_each.select(*run, "n", "kinds", "p.*"), "edge-runs")
     wanted = one_each.groupBy("d", "th").agg(F.collect_list(F.struct(
-        "h", "u", "lo", "hi", "off", "n", "kinds")).alias("want"))
+        *run, "lo", "hi", "off", "n", "kinds")).alias("want"))
     near = _maybe(texts, _bit_table(one_each), True).dropDuplicates(["d", "th"])
     slices = near.join(wanted, ["d", "th"]).select(F.col("t").cast("binary").alias("t"),
                                                   F.explode("want").alias("w"))
-    slices = slices.select("w.h", "w.u", "w.off", (F.col("w.n") == 1).alias("once"), "w.kinds",
+    slices = slices.select("w.h", F.lit(0).cast("long").alias("part"), F.lit(-1).cast("long").alias("from_a"),
+                           "w.u", "w.v", "w.off", (F.col("w.n") == 1).alias("once"),
                            F.expr(f"substring(t, cast(w.lo as int) + 1, "
-                                  f"cast(w.hi - w.lo as int) + {span})").alias("content"))
+                                  f"cast(w.hi - w.lo as int) + {span})").alias("content"), "w.kinds")
     slices = materialize(slices, "edge-slices")
-    few = slices.where(F.col("kinds") <= crowd).drop("kinds")
-    few = few.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h")
-    edges = few.mapInArrow(_sort_buckets(span), _schema(RANGE))
-    edges = edges.unionByName(_crowded(slices.where(F.col("kinds") > crowd).drop("kinds"), span))
+    few, many = (slices.where(c).drop("kinds") for c in (F.col("kinds") <= split, F.col("kinds") > split))
+    dealt = few.unionByName(many.mapInArrow(_parts(span), _schema(SLICE)))
+    dealt = dealt.repartition(partitions(docs.sparkSession), "h", "part", "from_a").sortWithinPartitions(
+        "h", "part", "from_a")
+    edges = dealt.mapInArrow(_sort_buckets(span), _schema(RANGE))
 
     settled = found.where("n > 1").select("d", "th", F.col("lo").alias("first"),
                                           F.col("hi").alias("last"))
-    rest = found.where("n = 1 and kinds > 1").select("d", "th", "lo", "h", "u").join(
-        edges, ["h", "u"]).select("d", "th", (F.col("lo") + F.col("first")).alias("first"),
-                                  (F.col("lo") + F.col("last")).alias("last"))
+    rest = found.where("n = 1 and kinds > 1").select("d", "th", "lo", *run).join(
+        edges, run).select("d", "th", (F.col("lo") + F.col("first")).alias("first"),
+                           (F.col("lo") + F.col("last")).alias("last"))
     cut = F.struct(F.col("first").alias("a"), (F.col("last") + span).alias("b"))
     return settled.unionByName(rest).groupBy("d", "th").agg(F.collect_list(cut).alias("cuts"))
 
@@ -385,21 +438,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = hi
             kept.append(text[at:])
             rows.append((d, len(text), sum(hi - lo for lo, hi in merged), len(merged),
-                         b"".join(kept)))
+                         ",".join(f"{lo}:{hi}" for lo, hi in merged), b"".join(kept)))
         yield _to_batch(rows, RESULT)
 
 
 RESULT = {"d": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(),
-          "kept": pa.binary()}
+          "spans": pa.string(), "kept": pa.binary()}
 
 
-def remove_repeats(docs: DataFrame, span: int = 400, crowd: int = 20_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), one row per row of ``docs``."""
-    cuts = materialize(repeated_ranges(docs, span, crowd), "cuts")
+def remove_repeats(docs: DataFrame, span: int = 400, split: int = 256) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, spans (``from:to`` in bytes, end exclusive,
+    comma-joined), kept (bytes), one row per row of ``docs``."""
+    cuts = materialize(repeated_ranges(docs, span, split), "cuts")
     held, texts = _bit_table(cuts.select("d", "th")), _texts(docs)
     zero = F.lit(0).cast("long")
     whole = (F.octet_length("t").cast("long").alias("n_bytes"), zero.alias("n_removed"),
-             zero.alias("n_spans"), F.col("t").cast("binary").alias("kept"))
+             zero.alias("n_spans"), F.lit("").alias("spans"), F.col("t").cast("binary").alias("kept"))
     away = _maybe(texts, held, False).select("d", *whole)
     near = _maybe(texts, held, True).join(cuts.hint("shuffle_hash"), ["d", "th"], "left")
     near = near.select("d", "t", F.coalesce("cuts", F.array()).alias("cuts"))
@@ -408,6 +462,10 @@ def remove_repeats(docs: DataFrame, span: int = 400, crowd: int = 20_000) -> Dat
 
 
 def op4_suffix(spark, sf_dir):
+    """Whole ``documents`` without bytes of repeated 400-byte strings: the digests, the
+    spans removed, and the text that is left (a letter cut in two shows as U+FFFD; the hash
+    is of the bytes). Nulls, ties, repeated rows, empty and long texts: see the head."""
     r = remove_repeats(documents(spark, sf_dir), span=400)
     return r.select("doc_id", "n_bytes", "n_removed", "n_spans",
-                    F.sha2("kept", 256).alias("kept_sha256"))
+                    F.sha2("kept", 256).alias("kept_sha256"), "spans",
+                    F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
