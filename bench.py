@@ -64,15 +64,14 @@ def main():
     def q_points():
         state["points"] = materialize(state["features"].select("path", *NORM_FEATURES),
                                       "bench-points", persist=True)
-        state["n"] = km.check_points(state["points"], NORM_FEATURES)
+        state["n"], state["units"] = km.column_units(state["points"], NORM_FEATURES)
 
     def q_init():
         state["seeds"] = km.kmeanspp_seeds(state["points"], NORM_FEATURES, "path", K, SEED)
 
     def q_lloyd_step():
-        lab = km.assign(state["points"], NORM_FEATURES, [s[1] for s in state["seeds"]])
-        state["step"] = km.update(lab, NORM_FEATURES, K)
-        state["labeled"] = lab
+        state["step"] = km.lloyd_step(state["points"], NORM_FEATURES,
+                                      [s[1] for s in state["seeds"]], state["units"])
 
     def q_fit():
         state["fit"] = km.kmeans(state["points"], NORM_FEATURES, "path", K, seed=SEED,

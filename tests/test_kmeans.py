@@ -167,6 +167,19 @@ def test_means_at_any_scale_are_exact_to_a_double(spark, scale):
         assert abs(means[0][c] - exact) <= 2.0 ** -52 * abs(exact) + max(2.0 ** -60 * top, 5e-324)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e9, 1e-305])
+def test_the_step_in_one_pass_equals_assignment_and_update(spark, scale):
+    rng = np.random.default_rng(12)
+    rows = [(float(a) * scale, round(float(b)) * scale) for a, b in rng.normal(0, 3, (900, 2))]
+    df = pts(spark, rows + rows[:40])                                 # repeated points, ties
+    centers = [[0.0, 0.0], [scale, scale], [scale, -scale], [0.0, 0.0], [500 * scale, 500 * scale]]
+    units = km.column_units(df, COLS)[1]
+    want = km.update(km.assign(df, COLS, centers), COLS, 5, units=units)
+    for n in (1, 7, 60):
+        assert km.lloyd_step(df.repartition(n), COLS, centers, units) == want
+    assert want[0][3] is None and want[0][4] is None                  # a tie's higher index; too far
+
+
 def test_raw_fit_is_the_same_for_every_partitioning(spark):
     rng = np.random.default_rng(9)
     rows = [(float(a) * 1e9, float(b)) for a, b in zip(rng.uniform(-1, 1, 700), rng.exponential(40, 700))]

@@ -1,11 +1,11 @@
 """k-means++ seeding and Lloyd iterations as DataFrame jobs.
 
 * Points are rows with ``d`` double columns and a unique id column.
-* Centres are at most ``k x d`` numbers kept on the driver and put into each
-  plan as literals: the assignment is a projection (no points x centres join),
-  the update is one partial aggregate grouped by cluster (``k`` rows per task
-  before the final merge), and only ``k x d`` numbers come back per iteration.
-  Plans therefore stay the same size across iterations.
+* Centres are at most ``k x d`` numbers kept on the driver: no points x centres join.
+  An iteration (:func:`lloyd_step`) is one pass over Arrow batches, which labels points
+  and sums them per cluster (``k`` rows per task before the final merge), and only
+  ``k x d`` numbers come back. Labels are a projection with the centres as literals
+  (:func:`assign`). Plans therefore stay the same size across iterations.
 * Means are sums of whole multiples of a unit, 62 bits below the largest magnitude
   of their column, kept in three longs: whatever the scale of a column, they do not
   depend on the order of addition, so any partitioning gives the same labels,
@@ -194,6 +194,76 @@ def update(labeled: DataFrame, cols: Sequence[str], k: int, cluster_col: str = "
     return means, counts
 
 
+def _mean_of(parts: Sequence[int], n: int, unit: int) -> float:
+    """A mean from the three sums of a column's units, as the SQL of the update has it."""
+    high, mid, low = map(float, parts)
+    mean = (high * 2.0 ** (2 * PART_BITS) + mid * 2.0 ** PART_BITS + low) / n
+    for e in ([unit] if abs(unit) <= 1000 else [unit // 2, unit - unit // 2]):
+        mean *= math.ldexp(1.0, e)
+    return mean
+
+
+def lloyd_step(points: DataFrame, cols: Sequence[str], centers: Sequence[Sequence[float]],
+               units: Sequence[int]):
+    """Assignment and update in one pass: ``(means: list|None per j, counts)``, the same
+    bit by bit as :func:`update` of :func:`assign`.
+
+    Each task takes its points in Arrow batches, a column at a time: squared distances are
+    added in the order of the columns, and the units of each cluster summed, so it sends at
+    most ``k`` rows. Coordinates must be complete."""
+    k, d = len(centers), len(cols)
+    at = [list(map(float, c)) for c in centers]
+    names = ["cluster", "n"] + [f"part_{i}_{p}" for i in range(d) for p in range(3)]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        total = np.zeros((k, 1 + 3 * d), np.int64)
+        mask = 2 ** PART_BITS - 1
+        for batch in batches:
+            x = [batch.column(i).to_numpy() for i in range(d)]
+            nearest, label = None, np.zeros(batch.num_rows, np.int64)
+            with np.errstate(over="ignore"):
+                for j in range(k):
+                    dist = np.square(x[0] - at[j][0])
+                    for i in range(1, d):
+                        dist += np.square(x[i] - at[j][i])
+                    if nearest is None:
+                        nearest = dist
+                    else:
+                        closer = dist < nearest
+                        label[closer] = j
+                        nearest = np.minimum(nearest, dist)
+            count = np.bincount(label, minlength=k)
+            total[:, 0] += count
+            order, filled = np.argsort(label, kind="stable"), np.flatnonzero(count)
+            firsts = (np.cumsum(count) - count)[filled]
+            if not len(filled):
+                continue
+            for i in range(d):
+                u = x[i][order]
+                for e in ([-units[i]] if abs(units[i]) <= 1000
+                          else [-units[i] // 2, -units[i] - -units[i] // 2]):
+                    u = u * math.ldexp(1.0, e)
+                u = np.floor(u).astype(np.int64)
+                for p, part in enumerate((u >> 2 * PART_BITS, u >> PART_BITS & mask, u & mask)):
+                    total[filled, 1 + 3 * i + p] += np.add.reduceat(part, firsts)
+        some = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype("int32"))] + [pa.array(c) for c in total[some].T.copy()], names)
+
+    schema = "cluster int, " + ", ".join(f"{n} long" for n in names[1:])
+    x = points.select(*[F.col(qcol(c)).cast("double").alias(c) for c in cols])
+    sums = x.mapInArrow(run, schema).groupBy("cluster").agg(
+        *[F.sum(n).alias(n) for n in names[1:]]).collect()
+    means, counts = [None] * k, [0] * k
+    for r in sums:
+        j, n = r["cluster"], r["n"]
+        counts[j] = n
+        means[j] = [_mean_of([r[f"part_{i}_{p}"] for p in range(3)], n, units[i]) for i in range(d)]
+    return means, counts
+
+
 def frobenius_shift(a: Sequence[Sequence[float]], b: Sequence[Sequence[float]]) -> float:
     return math.sqrt(sum((x - y) ** 2 for ra, rb in zip(a, b) for x, y in zip(ra, rb)))
 
@@ -259,8 +329,7 @@ def kmeans(points: DataFrame, cols: Sequence[str], id_col: str, k: int,
         shifts, counts, prev, it = [], [0] * k, centers, 0
     while it < max_iter and not (shifts and shifts[-1] < tol):
         it += 1
-        labeled = assign(points, cols, centers, cluster_col)
-        new, counts = update(labeled, cols, k, cluster_col, units)
+        new, counts = lloyd_step(points, cols, centers, units)
         empty = [j for j in range(k) if new[j] is None]
         if empty:
             keys = [uniform01(seed, f"empty:{it}:{j}", id_col) for j in empty]
