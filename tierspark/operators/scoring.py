@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tierspark.functions.vectors import dlit, qcol
 from tierspark.operators.median import exact_medians
 from tierspark.schemas import DEFAULT_RULES, Rules
+from tierspark.session import release
 
 
 def square(x: Column) -> Column:
@@ -83,7 +84,9 @@ def cluster_medians(labeled: DataFrame, cols: Sequence[str], k: int,
 
 def global_medians(points: DataFrame, cols: Sequence[str], **kw) -> dict:
     """Exact median of every feature over all points (data-derived rule medians)."""
-    row = exact_medians(points, [], cols, **kw).collect()[0]
+    medians = exact_medians(points, [], cols, **kw)
+    row = medians.collect()[0]
+    release(medians)
     return {c: row[c] for c in cols}
 
 

@@ -19,7 +19,7 @@ from tierspark.operators import kmeans as km
 from tierspark.operators.scoring import (category_scores, classify, cluster_medians,
                                          global_medians)
 from tierspark.schemas import DEFAULT_RULES, NORM_FEATURES, Rules
-from tierspark.session import materialize, release
+from tierspark.session import materialize, release, scratch_scope
 
 
 def centroid_table(spark: SparkSession, centroids, categories: dict, cols=NORM_FEATURES
@@ -88,7 +88,9 @@ def classify_files(features: DataFrame, k: int = 4, rules: Rules = DEFAULT_RULES
                           rules.directions, rules.replication_factors, rules.categories,
                           rules.moderate, rules.moderate_band)
         spark = features.sparkSession
-        meds = cluster_medians(res.labeled, cols, k)
+        with scratch_scope(spark):  # k rows: kept here, so that their tables can go
+            meds = cluster_medians(res.labeled, cols, k)
+            meds = spark.createDataFrame(meds.collect(), meds.schema)
         scores = category_scores(meds, rules)
         # k rows: resolved now, while the points are still persisted
         cat_rows = {r["cluster"]: r["category"] for r in classify(meds, rules).collect()}
