@@ -86,7 +86,8 @@ def test_exact_dedup_of_nothing(spark):
 def test_secrets_of_messy_documents(spark):
     d = messy.unique_docs(spark)
     r = secret_scan.scan(d).select("doc_id", "n_assign", "n_access", "n_hex",
-                                   sha("base").alias("base_sha256"), "spans")
+                                   sha("base").alias("base_sha256"), "spans", "n_live",
+                                   "n_example", "ownership")
     messy.matches_sql(r, messy.duck(d), secret_scan.SQL)
 
 
