@@ -37,6 +37,45 @@ def test_files_with_other_header_orders_are_read_by_name(spark, tmp_out):
     assert rows["/b"]["category"] == "hot" and rows["/a"]["category"] is None
 
 
+def test_headers_of_split_empty_and_many_files(spark, tmp_out):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        for i in range(40):
+            cols = ["path", "creation_ts", "primary_node"]
+            cols = cols[i % 3:] + cols[:i % 3]
+            rows = "".join(",".join(f"{c[0]}{i}-{j}" for c in cols) + "\n" for j in range(9))
+            _write_text(f"{tmp_out}/m/part-{i:02}.csv", ",".join(cols) + "\n" + rows)
+        _write_text(f"{tmp_out}/m/part-99.csv", "")
+        m = files.read_manifest(spark, f"{tmp_out}/m").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["path"], r["creation_ts"], r["primary_node"]) for r in m) == sorted(
+        (f"p{i}-{j}", f"c{i}-{j}", f"p{i}-{j}") for i in range(40) for j in range(9))
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_export_order_does_not_depend_on_the_splits(spark, tmp_out, fmt):
+    cols = "ts_iso string, path string, op string, client_node string, pid string"
+    for part in range(2):  # two files, in name order
+        rows = [(f"2025-01-01T00:00:0{i % 3}.000Z", f"/p{9 - i % 7}", "READ", "dn1",
+                 f"{part}-{i:04}") for i in range(2000)]
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").option(
+            "parquet.block.size", 4096).format(fmt).save(f"{tmp_out}/{part}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = []
+    try:
+        for size in ("128m", "2k", "5000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = spark.read.schema(cols).format(fmt).load([f"{tmp_out}/0", f"{tmp_out}/1"])
+            got.append([r["pid"] for r in files.export_log(read.where("op = 'READ'")).collect()])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [f"{part}-{i:04}" for k in range(3) for part in range(2)
+            for i in range(2000) if i % 3 == k]
+    assert got == [want] * 3
+
+
 def test_feature_table_with_missing_columns_is_refused(spark, tmp_out):
     _write_text(f"{tmp_out}/f/part-0.csv", "path,access_freq\n/a,1\n")
     with pytest.raises(ValueError, match="lacks"):

@@ -20,7 +20,7 @@ from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tierspark.functions.vectors import dlit, qcol
+from tierspark.functions.vectors import qcol
 from tierspark.operators.median import exact_medians
 from tierspark.schemas import DEFAULT_RULES, Rules
 from tierspark.session import release
@@ -31,44 +31,22 @@ def square(x: Column) -> Column:
     return x * x
 
 
-def score_sql(rules: Rules, category: str, median_col: Mapping[str, str] | None = None) -> str:
-    """The score of ``category`` as one SQL expression (f(x) = x^2), terms
-    summed left to right in feature order."""
-    median_col = median_col or {p: p for p in rules.features}
-    terms = []
-    for p in rules.features:
-        d = f"({qcol(median_col[p])} - {dlit(rules.global_medians[p])})"
-        w = dlit(rules.weights[category][p])
-        direction = rules.directions[category][p]
-        if category == rules.moderate:
-            near = f"(1.0D - abs({d}))"
-            t = f"CASE WHEN abs({d}) < {dlit(rules.moderate_band)} THEN {w} * ({near} * {near}) END"
-        elif direction == 0:
-            t = f"{w} * (abs({d}) * abs({d}))"
-        else:
-            t = (f"CASE WHEN signum({d}) = {dlit(direction)} "
-                 f"THEN {w} * (abs({d}) * abs({d})) END")
-        terms.append(f"coalesce({t}, 0.0D)")
-    return " + ".join(terms)
-
-
 def score_expr(rules: Rules, category: str, median_col: Mapping[str, str] | None = None,
                f: Callable[[Column], Column] = square) -> Column:
-    if f is square:
-        return F.expr(score_sql(rules, category, median_col))
-    median_col = median_col or {p: p for p in rules.features}
+    """The score of ``category``, terms summed left to right in feature order."""
     total = None
     for p in rules.features:
-        delta = F.col(median_col[p]) - F.lit(float(rules.global_medians[p]))
-        w = F.lit(float(rules.weights[category][p]))
+        median = F.col(f"`{median_col[p]}`" if median_col else f"`{p}`")
+        delta = median - F.lit(float(rules.global_medians[p]))
+        weight = F.lit(float(rules.weights[category][p]))
         direction = rules.directions[category][p]
         if category == rules.moderate:
             term = F.when(F.abs(delta) < F.lit(float(rules.moderate_band)),
-                          w * f(F.lit(1.0) - F.abs(delta)))
+                          weight * f(F.lit(1.0) - F.abs(delta)))
         elif direction == 0:
-            term = w * f(F.abs(delta))
+            term = weight * f(F.abs(delta))
         else:
-            term = F.when(F.signum(delta) == F.lit(float(direction)), w * f(F.abs(delta)))
+            term = F.when(F.signum(delta) == F.lit(float(direction)), weight * f(F.abs(delta)))
         term = F.coalesce(term, F.lit(0.0))
         total = term if total is None else total + term
     return total

@@ -10,7 +10,8 @@ Readers accept a file, a directory of part files or a glob and read all parts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tierspark.functions.timefmt import parse_iso_epoch, parse_iso_whole_seconds
 from tierspark.schemas import ACCESS_LOG_TEXT, FEATURE_TABLE, MANIFEST_TEXT
@@ -36,23 +37,31 @@ def resolve_input(spark: SparkSession, path: str) -> str:
     return path
 
 
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, head): the first line of every file. Spark has no source that stops after a
+    file's first line, and a Python task that stops early still has its whole split read
+    for it, so this is a scan of the lines, one row per task and file behind it."""
+    lines = spark.read.text(resolve_input(spark, path)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("head"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("row"))
+    return lines.where("at = 0").groupBy("file").agg(F.min_by("head", "row").alias("head"))
+
+
 def _csv_by_name(spark: SparkSession, path: str) -> DataFrame:
     """All CSV files of ``path``, each bound by its own header line; columns that a file
-    lacks are NULL. Files with the same header are read together."""
-    lines = (spark.read.text(resolve_input(spark, path))
-             .select("value", F.input_file_name().alias("file"),
-                     F.col("_metadata.file_block_start").alias("at"),
-                     F.monotonically_increasing_id().alias("row")))
-    heads = (lines.where("at = 0").groupBy("file")
-             .agg(F.min_by("value", "row").alias("head")).groupBy("head")
-             .agg(F.collect_list("file").alias("files")).collect())
-    parts = [spark.read.option("header", True).option("inferSchema", False)
-             .csv(sorted(r["files"])) for r in heads]
-    if not parts:
-        return spark.read.option("header", True).csv(resolve_input(spark, path))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    lacks are NULL. Files with the same header are read together; if all have the same, no
+    file name comes to the driver."""
+    reader = spark.read.option("header", True).option("inferSchema", False)
+    heads = _first_lines(spark, path)
+    kinds = [r["head"] for r in heads.select("head").distinct().collect()]
+    if len(kinds) <= 1:
+        return reader.csv(path)
+    files = (heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files"))
+             .collect())
+    out, *others = [reader.csv(r["files"]) for r in sorted(files, key=lambda r: r["files"])]
+    for part in others:
+        out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
@@ -131,17 +140,34 @@ def write_access_log_text(df: DataFrame, path: str, mode: str = "overwrite") ->
     df.select(*cols).write.mode(mode).option("header", False).csv(path)
 
 
+def _row_place(df: DataFrame) -> list[Column]:
+    """Where a row stands in the input, for rows that tie: its file and row (Parquet), or
+    its file, split and order in the split (text). Neither depends on how Spark cuts the
+    files into tasks, nor on which attempt of a task reads them. Rows that do not come
+    from files are numbered as they arrive."""
+    row = F.monotonically_increasing_id()
+    for place in (["file_path", "row_index"], ["file_path", "file_block_start"]):
+        cols = [F.col(f"_metadata.{c}") for c in place]
+        try:
+            df.select(*cols).schema
+        except AnalysisException:
+            continue
+        return cols if "row_index" in place else [*cols, row]
+    return [row]
+
+
 def export_log(df: DataFrame, path: str | None = None, mode: str = "overwrite") -> DataFrame:
     """Access log in time order (text order of the fixed-width ISO form equals
-    time order); rows of the same timestamp keep their input order. ``orderBy``
-    range-partitions, so the sort is distributed and the part files are globally
-    ordered; the position makes the key unique, so the range bounds can split even a
-    second that holds a large share of the log. Returns the ordered DataFrame and,
-    with ``path``, writes it as headerless CSV."""
+    time order); rows of the same timestamp keep their input order (files by name).
+    ``orderBy`` range-partitions, so the sort is distributed and the part files are
+    globally ordered; the place in the input makes the key unique, so the range bounds can
+    split even a second that holds a large share of the log. Returns the ordered DataFrame
+    and, with ``path``, writes it as headerless CSV."""
     cols = [F.col(f.name).cast("string") if f.name in df.columns
             else F.lit(None).cast("string").alias(f.name) for f in ACCESS_LOG_TEXT.fields]
-    ordered = (df.select(*cols, F.monotonically_increasing_id().alias("_pos"))
-               .orderBy("ts_iso", "_pos").drop("_pos"))
+    places = {f"_place{i}": c for i, c in enumerate(_row_place(df))}
+    ordered = (df.select(*cols, *[c.alias(n) for n, c in places.items()])
+               .orderBy("ts_iso", *places).drop(*places))
     if path is not None:
         ordered.write.mode(mode).option("header", False).csv(path)
     return ordered
