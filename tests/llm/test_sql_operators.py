@@ -23,10 +23,10 @@ def sha(c):
     return F.sha2(F.col(c).cast("binary"), 256)
 
 
-@pytest.mark.parametrize("slices", [1, 64])
-def test_lines_of_messy_documents(spark, slices):
+@pytest.mark.parametrize("slices,broadcast_bytes", [(1, 0), (64, 0), (None, 1 << 20)])
+def test_lines_of_messy_documents(spark, slices, broadcast_bytes):
     d = messy.unique_docs(spark)
-    r = line_dedup.dedup_lines(d, slices=slices).select(
+    r = line_dedup.dedup_lines(d, slices=slices, broadcast_bytes=broadcast_bytes).select(
         "doc_id", "n_lines", "n_dropped", sha("kept_text").alias("kept_sha256"))
     messy.matches_sql(r, messy.duck(d), line_dedup.SQL)
 
