@@ -54,6 +54,26 @@ def test_rare_sequences_of_a_small_language_are_kept(spark):
     assert langid_kn.predict(rows, m).first()["lang_pred"] == "small"
 
 
+def test_languages_that_only_the_calibrating_tenth_holds_are_learned(spark):
+    import zlib
+    tenth = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 30 // 3 == 0]
+    most = [i for i in range(2000) if i not in set(tenth)]
+    rows = ([(i, f"the weather is fine today number {i}", "en") for i in most[:60] + tenth[:20]]
+            + [(i, f"pilvi kulkee taivaalla {i}", "fi") for i in tenth[20:23]]
+            + [(None, "zażółć gęślą jaźń", "pl")])
+    schema = "doc_id long, text string, lang string"
+    m = langid_kn.train(spark.createDataFrame(rows, schema))
+    assert m.langs == ["en", "fi", "pl"] and set(m.usual) == {"en"}
+    asked = spark.createDataFrame([(1, "kulkee pilvi", ""), (2, "gęślą jaźń", ""),
+                                   (3, "fine weather", "")], schema)
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid_kn.predict(asked, m).collect()}
+    assert {d: l for d, (l, _) in got.items()} == {1: "fi", 2: "pl", 3: "en"}
+    assert not got[1][1] and not got[2][1]
+    only = [r for r in rows if r[2] != "en"]  # nothing to calibrate with
+    m = langid_kn.train(spark.createDataFrame(only, schema))
+    assert m.langs == ["fi", "pl"] and m.usual == {}
+
+
 # ---- the pipeline's last stages -----------------------------------------------------
 
 

@@ -6,17 +6,19 @@ number of distinct letters seen before a sequence, as Kneser-Ney smoothing asks,
 orders are interpolated. Statistics and probabilities are group-bys and joins over all
 counted sequences. The resulting weights sit in sorted arrays of 64-bit hashes with a list
 of (language, weight) per sequence; an unknown sequence backs off to the next shorter one.
-A text gets the language with the lowest cross-entropy per letter. A separate tenth of the training documents calibrates, per
-language, which cross-entropies are usual; beyond that ``rejected`` is set and the score
-halved (the language is still named, as only texts without any letter are ``und``).
+A text gets the language with the lowest cross-entropy per letter. A model of nine tenths
+of the training documents tells, on the other tenth, which cross-entropies are usual for a
+language; beyond that ``rejected`` is set and the score halved (the language is still
+named, as only texts without any letter are ``und``). The model that predicts counts all.
 
 Every counted sequence takes part. The model is broadcast in blocks of about ``block_rows``
-rows by sequence; a task holds one at a time and adds up what each gives. The counts leave
-out the calibrating tenth.
+rows by sequence; a task holds one at a time and adds up what each gives.
 
 Defined cases
 * null text, or text without a letter: ``und``, score 0.
 * a null ``lang`` is not learned from; rows repeating a ``doc_id`` all count.
+* equal cross-entropies: the language that sorts first.
+* a very long text is looked up in pieces.
 * without any training row every text is ``und`` with score 0.
 * an empty table gives an empty result; extra columns are ignored.
 """
@@ -396,15 +398,29 @@ def fit(table: DataFrame, block_rows: int = BLOCK_ROWS) -> Model | None:
 
 
 def train(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Model | None:
-    """The model from documents (doc_id, text, lang); nine tenths give counts, one tenth
-    the usual cross-entropies."""
+    """The model of all documents (doc_id, text, lang). The usual cross-entropies are those
+    that a model of nine tenths gives to the other tenth, so they are of unseen texts; the
+    model itself counts both. A language that only the tenth holds has no usual value, and
+    none of its texts is rejected."""
     rows = docs.where("text is not null and lang is not null").select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
         (F.floor(crc_fold("doc_id", 30) / 3) == 0).alias("check"))
-    model = fit(materialize(counts(rows.where("not check")), "kn-counts"), block_rows)
-    if model is None:
-        return None
+    most = materialize(counts(rows.where("not check")), "kn-counts")
+    rest = counts(rows.where("check"))
+    both = most.unionByName(rest).groupBy("lang", "seq").agg(F.sum("n").alias("n"))
+    model, usual = fit(most, block_rows), {}
+    if model is not None:
+        usual = usual_entropies(rows.where("check").select("text", "lang"), model)
+        for block in model.blocks:
+            block.unpersist()
+    model = fit(materialize(both, "kn-counts"), block_rows)
+    if model is not None:
+        model.usual = usual
+    return model
 
+
+def usual_entropies(rows: DataFrame, model: Model) -> dict[str, tuple[float, float]]:
+    """Mean and deviation of the cross-entropy of each language's rightly named texts."""
     def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [(x[0], x[1]) for x, l in zip(model.best(b.column("text").to_pylist()),
@@ -413,10 +429,9 @@ def train(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Model | None:
                                               pa.array([x[1] for x in ok], pa.float64())],
                                              ["lang", "h"])
 
-    found = (rows.where("check").select("text", "lang").mapInArrow(usual, "lang string, h double")
+    found = (rows.mapInArrow(usual, "lang string, h double")
              .groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect())
-    model.usual = {r["lang"]: (r["m"], max(r["s"], 0.05)) for r in found}
-    return model
+    return {r["lang"]: (r["m"], max(r["s"], 0.05)) for r in found}
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -439,6 +454,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op7_language(spark, sf_dir):
+    """The language of all ``documents``, learned from two thirds of them."""
     docs = documents(spark, sf_dir)
     fold = crc_fold("doc_id", 3)
     p = predict(docs, train(docs.where(fold != 1)))
