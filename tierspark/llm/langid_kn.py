@@ -411,8 +411,9 @@ def train(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Model | None:
     model, usual = fit(most, block_rows), {}
     if model is not None:
         usual = usual_entropies(rows.where("check").select("text", "lang"), model)
-        for block in model.blocks:
-            block.unpersist()
+        for block in model.blocks:  # its part is done: free the driver's copy as well
+            block.destroy()
+        del model
     model = fit(materialize(both, "kn-counts"), block_rows)
     if model is not None:
         model.usual = usual
