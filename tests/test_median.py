@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tierspark.operators.median import exact_medians
 
@@ -99,3 +100,53 @@ def test_many_groups(spark):
     got = {r["g"]: r["v"] for r in exact_medians(df, ["g"], ["v"], window_rows=5).collect()}
     for g in range(30):
         assert got[g] == _np_median([v for h, v in rows if h == g])
+
+
+def _written(monkeypatch):
+    """(label, rows, rows by range) of each table that the medians write."""
+    from tierspark.operators import median
+    seen, write = [], median.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        by = sorted(n for p, n in out.groupBy("pid").count().toLocalIterator() if p is not None) \
+            if "pid" in out.columns else None
+        seen.append((label, out.count(), by))
+        return out
+
+    monkeypatch.setattr(median, "materialize", counted)
+    return seen
+
+
+def test_many_groups_above_the_window_are_settled_in_one_move(spark, monkeypatch):
+    seen = _written(monkeypatch)
+    df = spark.range(60_000).selectExpr("concat('p', id % 2000) AS g", "CAST(id * 7919 % 60000 AS DOUBLE) AS v")
+    got = {r["g"]: r["v"] for r in exact_medians(df, ["g"], ["v"], window_rows=24).collect()}
+    want = {f"p{g}": _np_median([i * 7919 % 60000 for i in range(g, 60_000, 2000)]) for g in range(2000)}
+    assert got == want
+    assert [x[0] for x in seen] == ["median-runs", "medians"]
+    assert seen[0][1] < 2000 + 60 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_one_group_of_equal_values_is_dealt_over_ranges(spark, monkeypatch):
+    seen = _written(monkeypatch)
+    df = spark.range(0, 40_000, 1, 16).selectExpr("'only' AS g", "1.5D AS v", "CAST(id AS DOUBLE) AS w")
+    assert exact_medians(df, ["g"], ["v", "w"], window_rows=100).first()[1:] == (1.5, 19_999.5)
+    label, n, by = seen[0]
+    assert (label, n) == ("median-runs", 80_000) and len(by) > 2 and max(by) < 50_000
+
+
+@pytest.mark.parametrize("window_rows", [1, 3, 50])
+def test_group_columns_of_any_type_null_and_nan(spark, window_rows):
+    kinds = ["struct(id % 3 AS a)", "array(id % 3, NULL)", "IF(id % 3 = 0, NULL, id % 3)",
+             "CASE id % 3 WHEN 0 THEN DOUBLE('NaN') WHEN 1 THEN NULL ELSE IF(id % 2 = 0, -0.0D, 0.0D) END",
+             "IF(id % 3 = 0, NULL, concat('x', id % 3))", "id % 3 = 0"]
+    base = spark.range(60)
+    for kind in kinds:
+        df = base.selectExpr(f"{kind} AS v", "CAST(id * 17 % 60 AS DOUBLE) AS feature",
+                             "IF(id % 5 = 0, NULL, CAST(id AS DOUBLE)) AS key_0").repartition(3)
+        got = exact_medians(df, ["v"], ["feature", "key_0"], window_rows=window_rows)
+        want = df.groupBy("v").agg(F.median("feature").alias("feature"),
+                                   F.median("key_0").alias("key_0"))
+        assert got.columns == ["v", "feature", "key_0"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), kind

@@ -2,57 +2,111 @@
 
 ``F.median`` / ``percentile`` buffer every distinct value of a group in one
 aggregation buffer, so one large group (a cluster can hold a third of all rows)
-would land in a single task. Instead this is a distributed selection. A (group,
-column) of at most ``window_rows`` values is ranked in a window. For a larger one a
-round takes two aggregates, combined in each task, over the values still in question:
-
-1. approximate quantiles, of which two that enclose the wanted ranks become a bracket;
-2. exact counts below, inside and above the bracket, with each part's smallest
-   and largest value. The part that holds the wanted ranks stays; two ranks in
-   neighbouring parts are the largest of one and the smallest of the other.
-
-A bracket keeps about a thirtieth of the values whatever their distribution, so
-a group of a billion values takes about four rounds; the approximation decides
-only how much is kept, never the result. Where a few values are so frequent that
-a bracket keeps everything, the next one is a single value, which settles it.
-
-The state, a row per (group, column), is a written table that the values join on
-their key; only the number of unsettled rows comes back to the driver, so there may
-be any number of groups. Spark sends the state to all tasks while its size allows
-it; beyond, both sides are dealt by key and adaptive execution splits a large
-group's values. The median of an even count is ``(a + b) / 2`` of the two middle
-values. NULL and NaN values are ignored.
+would land in a single task. Instead the values are put in order once, by (group,
+column, value), over ranges that Spark samples, and ranked where they lie:
+
+1. A (group, column) whose values all lie inside one range is settled there: the task
+   reads its sorted values as a stream and takes the middle ones.
+2. The first and the last (group, column) of a range may go on in its neighbours. Their
+   values are written with their place; as each range has at most two of them, a table
+   of at most two rows a range says how many values lie before, hence at which place
+   of which range the middle ones are.
+
+The values move once, however many groups there are and however large one is: equal
+values of a group are told apart by the input partition they come from, so that they
+too may be dealt over several ranges. A range holds about ``window_rows`` values, or
+more where that would take over ``spark.sql.shuffle.partitions`` ranges, but not over
+``AT_ONCE`` as long as ``MOST`` ranges suffice.
+
+The median of an even count is ``(a + b) / 2`` of the two middle values. NULL and NaN
+values are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from tierspark.session import materialize, release
 
-STEPS = 32
-
-
-def _settled(state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """State rows (``n, below, r0, r1``) beside the counts ``n0..n2`` and bounds ``lo0..lo2,
-    hi0..hi2`` of three neighbouring parts, reduced to the part that holds the ranks."""
-    def part(rank):
-        return f"CASE WHEN {rank} < below + n0 THEN 0 WHEN {rank} < below + n0 + n1 THEN 1 ELSE 2 END"
-
-    def of(name, k):
-        return f"CASE {k} WHEN 0 THEN {name}0 WHEN 1 THEN {name}1 ELSE {name}2 END"
-
-    t = state.selectExpr("*", f"{part('r0')} AS k0", f"{part('r1')} AS k1")
-    t = t.selectExpr("*", f"{of('lo', 'k0')} AS lo_", f"{of('hi', 'k0')} AS hi_",
-                     f"{of('lo', 'k1')} AS lo_next", f"{of('n', 'k0')} AS n_")
-    return t.selectExpr(
-        *[f"`{k}`" for k in keys], "r0", "r1", "lo_ AS lo", "hi_ AS hi", "n_ AS n",
-        "below + CASE k0 WHEN 0 THEN 0L WHEN 1 THEN n0 ELSE n0 + n1 END AS below",
-        "n_ = n AS one_value",
-        "CASE WHEN k0 <> k1 THEN hi_ WHEN lo_ = hi_ THEN lo_ END AS a",
-        "CASE WHEN k0 <> k1 THEN lo_next WHEN lo_ = hi_ THEN lo_ END AS b")
+#: Values that a task puts in order, and the ranges that a driver can plan.
+AT_ONCE = 2_000_000
+MOST = 20_000
+
+
+def _changes(column: pa.Array):
+    """For each value but the first, whether it differs from the one before; NULL equals
+    NULL and NaN equals NaN."""
+    import numpy as np
+    import pyarrow.compute as pc
+    if pa.types.is_nested(column.type):
+        x = column.to_pylist()
+        return np.array([a != b for a, b in zip(x[1:], x)], bool)
+    new, old = column[1:], column[:-1]
+    differs = pc.fill_null(pc.not_equal(new, old), False)
+    if pa.types.is_floating(column.type):
+        both = pc.and_(pc.is_nan(new), pc.is_nan(old))
+        differs = pc.and_not(differs, pc.fill_null(both, False))
+    differs = pc.or_(differs, pc.xor(new.is_null(), old.is_null()))
+    return differs.to_numpy(zero_copy_only=False)
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, v) of one range, sorted -> a row (keys, median) for each key inside the
+    range, and the rows (keys, v, range, run, place) of its first and last key."""
+    import numpy as np
+    from pyspark import TaskContext
+    pid = TaskContext.get().partitionId()
+
+    def rows(keys, v, run=None, at=None):
+        own = [pa.nulls(len(v), t) if run is None else pa.array(np.full(len(v), x), t)
+               for x, t in ((pid, pa.int32()), (run, pa.int32()))]
+        place = pa.nulls(len(v), pa.int64()) if run is None else pa.array(
+            np.arange(at, at + len(v), dtype=np.int64))
+        names = [*(f"key_{i}" for i in range(len(keys) - 1)), "feature", "v", "pid", "run", "at"]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(v), *own, place], names)
+
+    last = None           # the keys of the row before
+    first, seen = True, 0  # still in the first run, and its rows so far
+    held: list = []        # values of a later run that has not ended yet
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, v = b.columns[:-1], b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+        begins = np.zeros(b.num_rows, bool)
+        for k, before in zip(keys, last or keys):
+            k = k if last is None else pa.concat_arrays([before, k])
+            begins[int(last is None):] |= _changes(k)
+        starts = np.flatnonzero(begins)
+        head = int(starts[0]) if len(starts) else len(v)
+        if first:
+            if head:
+                yield rows([k[:head] for k in keys], v[:head], 0, seen)
+            seen += head
+        else:
+            held.append(v[:head])
+        if len(starts):
+            ends = starts[1:]
+            sizes = ends - starts[:-1]
+            middle = (v[starts[:-1] + (sizes - 1) // 2] + v[starts[:-1] + sizes // 2]) / 2
+            done = [k.take(pa.array(starts[:-1])) for k in keys]
+            if not first:
+                x = np.concatenate(held)
+                yield rows(last, np.array([(x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2]))
+            if len(middle):
+                yield rows(done, middle)
+            first, held = False, [v[starts[-1]:]]
+        last = [k[-1:] for k in keys]
+    if not first:
+        x = np.concatenate(held)
+        for at in range(0, len(x), 100_000):
+            part = x[at:at + 100_000]
+            same = pa.array(np.zeros(len(part), np.int64))
+            yield rows([k.take(same) for k in last], part, 1, at)
 
 
 def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str],
@@ -60,67 +114,33 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
     """Wide result: ``group_cols`` + one median column per ``value_cols`` entry
     (NULL when a group has no value in that column), a row per group that has a value in
     any column; without ``group_cols`` exactly one row. The result is a written table."""
-    gcols = list(group_cols)
-    casted = df.select(*gcols, *[F.col(c).cast("double").alias(c) for c in value_cols])
-    long = (casted.unpivot(gcols, list(value_cols), "feature", "v")
-            .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    keys = gcols + ["feature"]
-
-    def beside(state: DataFrame, *names: str) -> DataFrame:
-        """The values still in question beside ``names`` of their state."""
-        cols = list(dict.fromkeys(["lo", "hi", *names]))
-        s = state.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)],
-                         *[F.col(c).alias(f"s_{c}") for c in cols])
-        on = F.lit(True)
-        for i, k in enumerate(keys):
-            on = on & long[k].eqNullSafe(s[f"key_{i}"])
-        return long.join(s, on).where("v BETWEEN s_lo AND s_hi").select(
-            *keys, "v", *[F.col(f"s_{c}").alias(c) for c in names])
-
-    def null_safe(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Inner join on ``keys``, NULL equal to NULL; ``left``'s keys stay."""
-        r = right.withColumnsRenamed({k: f"key_{i}" for i, k in enumerate(keys)})
-        on = F.lit(True)
-        for i, k in enumerate(keys):
-            on = on & left[k].eqNullSafe(r[f"key_{i}"])
-        return left.join(r, on).drop(*[f"key_{i}" for i in range(len(keys))])
-
-    state = materialize(long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).selectExpr(
-        *[f"`{k}`" for k in keys], "(n - 1) div 2 AS r0", "n div 2 AS r1", "lo", "hi", "n",
-        "0L AS below", "false AS one_value", "CASE WHEN lo = hi THEN lo END AS a",
-        "CASE WHEN lo = hi THEN lo END AS b"), "median-state")
-    grid = [i / STEPS for i in range(STEPS + 1)]
-    while True:
-        open_ = F.col("a").isNull() & (F.col("n") > window_rows)
-        wide = state.where(open_)
-        if wide.isEmpty():
-            break
-        quantiles = beside(wide).groupBy(*keys).agg(F.percentile_approx("v", grid, 1000).alias("q"))
-        at = f"CAST((r0 - below) * {STEPS} div n AS INT)"
-        to = f"CAST(((r1 - below + 1) * {STEPS} + n - 1) div n AS INT)"
-        brackets = materialize(null_safe(wide.drop("a", "b"), quantiles).selectExpr(
-            *[f"`{k}`" for k in keys], "r0", "r1", "lo", "hi", "n", "below", f"q[{at}] AS a",
-            f"q[CASE WHEN one_value THEN {at} ELSE least({STEPS}, {to}) END] AS b"), "median-brackets")
-        v = F.col("v")
-        side = F.when(v < F.col("a"), 0).when(v <= F.col("b"), 1).otherwise(2)
-        parts = beside(brackets, "a", "b").withColumn("side", side).groupBy(*keys).agg(
-            *[f(F.when(F.col("side") == i, v)).alias(f"{name}{i}") for i in range(3)
-              for f, name in ((F.count, "n"), (F.min, "lo"), (F.max, "hi"))])
-        found = _settled(null_safe(brackets.drop("a", "b", "lo", "hi"), parts), keys)
-        after = materialize(state.where(~open_).unionByName(found), "median-state")
-        for t in (state, brackets):
-            release(t)
-        state = after
-
-    rest = state.where("a IS NULL")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1
-    ranked = (beside(rest, "r0", "r1", "below").withColumn("rank", rank + F.col("below"))
-              .where("rank = r0 OR rank = r1").groupBy(*keys)
-              .agg(F.min("v").alias("a"), F.max("v").alias("b")))
-    both = state.where("a IS NOT NULL").select(*keys, "a", "b").unionByName(ranked)
-    medians = both.select(*keys, ((F.col("a") + F.col("b")) / 2).alias("m"))
-    out = materialize(medians.groupBy(*gcols).agg(
-        *[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(c) for c in value_cols]), "medians")
-    release(state)
+    spark, gcols = df.sparkSession, list(group_cols)
+    groups = [f"key_{i}" for i in range(len(gcols))]
+    keys = groups + ["feature"]
+    long = df.select(*[F.col(c).alias(k) for c, k in zip(gcols, groups)],
+                     F.spark_partition_id().alias("source"),
+                     F.posexplode(F.array(*[F.col(c).cast("double") for c in value_cols])).alias("feature", "v"))
+    long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    total, tasks = long.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MOST, max(1, min(-(-total // window_rows), max(tasks, -(-total // AT_ONCE)))))
+    order = long.repartitionByRange(ranges, *keys, "v", "source").sortWithinPartitions(*keys, "v")
+    order = order.select(*keys, "v")
+    schema = StructType(list(order.schema)).add("pid", IntegerType()).add(
+        "run", IntegerType()).add("at", LongType())
+    runs = materialize(order.mapInArrow(_ranked, schema), "median-runs")
+
+    across = runs.where("at IS NOT NULL")
+    inside = Window.partitionBy(*keys)
+    before = F.sum("n").over(inside.orderBy("pid", "run").rowsBetween(Window.unboundedPreceding, -1))
+    places = (across.groupBy(*keys, "pid", "run").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("before", F.coalesce(before, F.lit(0))).withColumn("all", F.sum("n").over(inside))
+              .selectExpr("pid", "run", "(all - 1) div 2 - before AS r0", "all div 2 - before AS r1"))
+    picked = (across.join(F.broadcast(places), ["pid", "run"]).where("at = r0 OR at = r1")
+              .groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b")))
+    medians = runs.where("at IS NULL").select(*keys, "v").unionByName(
+        picked.select(*keys, ((F.col("a") + F.col("b")) / 2).alias("v")))
+    out = materialize(medians.groupBy(*[F.col(k).alias(c) for c, k in zip(gcols, groups)]).agg(
+        *[F.max(F.when(F.col("feature") == i, F.col("v"))).alias(c) for i, c in enumerate(value_cols)]),
+        "medians")
+    release(runs)
     return out
