@@ -38,75 +38,77 @@ AT_ONCE = 2_000_000
 MOST = 20_000
 
 
-def _changes(column: pa.Array):
-    """For each value but the first, whether it differs from the one before; NULL equals
-    NULL and NaN equals NaN."""
-    import numpy as np
-    import pyarrow.compute as pc
-    if pa.types.is_nested(column.type):
-        x = column.to_pylist()
-        return np.array([a != b for a, b in zip(x[1:], x)], bool)
-    new, old = column[1:], column[:-1]
-    differs = pc.fill_null(pc.not_equal(new, old), False)
-    if pa.types.is_floating(column.type):
-        both = pc.and_(pc.is_nan(new), pc.is_nan(old))
-        differs = pc.and_not(differs, pc.fill_null(both, False))
-    differs = pc.or_(differs, pc.xor(new.is_null(), old.is_null()))
-    return differs.to_numpy(zero_copy_only=False)
-
-
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranked():
     """Rows (keys, v) of one range, sorted -> a row (keys, median) for each key inside the
     range, and the rows (keys, v, range, run, place) of its first and last key."""
     import numpy as np
+    import pyarrow.compute as pc
     from pyspark import TaskContext
-    pid = TaskContext.get().partitionId()
-
-    def rows(keys, v, run=None, at=None):
-        own = [pa.nulls(len(v), t) if run is None else pa.array(np.full(len(v), x), t)
-               for x, t in ((pid, pa.int32()), (run, pa.int32()))]
-        place = pa.nulls(len(v), pa.int64()) if run is None else pa.array(
-            np.arange(at, at + len(v), dtype=np.int64))
-        names = [*(f"key_{i}" for i in range(len(keys) - 1)), "feature", "v", "pid", "run", "at"]
-        return pa.RecordBatch.from_arrays([*keys, pa.array(v), *own, place], names)
-
-    last = None           # the keys of the row before
-    first, seen = True, 0  # still in the first run, and its rows so far
-    held: list = []        # values of a later run that has not ended yet
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys, v = b.columns[:-1], b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
-        begins = np.zeros(b.num_rows, bool)
-        for k, before in zip(keys, last or keys):
-            k = k if last is None else pa.concat_arrays([before, k])
-            begins[int(last is None):] |= _changes(k)
-        starts = np.flatnonzero(begins)
-        head = int(starts[0]) if len(starts) else len(v)
-        if first:
-            if head:
-                yield rows([k[:head] for k in keys], v[:head], 0, seen)
-            seen += head
-        else:
-            held.append(v[:head])
-        if len(starts):
-            ends = starts[1:]
-            sizes = ends - starts[:-1]
-            middle = (v[starts[:-1] + (sizes - 1) // 2] + v[starts[:-1] + sizes // 2]) / 2
-            done = [k.take(pa.array(starts[:-1])) for k in keys]
-            if not first:
-                x = np.concatenate(held)
-                yield rows(last, np.array([(x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2]))
-            if len(middle):
-                yield rows(done, middle)
-            first, held = False, [v[starts[-1]:]]
-        last = [k[-1:] for k in keys]
-    if not first:
-        x = np.concatenate(held)
-        for at in range(0, len(x), 100_000):
-            part = x[at:at + 100_000]
-            same = pa.array(np.zeros(len(part), np.int64))
-            yield rows([k.take(same) for k in last], part, 1, at)
+
+    def changes(column: pa.Array):
+        """For each value but the first, whether it differs from the one before; NULL equals
+        NULL and NaN equals NaN."""
+        if pa.types.is_nested(column.type):
+            x = column.to_pylist()
+            return np.array([a != b for a, b in zip(x[1:], x)], bool)
+        new, old = column[1:], column[:-1]
+        differs = pc.fill_null(pc.not_equal(new, old), False)
+        if pa.types.is_floating(column.type):
+            both = pc.and_(pc.is_nan(new), pc.is_nan(old))
+            differs = pc.and_not(differs, pc.fill_null(both, False))
+        differs = pc.or_(differs, pc.xor(new.is_null(), old.is_null()))
+        return differs.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid = TaskContext.get().partitionId()
+
+        def rows(keys, v, run=None, at=None):
+            own = [pa.nulls(len(v), t) if run is None else pa.array(np.full(len(v), x), t)
+                   for x, t in ((pid, pa.int32()), (run, pa.int32()))]
+            place = pa.nulls(len(v), pa.int64()) if run is None else pa.array(
+                np.arange(at, at + len(v), dtype=np.int64))
+            names = [*(f"key_{i}" for i in range(len(keys) - 1)), "feature", "v", "pid", "run", "at"]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(v), *own, place], names)
+
+        last = None            # the keys of the row before
+        first, seen = True, 0  # still in the first run, and its rows so far
+        held: list = []        # values of a later run that has not ended yet
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, v = b.columns[:-1], b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            begins = np.zeros(b.num_rows, bool)
+            for k, before in zip(keys, last or keys):
+                k = k if last is None else pa.concat_arrays([before, k])
+                begins[int(last is None):] |= changes(k)
+            starts = np.flatnonzero(begins)
+            head = int(starts[0]) if len(starts) else len(v)
+            if first:
+                if head:
+                    yield rows([k[:head] for k in keys], v[:head], 0, seen)
+                seen += head
+            else:
+                held.append(v[:head])
+            if len(starts):
+                ends = starts[1:]
+                sizes = ends - starts[:-1]
+                middle = (v[starts[:-1] + (sizes - 1) // 2] + v[starts[:-1] + sizes // 2]) / 2
+                done = [k.take(pa.array(starts[:-1])) for k in keys]
+                if not first:
+                    x = np.concatenate(held)
+                    yield rows(last, np.array([(x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2]))
+                if len(middle):
+                    yield rows(done, middle)
+                first, held = False, [v[starts[-1]:]]
+            last = [k[-1:] for k in keys]
+        if not first:
+            x = np.concatenate(held)
+            for at in range(0, len(x), 100_000):
+                part = x[at:at + 100_000]
+                same = pa.array(np.zeros(len(part), np.int64))
+                yield rows([k.take(same) for k in last], part, 1, at)
+
+    return run
 
 
 def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str],
@@ -127,7 +129,7 @@ def exact_medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence
     order = order.select(*keys, "v")
     schema = StructType(list(order.schema)).add("pid", IntegerType()).add(
         "run", IntegerType()).add("at", LongType())
-    runs = materialize(order.mapInArrow(_ranked, schema), "median-runs")
+    runs = materialize(order.mapInArrow(_ranked(), schema), "median-runs")
 
     across = runs.where("at IS NOT NULL")
     inside = Window.partitionBy(*keys)
