@@ -34,7 +34,7 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 from tierspark.session import materialize, release
 
 #: Values that a task puts in order, and the ranges that a driver can plan.
-AT_ONCE = 2_000_000
+AT_ONCE = 4_000_000
 MOST = 20_000
 
 
